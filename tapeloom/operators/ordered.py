@@ -12,7 +12,9 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -29,8 +31,35 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+_SIZES: ContextVar[tuple[tuple[frozenset[str], Callable[[], int]], ...]] = ContextVar("_SIZES", default=())
+
+
+@contextmanager
+def sized(df: DataFrame, keys: Sequence[str]) -> Iterator[None]:
+    """Count the groups of ``df`` once, when first asked, for all ordered steps inside.
+
+    For a chain of steps that keeps or drops rows of ``df`` but adds none: their groups by these
+    keys, or by more, are no larger than those of ``df``.
+    """
+    found: list[int] = []
+
+    def size() -> int:
+        if not found:
+            found.append(largest_group(df, keys))
+        return found[0]
+
+    token = _SIZES.set((*_SIZES.get(), (frozenset(keys), size)))
+    try:
+        yield
+    finally:
+        _SIZES.reset(token)
+
+
 def fits(df: DataFrame, keys: Sequence[str]) -> bool:
-    return largest_group(df, keys) <= max_group_rows(df.sparkSession)
+    limit = max_group_rows(df.sparkSession)
+    if any(known <= set(keys) and size() <= limit for known, size in _SIZES.get()):
+        return True
+    return largest_group(df, keys) <= limit
 
 
 def spec(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:

@@ -31,6 +31,7 @@ TOP_CTE = f"""top AS (
     f"""{V.BOOK}, {TOP_CTE} SELECT {K}, mid_price, spread, microprice, (bid_px[1] * bid_sz[1] + ask_px[1] * ask_sz[1]) / (bid_sz[1] + ask_sz[1]) AS microprice_v19,
     bid_depth, ask_depth, depth_imbalance, order_book_imbalance, order_book_imbalance / spread AS liquidity_pressure FROM top""",
     "mid_price spread microprice microprice_v19 bid_depth ask_depth depth_imbalance order_book_imbalance liquidity_pressure",
+    digits=8,
 )
 def top_of_book(spark, sf_dir):
     rows = S.top_of_book(V.book(spark, sf_dir)).withColumn("microprice_v19", B.microprice(bid_weighted=True))
@@ -225,11 +226,12 @@ def align_rows(spark, sf_dir):
 @query(
     "j4_align_clock_to_rows",
     f"""{V.TICKS}, {CLOCK}, m AS (SELECT c.symbol, c.ts_event, t.ts_event AS rts, t.sequence FROM clock c ASOF LEFT JOIN ticks t ON c.symbol = t.symbol AND c.ts_event >= t.ts_event)
-SELECT symbol, ts_event, CASE WHEN epoch_us(ts_event) - epoch_us(rts) <= 7200000000 THEN rts END AS match_ts, CASE WHEN epoch_us(ts_event) - epoch_us(rts) <= 7200000000 THEN sequence END AS row_sequence FROM m""",
+SELECT symbol, ts_event, CASE WHEN epoch_us(ts_event) - epoch_us(rts) <= 7200000000 THEN rts END AS match_ts, CASE WHEN epoch_us(ts_event) - epoch_us(rts) <= 7200000000 THEN sequence ELSE -1 END AS row_sequence FROM m""",
 )
 def align_clock(spark, sf_dir):
     rows = V.ticks(spark, sf_dir).select(*KEY, F.col("sequence").alias("row_sequence"))
-    return J.asof(_clock(spark, sf_dir), rows, columns=["row_sequence"], tolerance_ms=7_200_000)
+    out = J.asof(_clock(spark, sf_dir), rows, columns=["row_sequence"], tolerance_ms=7_200_000)
+    return out.withColumn("row_sequence", F.coalesce("row_sequence", F.lit(-1)))
 
 
 @query(
@@ -246,10 +248,11 @@ def overlap_ratio(spark, sf_dir):
 @query(
     "j6_snapshot_position",
     f"""{V.BOOK}, p AS (SELECT *, row_number() OVER ({BY}) - 1 AS position FROM book), t AS (SELECT * FROM ticks WHERE action = 'T')
-SELECT t.symbol, t.ts_event, t.sequence, p.position FROM t ASOF LEFT JOIN p ON t.symbol = p.symbol AND t.ts_event >= p.ts_event""",
+SELECT t.symbol, t.ts_event, t.sequence, coalesce(p.position, -1) AS position FROM t ASOF LEFT JOIN p ON t.symbol = p.symbol AND t.ts_event >= p.ts_event""",
 )
 def snapshot_position(spark, sf_dir):
-    return J.snapshot_position(V.ticks(spark, sf_dir).filter(is_trade()).select(*KEY), V.book(spark, sf_dir))
+    out = J.snapshot_position(V.ticks(spark, sf_dir).filter(is_trade()).select(*KEY), V.book(spark, sf_dir))
+    return out.withColumn("position", F.coalesce("position", F.lit(-1)))
 
 
 @query(
@@ -372,6 +375,7 @@ SELECT {K}, mbo_cvd AS cvd, order_book_imbalance AS obi, microprice AS micro_pri
  abs(mlofi[1] + mlofi[2] + mlofi[3]) / greatest(bid_depth + ask_depth, 1) AS liquidity_sweep, abs(price_change) / greatest(abs(vn), 1) AS kyle_lambda,
  (sum(tc) OVER {_frame(20)})::DOUBLE AS hawkes_intensity, 1.0 / greatest(spread, 0.01) AS liq_score, 0.0::DOUBLE AS fisher_signal, mbo_cvd AS raw__cvd FROM v""",
     COMPAT + " fisher_signal raw__cvd",
+    digits=8,
 )
 def compat_features(spark, sf_dir):
     rows = J.align_flow(V.book(spark, sf_dir), J.flow_state(V.ticks(spark, sf_dir)))
@@ -387,9 +391,9 @@ l AS (SELECT symbol, ts_event, sequence, qty, u.i AS i, ask_px[u.i] AS px, ask_s
   coalesce(list_sum(ask_sz[1:u.i - 1]), 0) AS before FROM q, (SELECT unnest(range(1, 11)) AS i) u),
 f AS (SELECT symbol, ts_event, sequence, qty, mid, greatest(least(qty - before, sz), 0) AS used, px FROM l)
 SELECT symbol, ts_event, sequence, qty, sum(used) AS filled, sum(used * px) / sum(used) AS vwap, (sum(used * px) / sum(used) - any_value(mid)) / 0.01 AS slippage_ticks,
-  5.0 - 2 * ((sum(used * px) / sum(used) - any_value(mid)) / 0.01) - 2 * 0.5 * qty AS net_pnl_ticks FROM f GROUP BY ALL""",
+  5.0 - 2 * ((sum(used * px) / sum(used) - any_value(mid)) / 0.01) - 2 * 0.5 * qty AS net_pnl_ticks FROM f GROUP BY symbol, ts_event, sequence, qty""",
     "qty filled vwap slippage_ticks net_pnl_ticks",
-    digits=4,
+    digits=8,
 )
 def walk_fill(spark, sf_dir):
     rows = V.book(spark, sf_dir).withColumn("qty", (F.col("sequence") % 90 + 1).cast("double"))
