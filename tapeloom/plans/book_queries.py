@@ -31,7 +31,7 @@ TOP_CTE = f"""top AS (
     f"""{V.BOOK}, {TOP_CTE} SELECT {K}, mid_price, spread, microprice, (bid_px[1] * bid_sz[1] + ask_px[1] * ask_sz[1]) / (bid_sz[1] + ask_sz[1]) AS microprice_v19,
     bid_depth, ask_depth, depth_imbalance, order_book_imbalance, order_book_imbalance / spread AS liquidity_pressure FROM top""",
     "mid_price spread microprice microprice_v19 bid_depth ask_depth depth_imbalance order_book_imbalance liquidity_pressure",
-    digits=8,
+    digits=7,
 )
 def top_of_book(spark, sf_dir):
     rows = S.top_of_book(V.book(spark, sf_dir)).withColumn("microprice_v19", B.microprice(bid_weighted=True))
@@ -375,7 +375,7 @@ SELECT {K}, mbo_cvd AS cvd, order_book_imbalance AS obi, microprice AS micro_pri
  abs(mlofi[1] + mlofi[2] + mlofi[3]) / greatest(bid_depth + ask_depth, 1) AS liquidity_sweep, abs(price_change) / greatest(abs(vn), 1) AS kyle_lambda,
  (sum(tc) OVER {_frame(20)})::DOUBLE AS hawkes_intensity, 1.0 / greatest(spread, 0.01) AS liq_score, 0.0::DOUBLE AS fisher_signal, mbo_cvd AS raw__cvd FROM v""",
     COMPAT + " fisher_signal raw__cvd",
-    digits=8,
+    digits=7,
 )
 def compat_features(spark, sf_dir):
     rows = J.align_flow(V.book(spark, sf_dir), J.flow_state(V.ticks(spark, sf_dir)))
@@ -393,7 +393,7 @@ f AS (SELECT symbol, ts_event, sequence, qty, mid, greatest(least(qty - before,
 SELECT symbol, ts_event, sequence, qty, sum(used) AS filled, sum(used * px) / sum(used) AS vwap, (sum(used * px) / sum(used) - any_value(mid)) / 0.01 AS slippage_ticks,
   5.0 - 2 * ((sum(used * px) / sum(used) - any_value(mid)) / 0.01) - 2 * 0.5 * qty AS net_pnl_ticks FROM f GROUP BY symbol, ts_event, sequence, qty""",
     "qty filled vwap slippage_ticks net_pnl_ticks",
-    digits=8,
+    digits=7,
 )
 def walk_fill(spark, sf_dir):
     rows = V.book(spark, sf_dir).withColumn("qty", (F.col("sequence") % 90 + 1).cast("double"))

@@ -17,12 +17,12 @@ DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round floating columns; whole types become BIGINT, so both engines print alike."""
+    """Round floating columns half up; whole types become BIGINT, so both engines print alike."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.floor(c.cast("double") * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(field.name))
@@ -33,7 +33,8 @@ def rounded_sql(sql: str, doubles: str, digits: int = DIGITS) -> str:
     names = doubles.split()
     if not names:
         return sql
-    parts = [f"CASE WHEN round({n}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({n}, {digits})::DOUBLE END AS {n}" for n in names]
+    scale = f"{10**digits}.0::DOUBLE"
+    parts = [f"floor({n}::DOUBLE * {scale} + 0.5::DOUBLE) / {scale} AS {n}" for n in names]
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM ({sql}) AS q"
 
 

@@ -58,7 +58,7 @@ t2 AS (SELECT *, CASE WHEN pc >= 3 THEN size / pm ELSE 1 END AS burst, CASE WHEN
 j AS (SELECT k.symbol, k.ts_event, k.sequence, t2.burst, t2.iet FROM ticks k LEFT JOIN t2 ON k.sequence = t2.sequence)
 SELECT {K}, coalesce(last_value(burst IGNORE NULLS) OVER w, 1) AS volume_burst, coalesce(last_value(iet IGNORE NULLS) OVER w, 0) AS trade_interval_ms FROM j WINDOW w AS ({BY})""",
     "volume_burst trade_interval_ms",
-    digits=3,
+    digits=5,
 )
 def trade_pace(spark, sf_dir):
     return W.trade_pace(V.ticks(spark, sf_dir), 8, 3, 6, 3).select(*KEY, "volume_burst", "trade_interval_ms")
@@ -76,7 +76,7 @@ def tape_speed(spark, sf_dir):
     "w22_kyle_lambda",
     f"""{TRADES}, s AS (SELECT *, (price - lag(price) OVER ({BY})) / greatest(size, 1e-8) AS sg FROM tr)
 SELECT {K}, coalesce(CASE WHEN count(sg) OVER {last(8)} >= 3 THEN quantile_cont(abs(sg), 0.5) OVER {last(4)} ELSE abs(sg) END, 0) AS kyle_lambda,
- coalesce(CASE WHEN count(sg) OVER {last(8)} >= 4 THEN greatest(least((sg - avg(sg) OVER {last(8)}) / (stddev_pop(sg) OVER {last(8)} + 1e-8), 4), -4) ELSE 0 END, 0) AS kyle_z FROM s""",
+ coalesce(CASE WHEN sg IS NOT NULL AND count(sg) OVER {last(8)} >= 4 THEN greatest(least((sg - avg(sg) OVER {last(8)}) / (stddev_pop(sg) OVER {last(8)} + 1e-8), 4), -4) ELSE 0 END, 0) AS kyle_z FROM s""",
     "kyle_lambda kyle_z",
 )
 def kyle(spark, sf_dir):
@@ -97,7 +97,7 @@ def vnet(spark, sf_dir):
     "w24_absorption",
     f"""{TRADES}, s AS (SELECT *, CASE WHEN count(*) OVER f >= 4 THEN abs(cvd - first_value(cvd) OVER f) / greatest(abs(price - first_value(price) OVER f), 0.25) END AS rw FROM tr WINDOW f AS ({BY} ROWS 4 PRECEDING)),
 b AS (SELECT *, CASE WHEN count(rw) OVER p >= 3 THEN greatest(quantile_cont(rw, 0.5) OVER p, 1e-6) ELSE 500 END AS sc FROM s WINDOW p AS ({BY} ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))
-SELECT {K}, coalesce(least(ln(1 + rw / sc), 25), 0) AS absorption_intensity FROM b""",
+SELECT {K}, CASE WHEN rw IS NULL THEN 0 ELSE least(ln(1 + rw / sc), 25) END AS absorption_intensity FROM b""",
     "absorption_intensity",
 )
 def absorption(spark, sf_dir):
@@ -160,7 +160,7 @@ g AS (SELECT *, price - current_vwap AS dev FROM v)
 SELECT {K}, current_vwap, session_cvd, CASE WHEN count(*) OVER f > 1 THEN dev / (stddev_pop(dev) OVER f + 1e-8) ELSE 0 END AS vwap_z_score, coalesce(current_vwap - lag(current_vwap, 1) OVER ({DBY}), 0) AS vwap_slope
 FROM g WINDOW f AS ({DBY} ROWS 4 PRECEDING)""",
     "current_vwap session_cvd vwap_z_score vwap_slope",
-    digits=5,
+    digits=7,
 )
 def session_vwap(spark, sf_dir):
     return W.session_vwap(V.ticks(spark, sf_dir), 5, 1, 2).select(*KEY, "current_vwap", "session_cvd", "vwap_z_score", "vwap_slope")
@@ -186,7 +186,7 @@ def daily_context(spark, sf_dir):
   abs(lag(cvd, 1) OVER ({BY}) - lag(cvd, 6) OVER ({BY})) AS far, abs(price - lag(price) OVER ({BY})) AS mv, (epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER ({BY})) / 1e6 AS gap, abs(price - lag(price, 5) OVER ({BY})) AS net FROM cvd_ticks),
 q AS (SELECT *, quantile_cont(gap, 0.5) OVER ({BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS base, CASE WHEN count(mv) OVER {last(5)} >= 2 THEN sum(mv) OVER {last(5)} END AS gross,
   coalesce(avg(stp) OVER ({BY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 0) AS cvd_impulse, coalesce(avg(far) OVER {last(5)}, 0) AS cvd_persistence FROM s)
-SELECT {K}, volume_ratio, cvd_impulse, cvd_persistence, coalesce(least(base / greatest(gap, 1e-6), 5), volume_ratio) AS activity, coalesce(least(net / greatest(gross, 1e-8), 1), 0) AS trend_efficiency FROM q""",
+SELECT {K}, volume_ratio, cvd_impulse, cvd_persistence, CASE WHEN base IS NULL OR gap IS NULL THEN volume_ratio ELSE least(base / greatest(gap, 1e-6), 5) END AS activity, CASE WHEN net IS NULL OR gross IS NULL THEN 0 ELSE least(net / greatest(gross, 1e-8), 1) END AS trend_efficiency FROM q""",
     "volume_ratio cvd_impulse cvd_persistence activity trend_efficiency",
 )
 def regime_features(spark, sf_dir):
@@ -284,14 +284,14 @@ def relative_volatility(spark, sf_dir):
 
 @query(
     "p14_calibration",
-    f"""{V.TICKS}, h AS (SELECT *, row_number() OVER ({BY}) AS at FROM ticks QUALIFY at <= 2000),
+    f"""{V.TICKS}, h AS (SELECT *, row_number() OVER ({BY}) AS pos FROM ticks QUALIFY pos <= 2000),
 q AS (SELECT symbol, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM h WHERE price > 0 GROUP BY symbol),
 p AS (SELECT h.* FROM h JOIN q USING (symbol) WHERE price > 0 AND (q3 - q1 <= 0 OR price BETWEEN q1 - 3 * (q3 - q1) AND q3 + 3 * (q3 - q1))),
-st AS (SELECT * FROM (SELECT *, abs(price - lag(price) OVER (PARTITION BY symbol ORDER BY at)) AS stp FROM p) WHERE stp > 0),
-c AS (SELECT symbol, round(stp, 4) AS r, count(*) AS n, min(at) AS f FROM st GROUP BY ALL HAVING count(*) >= 3),
+st AS (SELECT * FROM (SELECT *, abs(price - lag(price) OVER (PARTITION BY symbol ORDER BY pos)) AS stp FROM p) WHERE stp > 0),
+c AS (SELECT symbol, round(stp, 4) AS r, count(*) AS n, min(pos) AS f FROM st GROUP BY ALL HAVING count(*) >= 3),
 u AS (SELECT symbol, min(r) AS tick FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY n DESC, f) AS k FROM c) WHERE k <= 10 GROUP BY symbol),
 mv AS (SELECT symbol, quantile_cont(stp, 0.05) AS s5, quantile_cont(stp, 0.25) AS s25 FROM st GROUP BY symbol),
-tv AS (SELECT symbol, avg(d) AS vol, count(*) AS n FROM (SELECT symbol, abs(price - lag(price) OVER (PARTITION BY symbol ORDER BY at)) AS d FROM h WHERE action = 'T') GROUP BY symbol),
+tv AS (SELECT symbol, avg(d) AS vol, count(*) AS n FROM (SELECT symbol, abs(price - lag(price) OVER (PARTITION BY symbol ORDER BY pos)) AS d FROM h WHERE action = 'T') GROUP BY symbol),
 sz AS (SELECT symbol, quantile_cont(size, 0.5) AS typical_size FROM h WHERE size > 0 GROUP BY symbol),
 b AS (SELECT symbol, avg(price) AS mean_price, stddev_samp(price) AS price_scale FROM p GROUP BY symbol HAVING count(*) >= 10)
 SELECT b.symbol, coalesce(tick, s5) AS tick_size, greatest(coalesce(tick, s5), s25) AS min_price_move, typical_size, CASE WHEN tv.n > 10 THEN greatest(vol, coalesce(tick, s5)) ELSE 1 END AS volatility, mean_price, price_scale
