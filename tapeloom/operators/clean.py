@@ -88,6 +88,10 @@ def normalise(df: DataFrame, *, kind: str = "mbo", none_side_is_buy: bool = Fals
     return out
 
 
+def _zero_above(side: str, tops: Column) -> Column:
+    return F.transform(side, lambda p, i: F.when(p > F.try_element_at(tops, i), F.lit(0.0)).otherwise(p))
+
+
 def clip_book_outliers(df: DataFrame, multiple: float = 5.0, least: int = 10) -> DataFrame:
     """Set a level's price to 0 where it lies above q3 + multiple·IQR of that level's positive prices."""
     limits = None
@@ -102,8 +106,7 @@ def clip_book_outliers(df: DataFrame, multiple: float = 5.0, least: int = 10) ->
         limits = table if limits is None else limits.join(table, "symbol", "full")
     out = df.join(limits, "symbol", "left")
     for side in ("bid_px", "ask_px"):
-        top = F.map_from_entries(F.col(f"_{side}"))
-        out = out.withColumn(side, F.transform(side, lambda p, i, top=top: F.when(p > F.try_element_at(top, i), F.lit(0.0)).otherwise(p)))
+        out = out.withColumn(side, _zero_above(side, F.map_from_entries(F.col(f"_{side}"))))
     return out.drop("_bid_px", "_ask_px")
 
 

@@ -419,12 +419,12 @@ def coverage_stats(spark, sf_dir):
 
 @query(
     "j13_compare_feeds",
-    f"""{V.BOOK}, a AS (SELECT symbol, count(*) AS mbo_rows FROM ticks WHERE action = 'T' AND symbol % 5 <> 0 GROUP BY symbol), b AS (SELECT symbol, count(*) AS mbp_rows FROM book WHERE symbol % 7 <> 0 GROUP BY symbol)
+    f"""{V.BOOK}, a AS (SELECT symbol, count(*) AS mbo_rows FROM ticks WHERE action = 'T' AND size >= 80 GROUP BY symbol), b AS (SELECT symbol, count(*) AS mbp_rows FROM book WHERE bid_px[1] > 1180 GROUP BY symbol)
 SELECT symbol, coalesce(mbo_rows, 0) AS mbo_rows, coalesce(mbp_rows, 0) AS mbp_rows, CASE WHEN mbp_rows IS NULL THEN 'mbo_only' WHEN mbo_rows IS NULL THEN 'mbp_only' ELSE 'both' END AS found_in FROM a FULL JOIN b USING (symbol)""",
 )
 def compare_feeds(spark, sf_dir):
-    trades = V.ticks(spark, sf_dir).filter(is_trade() & (F.col("symbol") % 5 != 0))
-    return A.compare_feeds(trades, V.book(spark, sf_dir).filter(F.col("symbol") % 7 != 0))
+    large = V.ticks(spark, sf_dir).filter(is_trade() & (F.col("size") >= 80))
+    return A.compare_feeds(large, V.book(spark, sf_dir).filter(F.get("bid_px", 0) > 1180))
 
 
 @query("o1_stable_sort", f"{V.TICKS} SELECT symbol, ts_event, sequence, price FROM ticks ORDER BY ts_event, symbol, sequence", "price")
