@@ -369,7 +369,7 @@ g AS (SELECT symbol, trade_date, session, max(i) AS li, arg_min(price, i) AS op,
 v AS (SELECT *, greatest(CASE WHEN li >= 1 THEN list_reduce(rs, lambda a, b: 0.1::DOUBLE * b + 0.9::DOUBLE * a) END, 1e-8) AS ema FROM g),
 b AS (SELECT *, CASE WHEN li < 2 THEN 0.001 ELSE ema * 1.5 END AS tp, CASE WHEN li < 2 THEN 0.001 ELSE ema * 1.0 END AS sl FROM v),
 h AS (SELECT b.symbol, b.trade_date, b.session, arg_min(CASE WHEN price >= op + tp THEN 0 WHEN price <= op - sl THEN 1 END, CASE WHEN price >= op + tp OR price <= op - sl THEN i END) AS hit FROM b JOIN x USING (symbol, trade_date, session) WHERE i > 0 GROUP BY ALL)
-SELECT symbol, trade_date, session, li + 1 AS rows, tp, sl, CASE WHEN li < 1 THEN 2 ELSE coalesce(hit, CASE WHEN cl - op > tp * 0.5 THEN 0 WHEN cl - op < -sl * 0.5 THEN 1 ELSE 2 END) END::BIGINT AS bias_label FROM b LEFT JOIN h USING (symbol, trade_date, session)""",
+SELECT symbol, trade_date::VARCHAR AS trade_date, session, li + 1 AS rows, tp, sl, CASE WHEN li < 1 THEN 2 ELSE coalesce(hit, CASE WHEN cl - op > tp * 0.5 THEN 0 WHEN cl - op < -sl * 0.5 THEN 1 ELSE 2 END) END::BIGINT AS bias_label FROM b LEFT JOIN h USING (symbol, trade_date, session)""",
     "tp sl",
 )
 def session_labels(spark, sf_dir):

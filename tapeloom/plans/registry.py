@@ -23,6 +23,8 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
             c = F.floor(c.cast("double") * F.lit(10.0**digits) + F.lit(0.5)) / F.lit(10.0**digits)
+        elif isinstance(field.dataType, T.DateType):
+            c = c.cast("string")
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         out.append(c.alias(field.name))
