@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
-from tapeloom.operators.ordered import KEYS, ORDER, exact_quantiles, fits, running, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, exact_quantiles, fits, windowed
+from tapeloom.operators.orderstat import prefix_quantile
 
 # Outcomes of a path.
 LONG_TP, SHORT_TP, LONG_SL, SHORT_SL, TIMEOUT, WEAK_LONG, WEAK_SHORT = range(7)
@@ -306,16 +307,12 @@ def timeout_exceeded(move: Column, band: Column) -> Column:
 
 
 def expanding_median(df: DataFrame, column: str, name: str, least: int = 1, *, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
-    """Median of a column over all rows so far; null under ``least`` values.
-
-    It needs every earlier value, so a group must fit one task: cut long histories by day, say
-    with ``keys=("symbol", "trade_date")``.
-    """
+    """Median of a column over all rows so far; null under ``least`` values."""
     if not fits(df, keys):
-        raise ValueError("a group is too large for an expanding median; add a date to its keys")
+        return prefix_quantile(df, column, name, F.lit(0.5), least, keys=keys, order=order)
 
     def median(rows, w):
-        so_far = w.rowsBetween(-(2**31 - 1), 0)
+        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(name, F.when(F.count(column).over(so_far) >= least, F.percentile(column, 0.5).over(so_far)))
 
     return windowed(df, median, keys=keys, order=order, check=False)

@@ -66,7 +66,7 @@ def spec(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def _spread(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """Add ``_rn``, the row's position in its key, without gathering a key in one task.
 
     The sort splits the rows by sampled ranges of (key, order), so its partitions are even
@@ -85,7 +85,7 @@ def numbered(df: DataFrame, name: str = "rn", keys: Sequence[str] = KEYS, order:
     """Position of each row in its key, from 0."""
     if fits(df, keys):
         return df.withColumn(name, F.row_number().over(spec(keys, order)).cast("long") - 1)
-    return _spread(df, keys, order).withColumnRenamed("_rn", name)
+    return spread(df, keys, order).withColumnRenamed("_rn", name)
 
 
 def windowed(
@@ -105,7 +105,7 @@ def windowed(
     if not check or fits(df, keys):
         return fn(df, spec(keys, order))
     block = max(max_group_rows(df.sparkSession), before, after, 1)
-    rows = _spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}")).withColumn("_off", F.expr(f"_rn % {block}"))
+    rows = spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}")).withColumn("_off", F.expr(f"_rn % {block}"))
     copies = [F.struct(F.col("_blk").alias("_blk"), F.lit(True).alias("_own"))]
     if before:
         copies.append(F.when(F.col("_off") >= block - before, F.struct((F.col("_blk") + 1).alias("_blk"), F.lit(False).alias("_own"))))
@@ -160,7 +160,7 @@ def running(
         w = spec(keys, order).rowsBetween(Window.unboundedPreceding, top)
         return df.withColumns({name: _over(kind, c, w) for name, (kind, c) in sources.items()})
     block = max_group_rows(df.sparkSession)
-    rows = _spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}"))
+    rows = spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}"))
     totals = rows.groupBy(*keys, "_blk").agg(*[_total(kind, c, F.col("_rn")).alias(f"_t_{name}") for name, (kind, c) in sources.items()])
     earlier = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     merge_kind = {"count": "sum"}
