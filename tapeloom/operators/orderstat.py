@@ -27,21 +27,21 @@ def prefix_order(df: DataFrame, value: str, wanted: dict[str, Column], *, exclus
     """
     keys = list(keys)
     rows = frozen(spread(df, keys, order))
-    values = spread(rows.filter(F.col(value).isNotNull()).select(*keys, F.col("_rn").alias("_at"), F.col(value).alias("_v")), keys, ["_v", "_at"])
+    values = spread(rows.filter(F.col(value).isNotNull()).select(*keys, F.col("_rn").alias("_pos"), F.col(value).alias("_v")), keys, ["_v", "_pos"])
     values = frozen(values.withColumnRenamed("_rn", "_vr"))
     top = max(largest_group(values, keys) - 1, 0)
     levels = max((top.bit_length() + BASE_BITS - 1) // BASE_BITS, 1)
     cells = F.array(*[F.struct(F.lit(n).alias("_name"), c.cast("long").alias("_k")) for n, c in wanted.items()])
-    asked = rows.select(*keys, F.col("_rn").alias("_at"), F.explode(cells).alias("c")).select(*keys, "_at", "c.*").filter("_k is not null")
+    asked = rows.select(*keys, F.col("_rn").alias("_pos"), F.explode(cells).alias("c")).select(*keys, "_pos", "c.*").filter("_k is not null")
     asked = asked.withColumn("_node", F.lit(0).cast("long"))
     for level in reversed(range(levels)):
         shift = level * BASE_BITS
-        inserts = values.select(*keys, "_at", F.shiftright("_vr", shift + BASE_BITS).alias("_node"), F.shiftright("_vr", shift).bitwiseAND(F.lit(15)).alias("_digit"))
+        inserts = values.select(*keys, "_pos", F.shiftright("_vr", shift + BASE_BITS).alias("_node"), F.shiftright("_vr", shift).bitwiseAND(F.lit(15)).alias("_digit"))
         both = asked.unionByName(inserts, allowMissingColumns=True)
         is_query = F.col("_name").isNotNull()
         both = both.withColumn("_turn", F.when(is_query, 0 if exclusive else 1).otherwise(1 if exclusive else 0))
         counts = {f"_c{d}": ("sum", (F.col("_digit") == d).cast("long")) for d in range(16)}
-        both = running(both, counts, keys=[*keys, "_node"], order=["_at", "_turn", F.coalesce("_name", F.lit(""))])
+        both = running(both, counts, keys=[*keys, "_node"], order=["_pos", "_turn", F.coalesce("_name", F.lit(""))])
         below, digit, rest = F.lit(0), F.lit(15), F.col("_k")
         steps = []
         for d in range(16):
@@ -50,9 +50,9 @@ def prefix_order(df: DataFrame, value: str, wanted: dict[str, Column], *, exclus
             below = upto
         for found, d, left in reversed(steps):
             digit, rest = F.when(found, d).otherwise(digit), F.when(found, left).otherwise(rest)
-        asked = frozen(both.filter(is_query).select(*keys, "_at", "_name", rest.alias("_k"), (F.shiftleft("_node", BASE_BITS) + digit).alias("_node")))
+        asked = frozen(both.filter(is_query).select(*keys, "_pos", "_name", rest.alias("_k"), (F.shiftleft("_node", BASE_BITS) + digit).alias("_node")))
     answers = asked.join(values.select(*keys, F.col("_vr").alias("_node"), "_v"), [*keys, "_node"])
-    answers = answers.groupBy(*keys, F.col("_at").alias("_rn")).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted])
+    answers = answers.groupBy(*keys, F.col("_pos").alias("_rn")).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted])
     return rows.join(answers, [*keys, "_rn"], "left").drop("_rn")
 
 
