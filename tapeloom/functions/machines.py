@@ -383,6 +383,20 @@ class EventScore(Machine):
         return (score, hits, hits > 0 and score >= self.score_limit), [v[-self.frame :] for v in recent]
 
 
+@dataclass
+class SessionTotals(Machine):
+    """Volume-weighted price and signed volume since the day began."""
+
+    inputs = ("day", "price", "size", "is_buy")
+    outputs = {"current_vwap": "double", "session_cvd": "double"}
+    start = [None, 0.0, 0.0, 0.0]
+
+    def step(self, state, day, price, size, is_buy):
+        today, volume, paid, cvd = state if state[0] == day else (int(day), 0.0, 0.0, 0.0)
+        volume, paid, cvd = volume + size, paid + price * size, cvd + (size if is_buy else -size)
+        return (paid / volume if volume > 0 else price, cvd), [today, volume, paid, cvd]
+
+
 def run(machine: Machine, state: list, columns: list[list]) -> tuple[list[tuple], list]:
     """Feed rows, given as columns, to a machine."""
     out = []
