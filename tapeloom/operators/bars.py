@@ -7,6 +7,8 @@ symbol has at most one bar per time step.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -518,3 +520,32 @@ def period_levels(ticks: DataFrame, calendar: bool = False) -> DataFrame:
             "price_position": F.coalesce(clip(ratio(F.col("price") - F.col("pdl"), F.col("pdh") - F.col("pdl")), 0, 1), F.lit(0.5)),
         }
     ).drop("day", "week")
+
+
+def session_liquidity(rows: DataFrame, keys: Sequence[str] = ("symbol", "trade_date"), least: int = 50) -> DataFrame:
+    """Burst, absorption and imbalance of each session multiplied, and which session of the day has most.
+
+    Columns session, volume_burst, absorption_intensity, obi; sessions with too few rows are left out.
+    """
+    score = F.avg("volume_burst") * F.avg(F.abs("absorption_intensity")) * (F.avg(F.abs("obi")) + 0.01)
+    out = rows.groupBy(*keys, "session").agg(F.count(F.lit(1)).alias("rows"), score.alias("score")).filter(F.col("rows") >= least)
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "session")  # a few sessions per day
+    return out.withColumn("is_best", F.row_number().over(w) == 1)
+
+
+def partial_bars(ticks: DataFrame, freq: str) -> DataFrame:
+    """Bars as sums, counts and first/last with their times, so that they can be merged later."""
+    at = F.struct("ts_event", "sequence")
+    return with_bar(ticks, freq).groupBy(*BAR_KEYS).agg(
+        F.min_by("price", at).alias("open"), F.min(at).alias("first_at"), F.max_by("price", at).alias("close"), F.max(at).alias("last_at"),
+        F.max("price").alias("high"), F.min("price").alias("low"), F.sum("price").alias("price_sum"), F.count("price").alias("price_count"), F.sum("size").alias("size"),
+    )
+
+
+def merge_partials(parts: DataFrame, freq: str) -> DataFrame:
+    """Merge partial bars of any stretch into longer bars, in time order whatever order they come in."""
+    longer = parts.withColumn("bar_ts", F.window("bar_ts", freq)["start"])
+    return longer.groupBy(*BAR_KEYS).agg(
+        F.min_by("open", "first_at").alias("open"), F.max_by("close", "last_at").alias("close"), F.max("high").alias("high"), F.min("low").alias("low"),
+        (F.sum("price_sum") / F.sum("price_count")).alias("mean_price"), F.sum("size").alias("size"),
+    )

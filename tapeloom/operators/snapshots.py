@@ -141,6 +141,32 @@ def clock_features(rows: DataFrame) -> DataFrame:
     )
 
 
+# Hours (UTC) of the older session table, [from, to), and codes in order of priority.
+SESSION_HOURS = {"asia": (0, 8), "london": (7, 16), "ny": (13, 22), "overlap": (13, 16)}
+SESSION_CODES = {"asia": 0, "london": 1, "ny": 2, "overlap": 3, "off": 4}
+
+
+def session_flags(rows: DataFrame) -> DataFrame:
+    """Flags of the sessions that are open, the code of the most important one, and hour and minute on a circle."""
+    hour, minute = F.hour("ts_event"), F.minute("ts_event")
+    flags = {f"session_{n}": ((hour >= a) & (hour < b)).cast("int") for n, (a, b) in SESSION_HOURS.items()}
+    code = F.lit(SESSION_CODES["off"])
+    for name in ("asia", "london", "ny", "overlap"):
+        code = F.when(flags[f"session_{name}"] == 1, SESSION_CODES[name]).otherwise(code)
+    turn = lambda value, n: value * (2 * 3.141592653589793 / n)
+    return rows.withColumns(
+        {
+            **flags,
+            "session_off": (code == SESSION_CODES["off"]).cast("int"),
+            "session_label": code,
+            "hour_sin": F.sin(turn(hour, 24.0)),
+            "hour_cos": F.cos(turn(hour, 24.0)),
+            "minute_sin": F.sin(turn(minute, 60.0)),
+            "minute_cos": F.cos(turn(minute, 60.0)),
+        }
+    )
+
+
 def level_features(rows: DataFrame, tick: float) -> DataFrame:
     """Per level: sizes, imbalance and distances from the mid in ticks, as arrays."""
     m = B.mid()

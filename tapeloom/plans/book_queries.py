@@ -359,6 +359,18 @@ def clock_features(spark, sf_dir):
     return S.clock_features(V.ticks(spark, sf_dir)).select(*KEY, *names.split())
 
 
+@query(
+    "f13_f14_session_flags",
+    f"""{V.TICKS}, h AS (SELECT *, hour(ts_event) AS h, minute(ts_event) AS m FROM ticks)
+SELECT {K}, (h < 8)::BIGINT AS session_asia, (h >= 7 AND h < 16)::BIGINT AS session_london, (h >= 13 AND h < 22)::BIGINT AS session_ny, (h >= 13 AND h < 16)::BIGINT AS session_overlap, (h >= 22)::BIGINT AS session_off,
+ CASE WHEN h >= 13 AND h < 16 THEN 3 WHEN h >= 13 AND h < 22 THEN 2 WHEN h >= 7 AND h < 16 THEN 1 WHEN h < 8 THEN 0 ELSE 4 END::BIGINT AS session_label, sin(2 * pi() * h / 24) AS hour_sin, cos(2 * pi() * h / 24) AS hour_cos, sin(2 * pi() * m / 60) AS minute_sin, cos(2 * pi() * m / 60) AS minute_cos FROM h""",
+    "hour_sin hour_cos minute_sin minute_cos",
+)
+def session_flags(spark, sf_dir):
+    names = "session_asia session_london session_ny session_overlap session_off session_label hour_sin hour_cos minute_sin minute_cos"
+    return S.session_flags(V.ticks(spark, sf_dir)).select(*KEY, *names.split())
+
+
 COMPAT = "cvd obi micro_price lob_depth_imbalance micro_atr volume_burst liquidity_density vnet cvd_momentum cvd_price_divergence trend_strength liquidity_sweep kyle_lambda hawkes_intensity liq_score"
 
 

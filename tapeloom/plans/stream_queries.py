@@ -71,7 +71,12 @@ def streaming_session_totals(spark, sf_dir):
     return ntz(S.drain(S.run_machine(rows, Z.SessionTotals(), KEY), "session"), "ts_event")
 
 
-@query("x4_streaming_hawkes")
+@query(
+    "x4_streaming_hawkes",
+    f"""{V.TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts_event, sequence) AS n, epoch_us(ts_event) AS t, (action IN ('A', 'C'))::INT AS ev FROM ticks)
+SELECT a.symbol, a.ts_event, a.sequence, 0.1::DOUBLE + coalesce(sum(CASE WHEN b.n > 1 AND b.ev = 1 THEN 0.5 * exp(-0.00001::DOUBLE * (a.t - b.t) / 1e6) ELSE 0 END), 0) AS intensity, a.n > 1 AS counted FROM n a JOIN n b ON a.symbol = b.symbol AND b.n <= a.n GROUP BY a.symbol, a.ts_event, a.sequence, a.n""",
+    "intensity",
+)
 def streaming_hawkes(spark, sf_dir):
     rows = ticks_stream(spark, sf_dir).select(*KEY, F.unix_micros("ts_event").alias("t_us"), F.col("action").isin("A", "C").alias("is_event"))
     return ntz(S.drain(S.run_machine(rows, Z.Hawkes(beta=0.00001), KEY), "hawkes"), "ts_event")
