@@ -94,18 +94,17 @@ def position_size(tradeable: Column, kelly: Column, sizing_penalty: Column, conf
     return F.when(tradeable & (kelly > 0), F.least(scaled, F.lit(float(max_size))).cast("int")).otherwise(confidence_size(confidence, base, max_size))
 
 
-def normalised(probs: Column) -> Column:
-    """Probabilities with mean 1/n where they sum to 0, else over their sum, negatives as 0."""
-    kept = F.transform(probs, lambda x: F.greatest(x, F.lit(0.0)))
-    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x)
-    n = F.size(probs)
-    return F.transform(kept, lambda x: F.when(total > 0, x / total).otherwise(1.0 / n))
-
-
-def entropy(probs: Column) -> Column:
-    """Entropy over its maximum."""
-    total = F.aggregate(probs, F.lit(0.0), lambda a, x: a - x * F.ln(F.greatest(x, F.lit(1e-12))))
-    return F.when(F.size(probs) > 1, total / F.ln(F.size(probs).cast("double"))).otherwise(0.0)
+def normalised(probs: Column, n: int = 4) -> Column:
+    """The first n probabilities over their sum, negatives as 0; 1/n each where they sum to 0."""
+    kept = [F.greatest(F.get(probs, i), F.lit(0.0)) for i in range(n)]
+    total = sum(kept[1:], kept[0])
+    return F.array(*[F.when(total > 0, k / total).otherwise(F.lit(1.0 / n)) for k in kept])
+
+
+def entropy(probs: Column, n: int = 4) -> Column:
+    """Entropy of n probabilities over its maximum."""
+    parts = [F.get(probs, i) * F.ln(F.greatest(F.get(probs, i), F.lit(1e-12))) for i in range(n)]
+    return -sum(parts[1:], parts[0]) / F.ln(F.lit(float(n)))
 
 
 def feature_hash(names: list[str]) -> Column:

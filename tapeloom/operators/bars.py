@@ -196,43 +196,39 @@ def _slice_id(freq_seconds: int, slices: int) -> Column:
     return F.least(F.floor(micros / F.lit(width)), F.lit(slices - 1)).cast("int")
 
 
-def _slots(names: list[str], slices: int) -> dict[str, Column]:
-    """Arrays with one entry per slice, 0 where the slice holds no rows."""
-    return {f"_{n}": F.array(*[F.coalesce(F.max(F.when(F.col("slice") == s, F.col(n))), F.lit(0.0)) for s in range(slices)]) for n in names}
+class _Slices:
+    """Statistics over the slices of a bar where slices without rows count as 0."""
 
+    def __init__(self, slices: int):
+        self.n = slices
+        self.missing = F.lit(slices) - F.count(F.lit(1))
 
-def _array_sum(name: str, slices: range | list[int]) -> Column:
-    out = F.lit(0.0)
-    for s in slices:
-        out = out + F.get(F.col(name), s)
-    return out
-
-
-def _mean(name: str, slices: int) -> Column:
-    return _array_sum(name, range(slices)) / F.lit(float(slices))
+    def top(self, c: str) -> Column:
+        return F.greatest(F.max(c), F.when(self.missing > 0, 0.0))
 
+    def bottom(self, c: str) -> Column:
+        return F.least(F.min(c), F.when(self.missing > 0, 0.0))
 
-def _std(name: str, slices: int) -> Column:
-    m = _mean(name, slices)
-    out = F.lit(0.0)
-    for s in range(slices):
-        out = out + F.pow(F.get(F.col(name), s) - m, 2)
-    return F.sqrt(out / F.lit(float(slices)))
+    def mean(self, c: str) -> Column:
+        return F.sum(c) / F.lit(float(self.n))
 
+    def std(self, c: str) -> Column:
+        here = F.count(F.lit(1))
+        between = F.avg(c) * F.avg(c) * here * self.missing / F.lit(float(self.n))
+        return F.sqrt((F.var_pop(c) * here + between) / F.lit(float(self.n)))
 
-def _variation(name: str, slices: int) -> Column:
-    m = F.abs(_mean(name, slices))
-    return F.when(m < 1e-12, F.lit(0.0)).otherwise(_std(name, slices) / (m + 1e-12))
+    def variation(self, c: str) -> Column:
+        m = F.abs(self.mean(c))
+        return F.when(m < 1e-12, F.lit(0.0)).otherwise(self.std(c) / (m + 1e-12))
 
+    def agreement(self, c: str) -> Column:
+        """Share of non-zero slices whose sign is the more common one."""
+        plus, minus = (F.sum(F.when(t, 1).otherwise(0)) for t in (F.col(c) > 0, F.col(c) < 0))
+        return F.coalesce(F.try_divide(F.greatest(plus, minus).cast("double"), (plus + minus).cast("double")), F.lit(0.0))
 
-def _agreement(name: str, slices: int) -> Column:
-    """Share of non-zero slices whose sign is the more common one."""
-    plus, minus = F.lit(0), F.lit(0)
-    for s in range(slices):
-        v = F.get(F.col(name), s)
-        plus, minus = plus + F.when(v > 0, 1).otherwise(0), minus + F.when(v < 0, 1).otherwise(0)
-    major = F.when(plus >= minus, plus).otherwise(minus)
-    return F.coalesce(F.try_divide(major.cast("double"), (plus + minus).cast("double")), F.lit(0.0))
+    def part(self, c: str, first: int, last: int) -> Column:
+        """Sum over the slices from ``first`` to before ``last``."""
+        return F.sum(F.when((F.col("slice") >= first) & (F.col("slice") < last), F.col(c)).otherwise(0.0))
 
 
 def intrabar_slices(ticks: DataFrame, freq_seconds: int, slices: int = 12) -> DataFrame:
@@ -252,29 +248,32 @@ def intrabar_slices(ticks: DataFrame, freq_seconds: int, slices: int = 12) -> Da
         (at_last("cvd") - at_first("cvd")).alias("cvd_d"),
         F.avg(size).alias("size_m"),
     )
-    names = ["spoof", "cancel", "absorb", "ofi", "cvd_d", "size_m"]
-    bars = parts.groupBy(*BAR_KEYS).agg(*[c.alias(n) for n, c in _slots(names, slices).items()])
-    cut = _thirds(slices)
-    thirds = [_array_sum("_absorb", c) / F.lit(float(max(len(c), 1))) for c in cut]
-    best = F.greatest(*thirds)
-    flat = (F.abs(thirds[1] - thirds[0]) <= 1e-6 + 1e-5 * F.abs(thirds[0])) & (F.abs(thirds[2] - thirds[0]) <= 1e-6 + 1e-5 * F.abs(thirds[0]))
-    k = max(1, slices // 3)
-    early, late = _array_sum("_cvd_d", range(k)), _array_sum("_cvd_d", range(slices - k, slices))
-    peak = F.array_max("_spoof")
-    return bars.select(
-        *BAR_KEYS,
-        peak.alias("spoof_peak_slice"),
-        F.when((_mean("_spoof", slices) > 1e-9) & (peak >= 2 * _mean("_spoof", slices)), 1).otherwise(0).alias("spoof_burst_flag"),
-        F.array_max("_cancel").alias("cancel_burst"),
-        _variation("_absorb", slices).alias("absorption_speed"),
-        F.array_max("_absorb").alias("absorption_slice_max"),
-        F.when(flat, "uniform").when(thirds[0] == best, "early").when(thirds[1] == best, "mid").otherwise("late").alias("pressure_phase"),
-        (F.greatest(F.abs(F.array_max("_cvd_d")), F.abs(F.array_min("_cvd_d"))) / F.lit(freq_seconds / slices)).alias("cvd_velocity_max"),
-        _agreement("_cvd_d", slices).alias("cvd_direction_pct"),
-        ((early - late) / (F.abs(early) + F.abs(late) + 1e-9)).alias("cvd_early_vs_late"),
-        F.array_max("_ofi").alias("ofi_peak_slice"),
-        _variation("_size_m", slices).alias("size_dispersion"),
+    of, cut, k = _Slices(slices), _thirds(slices), max(1, slices // 3)
+    bars = parts.groupBy(*BAR_KEYS).agg(
+        of.top("spoof").alias("spoof_peak_slice"),
+        of.mean("spoof").alias("_spoof"),
+        of.top("cancel").alias("cancel_burst"),
+        of.variation("absorb").alias("absorption_speed"),
+        of.top("absorb").alias("absorption_slice_max"),
+        *[(of.part("absorb", c.start, c.stop) / F.lit(float(max(len(c), 1)))).alias(f"_t{i}") for i, c in enumerate(cut)],
+        (F.max(F.abs("cvd_d")) / F.lit(freq_seconds / slices)).alias("cvd_velocity_max"),
+        of.agreement("cvd_d").alias("cvd_direction_pct"),
+        of.part("cvd_d", 0, k).alias("_early"),
+        of.part("cvd_d", slices - k, slices).alias("_late"),
+        of.top("ofi").alias("ofi_peak_slice"),
+        of.variation("size_m").alias("size_dispersion"),
     )
+    t0, t1, t2 = (F.col(f"_t{i}") for i in range(3))
+    near = lambda a: F.abs(a - t0) <= 1e-6 + 1e-5 * F.abs(t0)
+    best = F.greatest(t0, t1, t2)
+    burst = (F.col("_spoof") > 1e-9) & (F.col("spoof_peak_slice") >= 2 * F.col("_spoof"))
+    return bars.withColumns(
+        {
+            "spoof_burst_flag": burst.cast("int"),
+            "pressure_phase": F.when(near(t1) & near(t2), "uniform").when(t0 == best, "early").when(t1 == best, "mid").otherwise("late"),
+            "cvd_early_vs_late": (F.col("_early") - F.col("_late")) / (F.abs("_early") + F.abs("_late") + 1e-9),
+        }
+    ).drop("_spoof", "_t0", "_t1", "_t2", "_early", "_late")
 
 
 def _thirds(slices: int) -> list[range]:
@@ -318,36 +317,27 @@ def intrabar_book(snapshots: DataFrame, freq_seconds: int, slices: int = 12) ->
         F.coalesce(F.regr_slope("ad", "_pos"), F.lit(0.0)).alias("asl"),
         change.alias("chg"),
     )
-    names = ["sp", "im", "bdm", "adm", "mp", "bwm", "awm"]
+    of, both = _Slices(slices), F.col("bdm") + F.col("adm")
     bars = parts.groupBy(*BAR_KEYS).agg(
-        *[c.alias(n) for n, c in _slots(names, slices).items()],
-        F.max(F.col("bdm") + F.col("adm")).alias("_dsum"),
-        (F.sum(F.col("bdm") + F.col("adm")) / F.lit(float(slices))).alias("_dmean"),
-        F.max_by("im", F.struct(F.abs("im"), -F.col("slice"))).alias("_peak"),
+        of.top("sp").alias("mbp_spread_max"),
+        of.mean("sp").alias("mbp_spread_mean"),
+        of.std("sp").alias("mbp_spread_std"),
+        of.top("bdm").alias("mbp_depth_bid_max"),
+        of.top("adm").alias("mbp_depth_ask_max"),
+        F.max(both).alias("mbp_depth_sum_max"),
+        (F.sum(both) / F.lit(float(slices))).alias("_depth"),
+        F.max_by("im", F.struct(F.abs("im"), -F.col("slice"))).alias("mbp_imbalance_signed_peak"),
+        of.mean("im").alias("mbp_imbalance_mean"),
+        of.agreement("im").alias("mbp_imbalance_direction_pct"),
+        of.top("mp").alias("mbp_microprice_dev_max"),
+        of.top("bwm").alias("mbp_wall_bid_peak"),
+        of.top("awm").alias("mbp_wall_ask_peak"),
         F.avg("bsl").alias("mbp_bid_slope_intrabar"),
         F.avg("asl").alias("mbp_ask_slope_intrabar"),
         F.avg("chg").alias("mbp_depth_accel"),
     )
-    return bars.select(
-        *BAR_KEYS,
-        F.array_max("_sp").alias("mbp_spread_max"),
-        _mean("_sp", slices).alias("mbp_spread_mean"),
-        _std("_sp", slices).alias("mbp_spread_std"),
-        F.array_max("_bdm").alias("mbp_depth_bid_max"),
-        F.array_max("_adm").alias("mbp_depth_ask_max"),
-        F.col("_dsum").alias("mbp_depth_sum_max"),
-        F.when((F.col("_dmean") > 1e-9) & (F.col("_dsum") >= 2 * F.col("_dmean")), 1).otherwise(0).alias("mbp_depth_shock_flag"),
-        F.abs("_peak").alias("mbp_imbalance_peak"),
-        F.col("_peak").alias("mbp_imbalance_signed_peak"),
-        _mean("_im", slices).alias("mbp_imbalance_mean"),
-        _agreement("_im", slices).alias("mbp_imbalance_direction_pct"),
-        F.array_max("_mp").alias("mbp_microprice_dev_max"),
-        F.array_max("_bwm").alias("mbp_wall_bid_peak"),
-        F.array_max("_awm").alias("mbp_wall_ask_peak"),
-        "mbp_bid_slope_intrabar",
-        "mbp_ask_slope_intrabar",
-        "mbp_depth_accel",
-    )
+    shock = (F.col("_depth") > 1e-9) & (F.col("mbp_depth_sum_max") >= 2 * F.col("_depth"))
+    return bars.withColumns({"mbp_imbalance_peak": F.abs("mbp_imbalance_signed_peak"), "mbp_depth_shock_flag": shock.cast("int")}).drop("_depth")
 
 
 def book_coverage(bars: DataFrame, snapshots: DataFrame, freq_seconds: int, expected_seconds: float = 0.5) -> DataFrame:

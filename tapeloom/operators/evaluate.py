@@ -191,6 +191,22 @@ def auc(df: DataFrame, value: str, positive: Column, keys: Sequence[str] = ()) -
     return c.groupBy(*keys).agg(F.sum("_n").alias("rows"), F.try_divide(wins, (F.sum("_p") * F.sum("_q")).cast("double")).alias("auc"))
 
 
+def binary_ranks(df: DataFrame, value: str, positive: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """AUC and rank correlation with a yes/no target, both from counts per distinct value."""
+    c = value_counts(df, value, positive, keys)
+    below = F.coalesce("_below_n", F.lit(0))
+    c = c.withColumn("_r", below + (F.col("_n") + 1) / 2.0)
+    s = c.groupBy(*keys).agg(
+        F.sum("_n").alias("rows"), F.sum("_p").alias("_P"), F.sum("_q").alias("_Q"), F.sum(F.col("_p") * (F.coalesce("_below_q", F.lit(0)) + F.col("_q") * 0.5)).alias("_wins"),
+        F.sum(F.col("_n") * F.col("_r")).alias("_s"), F.sum(F.col("_n") * F.col("_r") * F.col("_r")).alias("_ss"), F.sum(F.col("_p") * F.col("_r")).alias("_sp"),
+    )
+    n, share = F.col("rows"), F.col("_P") / F.col("rows")
+    mean = F.col("_s") / n
+    spread = (F.col("_ss") / n - mean * mean) * share * (1 - share)
+    rho = F.when(spread > 1e-12, (F.col("_sp") / n - mean * share) / F.sqrt(spread))
+    return s.select(*keys, "rows", F.try_divide(F.col("_wins"), (F.col("_P") * F.col("_Q")).cast("double")).alias("auc"), rho.alias("rho"))
+
+
 def average_ranks(df: DataFrame, column: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: its average rank."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.sum("_w").alias("_n"))
@@ -224,12 +240,11 @@ def feature_fold_metrics(split: DataFrame, features: Sequence[str]) -> DataFrame
     """
     rows = long_form(split.filter(F.col("bias_label") != NEUTRAL), features, ["fold", "role", "bias_label"])
     keys = ["fold", "feature"]
-    long = F.col("bias_label") == LONG
-    both = auc(rows, "value", long, [*keys, "role"])
-    train = both.filter("role = 'train'").select(*keys, F.col("auc").alias("train_auc_long"), F.col("rows").alias("train_rows"))
-    test = both.filter("role = 'test'").select(*keys, F.col("auc").alias("auc_long"), F.col("rows").alias("test_rows"))
-    ic = spearman(rows.filter("role = 'test'").withColumn("_s", F.when(long, 1.0).otherwise(-1.0)), "value", "_s", keys)
-    out = test.join(train, keys, "left").join(ic.select(*keys, F.col("rho").alias("ic")), keys, "left")
+    both = binary_ranks(rows, "value", F.col("bias_label") == LONG, [*keys, "role"])
+    pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
+    out = both.groupBy(*keys).agg(
+        pick("test", "auc").alias("auc_long"), pick("test", "rows").alias("test_rows"), pick("train", "auc").alias("train_auc_long"), pick("train", "rows").alias("train_rows"), pick("test", "rho").alias("ic")
+    )
     signed = F.when(F.col("train_auc_long") >= 0.5, F.col("auc_long")).when(F.col("train_auc_long").isNotNull(), 1 - F.col("auc_long"))
     return out.withColumns({"auc_edge": F.greatest("auc_long", 1 - F.col("auc_long")), "train_signed_auc": signed, "signal_side": F.when(F.col("auc_long") >= 0.5, "long").otherwise("short")})
 

@@ -11,36 +11,38 @@ from tapeloom.functions.trading import STRUCTURES, entropy, normalised
 REGIMES = 4
 
 
-def _weighted(value: Column, weight: Column, where: Column) -> Column:
-    """Weighted mean over the rows where it holds, plain mean where the weights sum to 0."""
-    w = F.sum(F.when(where, weight))
-    plain = F.avg(F.when(where, value))
-    return F.coalesce(F.when(w > 1e-12, F.sum(F.when(where, value * weight)) / w), plain, F.lit(0.0))
-
-
 def side_stats(rows: DataFrame, cost: float) -> DataFrame:
     """Statistics of longs and shorts globally, by structure and by structure and regime.
 
     Needs structure, regime, bias_label, move (in ticks, unsigned), covered, prob_long, prob_short.
-    All three levels come from one pass; a level's absent keys are null.
+    The rows shrink to sums per (structure, regime); the coarser levels, whose absent keys are
+    null, come from those.
     """
-    sides = F.array(
-        F.struct(F.lit("LONG").alias("side"), F.lit(LONG).alias("won"), F.col("prob_long").alias("p")),
-        F.struct(F.lit("SHORT").alias("side"), F.lit(SHORT).alias("won"), F.col("prob_short").alias("p")),
-    )
-    rows = rows.withColumn("_s", F.explode(sides)).select("structure", "regime", "bias_label", "move", "covered", "_s.*")
-    p, label = clip(F.col("p"), 0, 1), F.col("bias_label")
-    win, loss = label == F.col("won"), label == (F.lit(1) - F.col("won"))
+    move, label = F.col("move"), F.col("bias_label")
+
+    def sums(p: Column, won: int) -> list[Column]:
+        p = clip(p, 0, 1)
+        out = [F.count(F.lit(1)).alias("n"), F.sum(F.col("covered").cast("double")).alias("covered"), F.sum(p).alias("p")]
+        for name, hit in (("win", label == won), ("loss", label == 1 - won)):
+            out += [F.sum(hit.cast("int")).alias(f"{name}_n"), F.sum(F.when(hit, p).otherwise(0.0)).alias(f"{name}_p"), F.sum(F.when(hit, move * p).otherwise(0.0)).alias(f"{name}_pm"), F.sum(F.when(hit, move).otherwise(0.0)).alias(f"{name}_m")]
+        return out
+
+    fine = rows.groupBy("structure", "regime").agg(F.struct(*sums(F.col("prob_long"), LONG)).alias("LONG"), F.struct(*sums(F.col("prob_short"), SHORT)).alias("SHORT"))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("LONG", "SHORT")])
+    fine = fine.select("structure", "regime", F.explode(sides).alias("s")).select("structure", "regime", "s.side", "s.v.*")
+    parts = ["n", "covered", "p", *[f"{a}_{b}" for a in ("win", "loss") for b in ("n", "p", "pm", "m")]]
     sets = [[F.col("side")], [F.col("side"), F.col("structure")], [F.col("side"), F.col("structure"), F.col("regime")]]
-    base = max(cost, 1.0)
-    out = rows.groupingSets(sets, F.col("side"), F.col("structure"), F.col("regime")).agg(
-        F.count(F.lit(1)).alias("support"),
-        F.sum(win.cast("int")).alias("win_support"),
-        F.sum(loss.cast("int")).alias("loss_support"),
-        F.avg(F.col("covered").cast("double")).alias("coverage_ratio"),
-        F.greatest(_weighted(F.col("move"), p, win), F.lit(base)).alias("avg_win"),
-        F.greatest(_weighted(F.col("move"), p, loss), F.lit(base)).alias("avg_loss"),
-        _weighted(win.cast("double"), p, F.lit(True)).alias("realized_prior"),
+    out = fine.groupingSets(sets, F.col("side"), F.col("structure"), F.col("regime")).agg(*[F.sum(c).alias(c) for c in parts])
+    base = F.lit(max(cost, 1.0))
+
+    def size(kind: str) -> Column:  # weighted mean, plain where the weights sum to 0
+        weighted = F.when(F.col(f"{kind}_p") > 1e-12, F.col(f"{kind}_pm") / F.col(f"{kind}_p"))
+        return F.greatest(F.coalesce(weighted, F.try_divide(F.col(f"{kind}_m"), F.col(f"{kind}_n")), F.lit(0.0)), base)
+
+    prior = F.coalesce(F.when(F.col("p") > 1e-12, F.col("win_p") / F.col("p")), F.col("win_n") / F.col("n"))
+    out = out.select(
+        "side", "structure", "regime", F.col("n").alias("support"), F.col("win_n").alias("win_support"), F.col("loss_n").alias("loss_support"), (F.col("covered") / F.col("n")).alias("coverage_ratio"),
+        size("win").alias("avg_win"), size("loss").alias("avg_loss"), prior.alias("realized_prior"),
     )
     threshold = (F.col("avg_loss") + cost) / F.greatest(F.col("avg_win") + F.col("avg_loss") + cost, F.lit(1e-8))
     return out.withColumn("threshold", clip(threshold, 0, 1))
@@ -49,19 +51,23 @@ def side_stats(rows: DataFrame, cost: float) -> DataFrame:
 def _resolved(policy: DataFrame, least: int) -> DataFrame:
     """Per structure and side the values for each regime, from the finest level with enough support.
 
-    A table of at most structures times regimes times two rows.
+    The policy is one row here: a map of at most structures times regimes times two entries and
+    their totals. The result has one row per structure.
     """
     names = ["avg_win", "avg_loss", "threshold"]
-    pack = F.struct("support", *names)
-    whole = policy.filter("structure is null").select("side", pack.alias("g"))
-    bucket = policy.filter("structure is not null and regime is null").select("side", "structure", pack.alias("b"))
-    fine = policy.filter("regime is not null").select("side", "structure", "regime", pack.alias("r"))
-    grid = policy.sparkSession.createDataFrame([(s, r) for s in STRUCTURES for r in range(REGIMES)], "structure string, regime int")
-    out = grid.join(F.broadcast(whole)).join(F.broadcast(bucket), ["side", "structure"], "left").join(F.broadcast(fine), ["side", "structure", "regime"], "left")
-    enough = lambda c: F.coalesce(F.col(f"{c}.support") >= least, F.lit(False))
-    best = F.when(enough("r"), F.col("r")).when(enough("b"), F.col("b")).otherwise(F.col("g"))
-    rows = out.groupBy("structure", "side").agg(F.array_sort(F.collect_list(F.struct("regime", best.alias("v")))).alias("v"))
-    return rows.groupBy("structure").agg(*[F.max(F.when(F.col("side") == s, F.col("v"))).alias(f"_{s}") for s in ("LONG", "SHORT")])
+    key = lambda side, structure, regime: F.concat_ws("|", side, structure, regime)
+    whole = F.lit("*")
+    entry = F.struct(key(F.col("side"), F.coalesce("structure", whole), F.coalesce(F.col("regime").cast("string"), whole)).alias("k"), F.struct("support", *names).alias("v"))
+    packed = policy.agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
+    grid = [(s, r, side) for s in STRUCTURES for r in range(REGIMES) for side in ("LONG", "SHORT")]
+    out = policy.sparkSession.createDataFrame(grid, "structure string, regime int, side string").crossJoin(F.broadcast(packed))
+    at = lambda structure, regime: F.try_element_at("_m", key(F.col("side"), structure, regime))
+    levels = [at(F.col("structure"), F.col("regime").cast("string")), at(F.col("structure"), whole)]
+    best = at(whole, whole)
+    for level in reversed(levels):
+        best = F.when(F.coalesce(level["support"] >= least, F.lit(False)), level).otherwise(best)
+    value = [F.max(F.when((F.col("side") == s) & (F.col("regime") == r), best[n])).alias(f"_{s}_{n}_{r}") for s in ("LONG", "SHORT") for n in names for r in range(REGIMES)]
+    return out.groupBy("structure").agg(*value)
 
 
 def decide(rows: DataFrame, policy: DataFrame, priors: DataFrame, cost: float, coverage: float = 1.0, min_coverage: float = 0.05, least: int = 40, need_positive: bool = True) -> DataFrame:
@@ -74,13 +80,14 @@ def decide(rows: DataFrame, policy: DataFrame, priors: DataFrame, cost: float, c
     out = out.withColumn("_raw", normalised(F.col("regime_probs"))).withColumn("regime_entropy", entropy(F.col("_raw")))
     blend = clip((F.col("regime_entropy") - 0.70) / 0.25, 0, 1)
     out = out.withColumn("_blend", blend)
-    mixed = F.zip_with("_raw", normalised(F.col("regime_priors")), lambda a, b: (1 - F.col("_blend")) * a + F.col("_blend") * b)
-    out = out.withColumn("_mix", normalised(mixed))
+    prior = normalised(F.col("regime_priors"))
+    mixed = [(1 - F.col("_blend")) * F.get("_raw", r) + F.col("_blend") * F.get(prior, r) for r in range(REGIMES)]
+    out = out.withColumn("_mixed", F.array(*mixed)).withColumn("_mix", normalised(F.col("_mixed")))
 
     def value(side: str, name: str) -> Column:
         total = F.lit(0.0)
         for r in range(REGIMES):
-            total = total + F.get("_mix", r) * F.get(f"_{side}", r)["v"][name]
+            total = total + F.get("_mix", r) * F.col(f"_{side}_{name}_{r}")
         return total
 
     pl, ps = clip(F.col("prob_long"), 0, 1), clip(F.col("prob_short"), 0, 1)
@@ -115,7 +122,7 @@ def decide(rows: DataFrame, policy: DataFrame, priors: DataFrame, cost: float, c
             "sizing_penalty": clip((1 - clip(F.col("uncertainty"), 0, 1)) * (1 - F.col("regime_entropy")) * runtime, 0, 1),
         }
     )
-    return out.drop("_raw", "_blend", "_mix", "_LONG", "_SHORT", "regime_priors")
+    return out.drop("regime_priors", *[c for c in out.columns if c in ("_raw", "_blend", "_mixed", "_mix") or c.startswith(("_LONG_", "_SHORT_"))])
 
 
 def regime_priors(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import copy
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -44,13 +44,22 @@ def fold(df: DataFrame, machine: Machine, *, keys: Sequence[str] = KEYS, order:
     Only the machine's columns, keys and order travel through Python; select what you need first.
     """
     if fits(df, keys):
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(list(order), kind="stable")
-            results, _ = run(machine, copy.deepcopy(machine.start), _columns(pdf, machine))
-            return _frame(pdf, machine, results)
-
-        return df.groupBy(*keys).applyInPandas(whole, schema=_schema(df, machine))
+        key_names, step = list(keys), machine.step
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            key, state = None, None
+            for pdf in batches:
+                results = []
+                owners = list(zip(*[pdf[k].tolist() for k in key_names]))
+                for owner, *values in zip(owners, *_columns(pdf, machine)):
+                    if owner != key:
+                        key, state = owner, copy.deepcopy(machine.start)
+                    result, state = step(state, *values)
+                    results.append(result)
+                yield _frame(pdf, machine, results)
+
+        rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)  # a key's rows follow each other in one task
+        return rows.mapInPandas(walk, schema=_schema(df, machine))
     return _fold_blocks(df, machine, list(keys), list(order))
 
 

@@ -312,16 +312,15 @@ def past_windows(spark, sf_dir):
 
 @query(
     "w54_book_scan_features",
-    f"""SELECT a.symbol, a.ts_event, a.sequence, t.order_book_imbalance, t.microprice, a.bid_wall_strength, a.ask_wall_strength, a.distance_to_wall, a.gap_size, d.liquidity_density FROM ({ORACLES['f9_f10_walls_and_gaps']}) a
-JOIN ({ORACLES['f1_f5_top_of_book']}) t USING (sequence) JOIN ({ORACLES['f7_f8_w50_density_gap_scores']}) d USING (sequence)""",
-    "order_book_imbalance microprice bid_wall_strength ask_wall_strength distance_to_wall gap_size liquidity_density",
-    digits=5,
+    f"""SELECT a.symbol, a.ts_event, a.sequence, a.bid_wall_strength, a.ask_wall_strength, a.distance_to_wall, a.gap_size, d.liquidity_density FROM ({ORACLES['f9_f10_walls_and_gaps']}) a
+JOIN ({ORACLES['f7_f8_w50_density_gap_scores']}) d USING (sequence)""",
+    "bid_wall_strength ask_wall_strength distance_to_wall gap_size liquidity_density",
 )
 def book_scan(spark, sf_dir):
     from tapeloom.functions import book as B
 
-    rows = S.wall_features(S.top_of_book(V.book(spark, sf_dir)), 0.008, multiple=1.5).withColumn("liquidity_density", B.density(0.008))
-    return rows.select(*KEY, "order_book_imbalance", "microprice", "bid_wall_strength", "ask_wall_strength", "distance_to_wall", "gap_size", "liquidity_density")
+    rows = S.wall_features(V.book(spark, sf_dir), 0.008, multiple=1.5).withColumn("liquidity_density", B.density(0.008))
+    return rows.select(*KEY, "bid_wall_strength", "ask_wall_strength", "distance_to_wall", "gap_size", "liquidity_density")
 
 
 # ------------------------------------------------------------------------------------ signals
@@ -408,7 +407,7 @@ DATASET_COLS = "cvd obi micro_atr trend_strength kyle_lambda"
     "dataset_rows",
     f"""SELECT a.symbol, a.ts_event, a.sequence, {', '.join('a.' + c for c in DATASET_COLS.split())}, a.micro_atr > 0 AS has_volatility FROM ({ORACLES['f28_p25_compat_features']}) a""",
     DATASET_COLS,
-    digits=5,
+    digits=7,
 )
 def dataset_rows(spark, sf_dir):
     rows = labelled_rows(spark, sf_dir)

@@ -36,15 +36,16 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_of(t: DataFrame) -> DataFrame:
-    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    step, seq = F.lit(0.01), F.col("sequence")
+    levels = range(LEVELS)
     return t.filter("action <> 'T'").select(
         "symbol",
         "ts_event",
         "sequence",
-        F.transform(levels, lambda i: F.col("price") - F.lit(0.01) * (i + 1)).alias("bid_px"),
-        F.transform(levels, lambda i: F.col("price") + F.lit(0.01) * (i + 1)).alias("ask_px"),
-        F.transform(levels, lambda i: ((F.col("sequence") * 7 + i * 13) % 50 + 1).cast("double")).alias("bid_sz"),
-        F.transform(levels, lambda i: ((F.col("sequence") * 11 + i * 17) % 50 + 1).cast("double")).alias("ask_sz"),
+        F.array(*[F.col("price") - step * (i + 1) for i in levels]).alias("bid_px"),
+        F.array(*[F.col("price") + step * (i + 1) for i in levels]).alias("ask_px"),
+        F.array(*[((seq * 7 + i * 13) % 50 + 1).cast("double") for i in levels]).alias("bid_sz"),
+        F.array(*[((seq * 11 + i * 17) % 50 + 1).cast("double") for i in levels]).alias("ask_sz"),
     )
 
 
