@@ -206,9 +206,6 @@ class _Slices:
     def top(self, c: str) -> Column:
         return F.greatest(F.max(c), F.when(self.missing > 0, 0.0))
 
-    def bottom(self, c: str) -> Column:
-        return F.least(F.min(c), F.when(self.missing > 0, 0.0))
-
     def mean(self, c: str) -> Column:
         return F.sum(c) / F.lit(float(self.n))
 
