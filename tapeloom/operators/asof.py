@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import is_buy, is_sell, is_trade
-from tapeloom.operators.ordered import KEYS, exact_quantiles, running
+from tapeloom.operators.ordered import KEYS, beside, exact_quantiles, running
 
 
 def asof(
@@ -105,7 +105,7 @@ def age_report(aligned: DataFrame, match_ts: str = "mbo_state_ts") -> DataFrame:
         *[c.alias(n) for n, c in over.items()],
     )
     q = exact_quantiles(rows, {"_q": "age"}, [0.5, 0.9, 0.95, 0.99])
-    out = stats.crossJoin(F.broadcast(q))  # one row each
+    out = stats.transform(beside, q)  # one row each
     names = ["age_median", "age_p90", "age_p95", "age_p99"]
     out = out.withColumns({n: F.get("_q", i) for i, n in enumerate(names)}).drop("_q")
     out = out.withColumn("match_rate", F.col("matched_rows") / F.greatest("rows", F.lit(1)))

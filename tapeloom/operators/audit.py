@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import exact_quantiles, windowed
+from tapeloom.operators.ordered import beside, exact_quantiles, windowed
 
 
 def _one(c: Column) -> Column:
@@ -65,7 +65,7 @@ def validate_market(df: DataFrame, tick: float) -> DataFrame:
             "very_wide_spread_gt_20_ticks": ("medium", valid & ((ask - bid) / tick > 20)),
         }
     counts = df.agg(*[_one(c).alias(code) for code, (_, c) in checks.items()])
-    flat = counts.crossJoin(F.broadcast(order)).crossJoin(F.broadcast(copies))  # one row each
+    flat = counts.transform(beside, order).transform(beside, copies)  # one row each
     entry = lambda code, severity, n: F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), n.alias("rows"))
     issues = [entry(code, sev, F.col(code)) for code, (sev, _) in checks.items()]
     issues += [entry("ts_event_not_monotonic", "critical", F.col("back")), entry("duplicate_ts_event", "medium", F.col("dup"))]
@@ -102,7 +102,7 @@ def spread_stats(books: DataFrame) -> DataFrame:
     gap = books.select((F.get("ask_px", 0) - F.get("bid_px", 0)).alias("spread"))
     stats = gap.agg(F.count("spread").alias("rows"), F.min("spread").alias("spread_min"), F.avg("spread").alias("spread_mean"), F.max("spread").alias("spread_max"))
     q = exact_quantiles(gap, {"_q": "spread"}, [0.5, 0.95])
-    return stats.crossJoin(F.broadcast(q)).withColumns({"spread_median": F.get("_q", 0), "spread_p95": F.get("_q", 1)}).drop("_q")  # one row each
+    return stats.transform(beside, q).withColumns({"spread_median": F.get("_q", 0), "spread_p95": F.get("_q", 1)}).drop("_q")  # one row each
 
 
 def largest_gaps(df: DataFrame, top: int) -> DataFrame:
@@ -124,7 +124,7 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     """Rows, distinct symbols and order ids, and rows that repeat a (symbol, time)."""
     copies = df.groupBy("symbol", "ts_event").agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.col("_n") - 1).alias("repeated_keys"))
     stats = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("symbol").alias("symbols"), F.count_distinct("order_id").alias("order_ids"))
-    return stats.crossJoin(F.broadcast(copies))  # one row each
+    return stats.transform(beside, copies)  # one row each
 
 
 def coverage_stats(df: DataFrame, column: str, low: float) -> DataFrame:
@@ -132,7 +132,7 @@ def coverage_stats(df: DataFrame, column: str, low: float) -> DataFrame:
     value = df.select(F.coalesce(F.col(column).cast("double"), F.lit(0.0)).alias("v"))
     stats = value.agg(F.avg("v").alias("mean"), F.avg((F.col("v") < low).cast("double")).alias("low_ratio"))
     q = exact_quantiles(value, {"_q": "v"}, [0.25, 0.5, 0.75])
-    return stats.crossJoin(F.broadcast(q)).select("mean", F.get("_q", 1).alias("median"), F.get("_q", 0).alias("p25"), F.get("_q", 2).alias("p75"), "low_ratio")  # one row each
+    return stats.transform(beside, q).select("mean", F.get("_q", 1).alias("median"), F.get("_q", 0).alias("p25"), F.get("_q", 2).alias("p75"), "low_ratio")  # one row each
 
 
 def compare_feeds(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import UNKNOWN_TEXT, is_trade
-from tapeloom.operators.ordered import KEYS, ORDER, exact_quantiles, numbered, running, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, beside, exact_quantiles, numbered, running, windowed
 
 # Text that stands for a missing entry.
 UNKNOWN = [*UNKNOWN_TEXT, "NULL", "<NA>", "UNKNOWN"]
@@ -130,7 +130,7 @@ def drop_exact_duplicates(df: DataFrame, order: str = "ingest") -> DataFrame:
 def drop_price_outliers(df: DataFrame, max_ratio: float = 5.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Keep prices within the median divided and multiplied by ``max_ratio``."""
     middle = exact_quantiles(df.filter("price > 0"), {"_q": "price"}, [0.5], keys=keys).withColumn("_m", F.get("_q", 0)).drop("_q")
-    out = df.join(middle, list(keys)) if keys else df.crossJoin(F.broadcast(middle))  # one row without keys
+    out = df.join(middle, list(keys)) if keys else df.transform(beside, middle)  # one row without keys
     return out.filter(F.col("price").between(F.col("_m") / max_ratio, F.col("_m") * max_ratio)).drop("_m")
 
 
@@ -292,12 +292,12 @@ def front_contract(df: DataFrame, month_code: str, year: int, prefer_year: bool
 def overlap_bounds(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the time range both feeds cover."""
     span = lambda df, p: df.agg(F.min("ts_event").alias(f"{p}0"), F.max("ts_event").alias(f"{p}1"))
-    both = span(a, "a").crossJoin(F.broadcast(span(b, "b")))  # one row each
+    both = span(a, "a").transform(beside, span(b, "b"))  # one row each
     return both.select(F.greatest("a0", "b0").alias("start"), F.least("a1", "b1").alias("end"))
 
 
 def trim_to_overlap(df: DataFrame, bounds: DataFrame) -> DataFrame:
-    out = df.crossJoin(F.broadcast(bounds))  # one row
+    out = df.transform(beside, bounds)  # one row
     return out.filter(F.col("ts_event").between(F.col("start"), F.col("end"))).drop("start", "end")
 
 
@@ -312,7 +312,7 @@ def training_view(df: DataFrame, coverage: float = 0.30) -> DataFrame:
         F.max(((F.col("train_event_flag") == 1) & directional).cast("int")).alias("_train"),
         F.max(((F.col("event_flag") == 1) & directional).cast("int")).alias("_event"),
     )
-    out = rows.crossJoin(F.broadcast(found))  # one row
+    out = rows.transform(beside, found)  # one row
     keep = F.when(F.col("_train") == 1, F.col("train_event_flag") == 1).when(F.col("_event") == 1, F.col("event_flag") == 1).otherwise(True)
     return out.filter(directional & keep).drop("_train", "_event")
 
@@ -324,7 +324,7 @@ def handle_rare(df: DataFrame, label: str, least: int, strategy: str = "auto") -
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = counts.agg(F.count(F.lit(1)).alias("_classes"), F.max_by(label, F.struct("_n", -F.col(label))).alias("_major"))
-    table = counts.crossJoin(F.broadcast(whole))  # one row
+    table = counts.transform(beside, whole)  # one row
     out = df.join(table, label, "left")
     rare = F.col("_n") < least
     drop = F.lit(strategy == "drop") | (F.lit(strategy == "auto") & (F.col("_classes") > 2))
@@ -376,7 +376,7 @@ def ensure_price(df: DataFrame) -> DataFrame:
     if "price" not in df.columns:
         return df.withColumn("price", F.col("close").cast("double"))
     top = df.agg(F.max(F.abs(F.nanvl(F.col("price").cast("double"), F.lit(0.0)))).alias("_top"))
-    out = df.crossJoin(F.broadcast(top))  # one row
+    out = df.transform(beside, top)  # one row
     return out.withColumn("price", F.when(F.coalesce("_top", F.lit(0.0)) < 1e-12, F.col("close")).otherwise(F.col("price"))).drop("_top")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
-from tapeloom.operators.ordered import exact_quantiles, running, windowed
+from tapeloom.operators.ordered import beside, exact_quantiles, running, windowed
 
 
 def one(c: Column) -> Column:
@@ -70,7 +70,7 @@ def slice_stats(df: DataFrame, columns: Sequence[str] = ("label_horizon_steps",
     rows = df.withColumn("slice", F.explode(names))
     total = df.agg(F.count(F.lit(1)).alias("_all"))
     stats = rows.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), *[one(F.col("bias_label") == v).alias(n) for n, v in (("long", LONG), ("short", SHORT), ("neutral", NEUTRAL))])
-    stats = stats.crossJoin(F.broadcast(total)).withColumn("row_share", F.col("rows") / F.col("_all")).drop("_all")  # one row
+    stats = stats.transform(beside, total).withColumn("row_share", F.col("rows") / F.col("_all")).drop("_all")  # one row
     q = exact_quantiles(rows, {f"_{c}": c for c in columns}, [0.5, 0.95], keys=["slice"])
     out = stats.join(q, "slice")
     return out.withColumns({f"{c}_{p}": F.get(f"_{c}", i) for c in columns for i, p in enumerate(("p50", "p95"))}).drop(*[f"_{c}" for c in columns])
@@ -371,7 +371,7 @@ def fit_scaler(df: DataFrame, features: Sequence[str], min_iqr: float = 1e-3, cl
 def apply_scaler(df: DataFrame, params: DataFrame, features: Sequence[str], min_iqr: float = 1e-3, bound: float = 10.0, passthrough: Sequence[str] = ()) -> DataFrame:
     """Scale features by the fitted parameters, which travel as one row of structs."""
     packed = params.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("kind", "median", "iqr", "min", "max")))).alias("_p"))  # one row per feature
-    out = df.crossJoin(F.broadcast(packed))
+    out = df.transform(beside, packed)
     for f in features:
         p, v = F.try_element_at("_p", F.lit(f)), F.coalesce(F.col(f).cast("double"), F.lit(0.0))
         robust = (v - p["median"]) / F.greatest(p["iqr"], F.lit(min_iqr))
@@ -433,13 +433,13 @@ def threshold_sweep(df: DataFrame, prob: str = "prob_long") -> DataFrame:
     t, g = F.col("_long"), F.col("_guess")
     out = rows.groupBy("threshold").agg(((f1(t, g) + f1(~t, ~g)) / 2).alias("macro_f1"), (s(t == g) / F.sum("_n")).alias("accuracy"))
     best = out.agg(F.max_by("threshold", F.struct("macro_f1", -F.col("threshold"))).alias("_best"))
-    return out.crossJoin(F.broadcast(best)).withColumn("best", F.col("threshold") == F.col("_best")).drop("_best")  # one row
+    return out.transform(beside, best).withColumn("best", F.col("threshold") == F.col("_best")).drop("_best")  # one row
 
 
 def overfit_probability(df: DataFrame, train: str, test: str) -> DataFrame:
     """One row: 1 when the best training score ranks below the middle of the test scores, else 0; 0.5 under 3 rows."""
     best = df.agg(F.max_by(test, F.struct(F.col(train), -F.col("trial"))).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    rows = df.crossJoin(F.broadcast(best))  # one row
+    rows = df.transform(beside, best)  # one row
     rank = F.sum(F.when(F.col(test) < F.col("_best"), 1.0).when(F.col(test) == F.col("_best"), 0.5).otherwise(0.0)) + 0.5
     out = rows.agg(rank.alias("_rank"), F.first("_n").alias("trials"))
     omega = F.col("_rank") / (F.col("trials") + 1)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
-from tapeloom.operators.ordered import KEYS, ORDER, exact_quantiles, fits, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, beside, exact_quantiles, fits, windowed
 from tapeloom.operators.orderstat import prefix_quantile
 
 # Outcomes of a path.
@@ -184,7 +184,7 @@ def rule_summary(df: DataFrame, rule: BarrierRule, name: str, price: str = "mid_
         F.avg("tradeability_label").alias("event_share"),
     )
     q = exact_quantiles(rows, {"_uq": "_u", "_lq": "_l"}, [0.5, 0.95])
-    out = stats.crossJoin(F.broadcast(q))  # one row each
+    out = stats.transform(beside, q)  # one row each
     return out.select(F.lit(name).alias("rule"), *[c for c in stats.columns], F.get("_uq", 0).alias("upper_median"), F.get("_uq", 1).alias("upper_p95"), F.get("_lq", 0).alias("lower_median"), F.get("_lq", 1).alias("lower_p95"))
 
 
@@ -493,13 +493,13 @@ def ratio_soft_labels(df: DataFrame) -> DataFrame:
     """Soft labels from the event score against its mean over directional rows, with weights."""
     directional = F.col("bias_label") != NEUTRAL
     mean = df.agg(F.avg(F.when(directional, F.col("event_score"))).alias("_mean"))
-    out = df.crossJoin(F.broadcast(mean))  # one row
+    out = df.transform(beside, mean)  # one row
     part = F.col("event_score") / (F.coalesce("_mean", F.lit(0.0)) + 1e-9) * 0.5
     soft = F.when(F.col("bias_label") == LONG, clip(0.5 + part, 0.55, 1.0)).when(F.col("bias_label") == SHORT, clip(0.5 - part, 0.0, 0.45)).otherwise(0.5)
     out = out.withColumn("soft_label", soft).drop("_mean")
     far = F.abs(F.col("soft_label") - 0.5)
     usual = out.agg(F.avg(F.when(directional, far)).alias("_far"))
-    out = out.crossJoin(F.broadcast(usual))  # one row
+    out = out.transform(beside, usual)  # one row
     weight = F.when(~directional, 0.0).when(F.col("_far") <= 1e-9, 1.0).otherwise(clip(far / F.col("_far"), 0.25, 3.0))
     return out.withColumn("weight", weight).drop("_far")
 
@@ -538,7 +538,7 @@ def train_pool(df: DataFrame, strict: bool = True) -> DataFrame:
     if not strict:
         return df.withColumn("train_event_flag", base.cast("int"))
     q = exact_quantiles(df, {"_q": "atr_14"}, [0.5]).select(F.greatest(F.get("_q", 0) * 0.5, F.lit(1e-12)).alias("_floor"))
-    out = df.crossJoin(F.broadcast(q))  # one row
+    out = df.transform(beside, q)  # one row
     keep = base & (F.col("strong_session") == 1) & (F.coalesce("atr_14", F.lit(0.0)) >= F.col("_floor"))
     return out.withColumn("train_event_flag", keep.cast("int")).drop("_floor")
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, clip
 from tapeloom.operators.evaluate import auc, calibration_error, macro_scores, probability_scores
-from tapeloom.operators.ordered import numbered
+from tapeloom.operators.ordered import beside, numbered
 from tapeloom.runtime import frozen
 
 
@@ -96,7 +96,7 @@ def sanity(split: DataFrame, feature_sets: dict[str, Sequence[str]]) -> DataFram
         scored = out_of_fold(split, features).withColumn("guess", F.when(F.col("prob_long") >= 0.5, 0).otherwise(1))
         row = auc(scored, "prob_long", F.col("bias_label") == LONG).select("rows", "auc")
         for extra in (calibration_error(scored).select("ece"), probability_scores(scored, {"model": "prob_long"}).drop("rows"), macro_scores(scored, "bias_label", "guess")):
-            row = row.crossJoin(F.broadcast(extra))  # one row each
+            row = row.transform(beside, extra)  # one row each
         row = row.select(F.lit(name).alias("feature_set"), "*")
         out = row if out is None else out.unionByName(row)
     return out

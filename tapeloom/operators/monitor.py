@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL
 from tapeloom.operators.evaluate import mean_of, one
-from tapeloom.operators.ordered import exact_quantiles
+from tapeloom.operators.ordered import beside, exact_quantiles
 
 # Limits above which a metric raises an alert.
 ALERT_RULES = [
@@ -90,7 +90,7 @@ def summarise(events: DataFrame, keys: list[str], base: dict[str, float] | None
     out = events.groupBy(*keys).agg(*_summary(events, keys))
     latency = events.filter(F.col("event_type").isin(PREDICTIONS))
     q = exact_quantiles(latency, {"_q": "latency_ms"}, [0.5, 0.95, 0.99], keys=keys)
-    out = out.join(q, keys, "left") if keys else out.crossJoin(F.broadcast(q))  # one row each without keys
+    out = out.join(q, keys, "left") if keys else out.transform(beside, q)  # one row each without keys
     out = out.withColumns({f"latency_p{p}": F.coalesce(F.get("_q", i), F.lit(0.0)) for i, p in enumerate((50, 95, 99))}).drop("_q")
     return with_deltas(out, base)
 
@@ -140,7 +140,7 @@ def artifact_check(df: DataFrame, groups: dict[str, list[str]], event_rate: tupl
     copies = df.groupBy("symbol", "bar_ts").agg(F.count(F.lit(1)).alias("_n")).agg(F.sum(F.col("_n") - 1).alias("_dup"))
     empties = {g: sum((F.when((F.count(c) == 0) | (F.max(F.abs(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))) == 0), 1).otherwise(0) for c in cols), F.lit(0)) for g, cols in groups.items()}
     stats = df.agg(mean_of(F.col("is_event") == 1).alias("_rate"), *[c.alias(f"_{g}") for g, c in empties.items()])
-    both = stats.crossJoin(F.broadcast(copies))  # one row each
+    both = stats.transform(beside, copies)  # one row each
     row = lambda n, v, ok: F.struct(F.lit(n).alias("check"), v.cast("double").alias("value"), ok.alias("passed"))
     cells = [row("duplicate_bars", F.col("_dup"), F.col("_dup") == 0), row("event_rate", F.col("_rate"), F.col("_rate").between(*event_rate))]
     cells += [row(f"empty_columns_{g}", F.col(f"_{g}"), F.col(f"_{g}") == 0) for g in groups]

@@ -26,6 +26,12 @@ KEYS = ("symbol",)
 ORDER = ("ts_event", "sequence")
 
 
+def beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Put the columns of a one-row table on every row, as a scalar subquery instead of a join."""
+    packed = row.select(F.struct(*[F.col(f"`{c}`") for c in row.columns]))
+    return df.withColumn("_row", packed.scalar()).select("*", "_row.*").drop("_row")
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.max("n")).first()[0] or 0
@@ -189,14 +195,14 @@ def exact_quantiles(
     parts = [_spread_quantiles(df, name, c, probs, keys) for name, c in columns.items()]
     if keys:
         return reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
-    return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+    return reduce(beside, parts)  # one row each
 
 
 def _spread_quantiles(df: DataFrame, name: str, column: str, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:
     values = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     values = running(values, {"_to": ("sum", "_n")}, keys=keys, order=["_v"])
     sizes = values.groupBy(*keys).agg(F.max("_to").alias("_size"))
-    values = values.join(sizes, list(keys)) if keys else values.crossJoin(F.broadcast(sizes))
+    values = values.join(sizes, list(keys)) if keys else values.transform(beside, sizes)
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("_size") - 1) * F.lit(float(p))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
 from tapeloom.functions.trading import STRUCTURES, entropy, normalised
+from tapeloom.operators.ordered import beside
 
 REGIMES = 4
 
@@ -60,7 +61,7 @@ def _resolved(policy: DataFrame, least: int) -> DataFrame:
     entry = F.struct(key(F.col("side"), F.coalesce("structure", whole), F.coalesce(F.col("regime").cast("string"), whole)).alias("k"), F.struct("support", *names).alias("v"))
     packed = policy.agg(F.map_from_entries(F.collect_list(entry)).alias("_m"))
     grid = [(s, r, side) for s in STRUCTURES for r in range(REGIMES) for side in ("LONG", "SHORT")]
-    out = policy.sparkSession.createDataFrame(grid, "structure string, regime int, side string").crossJoin(F.broadcast(packed))
+    out = policy.sparkSession.createDataFrame(grid, "structure string, regime int, side string").transform(beside, packed)
     at = lambda structure, regime: F.try_element_at("_m", key(F.col("side"), structure, regime))
     levels = [at(F.col("structure"), F.col("regime").cast("string")), at(F.col("structure"), whole)]
     best = at(whole, whole)
@@ -76,7 +77,7 @@ def decide(rows: DataFrame, policy: DataFrame, priors: DataFrame, cost: float, c
     Needs structure, regime_probs (array of 4), prob_long, prob_short, uncertainty and
     runtime_penalty. ``priors`` is one row with regime_priors, which an uncertain mix is drawn to.
     """
-    out = rows.crossJoin(F.broadcast(priors)).join(F.broadcast(_resolved(policy, least)), "structure", "left")  # one row; one row per structure
+    out = rows.transform(beside, priors).join(F.broadcast(_resolved(policy, least)), "structure", "left")  # one row; one row per structure
     out = out.withColumn("_raw", normalised(F.col("regime_probs"))).withColumn("regime_entropy", entropy(F.col("_raw")))
     blend = clip((F.col("regime_entropy") - 0.70) / 0.25, 0, 1)
     out = out.withColumn("_blend", blend)

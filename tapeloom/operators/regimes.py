@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.market import clip
 from tapeloom.functions.trading import normalised
-from tapeloom.operators.ordered import exact_quantiles
+from tapeloom.operators.ordered import beside, exact_quantiles
 
 # Regime codes.
 TRENDING, RANGING, VOLATILE, LOW_LIQUIDITY = range(4)
@@ -28,12 +28,12 @@ def fit(features: DataFrame) -> DataFrame:
     base = exact_quantiles(features, {f"_q_{f}": f for f in FEATURES}, PROBS)
     scored = scores(features, base)
     tops = exact_quantiles(scored, {"_s_trend": "trend_score", "_s_volatile": "volatile_score", "_s_quiet": "low_liquidity_score"}, [0.55, 0.80, 0.82])
-    return base.crossJoin(F.broadcast(tops))  # one row each
+    return base.transform(beside, tops)  # one row each
 
 
 def scores(features: DataFrame, fitted: DataFrame) -> DataFrame:
     """Scores in [0, 1] of trend, volatility and low liquidity."""
-    out = features.crossJoin(F.broadcast(fitted))  # one row
+    out = features.transform(beside, fitted)  # one row
     names = [c for c in fitted.columns]
 
     def place(f: str, low: float = 0.25, high: float = 0.90) -> Column:
@@ -55,7 +55,7 @@ def scores(features: DataFrame, fitted: DataFrame) -> DataFrame:
 def predict(features: DataFrame, fitted: DataFrame) -> DataFrame:
     """Regime and its probabilities: low liquidity before trending before volatile, else ranging."""
     only = [c for c in fitted.columns if c.startswith("_q_")]
-    out = scores(features, fitted.select(*only)).crossJoin(F.broadcast(fitted))  # one row
+    out = scores(features, fitted.select(*only)).transform(beside, fitted)  # one row
     c, tiny = F.col, F.lit(1e-6)
     trend_top, quiet_top, volatile_top = F.get("_s_trend", 0), F.get("_s_quiet", 1), F.get("_s_volatile", 2)
     at_least = lambda f, p, floor=tiny: c(f) >= F.greatest(q(f, p), F.lit(floor) if isinstance(floor, float) else floor)
@@ -85,7 +85,7 @@ def fit_shape(features: DataFrame, volatile: float = 0.70, quiet: float = 0.10)
 
 
 def predict_shape(features: DataFrame, fitted: DataFrame) -> DataFrame:
-    out = features.crossJoin(F.broadcast(fitted))  # one row
+    out = features.transform(beside, fitted)  # one row
     c = F.col
     label = F.when((c("shape_trend") > c("_trend")) & (c("shape_std") <= c("_high")), TRENDING).when(c("shape_std") > c("_high"), VOLATILE).when(c("shape_liquidity") < c("_quiet"), LOW_LIQUIDITY).otherwise(RANGING)
     return out.withColumn("regime", label).drop("_high", "_trend", "_quiet")

@@ -1,7 +1,7 @@
 """Time splits that cannot leak, as tables (fold, row, role), and checks on them.
 
 Rows are numbered in time order across the whole table. A split is a handful of positions and
-times, so folds are joined as a table of at most ``n_folds`` rows.
+times, so folds travel as a short array, never as a join.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import exact_quantiles, numbered
+from tapeloom.operators.ordered import beside, exact_quantiles, numbered
 
 TIME = ("ts_event", "sequence")
 # Parts of a name that no feature may have.
@@ -24,18 +24,20 @@ def in_time_order(df: DataFrame) -> DataFrame:
     return numbered(df, "pos", keys=(), order=TIME)
 
 
-def _fold_table(df: DataFrame, folds: Sequence[tuple]) -> DataFrame:
-    """(fold, start, stop) positions of the test blocks, stop excluded."""
-    return df.sparkSession.createDataFrame([tuple(int(v) for v in f) for f in folds] or [(0, 0, 0)], "fold long, start long, stop long").filter("stop > start")
+Folds = Sequence[tuple[int, int, int]]  # (fold, first test position, position after the last)
 
 
-def _assign(rows: DataFrame, folds: DataFrame, embargo_before: int = 0) -> DataFrame:
+def _assign(rows: DataFrame, folds: Folds, embargo_before: int = 0) -> DataFrame:
     """Roles from positions: a train row and its label end before the first test time."""
-    starts = rows.select("pos", F.col("ts_event").alias("test_start")).join(F.broadcast(folds), F.col("pos") == F.col("start")).select("fold", "start", "stop", "test_start")
-    out = rows.crossJoin(F.broadcast(starts))  # one row per fold
-    test = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("stop"))
-    train = (F.col("ts_event") < F.col("test_start")) & (F.col("label_end_ts") < F.col("test_start")) & (F.col("pos") < F.col("start") - embargo_before)
-    return out.withColumn("role", F.when(test, "test").when(train, "train")).filter("role is not null").drop("start", "stop", "test_start")
+    if not folds:
+        return rows.withColumns({"fold": F.lit(0).cast("long"), "role": F.lit("train")}).limit(0)
+    first = lambda a: F.max(F.when(F.col("pos") == a, F.col("ts_event")))
+    cells = [F.struct(F.lit(k).cast("long").alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b"), first(a).alias("t")) for k, a, b in folds]
+    out = rows.transform(beside, rows.agg(F.array(*cells).alias("_folds"))).withColumn("_f", F.explode("_folds"))
+    pos, f = F.col("pos"), F.col("_f")
+    train = (F.col("ts_event") < f["t"]) & (F.col("label_end_ts") < f["t"]) & (pos < f["a"] - embargo_before)
+    role = F.when((pos >= f["a"]) & (pos < f["b"]), "test").when(train, "train")
+    return out.withColumns({"fold": f["fold"], "role": role}).filter("role is not null").drop("_folds", "_f")
 
 
 def _keep_large(split: DataFrame, min_train: int, min_test: int, renumber: bool = True) -> DataFrame:
@@ -52,7 +54,7 @@ def purged_walk_forward(df: DataFrame, n_folds: int = 5, initial_train: float =
     first, size = max(int(n * initial_train), min_train), max(int(n * test), min_test)
     folds = [(k, first + k * size, min(first + (k + 1) * size, n)) for k in range(n_folds)]
     folds = [f for f in folds if f[1] < n and f[2] - f[1] >= min_test]
-    return _keep_large(_assign(in_time_order(df), _fold_table(df, folds), embargo_rows), min_train, 1)
+    return _keep_large(_assign(in_time_order(df), folds, embargo_rows), min_train, 1)
 
 
 def expanding_blocks(n: int, n_folds: int, test: float, min_train_share: float, min_train_rows: int) -> list[tuple[int, int, int]]:
@@ -78,7 +80,7 @@ def expanding_walk_forward(df: DataFrame, n_folds: int = 6, test: float = 0.10,
     An embargo after the test never applies here, as training rows come before it.
     """
     folds = expanding_blocks(df.count(), n_folds, test, min_train_share, min_train_rows)
-    return _keep_large(_assign(in_time_order(df), _fold_table(df, folds)), 50, 10)
+    return _keep_large(_assign(in_time_order(df), folds), 50, 10)
 
 
 def drop_embargoed(split: DataFrame, share: float = 0.01) -> DataFrame:
@@ -94,14 +96,16 @@ def drop_embargoed(split: DataFrame, share: float = 0.01) -> DataFrame:
 def combinatorial(df: DataFrame, groups: int = 6, test_groups: int = 2, embargo: float = 0.01) -> DataFrame:
     """Every choice of test groups; train rows whose label reaches the earliest test time are dropped."""
     size = max(df.count() // groups, 1)
-    picks = [(k, g) for k, chosen in enumerate(combinations(range(groups), test_groups)) for g in chosen]
-    table = df.sparkSession.createDataFrame(picks, "fold long, test_group long")
     rows = in_time_order(df).withColumn("grp", F.least(F.floor(F.col("pos") / size), F.lit(groups - 1)))
-    starts = rows.groupBy("grp").agg(F.min("ts_event").alias("_start"))  # one row per group
-    per_fold = table.join(F.broadcast(starts), table["test_group"] == starts["grp"]).groupBy("fold").agg(F.collect_set("test_group").alias("_tests"), F.min("_start").alias("_from"))
-    out = rows.crossJoin(F.broadcast(per_fold))  # one row per choice
-    role = F.when(F.array_contains("_tests", F.col("grp")), "test").when(F.col("label_end_ts") < F.col("_from"), "train")
-    out = out.withColumn("role", role).filter("role is not null").drop("_tests", "_from", "grp")
+    starts = rows.agg(F.array(*[F.min(F.when(F.col("grp") == g, F.col("ts_event"))) for g in range(groups)]).alias("_starts"))
+    choices = [
+        F.struct(F.lit(k).cast("long").alias("fold"), F.array(*[F.lit(g) for g in chosen]).alias("tests"), F.array_min(F.array(*[F.get("_starts", g) for g in chosen])).alias("t"))
+        for k, chosen in enumerate(combinations(range(groups), test_groups))
+    ]
+    out = rows.transform(beside, starts).withColumn("_f", F.explode(F.array(*choices)))
+    f = F.col("_f")
+    role = F.when(F.array_contains(f["tests"], F.col("grp").cast("int")), "test").when(F.col("label_end_ts") < f["t"], "train")
+    out = out.withColumns({"fold": f["fold"], "role": role}).filter("role is not null").drop("_starts", "_f", "grp")
     return _keep_large(drop_embargoed(out, embargo), 30, 5, renumber=False)
 
 
@@ -134,12 +138,16 @@ def walk_forward_windows(df: DataFrame, n_splits: int, initial_train: float, tes
     n = df.count()
     first, size = max(int(n * initial_train), min_train), max(int(n * test), 1)
     folds = [(k + 1, first + k * size, min(first + (k + 1) * size, n)) for k in range(max(n_splits, 3))]
-    folds = _fold_table(df, [f for f in folds if f[1] < n and f[2] - f[1] > 10])
-    rows = in_time_order(df.select("ts_event", "sequence"))
-    at = rows.crossJoin(F.broadcast(folds))  # one row per fold
-    pick = lambda p: F.max(F.when(F.col("pos") == p, F.col("ts_event")))
-    out = at.groupBy("fold", "start", "stop").agg(pick(F.lit(0)).alias("train_start"), pick(F.col("start") - 1).alias("train_end"), pick(F.col("start")).alias("test_start"), pick(F.col("stop") - 1).alias("test_end"))
-    return out.select("fold", F.lit("chronological_expanding").alias("mode"), "train_start", "train_end", "test_start", F.expr("test_end + INTERVAL 1 MICROSECOND").alias("test_end"), F.col("start").alias("train_rows"), (F.col("stop") - F.col("start")).alias("test_rows"))
+    folds = [f for f in folds if f[1] < n and f[2] - f[1] > 10]
+    at = lambda p: F.max(F.when(F.col("pos") == p, F.col("ts_event")))
+    cells = [
+        F.struct(
+            F.lit(k).cast("long").alias("fold"), F.lit("chronological_expanding").alias("mode"), at(0).alias("train_start"), at(a - 1).alias("train_end"), at(a).alias("test_start"),
+            (at(b - 1) + F.expr("INTERVAL 1 MICROSECOND")).alias("test_end"), F.lit(a).cast("long").alias("train_rows"), F.lit(b - a).cast("long").alias("test_rows"),
+        )
+        for k, a, b in folds
+    ]
+    return in_time_order(df.select("ts_event", "sequence")).agg(F.array(*cells).alias("c")).select(F.explode("c").alias("f")).select("f.*")
 
 
 def split_plan(df: DataFrame, n_folds: int = 6, test: float = 0.10, embargo: float = 0.02, min_train_share: float = 0.20, quantile: float = 0.95) -> DataFrame:
@@ -147,7 +155,7 @@ def split_plan(df: DataFrame, n_folds: int = 6, test: float = 0.10, embargo: flo
     horizon = df.filter(F.col("bias_label").isin(0, 1)).select("label_horizon_steps")
     q = exact_quantiles(horizon, {"_q": "label_horizon_steps"}, [quantile]).select(F.coalesce(F.ceil(F.get("_q", 0)), F.lit(0)).alias("horizon_rows"))
     n = F.col("n")
-    out = df.agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(q))  # one row each
+    out = df.agg(F.count(F.lit(1)).alias("n")).transform(beside, q)  # one row each
     size = F.greatest(F.lit(1), F.floor(n * test))
     first = F.least(F.greatest(F.floor(n * min_train_share), F.lit(200)), F.greatest(size + 50, n - size))
     tail = F.greatest(F.lit(0), n - first)
@@ -176,9 +184,11 @@ def growing_split(df: DataFrame, n_splits: int = 4, min_train_share: float = 0.3
     n = df.count()
     step = n // (n_splits + 1)
     folds = [(i, step * i, min(step * (i + 1), n)) for i in range(1, n_splits + 1) if step * i >= int(n * min_train_share)]
-    rows = in_time_order(df).crossJoin(F.broadcast(_fold_table(df, folds)))  # one row per fold
-    role = F.when(F.col("pos") < F.col("start"), "train").when(F.col("pos") < F.col("stop"), "test")
-    return rows.withColumn("role", role).filter("role is not null").drop("start", "stop")
+    cells = [F.struct(F.lit(k).cast("long").alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, a, b in folds]
+    rows = in_time_order(df).withColumn("_f", F.explode(F.array(*cells)))
+    f = F.col("_f")
+    role = F.when(F.col("pos") < f["a"], "train").when(F.col("pos") < f["b"], "test")
+    return rows.withColumns({"fold": f["fold"], "role": role}).filter("role is not null").drop("_f")
 
 
 def chronological_split(df: DataFrame, share: float) -> DataFrame:
@@ -221,7 +231,7 @@ def leakage_report(df: DataFrame, features: Sequence[str]) -> DataFrame:
     checks = label_violations(df).select("rows", "invalid_label_horizons", "max_label_end_ts")
     late = df.agg(F.sum((F.col("feature_ts") > F.col("ts_event")).cast("int")).alias("feature_after_start_rows"))
     names = forbidden_columns(features)
-    out = checks.crossJoin(F.broadcast(late))  # one row each
+    out = checks.transform(beside, late)  # one row each
     return out.withColumns({"forbidden_features": F.lit(len(names)), "passed": (F.col("invalid_label_horizons") == 0) & (F.col("feature_after_start_rows") == 0) & F.lit(not names)})
 
 

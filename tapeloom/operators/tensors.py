@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import book as B
 from tapeloom.functions.market import is_buy, is_sell, is_trade
 from tapeloom.operators.bars import BAR_KEYS, with_bar
-from tapeloom.operators.ordered import exact_quantiles, windowed
+from tapeloom.operators.ordered import beside, exact_quantiles, windowed
 
 LEVELS = B.LEVELS
 
@@ -38,7 +38,7 @@ def footprint(ticks: DataFrame, tops: DataFrame, freq: str, levels: int = LEVELS
     away = F.when(is_buy(), F.abs((F.col("price") - F.col("ask0")) / gap)).when(is_sell(), F.abs((F.col("bid0") - F.col("price")) / gap))
     level = F.least(F.rint(away), F.lit(float(levels - 1))).cast("int")
     rows = rows.withColumns({"_level": level, "_buy": is_buy()}).filter("_level is not null")
-    cells = rows.crossJoin(F.broadcast(_usual_size(ticks)))  # one row
+    cells = rows.transform(beside, _usual_size(ticks))  # one row
     part = F.col("size") / F.col("_usual")
     sums = lambda buy: [F.sum(F.when((F.col("_buy") == buy) & (F.col("_level") == i), part).otherwise(0.0)) for i in range(levels)]
     return cells.groupBy(*BAR_KEYS).agg(F.array(*sums(True)).alias("buy_footprint"), F.array(*sums(False)).alias("sell_footprint"))
@@ -81,7 +81,7 @@ def flow_tensors(bars: DataFrame, ticks: DataFrame, freq: str, steps: int = 50)
         F.sum(F.when(is_buy(), size).otherwise(0.0)).alias("b"), F.sum(F.when(is_sell(), size).otherwise(0.0)).alias("s"),
         F.sum(F.when(is_buy() & is_trade(), size).otherwise(0.0)).alias("bt"), F.sum(F.when(is_sell() & is_trade(), size).otherwise(0.0)).alias("st"),
     )
-    sums = sums.crossJoin(F.broadcast(q))  # one row
+    sums = sums.transform(beside, q)  # one row
     vector = F.array((F.col("b") - F.col("s")) / F.greatest(F.col("b") + F.col("s"), F.lit(1.0)), F.col("bt") / F.col("_usual"), F.col("st") / F.col("_usual"))
     out = bars.select(*BAR_KEYS).join(sums.select(*BAR_KEYS, vector.alias("_v")), BAR_KEYS, "left")
     return _rolled(out, steps, 3)
@@ -109,7 +109,7 @@ def normalise_channels(tensors: DataFrame, channels: int, least: int = 10, eps:
         ok = (F.col(f"n{c}") >= least) & (std > 1e-8)
         stats = stats.withColumns({f"_m{c}": F.when(ok, mean).otherwise(0.0), f"_d{c}": F.when(ok, std).otherwise(1.0)})
     means, devs = F.array(*[f"_m{c}" for c in range(channels)]), F.array(*[f"_d{c}" for c in range(channels)])
-    out = tensors.crossJoin(F.broadcast(stats.select(means.alias("_means"), devs.alias("_devs"))))  # one row
+    out = tensors.transform(beside, stats.select(means.alias("_means"), devs.alias("_devs")))  # one row
     channel = lambda i: F.floor(i / width).cast("int")
     scaled = F.transform("tensor", lambda v: F.transform(v, lambda x, i: (x - F.get("_means", channel(i))) / F.get("_devs", channel(i))))
     return out.withColumn("tensor", scaled).drop("_means", "_devs")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import book as B
 from tapeloom.functions.market import at_least, clip, is_buy, is_sell, is_trade, ratio
 from tapeloom.operators.asof import asof
-from tapeloom.operators.ordered import exact_quantiles, fits, numbered, running, spec, windowed
+from tapeloom.operators.ordered import beside, exact_quantiles, fits, numbered, running, spec, windowed
 
 
 def _last(w, n: int):
@@ -403,7 +403,7 @@ def shape_features(rows: DataFrame, n: int) -> DataFrame:
 
     rows = windowed(windowed(rows, step, before=1), shape, before=n).drop("_d")
     middle = exact_quantiles(rows, {"_q": "size"}, [0.5]).select(F.get("_q", 0).alias("_median"))
-    rows = rows.crossJoin(F.broadcast(middle))  # one row
+    rows = rows.transform(beside, middle)  # one row
     return rows.withColumn("shape_liquidity", F.col("shape_volume") / F.greatest("_median", F.lit(1e-10))).drop("_median", "shape_volume")
 
 

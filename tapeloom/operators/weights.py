@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
 from tapeloom.operators.labels import LONG_SL, LONG_TP, QUALITY_STRONG, QUALITY_WEAK, REGIME_BARS, SHORT_SL, SHORT_TP, TIMEOUT, lookup, with_future
-from tapeloom.operators.ordered import exact_quantiles
+from tapeloom.operators.ordered import beside, exact_quantiles
 
 # Chance that a long pays, by path outcome, for a weak and a strong label.
 SOFT_LONG = {LONG_TP: (0.78, 0.90), LONG_SL: (0.10, 0.08), SHORT_TP: (0.10, 0.10), SHORT_SL: (0.68, 0.72)}
@@ -16,7 +16,7 @@ SOFT_SHORT = {SHORT_TP: (0.78, 0.90), SHORT_SL: (0.10, 0.08), LONG_TP: (0.10, 0.
 
 
 def _one_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(row))
+    return df.transform(beside, row)
 
 
 def mean_normalised(df: DataFrame, raw: Column, name: str) -> DataFrame:
