@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
-from tapeloom.functions.trading import STRUCTURES, entropy, normalised
+from tapeloom.functions.trading import STRUCTURES, normalised
 from tapeloom.operators.ordered import beside
 
 REGIMES = 4
@@ -75,21 +75,22 @@ def decide(rows: DataFrame, policy: DataFrame, priors: DataFrame, cost: float, c
     """Bias, expected value and reason per row.
 
     Needs structure, regime_probs (array of 4), prob_long, prob_short, uncertainty and
-    runtime_penalty. ``priors`` is one row with regime_priors, which an uncertain mix is drawn to.
+    runtime_penalty. ``priors`` is one row with regime_priors that sum to 1; the more uncertain a mix,
+    the more of them it takes.
     """
-    out = rows.transform(beside, priors).join(F.broadcast(_resolved(policy, least)), "structure", "left")  # one row; one row per structure
-    out = out.withColumn("_raw", normalised(F.col("regime_probs"))).withColumn("regime_entropy", entropy(F.col("_raw")))
-    blend = clip((F.col("regime_entropy") - 0.70) / 0.25, 0, 1)
-    out = out.withColumn("_blend", blend)
-    prior = normalised(F.col("regime_priors"))
-    mixed = [(1 - F.col("_blend")) * F.get("_raw", r) + F.col("_blend") * F.get(prior, r) for r in range(REGIMES)]
-    out = out.withColumn("_mixed", F.array(*mixed)).withColumn("_mix", normalised(F.col("_mixed")))
+    regimes = range(REGIMES)
+    out = rows.transform(beside, priors).join(F.broadcast(_resolved(policy, least)), "structure", "left")  # one row per structure
+    # One plain column per regime: short expressions stay in compiled code.
+    kept = {f"_k{r}": F.greatest(F.coalesce(F.get("regime_probs", r), F.lit(0.0)), F.lit(0.0)) for r in regimes}
+    out = out.withColumns(kept).withColumn("_total", sum((F.col(f"_k{r}") for r in regimes), F.lit(0.0)))
+    out = out.withColumns({f"_p{r}": F.when(F.col("_total") > 0, F.col(f"_k{r}") / F.col("_total")).otherwise(1.0 / REGIMES) for r in regimes})
+    spread = sum((F.col(f"_p{r}") * F.ln(F.greatest(f"_p{r}", F.lit(1e-12))) for r in regimes), F.lit(0.0))
+    out = out.withColumn("regime_entropy", -spread / F.ln(F.lit(float(REGIMES))))
+    out = out.withColumn("_blend", clip((F.col("regime_entropy") - 0.70) / 0.25, 0, 1))
+    out = out.withColumns({f"_m{r}": (1 - F.col("_blend")) * F.col(f"_p{r}") + F.col("_blend") * F.get("regime_priors", r) for r in regimes})
 
     def value(side: str, name: str) -> Column:
-        total = F.lit(0.0)
-        for r in range(REGIMES):
-            total = total + F.get("_mix", r) * F.col(f"_{side}_{name}_{r}")
-        return total
+        return sum((F.col(f"_m{r}") * F.col(f"_{side}_{name}_{r}") for r in regimes), F.lit(0.0))
 
     pl, ps = clip(F.col("prob_long"), 0, 1), clip(F.col("prob_short"), 0, 1)
     out = out.withColumns(
@@ -123,12 +124,13 @@ def decide(rows: DataFrame, policy: DataFrame, priors: DataFrame, cost: float, c
             "sizing_penalty": clip((1 - clip(F.col("uncertainty"), 0, 1)) * (1 - F.col("regime_entropy")) * runtime, 0, 1),
         }
     )
-    return out.drop("regime_priors", *[c for c in out.columns if c in ("_raw", "_blend", "_mixed", "_mix") or c.startswith(("_LONG_", "_SHORT_"))])
+    return out.drop("regime_priors", *[c for c in out.columns if c.startswith("_")])
 
 
 def regime_priors(rows: DataFrame) -> DataFrame:
-    """One row: mean regime probabilities."""
-    return rows.agg(F.array(*[F.avg(F.get("regime_probs", r)) for r in range(REGIMES)]).alias("regime_priors"))
+    """One row: mean regime probabilities, over their sum."""
+    means = rows.agg(F.array(*[F.avg(F.get("regime_probs", r)) for r in range(REGIMES)]).alias("_means"))
+    return means.select(normalised(F.col("_means")).alias("regime_priors"))
 
 
 # ------------------------------------------------------------------------------ trade paths
