@@ -28,14 +28,14 @@ TOP_CTE = f"""top AS (
 
 @query(
     "f1_f5_top_of_book",
-    f"""{V.BOOK}, {TOP_CTE} SELECT {K}, mid_price, spread, microprice, (bid_px[1] * bid_sz[1] + ask_px[1] * ask_sz[1]) / (bid_sz[1] + ask_sz[1]) AS microprice_v19,
+    f"""{V.BOOK}, {TOP_CTE} SELECT {K}, mid_price, spread, microprice, (bid_px[1] * bid_sz[1] + ask_px[1] * ask_sz[1]) / (bid_sz[1] + ask_sz[1]) AS microprice_own_side,
     bid_depth, ask_depth, depth_imbalance, order_book_imbalance, order_book_imbalance / spread AS liquidity_pressure FROM top""",
-    "mid_price spread microprice microprice_v19 bid_depth ask_depth depth_imbalance order_book_imbalance liquidity_pressure",
+    "mid_price spread microprice microprice_own_side bid_depth ask_depth depth_imbalance order_book_imbalance liquidity_pressure",
     digits=7,
 )
 def top_of_book(spark, sf_dir):
-    rows = S.top_of_book(V.book(spark, sf_dir)).withColumn("microprice_v19", B.microprice(bid_weighted=True))
-    return rows.select(*KEY, "mid_price", "spread", "microprice", "microprice_v19", "bid_depth", "ask_depth", "depth_imbalance", "order_book_imbalance", "liquidity_pressure")
+    rows = S.top_of_book(V.book(spark, sf_dir)).withColumn("microprice_own_side", B.microprice(bid_weighted=True))
+    return rows.select(*KEY, "mid_price", "spread", "microprice", "microprice_own_side", "bid_depth", "ask_depth", "depth_imbalance", "order_book_imbalance", "liquidity_pressure")
 
 
 @query(
