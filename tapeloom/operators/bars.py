@@ -24,12 +24,19 @@ def with_bar(df: DataFrame, freq: str, ts: str = "ts_event") -> DataFrame:
     return df.withColumn("bar_ts", F.window(ts, freq)["start"])
 
 
+def moment() -> Column:
+    """Time and sequence as one number. Unlike a struct it can be updated in a hash table, so that
+    first and last values need no sort before the partial aggregation."""
+    micros = F.unix_micros(F.col("ts_event").cast("timestamp")).cast("decimal(19,0)")
+    return (micros * F.lit(10**18).cast("decimal(19,0)") + F.coalesce("sequence", F.lit(0)).cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def at_first(c: str | Column) -> Column:
-    return F.min_by(c, F.struct("ts_event", "sequence"))
+    return F.min_by(c, moment())
 
 
 def at_last(c: str | Column) -> Column:
-    return F.max_by(c, F.struct("ts_event", "sequence"))
+    return F.max_by(c, moment())
 
 
 def bar_window():
@@ -116,7 +123,7 @@ def with_cvd(ticks: DataFrame) -> DataFrame:
 
 def _how(c: Column, how: str) -> Column:
     return {
-        "last": lambda: F.max_by(c, F.when(c.isNotNull(), F.struct("ts_event", "sequence"))),
+        "last": lambda: F.max_by(c, F.when(c.isNotNull(), moment())),
         "mean": lambda: F.avg(c),
         "max": lambda: F.max(c),
         "sum": lambda: F.sum(c),
@@ -133,8 +140,7 @@ def rich_bars(ticks: DataFrame, freq: str, features: dict[str, tuple[str, str]])
     """
     traded = is_trade() & (F.col("price") > 0) & (F.col("size") > 0)
     price, size = F.when(traded, F.col("price")), F.when(traded, F.col("size").cast("double")).otherwise(0.0)
-    order = F.struct("ts_event", "sequence")
-    key = F.when(price.isNotNull(), order)
+    key = F.when(price.isNotNull(), moment())
     moved = at_last("cvd") - at_first("cvd")
     bars = with_bar(ticks, freq).groupBy(*BAR_KEYS).agg(
         F.min_by(price, key).alias("open"),
@@ -522,7 +528,7 @@ def session_liquidity(rows: DataFrame, keys: Sequence[str] = ("symbol", "trade_d
 
 def partial_bars(ticks: DataFrame, freq: str) -> DataFrame:
     """Bars as sums, counts and first/last with their times, so that they can be merged later."""
-    at = F.struct("ts_event", "sequence")
+    at = moment()
     return with_bar(ticks, freq).groupBy(*BAR_KEYS).agg(
         F.min_by("price", at).alias("open"), F.min(at).alias("first_at"), F.max_by("price", at).alias("close"), F.max(at).alias("last_at"),
         F.max("price").alias("high"), F.min("price").alias("low"), F.sum("price").alias("price_sum"), F.count("price").alias("price_count"), F.sum("size").alias("size"),
