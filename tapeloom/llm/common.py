@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +41,13 @@ def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part holds much more than SLICE_BYTES of text."""
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds at most ``most`` bytes of text, or one row."""
     lengths = batch.column(column)
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(lengths), 0))
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if total and total + size > SLICE_BYTES:
+        if total and total + size > most:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += size + 64
