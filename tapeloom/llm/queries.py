@@ -35,9 +35,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of every text, as digests."""
     model = piece_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = sentencepiece_codec.encode(docs, model).drop("text")
-    back = sentencepiece_codec.decode(pieces, model)
-    return back.select(
+    pieces = sentencepiece_codec.encode(docs, model, decoded="decoded")
+    return pieces.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sentencepiece_codec.ids_digest(F.col("ids")).alias("ids_sha256"),

@@ -31,7 +31,9 @@ SPACE = "▁"
 # Fixed values of the model format: the kinds of pieces.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 # Parts whose pieces a task remembers.
-CACHED_PARTS = 500_000
+CACHED_PARTS = 200_000
+# Bytes of text handled at a time: a task holds a few dozen times as much.
+STEP = 1 << 20
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -312,23 +314,30 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType([f for f in schema.fields if f.name.lower() not in new] + list(fields))
 
 
-def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", begins: str = "begins", ends: str = "ends") -> DataFrame:
+def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids", begins: str = "begins", ends: str = "ends", decoded: str | None = None) -> DataFrame:
     """Add the pieces of ``text``: ids, and each one's span in the bytes of the text.
 
-    Columns of ``df`` with the new names are replaced. Null and empty texts get empty lists.
+    decoded: name of a column for the text that the ids stand for, made in the same pass. Columns of
+    ``df`` with the new names are replaced. Null and empty texts get empty lists.
     """
     number = T.ArrayType(T.IntegerType(), False)
-    schema = _with(df.schema, T.StructField(ids, number), T.StructField(begins, number), T.StructField(ends, number))
-    kept = [f.name for f in schema.fields[:-3]]
+    back = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = _with(df.schema, T.StructField(ids, number), T.StructField(begins, number), T.StructField(ends, number), *back)
+    kept = schema.names[: -3 - len(back)]
+    # the text may be one of the columns that are replaced
+    rows = df.withColumn("_source", F.col(text)).select(*kept, "_source")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for batch in batches:
-            for part in slices(batch, text):
-                done = c.encode([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [lists(x, pa.int32()) for x in zip(*done)], kept + [ids, begins, ends])
-
-    return df.mapInArrow(run, schema)
+            for part in slices(batch, "_source", STEP):
+                done = c.encode([t or "" for t in part.column("_source").to_pylist()])
+                made = [lists(x, pa.int32()) for x in zip(*done)]
+                if decoded:
+                    made.append(pa.array([c.decode(x.tolist()) for x, _, _ in done], pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + made, schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
