@@ -138,10 +138,17 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: fl
     return Trees(base, feature, threshold, leaf, depth)
 
 
+def sample_of(labels: DataFrame, doc_id: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id and _label of at most about ``rows`` labelled ids, by the hash of the id."""
+    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_label"))
+    return bounded(known, F.col(doc_id), rows)
+
+
 def fit(stats: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> Trees:
     """Trees from the rows of ``stats`` that have a label and pass ``learn``; at most about ``rows`` of them."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_label"))
-    pairs = bounded(stats.where(learn).join(known, doc_id), F.col(doc_id), rows).select(doc_id, "statistics", "_label").toPandas()
+    known = F.broadcast(sample_of(labels, doc_id, label, rows))  # bounded
+    pairs = stats.where(learn).join(known, doc_id).select(doc_id, "statistics", "_label").distinct()
+    pairs = bounded(pairs, F.struct(doc_id, "statistics"), rows).toPandas()
     if not len(pairs):
         return grow(np.zeros((0, len(STATISTICS))), np.zeros(0))
     pairs = pairs.sort_values(doc_id, kind="stable")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import langid, quality, sentencepiece_codec, topk, urlfilter
+from tapeloom.llm import decontaminate, jaccard, langid, preference, quality, secret_scan, sentencepiece_codec, suffix_lm, topk, urlfilter
 from tapeloom.llm.common import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,44 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(stats, table(spark, sf_dir, "labels"), ~F.col("held_out"))
     scored = quality.score(stats, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_jaccard_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents alike in 90 % of their three-word shingles."""
+    found = jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in secret_scan.BASE_RULES]))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
+@query("op7_preference_format")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as the chosen side of a preference pair."""
+    turns = table(spark, sf_dir, "conversations")
+    made = preference.pairs_formatted(preference.same_start_pairs(turns))
+    mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
+    return made.select("chosen_id", "rejected_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", mask("chosen_mask"), mask("rejected_mask"))
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every benchmark item that it holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_suffix_tree_lm")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text; the tree is fitted on the texts that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 7, 2))
+    model, counts = suffix_lm.fit(docs.where(~F.col("held_out")))
+    scored = suffix_lm.score(docs, model, counts, ["doc_id", "held_out"])
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
