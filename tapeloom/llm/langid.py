@@ -7,9 +7,10 @@ the most n-grams left wins; ties and texts without any known n-gram go to the la
 training texts, then to the smaller name.
 
 N-grams are the three-letter windows of each word, lower-cased and padded with a space on both sides;
-whatever is no letter parts words, and a run of over a million letters is cut. Of each language the
-``GRAMS`` n-grams found in most training texts are kept, those found in a thousandth of its texts at
-least. Training texts are a bounded sample (`train(..., texts=)` of each language, by hash of the id).
+whatever is no letter parts words, and a run of over a million letters is cut. A language contains an
+n-gram if a thousandth of its training texts hold it, and at least a quarter (`RATIO`) of the share of
+texts that hold it in any language, so a stray foreign line teaches nothing; of each language the
+``GRAMS`` n-grams found in most texts are kept. Training texts are a bounded sample (`train(..., texts=)` of each language, by hash of the id).
 
 Null texts and texts without a letter are ``und`` with score 0. Rows with a null language are not
 learned from. Without anything to learn from every text is ``und``.
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,7 @@ from tapeloom.llm.common import slices
 
 SPACE = 32
 GRAMS = 8_192
+LEAST, RATIO = 0.001, 0.25
 TEXTS_PER_LANGUAGE = 5_000
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -144,8 +146,11 @@ def train(rows: DataFrame, doc_id: str = "doc_id", texts: int = TEXTS_PER_LANGUA
     share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int((1 << 30) * min(1.0, texts / n)))])
     sample = rows.where(draw < share[F.col("lang")])
     counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, max(1.0, min(n, texts) / 1000))])
-    kept = counted.where(F.col("n") >= least[F.col("lang")]).groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "gram"))), 1, grams_kept)["gram"].alias("grams"))
+    of = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, float(min(n, texts)))])
+    shares = counted.withColumn("share", F.col("n") / of[F.col("lang")]).where(F.col("share") >= LEAST)
+    shares = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= RATIO * F.col("most"))
+    ranked = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "gram"))), 1, grams_kept)["gram"]
+    kept = shares.groupBy("lang").agg(ranked.alias("grams"))  # n-grams that are frequent in a language are few
     found = {r["lang"]: np.array(r["grams"], np.int64).astype(np.uint64) for r in kept.collect()}
     names = sorted(sizes, key=lambda x: (-sizes[x], x))
     return Languages.build(names, [found.get(x, np.zeros(0, np.uint64)) for x in names])

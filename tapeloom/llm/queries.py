@@ -47,9 +47,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TOP_K_SQL = """
 WITH made AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
   FROM made q JOIN made c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
@@ -116,7 +116,47 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
-@query("op7_preference_format")
+def _rendered_sql(turn: str, part: str = "both") -> str:
+    head = f"('<|' || coalesce({turn}.role, '') || '|>' || chr(10))"
+    body = f"(coalesce({turn}.text, '') || '<|end|>' || chr(10))"
+    return {"head": head, "body": body, "both": f"({head} || {body})"}[part]
+
+
+def _text_sql(turns: str) -> str:
+    return f"array_to_string(list_transform({turns}, lambda x: {_rendered_sql('x')}), '')"
+
+
+def _mask_sql(turns: str) -> str:
+    before = f"coalesce(list_sum(list_transform({turns}[1:i - 1], lambda x: length({_rendered_sql('x')}))), 0) + length({_rendered_sql(f'{turns}[i]', 'head')})"
+    on = f"list_filter(range(1, len({turns}) + 1), lambda i: {turns}[i].role = 'assistant')"
+    return f"array_to_string(list_transform({on}, lambda i: CAST(({before}) AS BIGINT) || ':' || CAST(({before}) + length({_rendered_sql(f'{turns}[i]', 'body')}) AS BIGINT)), ',')"
+
+
+PREFERENCE_SQL = f"""
+WITH once AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns
+  FROM once GROUP BY conv_id
+), starts AS (
+  SELECT turns[1].role AS role, turns[1].text AS text, min(conv_id) AS a, max(conv_id) AS b FROM convs GROUP BY 1, 2
+), pairs AS (
+  SELECT c.conv_id AS chosen_id, CASE WHEN c.conv_id <> s.a THEN s.a WHEN c.conv_id <> s.b THEN s.b END AS rejected_id, c.turns AS p
+  FROM convs c JOIN starts s ON c.turns[1].role IS NOT DISTINCT FROM s.role AND c.turns[1].text IS NOT DISTINCT FROM s.text
+), sides AS (
+  SELECT chosen_id, rejected_id, p, coalesce(d.turns, []) AS q FROM pairs LEFT JOIN convs d ON d.conv_id = rejected_id
+), cut AS (
+  SELECT *, coalesce(
+    list_min(list_filter(range(1, least(len(p), len(q)) + 1), lambda i: p[i].role IS DISTINCT FROM q[i].role OR p[i].text IS DISTINCT FROM q[i].text)) - 1,
+    least(len(p), len(q))) AS n
+  FROM sides
+), parts AS (SELECT chosen_id, rejected_id, n, p[1:n] AS s, p[n + 1:] AS a, q[n + 1:] AS b FROM cut)
+SELECT chosen_id, rejected_id, n AS n_prompt_turns, {_text_sql("s")} AS prompt, {_text_sql("a")} AS chosen, {_text_sql("b")} AS rejected,
+  {_mask_sql("a")} AS chosen_mask, {_mask_sql("b")} AS rejected_mask
+FROM parts
+"""
+
+
+@query("op7_preference_format", PREFERENCE_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as the chosen side of a preference pair."""
     turns = table(spark, sf_dir, "conversations")

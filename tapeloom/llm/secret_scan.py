@@ -185,7 +185,7 @@ def scan(df: DataFrame, rules: list[Rule] = RULES, doc_id: str = "doc_id", text:
     none = F.array().cast(SPANS)
     whole = F.coalesce(F.col(text), F.lit(""))
     each = [spans_of(whole, r, i) if r.kind not in queries else F.when(F.array_contains(kinds, r.kind), spans_of(whole, r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return rows.withColumn(spans, F.array_sort(F.concat(*each))).drop(key, kinds)
+    return rows.withColumn(spans, F.array_sort(F.concat(none, *each))).drop(key, kinds)
 
 
 def joined(spans: Column) -> Column:
