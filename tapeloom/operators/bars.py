@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import book as B
 from tapeloom.functions.market import clip, deadband_sign, finite, is_buy, is_sell, is_trade, ratio, signed_size
-from tapeloom.operators.ordered import running, windowed
+from tapeloom.operators.ordered import SALTS, matched, running, windowed
 
 BAR_KEYS = ["symbol", "bar_ts"]
 BAR_ORDER = ["bar_ts"]
@@ -117,7 +117,7 @@ def with_cvd(ticks: DataFrame) -> DataFrame:
     rows = ticks.withColumns({"signed": signed_size(), "trade_date": F.to_date("ts_event")})
     rows = running(rows, {"cvd": ("sum", "signed")})
     before = running(rows.select("symbol", "trade_date", "signed", "ts_event", "sequence").groupBy("symbol", "trade_date").agg(F.sum("signed").alias("_day")), {"_open_cvd": ("sum", "_day")}, order=["trade_date"], exclusive=True, check=False)
-    rows = rows.join(before.select("symbol", "trade_date", "_open_cvd"), ["symbol", "trade_date"])
+    rows = matched(rows, before.select("symbol", "trade_date", "_open_cvd"), ["symbol", "trade_date"], salts=SALTS)
     return rows.withColumn("session_cvd", F.col("cvd") - F.coalesce("_open_cvd", F.lit(0.0))).drop("_open_cvd")
 
 
@@ -504,7 +504,7 @@ def period_levels(ticks: DataFrame, calendar: bool = False) -> DataFrame:
             hl = hl.withColumns({n: F.when(near, F.lag(n).over(w)) for n in ("_h", "_l")}).withColumns({n: F.last(n, ignorenulls=True).over(w) for n in ("_h", "_l")})
         else:
             hl = hl.withColumns({n: F.lag(n).over(w) for n in ("_h", "_l")})
-        rows = rows.join(hl.withColumnsRenamed({"_h": f"{prefix}h", "_l": f"{prefix}l"}), ["symbol", period])
+        rows = matched(rows, hl.withColumnsRenamed({"_h": f"{prefix}h", "_l": f"{prefix}l"}), ["symbol", period], salts=SALTS)
     rows = rows.withColumns({n: F.coalesce(n, "price") for n in ("pdh", "pdl", "pwh", "pwl")})
     return rows.withColumns(
         {

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.market import UNKNOWN_TEXT, is_trade
-from tapeloom.operators.ordered import KEYS, ORDER, beside, exact_quantiles, numbered, running, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, SALTS, beside, exact_quantiles, matched, numbered, running, windowed
 
 # Text that stands for a missing entry.
 UNKNOWN = [*UNKNOWN_TEXT, "NULL", "<NA>", "UNKNOWN"]
@@ -101,10 +101,10 @@ def clip_book_outliers(df: DataFrame, multiple: float = 5.0, least: int = 10) ->
         n = lv.groupBy("symbol", "level").agg(F.count(F.lit(1)).alias("_n"))
         iqr = F.get("_q", 1) - F.get("_q", 0)
         high = F.when((F.col("_n") > least) & (iqr > 0), F.get("_q", 1) + multiple * iqr)
-        table = q.join(n, ["symbol", "level"]).select("symbol", F.struct("level", high.alias("high")).alias("_l"))
+        table = matched(q, n, ["symbol", "level"]).select("symbol", F.struct("level", high.alias("high")).alias("_l"))
         table = table.groupBy("symbol").agg(F.array_sort(F.collect_list("_l")).alias(f"_{side}"))  # one entry per level
-        limits = table if limits is None else limits.join(table, "symbol", "full")
-    out = df.join(limits, "symbol", "left")
+        limits = table if limits is None else matched(limits, table, "symbol", "full")
+    out = matched(df, limits, "symbol", "left", salts=SALTS)
     for side in ("bid_px", "ask_px"):
         out = out.withColumn(side, _zero_above(side, F.map_from_entries(F.col(f"_{side}"))))
     return out.drop("_bid_px", "_ask_px")
@@ -132,7 +132,7 @@ def drop_exact_duplicates(df: DataFrame, order: str = "ingest") -> DataFrame:
 def drop_price_outliers(df: DataFrame, max_ratio: float = 5.0, keys: Sequence[str] = KEYS) -> DataFrame:
     """Keep prices within the median divided and multiplied by ``max_ratio``."""
     middle = exact_quantiles(df.filter("price > 0"), {"_q": "price"}, [0.5], keys=keys).withColumn("_m", F.get("_q", 0)).drop("_q")
-    out = df.join(middle, list(keys)) if keys else df.transform(beside, middle)  # one row without keys
+    out = matched(df, middle, keys, salts=SALTS) if keys else df.transform(beside, middle)  # one row without keys
     return out.filter(F.col("price").between(F.col("_m") / max_ratio, F.col("_m") * max_ratio)).drop("_m")
 
 
@@ -327,7 +327,7 @@ def handle_rare(df: DataFrame, label: str, least: int, strategy: str = "auto") -
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     whole = counts.agg(F.count(F.lit(1)).alias("_classes"), F.max_by(label, F.struct("_n", -F.col(label))).alias("_major"))
     table = counts.transform(beside, whole)  # one row
-    out = df.join(table, label, "left")
+    out = matched(df, table, label, "left", salts=SALTS)
     rare = F.col("_n") < least
     drop = F.lit(strategy == "drop") | (F.lit(strategy == "auto") & (F.col("_classes") > 2))
     out = out.filter(~(rare & drop)).withColumn(label, F.when(rare, F.col("_major")).otherwise(F.col(label)))
@@ -338,7 +338,7 @@ def stratified_sample(df: DataFrame, rows: int, keys: Sequence[str] = KEYS) -> D
     """Evenly spaced rows of each key, first and last among them."""
     placed = numbered(df, "_at", keys=keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = placed.join(sizes, list(keys))
+    out = matched(placed, sizes, keys, salts=SALTS)
     # Position p is picked when some i in 0..rows-1 has round(i·(n-1)/(rows-1)) = p; ties go to even.
     step = (F.col("_n") - 1) / F.lit(float(max(rows - 1, 1)))
     i = F.rint(F.col("_at") / step)
@@ -353,7 +353,7 @@ def stride_sample(df: DataFrame, stride: int, keys: Sequence[str] = KEYS) -> Dat
     """Every stride-th row of a key and its last one, marked; other rows stay unmarked."""
     placed = numbered(df, "_at", keys=keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = placed.join(sizes, list(keys))
+    out = matched(placed, sizes, keys, salts=SALTS)
     whole = F.col("_n") <= stride
     mark = whole | (F.col("_at") % stride == 0) | (F.col("_at") == F.col("_n") - 1)
     return out.withColumn("sampled", mark).drop("_at", "_n")
@@ -387,12 +387,12 @@ def expand_compact(rows: DataFrame, covered: str, compact: DataFrame, value: str
     marked = running(rows, {"_k": ("sum", F.col(covered).cast("long"))})
     marked = marked.withColumn("_pos", F.when(F.col(covered), F.col("_k") - 1))
     source = compact.select("symbol", F.col("position").alias("_pos"), F.col(value))
-    return marked.join(source, ["symbol", "_pos"], "left").withColumn(value, F.coalesce(value, F.lit(0.0))).drop("_k", "_pos")
+    return matched(marked, source, ["symbol", "_pos"], "left").withColumn(value, F.coalesce(value, F.lit(0.0))).drop("_k", "_pos")
 
 
 def context_slice(df: DataFrame, start, end, warmup: int, tail: int, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """Rows in [start, end] of each key, with some rows before and after, marked ``in_range``."""
     placed = numbered(df, "_at", keys=keys, order=order).withColumn("in_range", F.col("ts_event").between(F.lit(start), F.lit(end)))
     ends = placed.filter("in_range").groupBy(*keys).agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"))
-    out = placed.join(ends, list(keys))
+    out = matched(placed, ends, keys, salts=SALTS)
     return out.filter(F.col("_at").between(F.col("_a") - warmup, F.col("_b") + tail)).drop("_at", "_a", "_b")

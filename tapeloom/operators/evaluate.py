@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -289,32 +290,32 @@ def spearman_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def redundancy_filter(df: DataFrame, features: Sequence[str], target: str, threshold: float = 0.85, protected: Sequence[str] = ()) -> list[str]:
-    """Keep features strongest first, dropping those too close to one kept. The matrix is features by features."""
-    m = {(r["a"], r["b"]): r["rho"] or 0.0 for r in spearman_matrix(df, [*features, target]).collect()}
-    order = sorted(features, key=lambda f: (f in protected, m[f, target]), reverse=True)
-    kept: list[str] = []
-    out: set[str] = set()
-    for f in order:
-        if f in out and f not in protected:
-            continue
-        kept.append(f)
-        out |= {g for g in features if g != f and g not in protected and m[f, g] > threshold}
-    return kept
+    """Features of which no stronger one that stays is closer than ``threshold``; protected ones stay and go first."""
+    close, relevance = closeness(df, features, target)
+    first = np.isin(features, list(protected))
+    ranked = np.lexsort((np.arange(len(features)), -relevance, ~first))  # ties keep their order
+    stays = reduce(lambda on, i: on + [i] if first[i] or not (close[i, on] > threshold).any() else on, ranked.tolist(), [])
+    return [features[i] for i in stays]
+
+
+def closeness(df: DataFrame, features: Sequence[str], target: str) -> tuple[np.ndarray, np.ndarray]:
+    """Rank correlations of the features with each other and with the target; a missing one is 0."""
+    cells = spearman_matrix(df, [*features, target]).toPandas()
+    square = cells.pivot(index="a", columns="b", values="rho").loc[[*features, target], [*features, target]].fillna(0.0).to_numpy(float)
+    return square[:-1, :-1], square[:-1, -1]
 
 
 def mrmr(df: DataFrame, features: Sequence[str], target: str, k: int, protected: Sequence[str] = ()) -> list[str]:
-    """Add the feature with the most relevance less mean closeness to those picked, k times."""
-    m = {(r["a"], r["b"]): r["rho"] or 0.0 for r in spearman_matrix(df, [*features, target]).collect()}
-    picked = [f for f in features if f in protected][:k]
-    rest = [f for f in features if f not in picked]
-    while rest and len(picked) < min(k, len(features)):
-        def gain(f: str) -> float:
-            return m[f, target] - (sum(m[f, p] for p in picked) / len(picked) if picked else 0.0)
-
-        best = max(rest, key=gain)
-        picked.append(best)
-        rest.remove(best)
-    return picked
+    """k features: the protected ones, then in turn the one with the most relevance less mean closeness to those before."""
+    close, relevance = closeness(df, features, target)
+    taken = np.flatnonzero(np.isin(features, list(protected)))[:k]
+    free = np.ones(len(features), bool)
+    free[taken] = False
+    shared = close[:, taken].sum(1)  # closeness to all taken so far
+    for n in range(len(taken), min(k, len(features))):
+        best = int(np.where(free, relevance - shared / max(n, 1), -np.inf).argmax())
+        taken, free[best], shared = np.append(taken, best), False, shared + close[:, best]
+    return [features[i] for i in taken]
 
 
 def feature_verdicts(df: DataFrame, features: Sequence[str], label: str, bins: int = 10) -> DataFrame:

@@ -6,14 +6,17 @@ array stay inside the task. Every label carries ``label_end_ts``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import heapq
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
-from tapeloom.operators.ordered import KEYS, ORDER, beside, exact_quantiles, fits, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, SALTS, beside, exact_quantiles, fits, matched, windowed
 from tapeloom.operators.orderstat import prefix_quantile
 
 # Outcomes of a path.
@@ -311,11 +314,27 @@ def expanding_median(df: DataFrame, column: str, name: str, least: int = 1, *, k
     if not fits(df, keys):
         return prefix_quantile(df, column, name, F.lit(0.5), least, keys=keys, order=order)
 
-    def median(rows, w):
-        so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn(name, F.when(F.count(column).over(so_far) >= least, F.percentile(column, 0.5).over(so_far)))
-
-    return windowed(df, median, keys=keys, order=order, check=False)
+    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, T.DoubleType())])
+    kept, key_names = schema.names[:-1], list(keys)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, low, high = None, [], []  # heaps of the smaller half (negated) and the larger half
+        for batch in batches:
+            medians = []
+            for key, v in zip(zip(*[batch.column(k).to_pylist() for k in key_names]), batch.column(column).to_pylist()):
+                if key != owner:
+                    owner, low, high = key, [], []
+                if v is not None:
+                    heapq.heappush(high, -heapq.heappushpop(low, -v))
+                    if len(high) > len(low):
+                        heapq.heappush(low, -heapq.heappop(high))
+                seen = len(low) + len(high)
+                enough = seen >= max(least, 1)
+                medians.append((-low[0] if seen % 2 else (high[0] - low[0]) / 2) if enough else None)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(medians, pa.float64())], schema.names)
+
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)  # a key's rows follow each other in one task
+    return rows.mapInArrow(walk, schema)
 
 
 def micro_volatility(df: DataFrame, n: int = 20, price: str = "price") -> DataFrame:
@@ -558,16 +577,16 @@ def session_labels(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
 
     out = numbered(windowed(rows, step, before=1, keys=keys), "_i", keys=keys)
     sizes = out.groupBy(*keys).agg(F.max("_i").alias("_last"), F.min_by("price", "_i").alias("_open"), F.max_by("price", "_i").alias("_close"))
-    out = out.join(sizes, keys)
+    out = matched(out, sizes, keys, salts=SALTS)
     weight = F.pow(F.lit(1 - alpha), (F.col("_last") - F.col("_i")).cast("double")) * F.when(F.col("_i") == 1, 1.0).otherwise(alpha)
     vol = out.groupBy(*keys).agg(F.greatest(F.sum(F.col("_r") * weight), F.lit(1e-8)).alias("_ema"))
-    vol = vol.join(sizes, keys)
+    vol = matched(vol, sizes, keys)
     tp, sl = (F.when(F.col("_last") + 1 < 3, 0.001).otherwise(F.coalesce("_ema", F.lit(1e-8)) * m) for m in (1.5, 1.0))
     vol = vol.withColumns({"_tp": tp, "_sl": sl})
-    hits = out.select(*keys, "_i", "price").join(vol.select(*keys, "_open", "_tp", "_sl"), keys).filter("_i > 0")
+    hits = matched(out.select(*keys, "_i", "price"), vol.select(*keys, "_open", "_tp", "_sl"), keys, salts=SALTS).filter("_i > 0")
     up, down = F.col("price") >= F.col("_open") + F.col("_tp"), F.col("price") <= F.col("_open") - F.col("_sl")
     first = hits.groupBy(*keys).agg(F.min_by(F.when(up, LONG).when(down, SHORT), F.when(up | down, F.col("_i"))).alias("_hit"))
-    vol = vol.join(first, keys, "left")
+    vol = matched(vol, first, keys, "left")
     move = F.col("_close") - F.col("_open")
     label = F.when(F.col("_last") < 1, NEUTRAL).otherwise(F.coalesce("_hit", F.when(move > F.col("_tp") * 0.5, LONG).when(move < -F.col("_sl") * 0.5, SHORT).otherwise(NEUTRAL)))
     return vol.select(*keys, (F.col("_last") + 1).alias("rows"), F.col("_tp").alias("tp"), F.col("_sl").alias("sl"), label.alias("bias_label"))

@@ -7,7 +7,7 @@ cut into blocks of a fixed number of rows, so that a hot key spreads over many t
 * a bounded frame gets the neighbouring rows it needs copied into each block (``windowed``);
 * a running aggregate adds the totals of the blocks before (``running``).
 
-Both ways give the same rows.
+Both ways give the same rows; a null key is a key like others.
 """
 
 from __future__ import annotations
@@ -32,6 +32,30 @@ def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_row", packed.scalar()).select("*", "_row.*").drop("_row")
 
 
+def matched(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = 1) -> DataFrame:
+    """Join where ``on`` is equal, null with null; the left side's columns come first.
+
+    ``salts``: for a right side with one small row per key. It is repeated that often, so that the
+    rows of a hot key on the left meet it in as many tasks. Which copy a row meets changes nothing.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    names = {k: f"_on_{i}" for i, k in enumerate(on)}
+    right = right.withColumnsRenamed(names)
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()])
+    if salts > 1:
+        left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        right = right.withColumn("_salts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        same &= F.col("_salt") == F.col("_salts")
+    out = left.join(right, same, how)
+    if how == "full":
+        out = out.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.col(n)) for k, n in names.items()})
+    return out.drop(*names.values(), "_salt", "_salts")
+
+
+#: Copies of a small row per key that the rows of a hot key are joined with.
+SALTS = 16
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.max("n")).first()[0] or 0
@@ -41,17 +65,17 @@ _SIZES: ContextVar[tuple[tuple[frozenset[str], Callable[[], int]], ...]] = Conte
 
 
 @contextmanager
-def sized(df: DataFrame, keys: Sequence[str]) -> Iterator[None]:
+def sized(df: DataFrame, keys: Sequence[str], times: int = 1) -> Iterator[None]:
     """Count the groups of ``df`` once, when first asked, for all ordered steps inside.
 
-    For a chain of steps that keeps or drops rows of ``df`` but adds none: their groups by these
-    keys, or by more, are no larger than those of ``df``.
+    For a chain of steps whose groups by these keys, or by more, hold at most ``times`` as many rows
+    as those of ``df``.
     """
     found: list[int] = []
 
     def size() -> int:
         if not found:
-            found.append(largest_group(df, keys))
+            found.append(times * largest_group(df, keys))
         return found[0]
 
     token = _SIZES.set((*_SIZES.get(), (frozenset(keys), size)))
@@ -83,7 +107,7 @@ def spread(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) ->
     starts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    joined = placed.join(starts, [*keys, "_part"])
+    joined = matched(placed, starts, [*keys, "_part"])
     return joined.withColumn("_rn", F.expr("_at - _first + _base")).drop("_at", "_first", "_base", "_part")
 
 
@@ -175,7 +199,7 @@ def running(
         "_blk",
         *[_over(merge_kind.get(kind, kind), F.col(f"_t_{name}"), earlier).alias(f"_c_{name}") for name, (kind, _) in sources.items()],
     )
-    rows = rows.join(carried, [*keys, "_blk"])
+    rows = matched(rows, carried, [*keys, "_blk"])
     inside = spec([*keys, "_blk"], ["_rn"]).rowsBetween(Window.unboundedPreceding, top)
     rows = rows.withColumns({name: _merge(kind, F.col(f"_c_{name}"), _over(kind, c, inside)) for name, (kind, c) in sources.items()})
     return rows.drop("_rn", "_blk", *[f"_c_{name}" for name in sources])
@@ -193,8 +217,8 @@ def exact_quantiles(
         array = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), array).alias(name) for name, c in columns.items()])
     parts = [_spread_quantiles(df, name, c, probs, keys) for name, c in columns.items()]
-    if keys:
-        return reduce(lambda a, b: a.join(b, list(keys), "full"), parts)
+    if keys:  # a key without any value has its row too
+        return reduce(lambda a, b: matched(a, b, keys, "left"), parts, df.select(*keys).distinct())
     return reduce(beside, parts)  # one row each
 
 
@@ -202,7 +226,7 @@ def _spread_quantiles(df: DataFrame, name: str, column: str, probs: Sequence[flo
     values = df.select(*keys, F.col(column).cast("double").alias("_v")).filter("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     values = running(values, {"_to": ("sum", "_n")}, keys=keys, order=["_v"])
     sizes = values.groupBy(*keys).agg(F.max("_to").alias("_size"))
-    values = values.join(sizes, list(keys)) if keys else values.transform(beside, sizes)
+    values = matched(values, sizes, keys, salts=SALTS) if keys else values.transform(beside, sizes)
     picks = []
     for i, p in enumerate(probs):
         at = (F.col("_size") - 1) * F.lit(float(p))

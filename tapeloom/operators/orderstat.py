@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import KEYS, ORDER, largest_group, running, spread
+from tapeloom.operators.ordered import KEYS, ORDER, largest_group, matched, running, spread
 from tapeloom.runtime import frozen
 
 BASE_BITS = 4
@@ -51,9 +51,9 @@ def prefix_order(df: DataFrame, value: str, wanted: dict[str, Column], *, exclus
         for found, d, left in reversed(steps):
             digit, rest = F.when(found, d).otherwise(digit), F.when(found, left).otherwise(rest)
         asked = frozen(both.filter(is_query).select(*keys, "_pos", "_name", rest.alias("_k"), (F.shiftleft("_node", BASE_BITS) + digit).alias("_node")))
-    answers = asked.join(values.select(*keys, F.col("_vr").alias("_node"), "_v"), [*keys, "_node"])
+    answers = matched(asked, values.select(*keys, F.col("_vr").alias("_node"), "_v"), [*keys, "_node"])
     answers = answers.groupBy(*keys, F.col("_pos").alias("_rn")).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in wanted])
-    return rows.join(answers, [*keys, "_rn"], "left").drop("_rn")
+    return matched(rows, answers, [*keys, "_rn"], "left").drop("_rn")
 
 
 def prefix_quantile(df: DataFrame, value: str, name: str, q: Column, least: int = 1, *, exclusive: bool = False, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:

@@ -6,7 +6,6 @@ times, so folds travel as a short array, never as a join.
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 from collections.abc import Sequence
 
@@ -60,18 +59,14 @@ def purged_walk_forward(df: DataFrame, n_folds: int = 5, initial_train: float =
 def expanding_blocks(n: int, n_folds: int, test: float, min_train_share: float, min_train_rows: int) -> list[tuple[int, int, int]]:
     """Positions of equal test blocks over all rows after the first training part."""
     size = max(1, int(n * test))
-    first = min(max(int(n * min_train_share), min_train_rows), max(size + 50, n - size))
-    tail = max(0, n - first)
-    if tail <= 0:
+    start = min(max(int(n * min_train_share), min_train_rows), max(size + 50, n - size))
+    rows = n - start
+    if rows <= 0:
         return []
-    k = min(max(max(n_folds, math.ceil(tail / size)), 1), tail)
-    base, extra = divmod(tail, k)
-    out, at = [], first
-    for i in range(k):
-        stop = at + base + (1 if i < extra else 0)
-        out.append((i, at, stop))
-        at = stop
-    return out
+    blocks = min(max(n_folds, -(-rows // size), 1), rows)
+    # the first rows % blocks blocks hold one row more
+    cuts = [start + i * (rows // blocks) + min(i, rows % blocks) for i in range(blocks + 1)]
+    return list(zip(range(blocks), cuts, cuts[1:]))
 
 
 def expanding_walk_forward(df: DataFrame, n_folds: int = 6, test: float = 0.10, min_train_share: float = 0.20, min_train_rows: int = 200) -> DataFrame:

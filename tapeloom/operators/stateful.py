@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.machines import Machine, run
-from tapeloom.operators.ordered import KEYS, ORDER, fits, running, spread, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, fits, matched, running, spread, windowed
 from tapeloom.runtime import frozen, max_group_rows
 
 
@@ -50,7 +50,7 @@ def fold(df: DataFrame, machine: Machine, *, keys: Sequence[str] = KEYS, order:
             key, state = None, None
             for pdf in batches:
                 results = []
-                owners = list(zip(*[pdf[k].tolist() for k in key_names]))
+                owners = list(zip(*[[None if v is None or v != v else v for v in pdf[k].tolist()] for k in key_names]))
                 for owner, *values in zip(owners, *_columns(pdf, machine)):
                     if owner != key:
                         key, state = owner, copy.deepcopy(machine.start)
@@ -80,9 +80,9 @@ def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[s
     todo = states
     before = Window.partitionBy(*keys).orderBy("_blk")  # one row per block
     while True:
-        ran = needed.join(todo.select(*by_block, "_start"), by_block)
+        ran = matched(needed, todo.select(*by_block, "_start"), by_block)
         ends = ran.groupBy(*by_block).applyInPandas(end_state, schema=f"{key_types}, _end string")
-        known = states.join(ends.withColumnRenamed("_end", "_new"), by_block, "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
+        known = matched(states, ends.withColumnRenamed("_end", "_new"), by_block, "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
         next_start = F.coalesce(F.lag("_end").over(before), F.lit(begin))
         states = frozen(known.withColumn("_next", next_start).withColumn("_stale", F.col("_next") != F.col("_start")).withColumn("_start", F.col("_next")).drop("_next"))
         todo = states.filter("_stale")
@@ -95,7 +95,7 @@ def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[s
         results, _ = run(machine, json.loads(pdf["_start"].iloc[0]), _columns(pdf, machine))
         return _frame(pdf.drop(columns=["_blk", "_rn", "_start"]), machine, results)
 
-    full = rows.join(states.select(*by_block, "_start"), by_block)
+    full = matched(rows, states.select(*by_block, "_start"), by_block)
     plain = rows.drop("_blk", "_rn").select(*df.columns)
     return full.select(*df.columns, "_blk", "_rn", "_start").groupBy(*by_block).applyInPandas(output, schema=_schema(plain, machine))
 

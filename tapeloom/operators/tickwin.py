@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import book as B
 from tapeloom.functions.market import at_least, clip, is_buy, is_sell, is_trade, ratio
 from tapeloom.operators.asof import asof
-from tapeloom.operators.ordered import beside, exact_quantiles, fits, numbered, running, spec, windowed
+from tapeloom.operators.ordered import SALTS, beside, exact_quantiles, fits, matched, numbered, running, spec, windowed
 
 
 def _last(w, n: int):
@@ -76,7 +76,7 @@ def tape_speed(rows: DataFrame, seconds: float = 1.0) -> DataFrame:
     starts = rows.select("symbol", cut.alias("ts_event"), "sequence")
     before = asof(starts, counted.select("symbol", "ts_event", "sequence", "_n"), columns=["_n"], strict=True)
     before = before.select("symbol", "sequence", F.col("_n").alias("_before"))
-    return counted.join(before, ["symbol", "sequence"]).withColumn("tape_speed", F.col("_n") - F.coalesce("_before", F.lit(0))).drop("_n", "_before")
+    return matched(counted, before, ["symbol", "sequence"]).withColumn("tape_speed", F.col("_n") - F.coalesce("_before", F.lit(0))).drop("_n", "_before")
 
 
 def kyle_lambda(trades: DataFrame, n: int = 50, tail: int = 20, least: int = 5, least_z: int = 10) -> DataFrame:
@@ -246,7 +246,7 @@ def daily_context(rows: DataFrame, tick: float, open_hour: int = 8, days: int =
     prior = spec(["symbol"], ["trade_date"]).rowsBetween(-days, -1)
     usual = F.when(F.count("_range").over(prior) >= least, F.percentile("_range", 0.5).over(prior)).otherwise(default_adr * tick if default_adr > 1 else default_adr)
     daily = daily.withColumn("adr", F.greatest(usual, F.lit(tick)))
-    rows = rows.join(daily.select(*keys, "adr"), list(keys))
+    rows = matched(rows, daily.select(*keys, "adr"), keys, salts=SALTS)
     status = F.when(F.hour("ts_event") == open_hour, 0).when(F.col("price") > F.col("_ibh"), 1).when(F.col("price") < F.col("_ibl"), -1).otherwise(0)
     rows = rows.withColumns({"ib_status": status, "remaining_fuel": F.greatest(F.lit(0.0), F.col("adr") - (F.col("_hi") - F.col("_lo")))})
     return rows.withColumn("fuel_exhausted", (F.col("remaining_fuel") <= F.col("adr") * 0.1).cast("int")).drop("_hi", "_lo", "_ibh", "_ibl", "trade_date")
@@ -345,7 +345,7 @@ def runs(rows: DataFrame, flag: str) -> DataFrame:
     rows = running(rows, {"run": ("sum", "_new")}).drop("_new")
     rows = running(rows, {"run_position": ("count", F.lit(1))}, keys=("symbol", "run"))
     ends = rows.groupBy("symbol", "run").agg(F.count(F.lit(1)).alias("run_length"), F.min("ts_event").alias("run_start"), F.max("ts_event").alias("run_end"))
-    return rows.join(ends, ["symbol", "run"])
+    return matched(rows, ends, ["symbol", "run"])
 
 
 def forward_delta(rows: DataFrame, columns: dict[str, str], k: int) -> DataFrame:
