@@ -3,7 +3,9 @@
 A group within ``max_group_rows`` runs in one task. A larger one is cut in blocks that run at the
 same time, each from the state its predecessor ended with in the round before; only blocks whose
 start state changed run again. When none changes, the result is that of one pass. Rules that
-forget their past (decaying means, resets, pauses) settle in two or three rounds.
+forget their past (decaying means, resets, pauses) settle in two or three rounds. What has not
+settled after `ROUNDS` belongs to a rule that never forgets: the rest of such a key streams through
+one task, row by row, from the state known by then, so the number of rounds never grows with a key.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from tapeloom.functions.machines import Machine, run
 from tapeloom.operators.ordered import KEYS, ORDER, fits, matched, running, spread, windowed
 from tapeloom.runtime import frozen, max_group_rows
 
+#: Rounds in which all blocks run at once.
+ROUNDS = 4
 
 
 def _columns(pdf: pd.DataFrame, machine: Machine) -> list[list]:
@@ -44,25 +48,31 @@ def fold(df: DataFrame, machine: Machine, *, keys: Sequence[str] = KEYS, order:
     Only the machine's columns, keys and order travel through Python; select what you need first.
     """
     if fits(df, keys):
-        key_names, step = list(keys), machine.step
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            key, state = None, None
-            for pdf in batches:
-                results = []
-                owners = list(zip(*[[None if v is None or v != v else v for v in pdf[k].tolist()] for k in key_names]))
-                for owner, *values in zip(owners, *_columns(pdf, machine)):
-                    if owner != key:
-                        key, state = owner, copy.deepcopy(machine.start)
-                    result, state = step(state, *values)
-                    results.append(result)
-                yield _frame(pdf, machine, results)
-
         rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)  # a key's rows follow each other in one task
-        return rows.mapInPandas(walk, schema=_schema(df, machine))
+        return rows.mapInPandas(_walk(machine, list(keys)), schema=_schema(df, machine))
     return _fold_blocks(df, machine, list(keys), list(order))
 
 
+def _walk(machine: Machine, keys: list[str], start: str | None = None, drop: Sequence[str] = ()):
+    """Stream sorted rows through the machine, key by key; ``start``: column of a key's first state, as JSON."""
+    step = machine.step
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, begun = None, None, False
+        for pdf in batches:
+            results = []
+            owners = list(zip(*[[None if v is None or v != v else v for v in pdf[k].tolist()] for k in keys]))
+            starts = pdf[start].tolist() if start else [None] * len(pdf)
+            for owner, first, *values in zip(owners, starts, *_columns(pdf, machine)):
+                if owner != key or not begun:
+                    key, state, begun = owner, json.loads(first) if start else copy.deepcopy(machine.start), True
+                result, state = step(state, *values)
+                results.append(result)
+            yield _frame(pdf.drop(columns=list(drop)), machine, results)
+
+    return walk
+
+
 def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[str]) -> DataFrame:
     block = max_group_rows(df.sparkSession)
     rows = frozen(spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}")))
@@ -79,14 +89,15 @@ def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[s
     states = frozen(rows.select(*by_block).distinct().withColumn("_start", F.lit(begin)).withColumn("_end", F.lit(None).cast("string")))
     todo = states
     before = Window.partitionBy(*keys).orderBy("_blk")  # one row per block
-    while True:
+    for turn in range(ROUNDS):
         ran = matched(needed, todo.select(*by_block, "_start"), by_block)
         ends = ran.groupBy(*by_block).applyInPandas(end_state, schema=f"{key_types}, _end string")
         known = matched(states, ends.withColumnRenamed("_end", "_new"), by_block, "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
         next_start = F.coalesce(F.lag("_end").over(before), F.lit(begin))
         states = frozen(known.withColumn("_next", next_start).withColumn("_stale", F.col("_next") != F.col("_start")).withColumn("_start", F.col("_next")).drop("_next"))
         todo = states.filter("_stale")
-        if todo.isEmpty():
+        settled = todo.isEmpty()
+        if settled or turn == ROUNDS - 1:
             break
         states = states.drop("_stale")
 
@@ -95,9 +106,19 @@ def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[s
         results, _ = run(machine, json.loads(pdf["_start"].iloc[0]), _columns(pdf, machine))
         return _frame(pdf.drop(columns=["_blk", "_rn", "_start"]), machine, results)
 
-    full = matched(rows, states.select(*by_block, "_start"), by_block)
     plain = rows.drop("_blk", "_rn").select(*df.columns)
-    return full.select(*df.columns, "_blk", "_rn", "_start").groupBy(*by_block).applyInPandas(output, schema=_schema(plain, machine))
+    schema = _schema(plain, machine)
+    # blocks before a key's first stale one are final, and so is that one's start
+    heads = todo.groupBy(*keys).agg(F.min("_blk").alias("_head"))
+    final = states if settled else matched(states, heads, keys, "left").filter(F.col("_head").isNull() | (F.col("_blk") < F.col("_head")))
+    full = matched(rows, final.select(*by_block, "_start"), by_block)
+    out = full.select(*df.columns, "_blk", "_rn", "_start").groupBy(*by_block).applyInPandas(output, schema=schema)
+    if settled:
+        return out
+    heads = todo.groupBy(*keys).agg(F.min("_blk").alias("_head"), F.min_by("_start", "_blk").alias("_start"))
+    rest = matched(rows, heads, keys).filter(F.col("_blk") >= F.col("_head")).select(*df.columns, "_rn", "_start")
+    rest = rest.repartition(*keys).sortWithinPartitions(*keys, "_rn")
+    return out.unionByName(rest.mapInPandas(_walk(machine, keys, "_start", ["_rn", "_start"]), schema=schema))
 
 
 # --------------------------------------------------------------------------- composed rules

@@ -147,3 +147,24 @@ def test_null_long_keys_keep_their_state(spark):
     rows = null_keyed(spark).select("symbol", "ts_event", "sequence", F.col("price"))
     got = fold(rows, Ewma("price", 0.0))
     assert got.where("symbol is null").select("ewma").distinct().count() == 1
+
+
+@pytest.mark.parametrize("blocks", [4, 16])
+def test_a_rule_that_never_forgets_needs_a_fixed_number_of_rounds(spark, blocks, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tapeloom.functions import machines
+    from tapeloom.operators import stateful
+
+    rounds = []
+    frozen = stateful.frozen
+    monkeypatch.setattr(stateful, "frozen", lambda df: rounds.append(1) or frozen(df))
+    rows = spark.range(64 * blocks).select(F.when(F.col("id") % 4 > 0, F.lit(1)).alias("symbol"), F.col("id").alias("ts_event"), F.col("id").alias("sequence"), (F.col("id") % 7).cast("double").alias("close"))
+    rule = machines.KalmanLevel(noise=1e-3, drift=0.0)
+    whole = canonical(stateful.fold(rows, rule))
+    spark.conf.set(MAX_GROUP_ROWS_KEY, "48")
+    try:
+        cut = canonical(stateful.fold(rows, rule))
+    finally:
+        spark.conf.unset(MAX_GROUP_ROWS_KEY)
+    assert whole == cut and len(rounds) <= stateful.ROUNDS + 2
