@@ -1,7 +1,8 @@
 """Forward labels: which barrier the price meets first, and when the label is known.
 
-Each row sees the next h rows of its symbol as one array from a bounded frame; searches in that
-array stay inside the task. Every label carries ``label_end_ts``.
+The first barrier met is found while a symbol's rows stream by (`ahead.first_ahead`). Searches that
+look at the path itself see the next h rows as one array from a bounded frame. Every label carries
+``label_end_ts``.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
+from tapeloom.operators.ahead import first_ahead
 from tapeloom.operators.ordered import KEYS, ORDER, SALTS, beside, exact_quantiles, fits, matched, windowed
 from tapeloom.operators.orderstat import prefix_quantile
 
@@ -99,10 +101,15 @@ def barrier_parts(df: DataFrame, rule: BarrierRule, price: str = "mid_price", vo
     return df.withColumns({"upper_barrier": F.col(price) + F.col("upper_distance"), "lower_barrier": F.col(price) - F.col("lower_distance")}).drop("_floor")
 
 
-def _decide(df: DataFrame, future: Column, price: str) -> DataFrame:
-    """Label columns from barriers and the array of later prices."""
-    up, down, band = F.col("upper_barrier"), F.col("lower_barrier"), F.col("neutral_distance")
-    df = df.withColumns({"_hit": first_where(future, lambda x: (x[price] >= up) | (x[price] <= down)), "_end": last_of(future)})
+def _raced(df: DataFrame, future: Column, price: str) -> DataFrame:
+    """The first barrier met and the last row, from an array of later rows."""
+    up, down = F.col("upper_barrier"), F.col("lower_barrier")
+    return df.withColumns({"_hit": first_where(future, lambda x: (x[price] >= up) | (x[price] <= down)), "_end": last_of(future)})
+
+
+def _decide(df: DataFrame, price: str) -> DataFrame:
+    """Label columns from the first barrier met, ``_hit``, and the last row looked at, ``_end``."""
+    up, band = F.col("upper_barrier"), F.col("neutral_distance")
     hit, end = F.col("_hit"), F.col("_end")
     stop = F.coalesce(hit, end)
     move = end[price] - F.col(price)
@@ -134,8 +141,8 @@ def triple_barrier(df: DataFrame, rule: BarrierRule, price: str = "mid_price") -
     """First of the upper and lower barrier within the horizon, else the last move against a band."""
     missing = F.when(F.col(price).isNull(), F.raise_error(F.lit("a row has no price")).cast("double")).otherwise(F.col(price))
     df = fill_volatility(df.withColumn(price, missing), rule.tick, price)
-    df = with_future(barrier_parts(df, rule, price), [price, "ts_event"], rule.horizon)
-    return _decide(df, F.col("_future"), price).drop("_n", "_future")
+    df = first_ahead(barrier_parts(df, rule, price), rule.horizon, {"_hit": ("upper_barrier", "lower_barrier")}, price)
+    return _decide(df.withColumn("_n", F.lit(0)), price).drop("_n")
 
 
 def label_grid(df: DataFrame, horizons: Sequence[int], tps: Sequence[float], sls: Sequence[float], neutrals: Sequence[float], rule: BarrierRule, price: str = "mid_price") -> DataFrame:
@@ -155,7 +162,7 @@ def label_grid(df: DataFrame, horizons: Sequence[int], tps: Sequence[float], sls
             "neutral_distance": F.greatest(F.col("base") * F.col("neutral_mult"), F.col("_fl")),
         }
     )
-    rows = _decide(rows, F.slice("_future", F.lit(1), F.col("horizon")), price)
+    rows = _decide(_raced(rows, F.slice("_future", F.lit(1), F.col("horizon")), price), price)
     keys = ["horizon", "tp_mult", "sl_mult", "neutral_mult"]
     share = lambda c: F.avg(c.cast("double"))
     out = rows.groupBy(*keys).agg(
@@ -250,8 +257,6 @@ def first_touch(df: DataFrame, h: int, tick: float, *, tp: float = 1.5, sl: floa
     h. With ``walls`` the targets end before strong walls (columns bid_wall_px, ask_wall_px and
     their strengths).
     """
-    df = with_future(df, [price, "ts_event"], h)
-    future = F.slice("_future", F.lit(1), F.least(F.col(horizon), F.lit(h))) if horizon else F.col("_future")
     p0 = F.col(price)
     thr = F.greatest(F.col(threshold), F.lit(tick))
     target = F.greatest(thr * tp, F.lit(max(floor_ticks, 0.0) * tick))
@@ -260,15 +265,12 @@ def first_touch(df: DataFrame, h: int, tick: float, *, tp: float = 1.5, sl: floa
         least = max(2.0, floor_ticks)
         up = F.least(target, F.coalesce(wall_target(p0, F.col("ask_wall_px"), F.col("ask_wall_strength"), LONG, tick, least), target))
         down = F.least(target, F.coalesce(wall_target(p0, F.col("bid_wall_px"), F.col("bid_wall_strength"), SHORT, tick, least), target))
-    df = df.withColumns({"tp_long": up, "tp_short": down, "stop_distance": thr * sl, "_f": future})
+    df = df.withColumns({"tp_long": up, "tp_short": down, "stop_distance": thr * sl})
+    df = df.withColumns({"_below_long": -F.col("stop_distance"), "_below_short": -F.col("tp_short"), "_n": F.lit(0)})
+    races = {"_l": ("tp_long", "_below_long"), "_s": ("stop_distance", "_below_short")}
+    df = first_ahead(df, h, races, price, moves=True, horizon=horizon)
     move = lambda x: x[price] - p0
-    tl, ts, s = F.col("tp_long"), F.col("tp_short"), F.col("stop_distance")
-    df = df.withColumns(
-        {
-            "_l": first_where(F.col("_f"), lambda x: (move(x) >= tl) | (move(x) <= -s)),
-            "_s": first_where(F.col("_f"), lambda x: (move(x) <= -ts) | (move(x) >= s)),
-        }
-    )
+    tl, ts = F.col("tp_long"), F.col("tp_short")
     lhit, shit = F.col("_l"), F.col("_s")
     lwin, swin = F.coalesce(move(lhit) >= tl, F.lit(False)), F.coalesce(move(shit) <= -ts, F.lit(False))
     lfirst = lhit.isNotNull() & (shit.isNull() | (lhit["_n"] <= shit["_n"]))
@@ -287,7 +289,7 @@ def first_touch(df: DataFrame, h: int, tick: float, *, tp: float = 1.5, sl: floa
             "label_horizon_steps": F.coalesce(end["_n"] - F.col("_n"), F.lit(0)),
             "terminal_move": F.coalesce(end[price] - p0, F.lit(0.0)),
         }
-    ).drop("_n", "_future", "_f", "_l", "_s")
+    ).drop("_n", "_l", "_s", "_end", "_below_long", "_below_short")
 
 
 def path_columns(df: DataFrame) -> DataFrame:

@@ -118,6 +118,18 @@ def numbered(df: DataFrame, name: str = "rn", keys: Sequence[str] = KEYS, order:
     return spread(df, keys, order).withColumnRenamed("_rn", name)
 
 
+def haloed(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], before: int = 0, after: int = 0) -> DataFrame:
+    """Rows in blocks ``_blk``, each with the rows before and after it that it needs; its own ones are ``_own``."""
+    block = max(max_group_rows(df.sparkSession), before, after, 1)
+    rows = spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}")).withColumn("_off", F.expr(f"_rn % {block}"))
+    copies = [F.struct(F.col("_blk").alias("_blk"), F.lit(True).alias("_own"))]
+    if before:
+        copies.append(F.when(F.col("_off") >= block - before, F.struct((F.col("_blk") + 1).alias("_blk"), F.lit(False).alias("_own"))))
+    if after:
+        copies.append(F.when((F.col("_off") < after) & (F.col("_blk") > 0), F.struct((F.col("_blk") - 1).alias("_blk"), F.lit(False).alias("_own"))))
+    return rows.withColumn("_copy", F.explode(F.array_compact(F.array(*copies)))).drop("_blk", "_off").select("*", "_copy.*").drop("_copy")
+
+
 def windowed(
     df: DataFrame,
     fn: Callable[[DataFrame, WindowSpec], DataFrame],
@@ -134,14 +146,7 @@ def windowed(
     """
     if not check or fits(df, keys):
         return fn(df, spec(keys, order))
-    block = max(max_group_rows(df.sparkSession), before, after, 1)
-    rows = spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}")).withColumn("_off", F.expr(f"_rn % {block}"))
-    copies = [F.struct(F.col("_blk").alias("_blk"), F.lit(True).alias("_own"))]
-    if before:
-        copies.append(F.when(F.col("_off") >= block - before, F.struct((F.col("_blk") + 1).alias("_blk"), F.lit(False).alias("_own"))))
-    if after:
-        copies.append(F.when((F.col("_off") < after) & (F.col("_blk") > 0), F.struct((F.col("_blk") - 1).alias("_blk"), F.lit(False).alias("_own"))))
-    rows = rows.withColumn("_copy", F.explode(F.array_compact(F.array(*copies)))).drop("_blk", "_off").select("*", "_copy.*").drop("_copy")
+    rows = haloed(df, keys, order, before, after)
     out = fn(rows, spec([*keys, "_blk"], ["_rn"]))
     return out.filter("_own").drop("_rn", "_blk", "_own")
 
