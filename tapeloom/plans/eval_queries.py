@@ -414,14 +414,36 @@ def spearman_matrix(spark, sf_dir):
     return E.spearman_matrix(feature_rows(spark, sf_dir), FEATURES)
 
 
-@query("e8_redundancy_filter")
+def _closeness(columns: list[str]) -> str:
+    """Rank correlations of the columns with each other as a table m(a, b, r), from rows ``ft``."""
+    ranks = ", ".join(RANK.format(c=c) + f" AS r_{c}" for c in columns)
+    cells = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'r': (SELECT coalesce(abs(corr(r_{a}, r_{b})), 0) FROM fr)}}" for a in columns for b in columns)
+    return f"fr AS (SELECT {ranks} FROM ft), m AS (SELECT u.a, u.b, u.r FROM (SELECT unnest([{cells}]) AS u))"
+
+
+TWINS = ["price", "price_twin", "size", "prob_long"]
+REDUNDANCY_SQL = f"""{PRED.replace("WITH ", "WITH RECURSIVE ", 1)}, ft AS (SELECT *, price * 2 AS price_twin FROM pred), {_closeness([*TWINS, "realized_return"])},
+near AS (SELECT a, list(b) FILTER (a <> b AND r > 0.85) AS close, max(r) FILTER (b = 'realized_return') AS rel FROM m WHERE a <> 'realized_return' GROUP BY a),
+ranked AS (SELECT a, coalesce(close, []) AS close, row_number() OVER (ORDER BY rel DESC, list_position({TWINS}, a)) AS n FROM near),
+walk AS (SELECT 0::BIGINT AS n, []::VARCHAR[] AS kept UNION ALL SELECT r.n, CASE WHEN list_has_any(w.kept, r.close) THEN w.kept ELSE list_append(w.kept, r.a) END FROM walk w JOIN ranked r ON r.n = w.n + 1),
+done AS (SELECT kept FROM walk ORDER BY n DESC LIMIT 1)
+SELECT unnest(range(len(kept)))::BIGINT AS rank, unnest(kept) AS feature FROM done"""
+MRMR_SQL = f"""{PRED}, ft AS (SELECT *, hour(ts_event)::DOUBLE AS hourly FROM pred), {_closeness([*FEATURES, "realized_return"])},
+rel AS (SELECT a AS f, r, list_position({FEATURES}, a) AS o FROM m WHERE b = 'realized_return' AND a <> b),
+p1 AS (SELECT f FROM rel ORDER BY r DESC, o LIMIT 1),
+p2 AS (SELECT rel.f FROM rel JOIN m ON m.a = rel.f JOIN p1 ON m.b = p1.f WHERE rel.f <> p1.f ORDER BY rel.r - m.r DESC, o LIMIT 1),
+p3 AS (SELECT rel.f FROM rel JOIN m ON m.a = rel.f WHERE m.b IN (FROM p1 UNION ALL FROM p2) AND rel.f NOT IN (FROM p1 UNION ALL FROM p2) GROUP BY rel.f, rel.r, o ORDER BY rel.r - avg(m.r) DESC, o LIMIT 1)
+SELECT 0::BIGINT AS rank, f AS feature FROM p1 UNION ALL SELECT 1, f FROM p2 UNION ALL SELECT 2, f FROM p3"""
+
+
+@query("e8_redundancy_filter", REDUNDANCY_SQL)
 def redundancy_filter(spark, sf_dir):
     rows = feature_rows(spark, sf_dir).withColumn("price_twin", F.col("price") * 2)
-    kept = E.redundancy_filter(rows, ["price", "price_twin", "size", "prob_long"], "realized_return")
+    kept = E.redundancy_filter(rows, TWINS, "realized_return")
     return spark.createDataFrame(list(enumerate(kept)), "rank long, feature string")
 
 
-@query("e9_mrmr")
+@query("e9_mrmr", MRMR_SQL)
 def mrmr(spark, sf_dir):
     picked = E.mrmr(feature_rows(spark, sf_dir), FEATURES, "realized_return", 3)
     return spark.createDataFrame(list(enumerate(picked)), "rank long, feature string")
