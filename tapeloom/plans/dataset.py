@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tapeloom.operators import asof, clean, labels, snapshots, splits
-from tapeloom.operators.ordered import sized
+from tapeloom.operators.evaluate import label_distribution
+from tapeloom.operators.ordered import beside, sized
 from tapeloom.sources import tables
 
 KEYS = ["symbol", "ts_event", "sequence"]
@@ -51,3 +55,84 @@ def write(rows: DataFrame, root: str) -> DataFrame:
     """Write features, labels and metadata, with a manifest."""
     names = feature_names(rows)
     return tables.write_artifact(root, rows.select(*KEYS, *names), rows.select(*KEYS, *LABELS), rows.select(*KEYS), {"schema_version": "1"})
+
+
+# ------------------------------------------------------------------------------ the artifact
+REPORTS = ["data_validation", "symbols_before_filters", "feature_report", "label_distribution", "leakage_report", "shards"]
+
+
+def _only(df: DataFrame, symbol) -> DataFrame:
+    return df if symbol is None else df.filter(F.col("symbol") == F.lit(symbol))
+
+
+def validation(ticks: DataFrame, book: DataFrame, tick: float, symbol=None, max_rows: int = 0) -> DataFrame:
+    """One row: rows after each filter, the share of snapshots with a flow state, and what speaks against writing.
+
+    ``max_rows`` refuses larger datasets, it never cuts them (0: no limit).
+    """
+    t, b = _only(ticks, symbol), _only(book, symbol)
+    valid = clean.reject_invalid_books(b, tick)
+    rows = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    flow = asof.align_flow(valid.select(*KEYS), asof.flow_state(t)).agg(F.count(F.lit(1)).alias("feature_rows"), F.count("mbo_state_ts").alias("matched_rows"))
+    out = reduce(beside, [rows(t, "tick_rows"), rows(b, "book_rows"), flow])
+    out = out.withColumn("match_rate", F.col("matched_rows") / F.greatest("feature_rows", F.lit(1)))
+    c, listed = F.col, lambda rules: F.concat_ws(",", *[F.when(test, F.lit(name)) for name, test in rules.items()])
+    critical = {
+        "empty_ticks_after_filters": c("tick_rows") == 0,
+        "empty_book_after_filters": c("book_rows") == 0,
+        "no_valid_book_rows": (c("book_rows") > 0) & (c("feature_rows") == 0),
+        "max_rows_exceeded": (F.lit(max_rows) > 0) & (c("feature_rows") > max_rows),
+    }
+    warnings = {"book_rows_rejected": c("feature_rows") < c("book_rows"), "low_match_rate": (c("feature_rows") > 0) & (c("match_rate") < 0.5)}
+    out = out.withColumns({"critical": listed(critical), "warnings": listed(warnings)})
+    return out.withColumn("passed", F.col("critical") == "")
+
+
+def symbol_counts(ticks: DataFrame, book: DataFrame) -> DataFrame:
+    """Rows of each symbol in both feeds before any filter."""
+    count = lambda df, feed: df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(feed).alias("feed"), "symbol", "rows")
+    return count(ticks, "ticks").unionByName(count(book, "book"))
+
+
+def feature_report(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Of each feature: nulls, mean, smallest and largest value, and whether it varies. One pass."""
+    cells = [
+        F.struct(
+            F.lit(n).alias("feature"), (F.count(F.lit(1)) - F.count(n)).alias("nulls"), F.avg(F.col(n).cast("double")).alias("mean"),
+            F.min(F.col(n).cast("double")).alias("min"), F.max(F.col(n).cast("double")).alias("max"),
+        )
+        for n in names
+    ]
+    out = rows.agg(F.array(*cells).alias("f")).select(F.explode("f").alias("f")).select("f.*")
+    return out.withColumn("varies", F.coalesce(F.col("min") < F.col("max"), F.lit(False)))
+
+
+def prepare(ticks: DataFrame, book: DataFrame, rule: labels.BarrierRule, root: str, *, frames: tuple[int, ...] = snapshots.ROLLING, symbol=None, max_rows: int = 0, dry_run: bool = False) -> DataFrame:
+    """Check the feeds, then write the artifact and its reports under ``root``; returns the validation row.
+
+    The validation and the symbol counts are written first, also when nothing else is: on a dry run,
+    and when something critical was found, which raises.
+    """
+    spark = ticks.sparkSession
+    tables.write_report(symbol_counts(ticks, book), f"{root}/symbols_before_filters")
+    report = validation(ticks, book, rule.tick, symbol, max_rows)
+    tables.write_report(report, f"{root}/data_validation")
+    report = spark.read.schema(report.schema).json(f"{root}/data_validation")
+    found = report.first()
+    if dry_run:
+        return report
+    if not found["passed"]:
+        raise RuntimeError(f"data validation failed: {found['critical']}")
+    rows = labelled(_only(ticks, symbol), _only(book, symbol), rule, frames)
+    price = F.coalesce("mid_price", "microprice")
+    rows = rows.withColumns({"open": price, "high": price, "low": price, "raw__cvd": F.col("mbo_cvd")})
+    weights = {"soft_sample_weight": F.lit(1.0), "mc_sample_weight": F.lit(1.0)}
+    names = feature_names(rows)
+    extra = ["mbo_state_ts"]
+    tables.write_artifact(root, rows.select(*KEYS, *names), rows.select(*KEYS, *LABELS).withColumns(weights), rows.select(*KEYS, *extra), {"schema_version": "1"})
+    done = tables.load_artifact(spark, root)
+    tables.write_report(feature_report(done, names), f"{root}/feature_report")
+    tables.write_report(label_distribution(done), f"{root}/label_distribution")
+    tables.write_report(splits.leakage_report(done.withColumn("feature_ts", F.coalesce("mbo_state_ts", "ts_event")), names), f"{root}/leakage_report")
+    tables.write_report(tables.shard_report(spark, f"{root}/features"), f"{root}/shards")
+    return report

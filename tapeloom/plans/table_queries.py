@@ -421,3 +421,49 @@ def dataset_leakage(spark, sf_dir):
 
     rows = labelled_rows(spark, sf_dir).withColumn("feature_ts", F.coalesce("mbo_state_ts", "ts_event"))
     return T.leakage_report(rows, dataset.feature_names(rows)).drop("max_label_end_ts")
+
+
+def _prepared(spark, sf_dir, **options):
+    """Run the preparation; the folder it wrote to, and its error if it refused."""
+    from tapeloom.operators.labels import BarrierRule
+    from tapeloom.plans import dataset
+
+    root = shared_path(spark, "prepared")
+    try:
+        dataset.prepare(V.ticks(spark, sf_dir), V.book(spark, sf_dir), BarrierRule(horizon=12, tick=0.01), root, frames=(20, 50), **options)
+    except RuntimeError as refused:
+        return root, str(refused)
+    return root, None
+
+
+VALID_SQL = f"(SELECT count(*) FROM ({V.TICKS} SELECT * FROM ticks)) AS tick_rows, r.rows AS book_rows, r.rows AS feature_rows, r.matched_rows, r.matched_rows::DOUBLE / r.rows AS match_rate"
+VALID_COLS = "tick_rows book_rows feature_rows matched_rows match_rate critical warnings passed".split()
+
+
+@query("s9_data_validation", f"SELECT {VALID_SQL}, '' AS critical, '' AS warnings, true AS passed FROM ({ORACLES['j3_age_report']}) r", "match_rate")
+def data_validation(spark, sf_dir):
+    root, _ = _prepared(spark, sf_dir, dry_run=True)
+    return spark.read.json(f"{root}/data_validation").select(*VALID_COLS)
+
+
+@query(
+    "s9_prepared_rows",
+    f"SELECT a.symbol, a.ts_event, a.sequence, a.cvd, a.obi, a.cvd AS raw__cvd, 1.0::DOUBLE AS soft_sample_weight FROM ({ORACLES['f28_p25_compat_features']}) a",
+    "cvd obi raw__cvd soft_sample_weight",
+    digits=7,
+)
+def prepared_rows(spark, sf_dir):
+    root, _ = _prepared(spark, sf_dir)
+    return R.load_artifact(spark, root).select(*KEY, "cvd", "obi", "raw__cvd", "soft_sample_weight")
+
+
+@query("s9_refused", f"SELECT {VALID_SQL}, 'max_rows_exceeded' AS critical, '' AS warnings, false AS passed, 'data validation failed: max_rows_exceeded' AS error FROM ({ORACLES['j3_age_report']}) r", "match_rate")
+def refused(spark, sf_dir):
+    root, error = _prepared(spark, sf_dir, max_rows=10)
+    return spark.read.json(f"{root}/data_validation").select(*VALID_COLS, F.lit(error).alias("error"))
+
+
+@query("s9_symbols_before_filters", f"{V.BOOK} SELECT 'ticks' AS feed, symbol, count(*) AS rows FROM ticks GROUP BY 2 UNION ALL SELECT 'book', symbol, count(*) FROM book GROUP BY 2")
+def symbols_before_filters(spark, sf_dir):
+    root, _ = _prepared(spark, sf_dir, symbol=-1, dry_run=True)
+    return spark.read.json(f"{root}/symbols_before_filters").select("feed", "symbol", "rows")
