@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tapeloom.llm.common import slices
 
-RATE = 0.05
+RATE = 0.08
 FREE = 20
 BATCH_CHARS = 8_000_000
 HITS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("distance", T.IntegerType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]), False)
