@@ -51,20 +51,27 @@ def microprice(bid_weighted: bool = False) -> Column:
     return F.when(valid_bbo() & (bs + as_ > 0), top / (bs + as_))
 
 
-def depth_imbalance(levels: int = LEVELS) -> Column:
-    b, a = depth("bid_sz", levels), depth("ask_sz", levels)
+def imbalance(bids: str | Column, asks: str | Column) -> Column:
+    """What one side has more than the other, as a share of both."""
+    b, a = (F.col(c) if isinstance(c, str) else c for c in (bids, asks))
     return (b - a) / F.greatest(b + a, F.lit(1e-12))
 
 
+def depth_imbalance(levels: int = LEVELS) -> Column:
+    return imbalance(depth("bid_sz", levels), depth("ask_sz", levels))
+
+
 def weighted_imbalance(levels: int = LEVELS, clipped: bool = False) -> Column:
-    b, a = weighted_depth("bid_sz", levels), weighted_depth("ask_sz", levels)
-    value = (b - a) / F.greatest(b + a, F.lit(1e-12))
+    value = imbalance(weighted_depth("bid_sz", levels), weighted_depth("ask_sz", levels))
     return clip(value, -1, 1) if clipped else value
 
 
+def pressure(imbalance_: Column, gap: Column) -> Column:
+    return F.when(gap.isNull(), F.lit(0.0)).otherwise(imbalance_ / F.greatest(gap, F.lit(1e-12)))
+
+
 def liquidity_pressure(levels: int = LEVELS) -> Column:
-    gap = spread()
-    return F.when(gap.isNull(), F.lit(0.0)).otherwise(weighted_imbalance(levels) / F.greatest(gap, F.lit(1e-12)))
+    return pressure(weighted_imbalance(levels), spread())
 
 
 def level_imbalance() -> Column:

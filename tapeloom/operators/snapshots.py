@@ -17,19 +17,14 @@ ROLLING = (5, 20, 50, 100)
 
 
 def top_of_book(rows: DataFrame) -> DataFrame:
-    """Mid, spread, microprice, depth and imbalances of each snapshot."""
-    return rows.withColumns(
-        {
-            "mid_price": B.mid(),
-            "spread": B.spread(),
-            "microprice": B.microprice(),
-            "bid_depth": B.depth("bid_sz"),
-            "ask_depth": B.depth("ask_sz"),
-            "depth_imbalance": B.depth_imbalance(),
-            "order_book_imbalance": B.weighted_imbalance(),
-            "liquidity_pressure": B.liquidity_pressure(),
-        }
-    )
+    """Mid, spread, microprice, depth and imbalances of each snapshot.
+
+    Depths are columns before others use them, so each sum over the levels is taken once.
+    """
+    sums = {"bid_depth": B.depth("bid_sz"), "ask_depth": B.depth("ask_sz"), "_bids": B.weighted_depth("bid_sz"), "_asks": B.weighted_depth("ask_sz")}
+    out = rows.withColumns({"mid_price": B.mid(), "spread": B.spread(), "microprice": B.microprice(), **sums})
+    out = out.withColumns({"depth_imbalance": B.imbalance("bid_depth", "ask_depth"), "order_book_imbalance": B.imbalance("_bids", "_asks")})
+    return out.withColumn("liquidity_pressure", B.pressure(F.col("order_book_imbalance"), F.col("spread"))).drop("_bids", "_asks")
 
 
 def _side_flow(px: Column, sz: Column, prev_px: Column, prev_sz: Column, better: Column) -> Column:
