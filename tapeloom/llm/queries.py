@@ -100,14 +100,52 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op3_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words
+), sizes AS (SELECT doc_id, len(s) AS n FROM sets), items AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL
+), links AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT s.doc_id, s.n::BIGINT AS n_shingles, r.component_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM sizes s JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = s.doc_id LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) k ON k.a = s.doc_id
+"""
+
+
+@query("op3_jaccard_join", JACCARD_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents alike in 90 % of their three-word shingles."""
     found = jaccard.components(table(spark, sf_dir, "documents").select("doc_id", "text"), size=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
-@query("op4_secret_scan")
+def _spans_sql(rule: secret_scan.Rule, order: int) -> str:
+    """A list of {start, order, end, kind} of one rule's matches in t."""
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    sizes, checked = (f"list_transform(regexp_extract_all(t, {pattern}, {g}), lambda x: length(x))" for g in (0, rule.group))
+    gaps = f"list_transform(string_split_regex(t, {pattern}), lambda x: length(x))"
+    made = "list_transform(range(1, len(z) + 1), lambda i: {'at': list_sum(g[1:i]) + coalesce(list_sum(z[1:i - 1]), 0), 'size': z[i], 'checked': c[i]})"
+    kept = f"list_transform(list_filter(m, lambda x: x.checked >= {rule.least}), lambda x: {{'start': x.at::BIGINT, 'ord': {order}, 'stop': (x.at + x.size)::BIGINT, 'kind': '{rule.kind}'}})"
+    return f"(SELECT {kept} FROM (SELECT {made} AS m FROM (SELECT {gaps} AS g, {sizes} AS z, {checked} AS c)))"
+
+
+_JOINED_SQL = "array_to_string(list_transform({0}, lambda x: x.kind || ':' || x.start || ':' || x.stop), ',')"
+_BASE_KINDS = ", ".join(f"'{r.kind}'" for r in secret_scan.BASE_RULES)
+SECRET_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS (SELECT doc_id, list_sort(list_concat({", ".join(_spans_sql(r, i) for i, r in enumerate(secret_scan.RULES))})) AS s FROM docs)
+SELECT doc_id, {", ".join(f"len(list_filter(s, lambda x: x.kind = '{r.kind}'))::BIGINT AS n_{r.kind}" for r in secret_scan.BASE_RULES)},
+  sha256({_JOINED_SQL.format(f"list_filter(s, lambda x: x.kind IN ({_BASE_KINDS}))")}) AS base_sha256, {_JOINED_SQL.format("s")} AS spans
+FROM found
+"""
+
+
+@query("op4_secret_scan", SECRET_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
