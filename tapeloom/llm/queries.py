@@ -188,7 +188,7 @@ convs AS (
     least(len(p), len(q))) AS n
   FROM sides
 ), parts AS (SELECT chosen_id, rejected_id, n, p[1:n] AS s, p[n + 1:] AS a, q[n + 1:] AS b FROM cut)
-SELECT chosen_id, rejected_id, n AS n_prompt_turns, {_text_sql("s")} AS prompt, {_text_sql("a")} AS chosen, {_text_sql("b")} AS rejected,
+SELECT chosen_id, coalesce(rejected_id, -1) AS rejected_id, n AS n_prompt_turns, {_text_sql("s")} AS prompt, {_text_sql("a")} AS chosen, {_text_sql("b")} AS rejected,
   {_mask_sql("a")} AS chosen_mask, {_mask_sql("b")} AS rejected_mask
 FROM parts
 """
@@ -196,11 +196,11 @@ FROM parts
 
 @query("op7_preference_format", PREFERENCE_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation as the chosen side of a preference pair."""
+    """Every conversation as the chosen side of a preference pair; rejected_id is -1 where there is no other side."""
     turns = table(spark, sf_dir, "conversations")
     made = preference.pairs_formatted(preference.same_start_pairs(turns))
     mask = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c)
-    return made.select("chosen_id", "rejected_id", F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", mask("chosen_mask"), mask("rejected_mask"))
+    return made.select("chosen_id", F.coalesce("rejected_id", F.lit(-1)).alias("rejected_id"), F.col("n_prompt_turns").cast("long").alias("n_prompt_turns"), "prompt", "chosen", "rejected", mask("chosen_mask"), mask("rejected_mask"))
 
 
 @query("op9_decontamination")
