@@ -275,17 +275,27 @@ def risk_flags(slices: DataFrame, summary: DataFrame, least_events: int = 10_000
 
 
 def spearman_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Rank correlation of every pair of features; ranks once, then one pass of sums."""
+    """Rank correlation of every pair of features over the rows that have both.
+
+    Features without nulls are ranked once and then summed in one pass; pairs with a feature that has
+    nulls are ranked on their common rows.
+    """
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    ranked = rows
-    for f in features:
-        counts = rows.filter(F.col(f).isNotNull()).groupBy(f).agg(F.count(F.lit(1)).alias("_n"))
+    nulls = rows.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features]).first()
+    whole = [f for f in features if not nulls[f]]
+    ranked = rows.select(*whole)
+    for f in whole:
+        counts = rows.groupBy(f).agg(F.count(F.lit(1)).alias("_n"))
         counts = running(counts, {"_to": ("sum", "_n")}, keys=(), order=[f])
-        ranked = ranked.join(counts.select(f, (F.col("_to") - (F.col("_n") - 1) / 2.0).alias(f"_r_{f}")), f, "left")
+        ranked = ranked.join(counts.select(f, (F.col("_to") - (F.col("_n") - 1) / 2.0).alias(f"_r_{f}")), f)
     pairs = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    sums = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.col(f"`{a}|{b}`")).alias("rho")) for a, b in pairs])
-    half = sums.select(F.explode(cells).alias("c")).select("c.*")
+    parts = [spearman(rows, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs("rho").alias("rho")) for a, b in pairs if nulls[a] or nulls[b]]
+    if whole:
+        full = [(a, b) for a, b in pairs if not nulls[a] and not nulls[b]]
+        sums = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in full])
+        cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.abs(F.col(f"`{a}|{b}`")).alias("rho")) for a, b in full])
+        parts.append(sums.select(F.explode(cells).alias("c")).select("c.*"))
+    half = reduce(DataFrame.unionByName, parts)
     return half.unionByName(half.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "rho"))
 
 

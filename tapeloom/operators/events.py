@@ -31,12 +31,13 @@ def prior_zscore(rows: DataFrame, columns: Sequence[str], n: int = 100, least: i
 
 
 def causal_threshold(rows: DataFrame, score: str, rate: float, n: int = 100, least: int = 20, floor: float = 0.0, *, order: Sequence[str] = ORDER, check: bool = True) -> DataFrame:
-    """The score that the wanted share of the last rows exceeded; the floor while there are too few."""
+    """The score that the wanted share of the last rows exceeded; the floor while there are too few. Null scores count as 0."""
     q = 1 - min(max(rate, 0.01), 0.99)
+    known = F.coalesce(F.col(score), F.lit(0.0))
 
     def threshold(df, w):
         prior = w.rowsBetween(-n, -1)
-        value = F.when(F.count(score).over(prior) >= least, F.percentile(score, q).over(prior))
+        value = F.when(F.count(known).over(prior) >= least, F.percentile(known, q).over(prior))
         return df.withColumn("event_threshold", clip(F.coalesce(value, F.lit(floor)), floor, 1.0))
 
     return windowed(rows, threshold, before=n, order=order, check=check)
