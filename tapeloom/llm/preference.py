@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.llm.common import written
 from tapeloom.llm.native import let, sums_before
 
 #: Opens a turn (before and after the role) and closes it.
@@ -96,6 +97,7 @@ def same_start_pairs(turns: DataFrame) -> DataFrame:
     """
     known = conversations(turns).withColumn("start", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]))
     ends = known.groupBy("start").agg(*[f(F.struct("conv_id", "turns")).alias(name) for f, name in ((F.min, "first"), (F.max, "last"))])
-    both = known.join(ends, "start")
+    # written, so that the join is of two plain shuffles and a start that many share can be split
+    both = known.join(written(ends, "starts"), "start")
     other = F.when(F.col("conv_id") != F.col("first.conv_id"), F.col("first")).when(F.col("conv_id") != F.col("last.conv_id"), F.col("last"))
     return both.select(F.col("conv_id").alias("chosen_id"), other.alias("other"), F.col("turns").alias("chosen")).select("chosen_id", F.col("other.conv_id").alias("rejected_id"), "chosen", F.col("other.turns").alias("rejected"))
