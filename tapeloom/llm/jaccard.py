@@ -8,8 +8,10 @@ inequality tells nothing. So the space is cut in two ways:
 
 1. First regions. Linked sets differ in at most D shingles, D following from their sizes. The shingles
    are dealt by hash into D + 1 + slack classes, so linked sets agree exactly in one class that is not
-   empty (`Classes`). Sets that agree in a class are put into one region, a component of such
-   agreements. Sets that agree with no other have no link.
+   empty (`Classes`). Two sets that agree in a class may still be far apart; the difference of their
+   histograms over hash buckets (`sketch`) is at most the number of shingles they differ in, so it
+   tells most such pairs apart for certain. Sets that agree and may link are put into one region, a
+   component of such agreements. Sets that agree with no other have no link.
 2. Within a region pivots create Voronoi regions: each set belongs to its nearest pivot, and is
    replicated to every pivot that is at most 2t farther (and at most t beyond the farthest set that
    belongs there), as the triangle inequality puts all its links into those. The regions are joined
@@ -17,8 +19,8 @@ inequality tells nothing. So the space is cut in two ways:
    counting common shingles.
 
 A region that fits one task is joined there (`join_region`). A larger one is parted by the same rule
-over the cluster, round by round, pivots being picked by hash (`_divide`); what no pivot parts is dealt
-out as pairs of blocks (`_dealt`).
+over the cluster, round by round, pivots being picked by hash (`_assigned`); a region that its pivots
+don't part is dealt out as pairs of blocks (`_dealt`).
 
 Equal sets are one node, however many documents have it. Shingles and sets are told apart by 64-bit
 hashes. Documents without words link with nothing, texts with fewer words than a shingle are one
@@ -43,11 +45,14 @@ from tapeloom.llm.common import byte_texts, slices, written
 
 STEP = 1 << 20
 #: Sets, and shingles in them, that one task joins at a time.
-TASK_SETS, TASK_SHINGLES = 2_048, 4_000_000
+TASK_SETS, TASK_SHINGLES = 4_096, 4_000_000
 LEAF = 192
 PIVOTS = 8
 ROUNDS = 4
 HELD = 1_000_000
+#: Agreeing sets that are looked at pair by pair; a larger group is one region without a look.
+GROUP_SETS, LOCAL_SETS = 2_048, 256
+BUCKETS = 128
 
 
 # -- sets --------------------------------------------------------------------------------------
@@ -88,6 +93,11 @@ def node_of(members: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes()))))
 
 
+def sketch(members: np.ndarray) -> bytes:
+    """Shingles in each of some hash buckets, 255 at most."""
+    return np.minimum(np.bincount((members >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
 @dataclass(frozen=True)
 class Classes:
     """How sets of each size are dealt into classes.
@@ -141,7 +151,7 @@ class Classes:
 # -- first regions -----------------------------------------------------------------------------
 
 PARTS = "kind int, deal int, a long, b long, n long, key string, body binary"
-DOCUMENT, AGREEMENTS, EDGE = 0, 1, 2
+DOCUMENT, AGREEMENTS, EDGE, GROUP = 0, 1, 2, 3
 
 
 def _batch(kind: int, deal: list, a=None, b=None, n=None, key=None, body=None) -> pa.RecordBatch:
@@ -153,16 +163,23 @@ def _batch(kind: int, deal: list, a=None, b=None, n=None, key=None, body=None) -
     )
 
 
-def _agreed(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One row a signature with its smallest node, and the edges from its other nodes to that one."""
+def _grouped(signature: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different (signature, node) in order; of signatures with over ``most`` nodes the smallest only.
+
+    Also the edges from the other nodes of those signatures to the smallest.
+    """
     order = np.lexsort((node, signature))
     signature, node = signature[order], node[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (signature[1:] != signature[:-1]) | (node[1:] != node[:-1])
+    signature, node = signature[new], node[new]
     first = np.ones(len(node), bool)
     first[1:] = signature[1:] != signature[:-1]
-    least = node[first][np.cumsum(first) - 1]
-    far = node != least
-    edges = np.unique(np.stack((node[far], least[far]), 1), axis=0)
-    return signature[first], node[first], edges[:, 0], edges[:, 1]
+    group = np.cumsum(first) - 1
+    over = (np.bincount(group) > most)[group]
+    far = over & ~first
+    edges = np.unique(np.stack((node[far], node[first][group[far]]), 1), axis=0)
+    return signature[~far], node[~far], edges[:, 0], edges[:, 1]
 
 
 def _describe(size: int, classes: Classes, deals: int):
@@ -175,7 +192,7 @@ def _describe(size: int, classes: Classes, deals: int):
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            sig, own, a, b = _agreed(np.concatenate(signature), np.concatenate(node))
+            sig, own, a, b = _grouped(np.concatenate(signature), np.concatenate(node), LOCAL_SETS)
             to = ((sig >> np.uint64(32)) * np.uint64(deals) >> np.uint64(32)).astype(np.int64)
             cuts = np.searchsorted(to, np.arange(deals + 1))
             full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
@@ -185,11 +202,12 @@ def _describe(size: int, classes: Classes, deals: int):
 
         for batch in batches:
             for part in slices(batch, "text", STEP):
-                nodes, sizes = [], []
+                nodes, sizes, sketches = [], [], []
                 for text in byte_texts(part.column("text")):
                     members = shingles(text, size)
                     sizes.append(len(members))
                     nodes.append(node_of(members) if len(members) else None)
+                    sketches.append(sketch(members))
                     if nodes[-1] is not None and nodes[-1] not in done:
                         if len(done) > HELD:
                             done.clear()
@@ -198,7 +216,7 @@ def _describe(size: int, classes: Classes, deals: int):
                             signature.append(made)
                             node.append(np.full(len(made), nodes[-1], np.int64))
                             held += len(made)
-                yield _batch(DOCUMENT, [(x or 0) % deals for x in nodes], part.column("doc_id").to_pylist(), nodes, sizes, part.column("key").to_pylist())
+                yield _batch(DOCUMENT, [(x or 0) % deals for x in nodes], part.column("doc_id").to_pylist(), nodes, sizes, part.column("key").to_pylist(), sketches)
                 if held > HELD:
                     yield from out()
                     signature, node, held = [], [], 0
@@ -209,7 +227,7 @@ def _describe(size: int, classes: Classes, deals: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Agreements of one part of the signatures become edges; other rows pass."""
+    """Of one part of the signatures those that several nodes have; other rows pass."""
     signature, node = [], []
     for batch in batches:
         kind = batch.column("kind").to_numpy()
@@ -220,9 +238,67 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             signature.append(np.frombuffer(body[:half], np.uint64))
             node.append(np.frombuffer(body[half:], np.int64))
     if signature:
-        _, _, a, b = _agreed(np.concatenate(signature), np.concatenate(node))
+        sig, own, a, b = _grouped(np.concatenate(signature), np.concatenate(node), GROUP_SETS)
         for at in range(0, len(a), 100_000):
             yield _batch(EDGE, [0] * len(a[at : at + 100_000]), a[at : at + 100_000], b[at : at + 100_000])
+        same = sig[1:] == sig[:-1]
+        shared = np.zeros(len(sig), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        sig, own = sig[shared].view(np.int64), own[shared]
+        for at in range(0, len(sig), 100_000):
+            yield _batch(GROUP, [0] * len(sig[at : at + 100_000]), sig[at : at + 100_000], own[at : at + 100_000])
+
+
+def _alike(num: int, den: int):
+    """Edges of sets that share a signature and whose sketches don't rule out a link; rows come by signature."""
+
+    def may_link(n: np.ndarray, hist: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
+        return np.abs(hist - other).sum(-1) * (den + num) <= (n + m) * (den - num)
+
+    def edges(sig: np.ndarray, node: np.ndarray, n: np.ndarray, hist: np.ndarray) -> np.ndarray:
+        start = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
+        size = np.diff(start)
+        two = start[:-1][size == 2]
+        kept = two[may_link(n[two], hist[two], n[two + 1], hist[two + 1])]
+        out = [np.stack((node[kept], node[kept + 1]), 1)]
+        for at, k in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist()):
+            todo = np.arange(at, at + k)
+            while len(todo) > 1:  # a component of sets that may link, from its first set on
+                front, todo, component = todo[:1], todo[1:], [int(todo[0])]
+                while len(front) and len(todo):
+                    near = np.zeros(len(todo), bool)
+                    for i in front:
+                        near |= may_link(n[i], hist[i], n[todo], hist[todo])
+                    front, todo = todo[near], todo[~near]
+                    component += front.tolist()
+                out.append(np.stack((node[component[1:]], np.full(len(component) - 1, node[component[0]])), 1))
+        return np.unique(np.concatenate(out), axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches_with_end(batches):
+            if batch is not None:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                if held.num_rows < 20_000:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            sig = held.column("sig").to_numpy()
+            stop = int(np.searchsorted(sig, sig[-1])) if batch is not None else len(sig)  # the last signature may go on
+            if stop:
+                part = held.slice(0, stop)
+                hist = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+                found = edges(part.column("sig").to_numpy(), part.column("node").to_numpy(), part.column("n").to_numpy(), hist)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+                held = held.slice(stop).combine_chunks()
+
+    return run
+
+
+def batches_with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -294,9 +370,11 @@ class Region:
             grid = np.zeros((len(union), width), np.float32)
             grid[rows[low:high], column[low:high] - at] = 1
             common += grid[a] @ grid[b].T
-        common = common.astype(np.int64)
-        either = self.size[home][:, None] + self.size[others][None, :] - common
-        return self.den * common >= self.num * either
+        out = np.zeros(common.shape, bool)
+        for i in range(len(home)):
+            shared = common[i].astype(np.int64)
+            out[i] = self.den * shared >= self.num * (self.size[home[i]] + self.size[others] - shared)
+        return out
 
 
 def join_region(sets: list[np.ndarray], home: np.ndarray, inner: bool, weight: np.ndarray, num: int, den: int, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
@@ -376,8 +454,8 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
 
 
-def _divide(rows: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """One round of Voronoi regions over the cluster: each set at home in one, a guest where it may link."""
+def _assigned(rows: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """One round of Voronoi regions over the cluster: (parent, node, region, home), a row for each region a set goes to."""
     slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2 * PIVOTS))
     picked = rows.where("home").groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(-turn)).alias("by"), "node", "members")).alias("p"))
     pivots = picked.groupBy("region").agg(F.collect_list("p.members").alias("pivots"))  # 2 * PIVOTS at most
@@ -386,24 +464,26 @@ def _divide(rows: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 own = np.frombuffer(row["members"], np.uint64)
                 d = []
-                for p in row.pop("pivots"):
+                for p in row["pivots"]:
                     other = np.frombuffer(p, np.uint64)
                     common = len(np.intersect1d(own, other, assume_unique=True))
                     d.append(1 - common / (len(own) + len(other) - common))
                 least = min(range(len(d)), key=d.__getitem__)
-                for i, x in enumerate(d):
+                for k, x in enumerate(d):
                     if x <= d[least] + 2 * t:
-                        region = np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"{row['region']}/{turn}/{i}")))
-                        out.append({**row, "parent": row["region"], "region": int(region), "home": row["home"] and i == least})
-            yield pa.RecordBatch.from_pylist(out, SCHEMA)
+                        region = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(f"{row['region']}/{turn}/{k}"))))
+                        out.append({"parent": row["region"], "node": row["node"], "n": row["n"], "region": region, "home": row["home"] and k == least})
+            yield pa.RecordBatch.from_pylist(out, ASSIGNED)
 
-    return rows.join(pivots, "region").select(*[f.name for f in SCHEMA][:-1], "pivots").mapInArrow(run, MEMBERS + ", parent long")
+    return rows.join(pivots, "region").select("region", "node", "n", "members", "home", "pivots").mapInArrow(run, "parent long, node long, n long, region long, home boolean")
 
 
-SCHEMA = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("members", pa.binary()), ("home", pa.bool_()), ("inner", pa.bool_()), ("parent", pa.int64())])
+ASSIGNED = pa.schema([("parent", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("region", pa.int64()), ("home", pa.bool_())])
+SCHEMA = pa.schema([("region", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("weight", pa.int64()), ("members", pa.binary()), ("home", pa.bool_()), ("inner", pa.bool_())])
 
 
 def _dealt(rows: DataFrame, sizes: DataFrame, sets: int, shingles_: int) -> DataFrame:
@@ -429,15 +509,20 @@ def _join_regions(rows: DataFrame, num: int, den: int, sets: int, shingles_: int
     for turn in range(1, ROUNDS + 1):
         if over.isEmpty():
             break
-        rows = written(_divide(rows.join(over.select("region"), "region"), num, den, turn), "regions")
-        sizes = rows.groupBy("region", "parent").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-        sizes = written(sizes.join(over.select(F.col("region").alias("parent"), F.col("sets").alias("before")), "parent").drop("parent"), "sizes")
-        rows = rows.drop("parent")
-        over = sizes.where(large)
-        stuck = over.where((F.col("sets") > 0.7 * F.col("before")) | F.lit(turn == ROUNDS)).select("region", "sets", "shingles")
-        done.append(rows.join(over, "region", "left_anti"))
+        rows = rows.join(over.select("region"), "region", "left_semi")
+        to = written(_assigned(rows, num, den, turn), "assigned")
+        inside = _sizes(to)
+        work = to.select("region", "parent").distinct().join(inside, "region").groupBy("parent").agg(F.sum(F.col("sets") * F.col("sets")).alias("work"))
+        # a round pays if the pairs left inside the new regions are clearly fewer than before
+        parts = over.join(work.withColumnRenamed("parent", "region"), "region").withColumn("pays", (F.col("work") < 0.5 * F.col("sets") * F.col("sets")) & F.lit(turn < ROUNDS))
+        parts = written(parts, "sizes")
+        stuck = parts.where(~F.col("pays")).select("region", "sets", "shingles")
         done.append(_dealt(rows.join(stuck.select("region"), "region", "left_semi"), stuck, sets, shingles_))
-        over = over.join(stuck.select("region"), "region", "left_anti").select("region", "sets", "shingles")
+        moved = to.join(parts.where("pays").select(F.col("region").alias("parent")), "parent", "left_semi").drop("n")
+        held = rows.select(F.col("region").alias("parent"), "node", "n", "weight", "members", "inner")
+        rows = written(moved.join(held, ["parent", "node"]).drop("parent"), "regions")
+        over = written(_sizes(rows).where(large), "sizes")
+        done.append(rows.join(over, "region", "left_anti"))
     columns = ["region", "node", "n", "weight", "members", "home", "inner"]
     every = functools.reduce(DataFrame.union, [d.select(*columns) for d in done])
     return every.groupBy("region").applyInPandas(_joined(num, den), "node long, root long, links long"), parted
@@ -463,10 +548,14 @@ def components(
     deals = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key_of(doc_id, text).alias("key"), F.col(text).alias("text"))
     found = rows.mapInArrow(_describe(size, Classes(num, den), deals), PARTS)
-    parts = written(found.repartition(deals // 4, "deal").mapInArrow(_meet, PARTS).drop("deal", "body"), "agreements")
+    parts = written(found.repartition(deals // 4, "deal").mapInArrow(_meet, PARTS).drop("deal"), "agreements")
     listed = parts.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("doc_id"), "key", F.col("b").alias("node"), F.col("n").alias("n_shingles"))
-    kinds = written(listed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("weight"), F.max("n_shingles").alias("n"), F.min("key").alias("key")), "sets")
-    regions = connected(parts.where(F.col("kind") == EDGE).select("a", "b"))
+    described = parts.where((F.col("kind") == DOCUMENT) & F.col("b").isNotNull()).withColumnRenamed("b", "node")
+    kinds = described.groupBy("node").agg(F.min("a").alias("first"), F.count("*").alias("weight"), F.max("n").alias("n"), F.min("key").alias("key"), F.min("body").alias("sketch"))
+    kinds = written(kinds, "sets")
+    groups = parts.where(F.col("kind") == GROUP).select(F.col("a").alias("sig"), F.col("b").alias("node")).join(kinds.select("node", "n", "sketch"), "node")
+    alike = groups.repartition(deals // 4, "sig").sortWithinPartitions("sig", "node").select("sig", "node", "n", "sketch").mapInArrow(_alike(num, den), "a long, b long")
+    regions = connected(parts.where(F.col("kind") == EDGE).select("a", "b").union(alike))
     regions = regions.union(regions.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("root", "region")
     wanted = kinds.join(regions, "node").select("key", "node", "n", "weight", "region")
 
@@ -478,7 +567,7 @@ def components(
             for part in slices(batch.filter(pa.array(fresh, pa.bool_())), "text", STEP):
                 made = pa.array([shingles(t, size).tobytes() for t in byte_texts(part.column("text"))], pa.binary())
                 yes = pa.array([True] * part.num_rows)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("region", "node", "n", "weight")), made, yes, yes], SCHEMA.names[:-1])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("region", "node", "n", "weight")), made, yes, yes], SCHEMA.names)
 
     members = rows.select("key", "text").join(wanted.hint("shuffle_hash"), "key")
     joined, parted = _join_regions(members.select("region", "node", "n", "weight", "text").mapInArrow(sets, MEMBERS), num, den, task_sets, task_shingles)
