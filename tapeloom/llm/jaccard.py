@@ -52,6 +52,7 @@ ROUNDS = 4
 HELD = 1_000_000
 #: Agreeing sets that are looked at pair by pair; a larger group is one region without a look.
 GROUP_SETS, LOCAL_SETS = 2_048, 256
+#: Fewest hash buckets of a sketch; larger sets have a quarter to a half of their size.
 BUCKETS = 128
 
 
@@ -94,8 +95,15 @@ def node_of(members: np.ndarray) -> int:
 
 
 def sketch(members: np.ndarray) -> bytes:
-    """Shingles in each of some hash buckets, 255 at most."""
-    return np.minimum(np.bincount((members >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    """Shingles in each hash bucket, 255 at most; the buckets are a power of two that follows the size."""
+    buckets = max(BUCKETS, 1 << (len(members) // 4).bit_length())
+    return np.minimum(np.bincount((members >> np.uint64(40)).astype(np.int64) % buckets, minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def histograms(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows, larger ones folded to the buckets of the smallest."""
+    buckets = min(map(len, sketches))
+    return np.stack([np.frombuffer(x, np.uint8).astype(np.int32).reshape(-1, buckets).sum(0) for x in sketches])
 
 
 @dataclass(frozen=True)
@@ -256,23 +264,22 @@ def _alike(num: int, den: int):
     def may_link(n: np.ndarray, hist: np.ndarray, m: np.ndarray, other: np.ndarray) -> np.ndarray:
         return np.abs(hist - other).sum(-1) * (den + num) <= (n + m) * (den - num)
 
-    def edges(sig: np.ndarray, node: np.ndarray, n: np.ndarray, hist: np.ndarray) -> np.ndarray:
-        start = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))
-        size = np.diff(start)
-        two = start[:-1][size == 2]
-        kept = two[may_link(n[two], hist[two], n[two + 1], hist[two + 1])]
-        out = [np.stack((node[kept], node[kept + 1]), 1)]
-        for at, k in zip(start[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            todo = np.arange(at, at + k)
+    def edges(sig: np.ndarray, node: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
+        start = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)).tolist()
+        out = [np.zeros((0, 2), np.int64)]
+        for at, stop in zip(start, start[1:]):
+            hist, size, todo = histograms(sketches[at:stop]), n[at:stop], np.arange(stop - at)
             while len(todo) > 1:  # a component of sets that may link, from its first set on
                 front, todo, component = todo[:1], todo[1:], [int(todo[0])]
                 while len(front) and len(todo):
                     near = np.zeros(len(todo), bool)
                     for i in front:
-                        near |= may_link(n[i], hist[i], n[todo], hist[todo])
+                        near |= may_link(size[i], hist[i], size[todo], hist[todo])
                     front, todo = todo[near], todo[~near]
                     component += front.tolist()
-                out.append(np.stack((node[component[1:]], np.full(len(component) - 1, node[component[0]])), 1))
+                if len(component) > 1:
+                    members = node[at:stop][component]
+                    out.append(np.stack((members[1:], np.full(len(members) - 1, members[0])), 1))
         return np.unique(np.concatenate(out), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +287,7 @@ def _alike(num: int, den: int):
         for batch in batches_with_end(batches):
             if batch is not None:
                 held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-                if held.num_rows < 20_000:
+                if held.nbytes < 4 * STEP:
                     continue
             if held is None or not held.num_rows:
                 continue
@@ -288,8 +295,7 @@ def _alike(num: int, den: int):
             stop = int(np.searchsorted(sig, sig[-1])) if batch is not None else len(sig)  # the last signature may go on
             if stop:
                 part = held.slice(0, stop)
-                hist = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-                found = edges(part.column("sig").to_numpy(), part.column("node").to_numpy(), part.column("n").to_numpy(), hist)
+                found = edges(part.column("sig").to_numpy(), part.column("node").to_numpy(), part.column("n").to_numpy(), part.column("sketch").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
                 held = held.slice(stop).combine_chunks()
 

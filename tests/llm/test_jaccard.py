@@ -130,3 +130,46 @@ def test_query(spark, sf):
     rows = [(d, t) for d, t, *_ in cases.table(sf, "documents")]
     got = sorted((tuple(r) for r in QUERIES["op3_jaccard_join"](spark, sf).collect()), key=str)
     assert got == brute(rows, 3, 90, 100)
+
+
+def test_groups_of_agreeing_sets():
+    signature = np.array([5, 5, 5, 5, 9, 9, 7, 7, 7], np.uint64)
+    node = np.array([4, 3, 2, 2, 8, 8, 6, 1, 5], np.int64)
+    sig, own, a, b = jaccard._grouped(signature, node, most=9)
+    assert list(zip(sig.tolist(), own.tolist())) == [(5, 2), (5, 3), (5, 4), (7, 1), (7, 5), (7, 6), (9, 8)] and not len(a)
+    sig, own, a, b = jaccard._grouped(signature, node, most=2)  # larger groups are hung on their smallest node
+    assert list(zip(sig.tolist(), own.tolist())) == [(5, 2), (7, 1), (9, 8)]
+    assert sorted(zip(a.tolist(), b.tolist())) == [(3, 2), (4, 2), (5, 1), (6, 1)]
+
+
+def test_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        n = int(r.integers(5, 3000))
+        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        drop = int(r.integers(0, max(1, n // 4)))
+        b = np.unique(np.concatenate((a[drop // 2 :], r.integers(0, 2**63, drop - drop // 2).astype(np.uint64))))
+        differ = len(np.setxor1d(a, b))
+        x, y = jaccard.histograms([jaccard.sketch(a), jaccard.sketch(b)])
+        assert np.abs(x - y).sum() <= differ
+        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+            assert np.abs(x - y).sum() * 180 <= (len(a) + len(b)) * 20
+
+
+def test_connected(spark):
+    r = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = dict(map(tuple, jaccard.connected(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {x: find(x) for x in root if find(x) != x}
+    assert jaccard.connected(spark.createDataFrame([], "a long, b long")).count() == 0
