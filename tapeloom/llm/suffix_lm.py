@@ -1,19 +1,22 @@
 """A probabilistic suffix tree over words: fit on a corpus, score texts.
 
 Tokens of a text are its words (ASCII letters lowered) and then one end. The tree's root is the
-add-one unigram model. A context of one or two words is a candidate if its probability is at least
-`LEAST_CONTEXT`; it is retained if the next-symbol distribution diverges from its parent's, the
-context without its oldest word: count * KL >= `DIVERGENCE` nats over its frequent successors. A
-state's distribution takes `DISCOUNT` off each successor's count and gives what is left to the
-parent's distribution, so every distribution sums to one. A text is scored by walking it: the state
-of each token is the longest suffix of the words before it (in its text) that was retained.
-
-Scale. Counts cover all training texts and are summed by Spark. "Frequent" means a share of all
-tokens, so there are at most `HEAVY` frequent words, as many frequent successors per depth, and
-1 / LEAST_CONTEXT contexts per depth, whatever the corpus: only these are broadcast. All other words
-are looked up by a join of (text, word) with the counts.
-
-Words are told apart by 63-bit hashes. Null and empty texts consist of the end alone. Without
+add-one unigram model. A context of one to `depth` words is retained if the next-symbol distribution
+diverges from its parent's, the context without its oldest word: count * KL >= `DIVERGENCE` nats over
+the successors seen twice or more. A state's distribution takes `DISCOUNT` off each such successor's
+count and gives what is left to the parent's distribution, so every distribution sums to one. A text
+is scored by walking it: the state of each token is the longest suffix of the words before it (in its
+text) that was retained. The rules are absolute, so the tree grows with its corpus. A tree may be
+pruned (`fit(heavy=)`): successors then need a share of 1 / heavy of all tokens, contexts `LEAST_CONTEXT`.
+
+Scale. Counts, states and successors are Spark tables, made by group-by and join. The logarithm of a
+text's probability is a sum over its word groups: a word gives its base and, as a context, the weight
+it leaves to the root; a longer group gives what it gains over backing off and, as a context, the
+weight it leaves to its parent. So a text is scored by joining the groups it holds with their values.
+Two things of fixed size spare work and change no result: values of groups with a share of 1 / `HEAVY`
+of all tokens are broadcast, and a bitmap of `BITS` bits rules out groups that have no value.
+
+Words and groups are told apart by 63-bit hashes. Null and empty texts consist of the end alone. Without
 training tokens every token has probability 1 / (V + 1) = 1. Rows are kept one to one, whatever their ids.
 """
 
@@ -38,6 +41,8 @@ DIVERGENCE = 20.0
 DISCOUNT = 0.5
 STEP = 1 << 20
 FLUSH = 300_000
+BITS = 1 << 27
+LOW = (1 << 63) - 1
 END = xxhash.xxh3_64_intdigest(b"") >> 1  # no word is empty
 
 
@@ -76,33 +81,71 @@ class Lookup:
         return out
 
 
-class Numbers(dict):
-    """Number of each word: its place among the frequent words, else the bitwise complement of its hash."""
-
-    def __init__(self, heavy: dict[int, int]):
-        super().__init__()
-        self.heavy = heavy
+class Hashes(dict):
+    """Hash of each word."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > FLUSH:
             self.clear()
-        hashed = xxhash.xxh3_64_intdigest(word) >> 1
-        value = self[word] = self.heavy.get(hashed, ~hashed)
+        value = self[word] = xxhash.xxh3_64_intdigest(word) >> 1
         return value
 
 
-def _tokens(texts: list[bytes], numbers: Numbers, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the tokens of all texts, and how many each text has."""
+def _tokens(texts: list[bytes], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of all texts, and how many each text has."""
     out: list[int] = []
     sizes = []
     for text in texts:
         some = words(text)
-        out.extend(map(numbers.__getitem__, some))
-        out.append(end)
+        out.extend(map(hashes.__getitem__, some))
+        out.append(END)
         sizes.append(len(some) + 1)
     return np.array(out, np.int64), np.array(sizes, np.int64)
 
 
+def _turn(level: int) -> int:
+    return 4 + 13 * level  # another one per level, or the words in the middle would cancel out
+
+
+def _key(older: Column, newer: Column, level: int) -> Column:
+    """Key of a group of ``level`` + 1 words, from the keys of the group without its last and without its first."""
+    turned = F.shiftleft(newer, _turn(level)).bitwiseOR(F.shiftrightunsigned(newer, 64 - _turn(level)))
+    return older.bitwiseXOR(turned).bitwiseAND(F.lit(LOW))
+
+
+def _keys(tokens: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Per level the key of the group of level + 1 tokens that ends at each place; the first ``level`` of a text are void."""
+    out = [tokens]
+    for level in range(1, depth + 1):
+        newer = out[-1].view(np.uint64)
+        turned = newer << np.uint64(_turn(level)) | newer >> np.uint64(64 - _turn(level))
+        out.append(((np.roll(newer, 1) ^ turned) & np.uint64(LOW)).view(np.int64))
+    return out
+
+
+def _places(sizes: np.ndarray) -> np.ndarray:
+    """Place of each token in its text."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """Two bits of ``BITS`` for each of the column ``key``."""
+    spots = F.explode(F.array(F.col("key").bitwiseAND(F.lit(BITS - 1)), F.shiftright("key", 31).bitwiseAND(F.lit(BITS - 1))))
+    set_bits = keys.select(spots.alias("spot")).select(F.shiftright("spot", 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("spot").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    got = _columns(set_bits.groupBy("at").agg(F.bit_or("bit").alias("bits")))
+    out = np.zeros(BITS >> 6, np.int64)
+    out[got["at"]] = got["bits"]
+    return out.view(np.uint64)
+
+
+def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be among those of the bitmap."""
+    out = np.ones(len(keys), bool)
+    for spot in (keys & (BITS - 1), keys >> 31 & (BITS - 1)):
+        out &= (bitmap[spot >> 6] >> (spot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    return out
+
+
 # -- fitting -----------------------------------------------------------------------------------
 
 
@@ -126,27 +169,31 @@ def _unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([END], pa.int64()), pa.array([ends], pa.int64())], ["word", "n"])
 
 
-def _successors(spread, depth: int):
-    """Count (context, next token) for contexts of ``depth`` frequent words and frequent next tokens."""
+def _groups(spread, level: int):
+    """Count groups of ``level`` + 1 tokens: by the group without its last token, and without its first.
+
+    Left out are groups of which one of these parts is not in the bitmap, so is too rare.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = spread.value
-        numbers, end = model.numbers()
+        bitmap, hashes = spread.value, Hashes()
         seen: list[np.ndarray] = []
         held = 0
 
         def out() -> pa.RecordBatch:
-            pairs, n = np.unique(np.concatenate(seen), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
+            older, newer, key = (np.concatenate([s[i] for s in seen]) for i in range(3))
+            _, at, n = np.unique(key, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(older[at]), pa.array(newer[at]), pa.array(n.astype(np.int64))], ["older", "newer", "n"])
 
         for batch in batches:
             for part in slices(batch, "text", STEP):
-                tokens, sizes = _tokens(byte_texts(part.column("text")), numbers, end)
-                context = model.candidates(tokens, sizes, depth)
-                at = np.flatnonzero((context >= 0) & (tokens >= 0))
-                seen.append(context[at] << 20 | tokens[at])
+                tokens, sizes = _tokens(byte_texts(part.column("text")), hashes)
+                below, whole = _keys(tokens, level)[-2:]
+                known = _held(bitmap, below)
+                at = np.flatnonzero((_places(sizes) >= level) & known & np.roll(known, 1))
+                seen.append((below[at - 1], below[at], whole[at]))
                 held += len(at)
-                if held > 2_000_000:
+                if held > 1_000_000:
                     yield out()
                     seen, held = [], 0
         if held:
@@ -157,135 +204,87 @@ def _successors(spread, depth: int):
 
 @dataclass
 class Model:
-    """What tasks need. Contexts are numbered per depth; a successor is context << 20 | word.
+    """What tasks need. Groups of words are told apart by their keys.
 
-    total: tokens in training; kinds: different ones; heavy, counts: frequent words and their counts;
-    candidate: per depth which contexts are looked at (by parent context << 20 | oldest word);
-    rest: per depth the weight of the parent, 1 where a context is not retained; share: per depth what
-    a successor has by itself.
+    total: tokens in training; kinds: different ones; depth: words of the longest context;
+    keys, counts, values: of the frequent groups their counts (0 for more than one word) and values;
+    rest: per depth the weights that the frequent retained contexts leave to their parents;
+    bitmap: of the keys of all groups of more than one word that have a value.
     """
 
     total: int
     kinds: int
-    heavy: np.ndarray
+    depth: int
+    keys: np.ndarray
     counts: np.ndarray
-    candidate: list[Lookup]
+    values: np.ndarray
     rest: list[np.ndarray]
-    share: list[Lookup]
-
-    def numbers(self) -> tuple[Numbers, int]:
-        place = dict(zip(self.heavy.tolist(), range(len(self.heavy))))
-        return Numbers(place), place.get(END, ~END)
-
-    def candidates(self, tokens: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
-        """The candidate context of ``depth`` words before each token, or -1."""
-        place = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out = np.where(place >= depth, np.int64(0), np.int64(-1))
-        for back in range(1, depth + 1):
-            at = np.flatnonzero(out >= 0)
-            word = tokens[at - back]
-            known = word >= 0
-            out[at[~known]] = -1
-            out[at[known]] = self.candidate[back - 1].get(out[at[known]] << 20 | word[known])
-        return out
+    bitmap: np.ndarray
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1.0) / (self.total + self.kinds + 1.0)
 
-    def logs(self, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each token's base and of its model probability; without the root's part for rare words."""
-        frequent = tokens >= 0
-        base = np.where(frequent, self.unigram(self.counts[np.where(frequent, tokens, 0)]) if len(self.counts) else 1.0, 1.0)
-        p = base.copy()
-        for depth in range(1, len(self.rest) + 1):
-            context = self.candidates(tokens, sizes, depth)
-            at = np.flatnonzero(context >= 0)
-            own = np.zeros(len(at))
-            known = tokens[at] >= 0
-            own[known] = self.share[depth - 1].get(context[at[known]] << 20 | tokens[at[known]])
-            p[at] = own + self.rest[depth - 1][context[at]] * p[at]
-        return np.log10(base), np.log10(p)
-
 
 def _columns(df: DataFrame) -> dict[str, np.ndarray]:
     got = df.toArrow()
     return {c: got.column(c).to_numpy() for c in got.column_names}
 
 
-def fit(docs: DataFrame, depth: int = 2, heavy: int = HEAVY) -> tuple[Model, DataFrame]:
-    """The tree, and the table of all word counts (word, n), from column text."""
+def fit(docs: DataFrame, depth: int = 2, heavy: int | None = None) -> tuple[Model, DataFrame]:
+    """The tree from column text: what tasks need, and the table of all groups of words that have a value.
+
+    Its columns: key, of longer groups its complement; n, the count of a word, 0 for longer groups; value, log10 of what is added to the base.
+    ``heavy`` prunes the tree.
+    """
     rows = docs.select("text")
     counts = written(rows.mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "unigrams")
     of = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
     total, kinds = of["total"] or 0, of["kinds"]
-    share = total / heavy  # words with so many occurrences are at most ``heavy``
-    words_of = _columns(counts.where(F.col("n") >= share).orderBy(F.desc("n"), "word"))
-    model = Model(total, kinds, words_of["word"], words_of["n"], [], [], [])
-    if not total:
-        return model, counts
-    spark, least = docs.sparkSession, max(2.0, share)
-    place = np.flatnonzero((words_of["n"] >= LEAST_CONTEXT * total) & (words_of["word"] != END))
-    occurs, key, parent = words_of["n"][place], place.astype(np.int64), np.zeros(len(place), np.int64)
-    for level in range(1, depth + 1):
-        # contexts of this depth: their count, their key (parent context and oldest word), their parent
-        model.candidate.append(Lookup(key, np.arange(len(key), dtype=np.int64), -1))
-        counted = rows.mapInArrow(_successors(spark.sparkContext.broadcast(model), level), "pair long, n long")
-        found = _columns(counted.groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
-        pair, n = found["pair"], found["n"].astype(float)
-        context, word = pair >> 20, pair & ((1 << 20) - 1)
-        p = n / occurs[context]
-        if level == 1:
-            before = model.unigram(model.counts[word])
-        else:
-            below = model.share[level - 2].get(parent[context] << 20 | word)
-            before = below + model.rest[level - 2][parent[context]] * model.unigram(model.counts[word])
-        gain = np.bincount(context, n * np.log(p / before), len(key))
-        # what frequent successors leave, against what the parent leaves for the same symbols
-        left = np.maximum(occurs - np.bincount(context, n, len(key)), 0)
-        spare = np.maximum(1e-12, 1 - np.bincount(context, before, len(key)))
-        gain += left * np.log(np.maximum(left, 1e-12) / occurs / spare)
-        retained = gain >= DIVERGENCE
-        taken = np.maximum(n - DISCOUNT, 0) / occurs[context]
-        rest = np.where(retained, 1 - np.bincount(context, taken, len(key)), 1.0)
-        kept = retained[context]
-        model.rest.append(rest)
-        model.share.append(Lookup(pair[kept], taken[kept], 0.0))
-        if level < depth:
-            # one word more: word w before context c, of which the pairs (w, first of c) tell the count
-            longer = _longer(rows, spark.sparkContext.broadcast(model), level, LEAST_CONTEXT * total)
-            key, occurs = longer["pair"], longer["n"]
-            parent = key >> 20
-    return model, counts
-
-
-def _longer(rows: DataFrame, spread, level: int, least: float) -> dict[str, np.ndarray]:
-    """Contexts of one word more: (context << 20 | word before it), and how often a token follows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = spread.value
-        numbers, end = model.numbers()
-        for batch in batches:
-            seen = []
-            for part in slices(batch, "text", STEP):
-                tokens, sizes = _tokens(byte_texts(part.column("text")), numbers, end)
-                context = model.candidates(tokens, sizes, level)
-                start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-                at = np.flatnonzero((context >= 0) & (np.arange(len(tokens)) - start > level))
-                word = tokens[at - level - 1]
-                at, word = at[word >= 0], word[word >= 0]
-                seen.append(np.unique(context[at] << 20 | word, return_counts=True))
-            pairs, where = np.unique(np.concatenate([s[0] for s in seen]), return_inverse=True) if seen else (np.zeros(0, np.int64),) * 2
-            n = np.bincount(where, np.concatenate([s[1] for s in seen]), len(pairs)) if seen else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-    got = _columns(rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("pair"))
-    return got
+    least, least_context = (max(2.0, total / heavy), LEAST_CONTEXT * total) if heavy else (2.0, 2.0)
+    often = total / HEAVY  # groups of one size with so many occurrences are at most ``HEAVY``
+    spread = docs.sparkSession.sparkContext.broadcast
+    none = F.lit(0.0)
+    # groups of one size: key, count, probability of the last word after the others, log10 of its gain over backing off
+    groups = counts.select(F.col("word").alias("key"), "n", ((F.col("n") + 1.0) / (total + kinds + 1.0)).alias("p"), none.alias("gained"))
+    rest: list[np.ndarray] = []
+    tables = []
+    for level in range(1, (depth if total else 0) + 1):
+        bits = spread(_bitmap(groups.where(F.col("n") >= least).select("key")))
+        found = rows.mapInArrow(_groups(bits, level), "older long, newer long, n long").groupBy("older", "newer").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        parent = groups.select(F.col("key").alias("newer"), F.col("p").alias("before"))
+        context = groups.where(F.col("n") >= least_context).select(F.col("key").alias("older"), F.col("n").alias("occurs"))
+        found = written(found.join(parent, "newer").join(context, "older"), "successors")
+        left = F.greatest(F.col("occurs") - F.col("seen"), F.lit(0)).cast("double")
+        gain = F.col("gain") + left * F.log(F.greatest(left, F.lit(1e-12)) / F.col("occurs") / F.greatest(F.lit(1e-12), 1 - F.col("before")))
+        sums = found.groupBy("older").agg(
+            F.first("occurs").alias("occurs"),
+            F.sum("n").alias("seen"),
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("occurs") / F.col("before"))).alias("gain"),
+            F.sum("before").alias("before"),
+            F.sum(F.col("n") - DISCOUNT).alias("taken"),
+        )
+        states = written(sums.where(gain >= DIVERGENCE).select("older", F.col("occurs").alias("times"), ((F.col("occurs") - F.col("taken")) / F.col("occurs")).alias("rest")), "states")
+        rest.append(_columns(states.where(F.col("times") >= often).select("rest"))["rest"])
+        lost = states.select(F.col("older").alias("key"), F.log10("rest").alias("lost"))
+        tables.append(groups.join(lost, "key", "left").select("key", F.when(F.lit(level == 1), F.col("n")).otherwise(0).alias("n"), F.col("n").alias("times"), (F.col("gained") + F.coalesce("lost", none)).alias("value")))
+        back = F.coalesce("rest", F.lit(1.0)) * F.col("before")
+        p = F.when(F.col("rest").isNull(), F.col("before")).otherwise((F.col("n") - DISCOUNT) / F.col("occurs") + back)
+        made = found.join(states.select("older", "rest"), "older", "left").select(_key(F.col("older"), F.col("newer"), level).alias("key"), "n", p.alias("p"), F.log10(p / back).alias("gained"))
+        groups = written(made, "groups") if level < depth else made
+    tables.append(groups.select("key", F.when(F.lit(not tables), F.col("n")).otherwise(0).alias("n"), F.col("n").alias("times"), F.col("gained").alias("value")))
+    valued = tables[0]
+    for more in tables[1:]:
+        valued = valued.unionByName(more.where("value != 0").withColumn("key", F.bitwise_not("key")))  # no word has such a key
+    valued = written(valued, "values")
+    top = _columns(valued.where(F.col("times") >= often).drop("times"))
+    bitmap = _bitmap(valued.where("key < 0").select(F.bitwise_not("key").alias("key")))
+    return Model(total, kinds, depth, np.maximum(top["key"], ~top["key"]), top["n"], top["value"], rest, bitmap), valued.drop("times")
 
 
 # -- scoring -----------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, groups: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of each row, n_tokens, n_known, base_score and score (log10). Clashing names are replaced."""
     new = ["n_tokens", "n_known", "base_score", "score"]
     fields = [f for f in docs.schema.fields if f.name in keep and f.name not in new]
@@ -300,23 +299,35 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = spread.value
-        numbers, end = m.numbers()
+        hashes, place = Hashes(), Lookup(m.keys, np.arange(len(m.keys), dtype=np.int64), -1)
+        bases = np.append(np.where(m.counts > 0, np.log10(m.unigram(m.counts)), 0.0), 0.0)  # the last one is for what is joined
+        values, known = np.append(m.values, 0.0), np.append(m.counts > 0, False)
         for batch in batches:
             for part in slices(batch, "text", STEP):
-                tokens, sizes = _tokens(byte_texts(part.column("text")), numbers, end)
-                base, own = m.logs(tokens, sizes)
-                starts = np.cumsum(sizes) - sizes
-                rare = [np.unique(~x[x < 0], return_counts=True) for x in np.split(tokens, starts[1:])]
-                made = [pa.array(sizes), pa.array(np.add.reduceat((tokens >= 0).astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(own, starts))]
+                tokens, sizes = _tokens(byte_texts(part.column("text")), hashes)
+                starts, places = np.cumsum(sizes) - sizes, _places(sizes)
+                own, joined = np.zeros(len(tokens)), []
+                for level, keys in enumerate(_keys(tokens, m.depth)):
+                    at = np.flatnonzero((places >= level) & _held(m.bitmap, keys)) if level else np.arange(len(tokens))
+                    found = place.get(keys[at])
+                    own[at] += values[found]
+                    if not level:
+                        base, seen = bases[found], known[found]
+                    rest = at[found < 0]
+                    joined.append((rest, ~keys[rest] if level else keys[rest]))
+                order = np.argsort(np.concatenate([at for at, _ in joined]), kind="stable")
+                ends = np.searchsorted(np.concatenate([at for at, _ in joined])[order], starts[1:])
+                rare = [np.unique(x, return_counts=True) for x in np.split(np.concatenate([k for _, k in joined])[order], ends)]
+                made = [pa.array(sizes), pa.array(np.add.reduceat(seen.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(base + own, starts))]
                 made += [lists((r[0] for r in rare), pa.int64()), lists((r[1].astype(np.int32) for r in rare), pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(k) for k in ["_row", *kept]] + made, schema.names)
 
     numbered = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", *dict.fromkeys([*kept, "text"]))
     partial = written(numbered.mapInArrow(run, schema), "scores")
-    pairs = partial.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("word"), F.col("x._times").alias("times"))
+    pairs = partial.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
     n = F.coalesce(F.col("n"), F.lit(0))
-    part = F.log10((n + 1.0) / (model.total + model.kinds + 1.0)) * F.col("times")
-    rare = pairs.join(counts, "word", "left").groupBy("_row").agg(F.sum(part).alias("_part"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("_seen"))
-    extra: dict[str, Column] = {"_part": F.coalesce("_part", F.lit(0.0)), "_seen": F.coalesce("_seen", F.lit(0))}
+    base = F.when(F.col("key") >= 0, F.log10((n + 1.0) / (model.total + model.kinds + 1.0)) * F.col("times")).otherwise(F.lit(0.0))
+    rare = pairs.join(groups, "key", "left").groupBy("_row").agg(F.sum(base).alias("_base"), F.sum(F.coalesce("value", F.lit(0.0)) * F.col("times")).alias("_own"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("_seen"))
+    extra: dict[str, Column] = {"_base": F.coalesce("_base", F.lit(0.0)), "_own": F.coalesce("_own", F.lit(0.0)), "_seen": F.coalesce("_seen", F.lit(0))}
     out = partial.drop("_rare", "_times").join(rare, "_row", "left").withColumns(extra)
-    return out.select(*kept, "n_tokens", (F.col("n_known") + F.col("_seen")).alias("n_known"), (F.col("base_score") + F.col("_part")).alias("base_score"), (F.col("score") + F.col("_part")).alias("score"))
+    return out.select(*kept, "n_tokens", (F.col("n_known") + F.col("_seen")).alias("n_known"), (F.col("base_score") + F.col("_base")).alias("base_score"), (F.col("score") + F.col("_base") + F.col("_own")).alias("score"))

@@ -160,6 +160,24 @@ def test_like_a_plain_tree(spark, heavy):
         assert math.isclose(row["score"], sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)), rel_tol=1e-9), row["text"]
 
 
+@pytest.mark.parametrize("often", [suffix_lm.HEAVY, 60])
+def test_tree_does_not_shrink_as_its_corpus_grows(spark, monkeypatch, often):
+    r = random.Random(4)
+    chains = ["the cat sat on the mat", "a dog ran to the old house", "on the hill the cat slept"]
+    texts = [" ".join(r.choice(chains) for _ in range(r.randint(0, 6))) for _ in range(60)] + ["a seldom pair met on the hill", "an odd pair left"] * 40 + ["filler " * 600_000, None]
+    monkeypatch.setattr(suffix_lm, "LEAST_CONTEXT", 0.0)
+    count, total, kinds, p, rest = plain_model(texts, 1 << 40)
+    monkeypatch.undo()
+    monkeypatch.setattr(suffix_lm, "HEAVY", often)
+    model, groups = suffix_lm.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {(b"seldom",), (b"seldom", b"pair")} <= set(rest)
+    fresh = ["a seldom pair met the cat", "seldom pair", "the old house seldom pair met", "unseen seldom pair unseen", "filler filler cat", None]
+    for row in suffix_lm.score(spark.createDataFrame([(t,) for t in fresh], "text string"), model, groups, ["text"]).collect():
+        seq = tokens(row["text"])
+        assert row["n_known"] == sum(count[w] > 0 for w in seq)
+        assert math.isclose(row["score"], sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)), rel_tol=1e-9), row["text"]
+
+
 def test_distributions_sum_to_one(spark):
     texts = ["a b a b a c"] * 40 + ["b a c c"] * 30
     count, total, kinds, p, _ = plain_model(texts, suffix_lm.HEAVY)
