@@ -8,9 +8,12 @@ training texts, then to the smaller name.
 
 N-grams are the three-letter windows of each word, lower-cased and padded with a space on both sides;
 whatever is no letter parts words, and a run of over a million letters is cut. A language contains an
-n-gram if a thousandth of its training texts hold it, and at least a quarter (`RATIO`) of the share of
-texts that hold it in any language, so a stray foreign line teaches nothing; of each language the
-``GRAMS`` n-grams found in most texts are kept. Training texts are a bounded sample (`train(..., texts=)` of each language, by hash of the id).
+n-gram if a thousandth of its training texts hold it and no other language displaces it, so a stray
+foreign line teaches nothing. What counts is the n-gram's rate, its part of a text's n-grams as a mean
+over the language's training texts, whatever their number and length: a rate in another language
+displaces it if less than a quarter of it (`RATIO`) is reached. Before that the other rate is taken
+times n / (n + `FEW`), n being the texts that hold the n-gram, so few texts displace nothing common.
+Of each language the ``GRAMS`` n-grams found in most texts are kept. All training texts are counted.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows with a null language are not
 learned from. Without anything to learn from every text is ``und``.
@@ -32,8 +35,8 @@ from tapeloom.llm.common import slices
 
 SPACE = 32
 GRAMS = 8_192
-LEAST, RATIO = 0.001, 0.25
-TEXTS_PER_LANGUAGE = 5_000
+LEAST, RATIO, FEW = 0.001, 0.25, 20
+WHOLE = 1 << 32  # rates are summed as whole numbers, so that no order of the texts changes them
 PIECE = 1 << 20
 UNKNOWN = "und"
 
@@ -130,27 +133,31 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = part.column("text").to_pylist()
             for lang in sorted(set(langs)):
                 seen: list[np.ndarray] = []
+                rates: list[np.ndarray] = []
                 for text in (t for t, of in zip(texts, langs) if of == lang):
-                    seen.append(np.unique(np.concatenate([np.unique(grams([p])[0]) for p in pieces(text)])))
-                found, n = np.unique(np.concatenate(seen), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
-
-
-def train(rows: DataFrame, doc_id: str = "doc_id", texts: int = TEXTS_PER_LANGUAGE, grams_kept: int = GRAMS) -> Languages:
-    """Filters from columns text and lang; ``doc_id`` only draws the sample of about ``texts`` texts of each language."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(doc_id, "lang", "text")
+                    own, times = zip(*(np.unique(grams([p])[0], return_counts=True) for p in pieces(text)))
+                    found, where = np.unique(np.concatenate(own), return_inverse=True)
+                    times = np.bincount(where, np.concatenate(times), len(found))
+                    seen.append(found)
+                    rates.append(np.floor(times * (WHOLE / max(1.0, times.sum()))))
+                found, where, n = np.unique(np.concatenate(seen), return_inverse=True, return_counts=True)
+                rate = np.bincount(where, np.concatenate(rates), len(found)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n), pa.array(rate)], ["lang", "gram", "n", "rate"])
+
+
+def train(rows: DataFrame, grams_kept: int = GRAMS) -> Languages:
+    """Filters from columns text and lang."""
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Languages.build([], [])
-    draw = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int((1 << 30) * min(1.0, texts / n)))])
-    sample = rows.where(draw < share[F.col("lang")])
-    counted = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    of = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, float(min(n, texts)))])
-    shares = counted.withColumn("share", F.col("n") / of[F.col("lang")]).where(F.col("share") >= LEAST)
-    shares = shares.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= RATIO * F.col("most"))
+    counted = rows.mapInArrow(_count, "lang string, gram long, n long, rate long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("rate").alias("rate"))
+    of = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, float(n))])[F.col("lang")]
+    rates = counted.where(F.col("n") / of >= LEAST).withColumn("rate", F.col("rate") / of)
+    sure = F.col("rate") * F.col("n") / (F.col("n") + FEW)
+    rates = rates.withColumn("most", F.max(sure).over(Window.partitionBy("gram"))).where(F.col("rate") >= RATIO * F.col("most"))
     ranked = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("n"), "gram"))), 1, grams_kept)["gram"]
-    kept = shares.groupBy("lang").agg(ranked.alias("grams"))  # n-grams that are frequent in a language are few
+    kept = rates.groupBy("lang").agg(ranked.alias("grams"))  # n-grams that are frequent in a language are few
     found = {r["lang"]: np.array(r["grams"], np.int64).astype(np.uint64) for r in kept.collect()}
     names = sorted(sizes, key=lambda x: (-sizes[x], x))
     return Languages.build(names, [found.get(x, np.zeros(0, np.uint64)) for x in names])

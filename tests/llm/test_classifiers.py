@@ -1,5 +1,6 @@
 """Language identification, URL verdicts and quality."""
 
+import random
 import zlib
 
 import cases
@@ -60,6 +61,19 @@ def test_language_rows(spark):
     assert langid.identify(cases.empty(spark), model).count() == 0
 
 
+def test_few_long_texts_take_no_ngrams_from_a_language(spark):
+    r = random.Random(1)
+    vocabulary = ["".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(1500)]
+    some = lambda n: " ".join(r.choices(vocabulary, [1 / (i + 1) for i in range(1500)], k=n))
+    other = " ".join("".join(r.choices("bcfgkmpvwxyz", k=5)) for _ in range(30))
+    rows = [(some(30), "en") for _ in range(3000)] + [(some(8000), "xx")] + [(other, "yy")]
+    model = langid.train(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string"))
+    fresh = [(some(30), "en") for _ in range(100)] + [(other, "yy")]
+    got = langid.identify(spark.createDataFrame(fresh, "text string, lang string"), model).collect()
+    # 'xx' is the same language, so a text may still hold a rare n-gram that only its long text has
+    assert sum(x["lang_pred"] == x["lang"] for x in got) >= 95 and got[-1]["lang_pred"] == "yy"
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in QUERIES["op5_language_id"](spark, sf).collect()}
