@@ -93,7 +93,9 @@ def format_pairs(pairs: DataFrame, turns: DataFrame, chosen_id: str = "chosen_id
 def same_start_pairs(turns: DataFrame) -> DataFrame:
     """Each conversation chosen against the one with the smallest id that starts with the same turn.
 
-    That one is itself chosen against the largest id of those; without another it has a null rejected_id.
+    That one is itself chosen against the largest id of those; without another it has a null rejected_id:
+    where all first turns differ, as in the given tables, there are no pairs. A partner with a longer
+    common prefix is not looked for.
     """
     known = conversations(turns).withColumn("start", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]))
     ends = known.groupBy("start").agg(*[f(F.struct("conv_id", "turns")).alias(name) for f, name in ((F.min, "first"), (F.max, "last"))])
