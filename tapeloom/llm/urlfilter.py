@@ -5,8 +5,8 @@
 rule wins, among equally long ones the one with the longer host, then the larger text. The rule list
 is a parameter and part of the plan, so it should hold thousands of rules at most.
 
-The model is fitted on a small labelled table of URLs (`fit(..., rows=)` bounds it by the hash of the
-URL). Without labelled URLs, or with one class only, the score is the smoothed share of ``block``.
+The model is fitted on a small labelled table of different URLs, each weighted by its rows (`fit(..., rows=)`
+bounds it by the hash of the URL, so a URL that repeats is one row of it). Without labelled URLs, or with one class only, the score is the smoothed share of ``block``.
 """
 
 from __future__ import annotations
@@ -89,9 +89,10 @@ class Regression:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def regress(hosts: list[str], paths: list[str], y: np.ndarray, steps: int = 150, rate: float = 0.5, l2: float = 1e-4) -> Regression:
+def regress(hosts: list[str], paths: list[str], y: np.ndarray, steps: int = 150, rate: float = 0.5, l2: float = 1e-4, weight: np.ndarray | None = None) -> Regression:
     """Logistic regression by AdaGrad on all rows at once. Rows are few: the caller has bounded them."""
-    share = (y.sum() + 0.5) / (len(y) + 1)
+    weight = np.ones(len(y)) if weight is None else weight
+    share = ((weight * y).sum() + 0.5) / (weight.sum() + 1)
     model = Regression(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return model
@@ -100,21 +101,21 @@ def regress(hosts: list[str], paths: list[str], y: np.ndarray, steps: int = 150,
     value, w, seen, bias_seen = scale[row], np.zeros(len(used)), np.full(len(used), 1e-8), 1e-8
     for _ in range(steps):
         total = np.bincount(row, w[at] * value, len(y)) + model.bias
-        wrong = 1 / (1 + np.exp(-total)) - y
-        slope = np.bincount(at, wrong[row] * value, len(used)) / len(y) + l2 * w
+        wrong = (1 / (1 + np.exp(-total)) - y) * weight / weight.sum()
+        slope = np.bincount(at, wrong[row] * value, len(used)) + l2 * w
         seen += slope**2
         w -= rate * slope / np.sqrt(seen)
-        bias_seen += wrong.mean() ** 2
-        model.bias -= rate * wrong.mean() / np.sqrt(bias_seen)
+        bias_seen += wrong.sum() ** 2
+        model.bias -= rate * wrong.sum() / np.sqrt(bias_seen)
     model.weights[used] = w
     return model
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> Regression:
     """From columns host, path and verdict (``block`` or ``allow``); null verdicts are not learned from."""
-    known = labelled.where(F.col("verdict").isNotNull()).select("host", "path", "verdict")
+    known = labelled.where(F.col("verdict").isNotNull()).groupBy("host", "path", "verdict").agg(F.count("*").alias("n"))
     some = bounded(known, F.concat("host", "path"), rows).toPandas().sort_values(["host", "path", "verdict"], kind="stable")
-    return regress(some["host"].tolist(), some["path"].tolist(), (some["verdict"] == "block").to_numpy(float))
+    return regress(some["host"].tolist(), some["path"].tolist(), (some["verdict"] == "block").to_numpy(float), weight=some["n"].to_numpy(float))
 
 
 def judged(df: DataFrame, model: Regression) -> DataFrame:

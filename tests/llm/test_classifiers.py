@@ -128,6 +128,24 @@ def test_regression_learns_from_ngrams():
     assert urlfilter.regress(["a"], ["/"], np.ones(1)).score(["b", ""], ["/c", ""]).min() > 0.5
 
 
+def test_copies_of_a_url_are_one_row_of_the_table(spark, monkeypatch):
+    urls = spark.createDataFrame([(f"h{i}.net", f"/{i}", "block" if i % 2 else "allow") for i in range(500)], "host string, path string, verdict string")
+    first = urls.orderBy(F.pmod(F.xxhash64(F.concat("host", "path")), F.lit(1 << 30))).limit(1)  # is drawn before all others
+    learned = []
+    monkeypatch.setattr(urlfilter, "regress", lambda hosts, paths, y, weight: learned.append((hosts, weight)))
+    urlfilter.fit(urls.unionByName(first.crossJoin(spark.range(2000)).drop("id")), rows=100)
+    hosts, weight = learned[0]
+    assert 50 < len(hosts) == len(set(hosts)) < 150 and sorted(weight) == [1.0] * (len(hosts) - 1) + [2001.0]
+
+
+def test_weights_like_copies():
+    hosts, paths, y = ["a.net", "b.org", "c.net"], ["/x", "/y", "/z"], np.array([1.0, 0.0, 0.0])
+    few = urlfilter.regress(hosts, paths, y, weight=np.array([3.0, 1.0, 2.0]))
+    at = [0, 0, 0, 1, 2, 2]
+    many = urlfilter.regress([hosts[i] for i in at], [paths[i] for i in at], y[at])
+    assert np.allclose(few.weights, many.weights) and np.isclose(few.bias, many.bias)
+
+
 def test_url_query(spark, sf):
     got = QUERIES["op6_url_filter"](spark, sf).collect()
     pages = {p: u for p, u, _ in cases.table(sf, "pages")}
