@@ -197,7 +197,7 @@ def _describe(size: int, classes: Classes, deals: int):
         done: set[int] = set()  # nodes whose signatures this task has given already
         signature: list[np.ndarray] = []
         node: list[np.ndarray] = []
-        held = 0
+        held = passed = 0
 
         def out() -> Iterator[pa.RecordBatch]:
             sig, own, a, b = _grouped(np.concatenate(signature), np.concatenate(node), LOCAL_SETS)
@@ -215,7 +215,7 @@ def _describe(size: int, classes: Classes, deals: int):
                     members = shingles(text, size)
                     sizes.append(len(members))
                     nodes.append(node_of(members) if len(members) else None)
-                    sketches.append(sketch(members))
+                    sketches.append(None if nodes[-1] is None or nodes[-1] in done else sketch(members))  # once a task
                     if nodes[-1] is not None and nodes[-1] not in done:
                         if len(done) > HELD:
                             done.clear()
@@ -224,7 +224,10 @@ def _describe(size: int, classes: Classes, deals: int):
                             signature.append(made)
                             node.append(np.full(len(made), nodes[-1], np.int64))
                             held += len(made)
-                yield _batch(DOCUMENT, [(x or 0) % deals for x in nodes], part.column("doc_id").to_pylist(), nodes, sizes, part.column("key").to_pylist(), sketches)
+                keys = part.column("key").to_pylist()
+                deal = [(int(k[:8], 16) + passed + i) % deals for i, k in enumerate(keys)]  # copies, also of whole rows, go to different parts
+                passed += len(keys)
+                yield _batch(DOCUMENT, deal, part.column("doc_id").to_pylist(), nodes, sizes, keys, sketches)
                 if held > HELD:
                     yield from out()
                     signature, node, held = [], [], 0

@@ -1,7 +1,10 @@
+import hashlib
 import random
+from collections import Counter
 
 import cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tapeloom.llm import jaccard
@@ -173,3 +176,15 @@ def test_connected(spark):
     got = dict(map(tuple, jaccard.connected(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {x: find(x) for x in root if find(x) != x}
     assert jaccard.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_of_equal_texts_are_dealt_evenly():
+    text = cases.prose(1, 60)
+    texts = [text] * 300 + [""] * 300
+    keys = [hashlib.md5(f"{i // 3} {t}".encode()).hexdigest() for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "key": keys, "text": texts})
+    rows = [r for b in jaccard._describe(3, jaccard.Classes(90, 100), 8)(iter([batch])) for r in b.to_pylist() if r["kind"] == jaccard.DOCUMENT]
+    assert [(r["a"], r["key"]) for r in rows] == list(zip(range(600), keys)) and len({r["b"] for r in rows}) == 2
+    for some in (rows[:300], rows[300:]):
+        assert max(Counter(r["deal"] for r in some).values()) < 100
+    assert [r["body"] is not None for r in rows] == [True] + [False] * 599
