@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, jaccard, langid, preference, quality, secret_scan, sentencepiece_codec, suffix_lm, topk, urlfilter
+from tapeloom.llm import decontaminate, jaccard, langid, merkle, preference, quality, secret_scan, sentencepiece_codec, suffix_lm, topk, urlfilter
 from tapeloom.llm.common import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -217,3 +218,60 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = suffix_lm.fit(docs.where(~F.col("held_out")))
     scored = suffix_lm.score(docs, model, counts, ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _leaf_sql(text: str) -> str:
+    part = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(map(part, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+
+
+#: crc32 bit by bit: each byte enters at the first of its eight steps.
+_CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, 8 * length(doc_id::VARCHAR)),
+  lambda i: CASE WHEN i % 8 = 0 THEN ascii(substr(doc_id::VARCHAR, (i // 8 + 1)::BIGINT, 1)) ELSE 0 END::BIGINT)),
+  lambda c, b: xor(xor(c, b) >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295::BIGINT)"""
+
+MERKLE_SQL = f"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {_CRC_SQL} % 5 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS changed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM rows
+), trees AS (
+  SELECT source, list(leaf ORDER BY pos) AS l, 0 AS lev FROM placed GROUP BY source
+  UNION ALL
+  SELECT source, list_transform(range(0, (len(l) + 15) // 16), lambda i: sha256(array_to_string(l[i * 16 + 1:i * 16 + 16], ''))), lev + 1 FROM trees WHERE len(l) > 1
+), subroots AS (
+  SELECT source, l[1] AS subroot, lev, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM trees WHERE len(l) = 1
+), top AS (
+  SELECT list(subroot ORDER BY pos) AS l, 0 AS lev FROM subroots
+  UNION ALL
+  SELECT list_transform(range(0, (len(l) + 15) // 16), lambda i: sha256(array_to_string(l[i * 16 + 1:i * 16 + 16], ''))), lev + 1 FROM top WHERE len(l) > 1
+), crown AS (SELECT l[1] AS root FROM top WHERE len(l) = 1),
+steps AS (
+  SELECT p.r, t.lev, t.l, p.pos // (16 ** t.lev)::BIGINT AS i FROM placed p JOIN trees t ON t.source IS NOT DISTINCT FROM p.source WHERE len(t.l) > 1
+  UNION ALL
+  SELECT p.r, s.lev + t.lev, t.l, s.pos // (16 ** t.lev)::BIGINT FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN top t ON len(t.l) > 1
+), sides AS (
+  SELECT r, lev, array_to_string(l[i - i % 16 + 1:i], '') AS a, array_to_string(l[i + 2:i - i % 16 + 16], '') AS b FROM steps
+), fold AS (
+  SELECT r, coalesce(changed, leaf) AS h, 0 AS lev, '' AS seen FROM placed
+  UNION ALL
+  SELECT f.r, sha256(s.a || f.h || s.b), f.lev + 1, f.seen || s.a || s.b FROM fold f JOIN sides s ON s.r = f.r AND s.lev = f.lev
+), ends AS (SELECT r, max_by(h, lev) AS folded_root, max_by(seen, lev) AS seen FROM fold GROUP BY r)
+SELECT p.doc_id, p.leaf, s.subroot, root, sha256(e.seen) AS proof_sha256, e.folded_root, e.folded_root = root AS verified
+FROM placed p JOIN ends e USING (r) JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source, crown
+"""
+
+
+@query("op11_merkle_manifest", MERKLE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest tree per source, its proofs, and their check against every fifth text in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    row_leaf = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select("doc_id", "source", row_leaf(F.col("text")).alias("leaf"), F.when(tampered, row_leaf(lower)).alias("changed"))
+    made = merkle.manifest(written(leaves, "leaves"), "source", ["doc_id"], ["doc_id", "changed"])
+    made = made.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
+    return made.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
