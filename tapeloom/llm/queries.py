@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, jaccard, langid, merkle, preference, quality, secret_scan, sentencepiece_codec, suffix_lm, topk, urlfilter
+from tapeloom.llm import decontaminate, jaccard, langid, merkle, preference, quality, secret_scan, sentencepiece_codec, substring_dedup, suffix_lm, topk, urlfilter
 from tapeloom.llm.common import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +275,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = merkle.manifest(written(leaves, "leaves"), "source", ["doc_id"], ["doc_id", "changed"])
     made = made.withColumn("folded_root", merkle.folded(F.coalesce("changed", "leaf"), F.col("path")))
     return made.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+SUBSTRING_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h FROM texts
+), again AS (
+  SELECT r, i, i AS start FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1)
+), words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+marked AS (
+  SELECT r, word, i, coalesce(i - max(start) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) < 35, false) AS covered
+  FROM words LEFT JOIN again USING (r, i)
+), made AS (
+  SELECT r, count(*) FILTER (WHERE covered) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT covered) AS kept FROM marked GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN made USING (r)
+"""
+
+
+@query("op12_substring_dedup", SUBSTRING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the words of 35-word windows that occur again."""
+    made = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=35)
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
