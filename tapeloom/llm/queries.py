@@ -5,10 +5,10 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm import decontaminate, jaccard, langid, merkle, preference, quality, secret_scan, sentencepiece_codec, substring_dedup, suffix_lm, topk, urlfilter
+from tapeloom.llm import decontaminate, jaccard, langid, merkle, periodic_runs, preference, quality, secret_scan, sentencepiece_codec, substring_dedup, suffix_lm, topk, urlfilter
 from tapeloom.llm.common import held_out, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -300,3 +300,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the words of 35-word windows that occur again."""
     made = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), size=35)
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text; every tenth one first goes on in circles from one of its words to its end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+
+    def circling(w: Column) -> Column:
+        n, g = F.size(w).cast("long"), F.expr("h div 10")
+        a = g % n
+        p = F.floor((n - a) / (g % 8 + 3)) + 1
+        at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        made = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(w, at(i).cast("int")))
+        return F.when(n > 0, F.array_join(made, " "))
+
+    made = F.element_at(F.transform(F.array(words), circling), 1)  # the words are taken once
+    docs = docs.select("doc_id", F.when(F.col("h") % 10 == 0, made).otherwise(F.col("text")).alias("text"))
+    found = periodic_runs.collapsed(docs, least=24)
+    longer = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    order = lambda x, y: F.when(longer(x, y) != 0, -longer(x, y)).when(x["start"] != y["start"], x["start"] - y["start"]).otherwise(x["period"] - y["period"])
+    best = F.get(F.array_sort("runs", lambda x, y: F.signum(order(x, y)).cast("int")), F.lit(0))
+    lines = F.transform("runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return out.select("doc_id", "n_runs", "best.*", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
