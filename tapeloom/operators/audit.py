@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.ordered import beside, exact_quantiles, windowed
+from tapeloom.operators.ordered import beside, exact_quantiles, matched, windowed
 
 
 def _one(c: Column) -> Column:
@@ -43,7 +43,7 @@ def integrity(df: DataFrame, gap_seconds: float = 1.0, jump: float = 0.01) -> Da
         _one(F.col("size") < 0).alias("size_negative_rows"),
         _one(F.col("size") == 0).alias("size_zero_rows"),
     )
-    return whole.join(out, "symbol", "left").join(distinct, "symbol", "left")
+    return matched(matched(whole, out, "symbol", "left"), distinct, "symbol", "left")
 
 
 def validate_market(df: DataFrame, tick: float) -> DataFrame:
@@ -149,3 +149,94 @@ def before_after(raw: DataFrame, clean: DataFrame) -> DataFrame:
     stats = lambda df, p: df.groupBy("symbol").agg(F.count(F.lit(1)).alias(f"{p}_rows"), F.min("price").alias(f"{p}_min_price"), F.max("price").alias(f"{p}_max_price"))
     both = stats(raw, "raw").join(stats(clean, "clean"), "symbol", "full")
     return both.withColumn("clean_rows", F.coalesce("clean_rows", F.lit(0))).withColumn("kept_share", F.col("clean_rows") / F.col("raw_rows"))
+
+
+# --------------------------------------------------------------------------- integrity that merges
+
+#: Columns of a part's summary that add up.
+ADDING = ("rows", "missing_ts_rows", "price_missing_rows", "price_nonpositive_rows", "size_missing_rows", "size_negative_rows", "size_zero_rows", "timed_rows", "non_monotonic_ts_steps", "gap_rows", "price_jump_rows")
+
+
+def _stepped(before: Column, after: Column, gap_seconds: float, jump: float) -> dict[str, Column]:
+    """What the step from one timed row (ts in microseconds, price) to the next adds to the counts."""
+    gap = after["us"] - before["us"]
+    moved = F.abs(after["price"] / F.nullif(before["price"], F.lit(0.0)) - 1)
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    return {"non_monotonic_ts_steps": one(gap < 0), "gap_rows": one(gap > gap_seconds * 1_000_000), "price_jump_rows": one(moved > jump), "max_gap_us": gap}
+
+
+def integrity_parts(df: DataFrame, part: str, order: str = "ingest", gap_seconds: float = 1.0, jump: float = 0.01) -> DataFrame:
+    """One summary per symbol and part, of the part's own rows only; a part without rows has none.
+
+    ``first_row`` and ``last_row`` are the part's outer rows with a time, in ``order``; what the step
+    between two parts adds is left to `merged_parts`. Null symbols and parts are values like others.
+    """
+    keys = ["symbol", part]
+    us = F.unix_micros(F.col("ts_event").cast("timestamp"))
+    row = F.struct(us.alias("us"), F.col("price").cast("double").alias("price"))
+    timed = df.filter("ts_event is not null").select(*keys, order, "ts_event", row.alias("_row"))
+    timed = windowed(timed, lambda rows, w: rows.withColumn("_before", F.lag("_row").over(w)), before=1, keys=keys, order=[order])
+    steps = _stepped(F.col("_before"), F.col("_row"), gap_seconds, jump)
+    inner = timed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("timed_rows"),
+        *[F.sum(c).alias(name) for name, c in steps.items() if name != "max_gap_us"],
+        F.max(steps["max_gap_us"]).alias("max_gap_us"),
+        F.min_by("_row", order).alias("first_row"),
+        F.max_by("_row", order).alias("last_row"),
+        F.min("ts_event").alias("first_ts"),
+        F.max("ts_event").alias("last_ts"),
+    )
+    checks = {
+        "missing_ts_rows": F.col("ts_event").isNull(),
+        "price_missing_rows": F.col("price").isNull(),
+        "price_nonpositive_rows": F.col("price") <= 0,
+        "size_missing_rows": F.col("size").isNull(),
+        "size_negative_rows": F.col("size") < 0,
+        "size_zero_rows": F.col("size") == 0,
+    }
+    whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[_one(c).alias(name) for name, c in checks.items()])
+    out = matched(whole, inner, keys, "left")
+    return out.withColumn("part", F.col(part)).fillna(0, subset=[c for c in ADDING if c != "rows"]).select("symbol", "part", *ADDING, "max_gap_us", "first_row", "last_row", "first_ts", "last_ts")
+
+
+def time_counts(df: DataFrame) -> DataFrame:
+    """Rows per symbol and time: the part of a summary that finds times that come again in any other part."""
+    return df.filter("ts_event is not null").groupBy("symbol", "ts_event").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def merged_times(counts: DataFrame) -> DataFrame:
+    """Counts of several parts, put together, as those of one."""
+    return counts.groupBy("symbol", "ts_event").agg(F.sum("rows").alias("rows"))
+
+
+def merged_parts(parts: DataFrame, into: Column, gap_seconds: float = 1.0, jump: float = 0.01) -> DataFrame:
+    """Summaries of consecutive parts with the same ``into`` as one, with the steps between them.
+
+    The result has the form of its input, so parts merge in any grouping: days to months, months to
+    years, an earlier total with what came since. Parts are in the order of ``part``; those without a
+    timed row are stepped over. A window holds one row per part of a symbol, never its rows.
+    """
+    rows = parts.withColumn("_into", into)
+    before = Window.partitionBy("symbol", "_into").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_before", F.last("last_row", ignorenulls=True).over(before))
+    steps = _stepped(F.col("_before"), F.col("first_row"), gap_seconds, jump)
+    added = [F.sum(F.col(c) + steps[c] if c in steps else F.col(c)).alias(c) for c in ADDING]
+    timed = F.when(F.col("first_row").isNotNull(), F.col("part"))
+    out = rows.groupBy("symbol", "_into").agg(
+        *added,
+        F.max(F.greatest("max_gap_us", steps["max_gap_us"])).alias("max_gap_us"),
+        F.min_by("first_row", timed).alias("first_row"),
+        F.max_by("last_row", timed).alias("last_row"),
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+    )
+    return out.withColumnRenamed("_into", "part").select(*parts.columns)
+
+
+def integrity_report(total: DataFrame, times: DataFrame) -> DataFrame:
+    """The columns of `integrity` from one summary per symbol and its merged counts of times."""
+    again = times.groupBy("symbol").agg(F.sum(F.col("rows") - 1).alias("duplicate_ts_rows"))
+    timed = [c for c in ADDING if c in ("timed_rows", "non_monotonic_ts_steps", "gap_rows", "price_jump_rows")]
+    known = F.col("timed_rows") > 0
+    out = matched(total, again, "symbol", "left").withColumn("max_gap_ms", F.when(known, F.greatest("max_gap_us", F.lit(0)) / 1000.0))
+    return out.withColumns({c: F.when(known, F.col(c)) for c in timed}).drop("part", "max_gap_us", "first_row", "last_row")

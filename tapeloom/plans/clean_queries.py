@@ -335,21 +335,32 @@ def stage_report(spark, sf_dir):
 STEPS = "st AS (SELECT *, epoch_us(ts_event) - lag(epoch_us(ts_event)) OVER w AS gap_us, lag(price) OVER w AS pp, lag(ts_event) OVER w AS prev_ts FROM raw WHERE ts_event IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ingest))"
 
 
-@query(
-    "a17_integrity",
-    f"""{RAW}, {STEPS}, t AS (SELECT symbol, count(*) AS timed_rows, sum((coalesce(gap_us < 0, false))::INT)::BIGINT AS non_monotonic_ts_steps, sum((coalesce(gap_us > 3600000000, false))::INT)::BIGINT AS gap_rows,
+INTEGRITY_SQL = f"""{RAW}, {STEPS}, t AS (SELECT symbol, count(*) AS timed_rows, sum((coalesce(gap_us < 0, false))::INT)::BIGINT AS non_monotonic_ts_steps, sum((coalesce(gap_us > 3600000000, false))::INT)::BIGINT AS gap_rows,
   greatest(max(gap_us), 0) / 1000.0 AS max_gap_ms, sum((coalesce(abs(price / nullif(pp, 0) - 1) > 0.01, false))::INT)::BIGINT AS price_jump_rows, min(ts_event) AS first_ts, max(ts_event) AS last_ts,
   count(*) - count(DISTINCT ts_event) AS duplicate_ts_rows FROM st GROUP BY symbol),
 w AS (SELECT symbol, count(*) AS rows, sum((ts_event IS NULL)::INT)::BIGINT AS missing_ts_rows, sum((price IS NULL)::INT)::BIGINT AS price_missing_rows, sum((coalesce(price <= 0, false))::INT)::BIGINT AS price_nonpositive_rows,
   sum((size IS NULL)::INT)::BIGINT AS size_missing_rows, sum((size < 0)::INT)::BIGINT AS size_negative_rows, sum((size = 0)::INT)::BIGINT AS size_zero_rows FROM raw GROUP BY symbol)
-SELECT * FROM w LEFT JOIN t USING (symbol)""",
-    "max_gap_ms",
-    digits=3,
-)
+SELECT * FROM w LEFT JOIN t USING (symbol)"""
+
+
+@query("a17_integrity", INTEGRITY_SQL, "max_gap_ms", digits=3)
 def integrity(spark, sf_dir):
     return A.integrity(V.raw_ticks(spark, sf_dir), gap_seconds=3600)
 
 
+@query("a18_merged_integrity", INTEGRITY_SQL, "max_gap_ms", digits=3)
+def merged_integrity(spark, sf_dir):
+    """Eight uneven parts, summed up each on its own (the third has no rows), merged by fours and then to one."""
+    rows = V.raw_ticks(spark, sf_dir)
+    at = F.col("ingest")
+    part = F.when(at < 40, 0).when(at < 700, 1).when(at < 5_000, 3).otherwise(F.least(F.expr("4 + ingest div 6000"), F.lit(7)))
+    rows = rows.withColumn("part", part.cast("long"))
+    parts = A.integrity_parts(rows, "part", gap_seconds=3600)
+    halves = A.merged_parts(parts, F.expr("part div 4"), gap_seconds=3600)
+    total = A.merged_parts(halves, F.lit(0).cast("long"), gap_seconds=3600)
+    return A.integrity_report(total, A.merged_times(A.time_counts(rows)))
+
+
 @query(
     "a20_a33_market_issues",
     f"""{RAW}, {STEPS}, i AS (SELECT 'invalid_ts_event' AS code, 'critical' AS severity, (SELECT count(*) FROM raw WHERE ts_event IS NULL) AS rows
