@@ -3,6 +3,11 @@
 A machine has ``inputs`` (columns it reads), ``outputs`` (name: type) and ``start`` (its first
 state, JSON-like). ``step(state, *values)`` takes one row and returns (outputs tuple, next state).
 The batch fold and the streaming processor both run these.
+
+A machine whose effect on its state can be summed up for a block of rows, whatever the state is at
+the block's start, says so by ``stages``: its state's parts in the order in which blocks can know
+them. ``digest`` sums up what a block does to one part, given the parts before; ``advance`` applies
+it. Digests are a few numbers: an affine map for decaying means and filters, a sum, a maximum.
 """
 
 from __future__ import annotations
@@ -16,13 +21,51 @@ class Machine:
     inputs: tuple[str, ...] = ()
     outputs: dict[str, str] = {}
     start: list = []
+    #: Parts of the state, as places in it; none: its effect cannot be summed up.
+    stages: tuple[tuple[int, ...], ...] = ()
+    #: Name of the output that is true where the state starts afresh, which digests leave out.
+    restarts: str | None = None
 
     def step(self, state: list, *values) -> tuple[tuple, list]:
         raise NotImplementedError
 
+    def digest(self, stage: int, state: list, first: bool, columns: list[list]) -> list:
+        """What a block's rows do to a part; ``state`` holds the earlier parts. ``first``: it is all of the state."""
+        raise NotImplementedError
+
+    def advance(self, stage: int, state: list, digest: list, first: bool) -> list:
+        """The part after a block, from the state before it."""
+        raise NotImplementedError
+
+
+class Affine(Machine):
+    """One part of the state, ``linear``, goes through each row by an affine map; ``still`` are the inputs without offset."""
+
+    linear: tuple[int, ...] = (0,)
+
+    def still(self, columns: list[list]) -> list[list]:
+        return [[0.0] * len(c) for c in columns]
+
+    @property
+    def stages(self):
+        return (self.linear,)
+
+    def digest(self, stage, state, first, columns):
+        ends = lambda begin, rows: [run(self, begin, rows)[1][i] for i in self.linear]
+        if first:
+            return [None, ends(state, columns)]
+        at = lambda one: [1.0 if i == one else 0.0 if i in self.linear else x for i, x in enumerate(state)]
+        return [[ends(at(i), self.still(columns)) for i in self.linear], ends(at(None), columns)]
+
+    def advance(self, stage, state, digest, first):
+        images, offset = digest
+        if images is None:
+            return offset
+        return [c + sum(image[k] * state[i] for i, image in zip(self.linear, images)) for k, c in enumerate(offset)]
+
 
 @dataclass
-class Ewma(Machine):
+class Ewma(Affine):
     """Exponentially weighted mean, started by the first value."""
 
     column: str
@@ -38,7 +81,7 @@ class Ewma(Machine):
 
 
 @dataclass
-class Macd(Machine):
+class Macd(Affine):
     """Difference of a fast and a slow mean, less its own mean."""
 
     column: str = "close"
@@ -48,6 +91,7 @@ class Macd(Machine):
 
     def __post_init__(self):
         self.inputs, self.outputs, self.start = (self.column,), {"macd_hist": "double"}, [None, None, None]
+        self.linear = (0, 1, 2)
 
     def step(self, state, x):
         mean = lambda old, new, span: new if old is None else old + 2.0 / (span + 1) * (new - old)
@@ -57,7 +101,7 @@ class Macd(Machine):
 
 
 @dataclass
-class Hawkes(Machine):
+class Hawkes(Affine):
     """Intensity that decays with time and jumps on each event; the first row only sets the clock."""
 
     alpha: float = 0.5
@@ -66,6 +110,17 @@ class Hawkes(Machine):
     inputs = ("t_us", "is_event")
     outputs = {"intensity": "double", "counted": "boolean"}
     start = [None, 0.0]
+    linear = (1,)
+    stages = ((0,), (1,))  # the time of the row before, then the level
+
+    def still(self, columns):
+        return [columns[0], [False] * len(columns[1])]
+
+    def digest(self, stage, state, first, columns):
+        return [int(columns[0][-1])] if stage == 0 else super().digest(stage, state, first, columns)
+
+    def advance(self, stage, state, digest, first):
+        return digest if stage == 0 else super().advance(stage, state, digest, first)
 
     def step(self, state, t, is_event):
         last, level = state
@@ -75,8 +130,18 @@ class Hawkes(Machine):
         return (self.base + level, True), [int(t), level]
 
 
+def settled(values: list[float], step, rows: int) -> list[float]:
+    """Values after so many steps that depend on them only; stops where a step no longer changes them."""
+    for _ in range(rows):
+        new = step(values)
+        if all(abs(a - b) <= 1e-15 * abs(b) for a, b in zip(new, values)):
+            return new
+        values = new
+    return values
+
+
 @dataclass
-class KalmanLevel(Machine):
+class KalmanLevel(Affine):
     """Local-level Kalman filter, started at the first value with variance 1."""
 
     column: str = "close"
@@ -86,19 +151,34 @@ class KalmanLevel(Machine):
     def __post_init__(self):
         self.inputs, self.outputs, self.start = (self.column,), {"kalman_trend": "double"}, [None, 1.0]
 
+    stages = ((1,), (0,))  # the variance depends on the number of rows only
+
+    def variance(self, p: float, drift: float) -> float:
+        p += drift
+        return (1 - p / (p + self.noise)) * p
+
+    def digest(self, stage, state, first, columns):
+        return [len(columns[0])] if stage == 0 else super().digest(stage, state, first, columns)
+
+    def advance(self, stage, state, digest, first):
+        if stage:
+            return super().advance(stage, state, digest, first)
+        rows, p = digest[0], state[1]
+        if first:
+            rows, p = rows - 1, self.variance(p, 0.0)
+        return settled([p], lambda v: [self.variance(v[0], self.drift)], rows)
+
     def step(self, state, z):
         x, p = state
+        drift = self.drift
         if x is None:
-            x = z
-        else:
-            p += self.drift
-        k = p / (p + self.noise)
-        x += k * (z - x)
-        return (x,), [x, (1 - k) * p]
+            x, drift = z, 0.0
+        x += (p + drift) / (p + drift + self.noise) * (z - x)
+        return (x,), [x, self.variance(p, drift)]
 
 
 @dataclass
-class KalmanSlope(Machine):
+class KalmanSlope(Affine):
     """Price and slope filter; the slope over the steepest one so far gives label and strength."""
 
     column: str = "price"
@@ -111,16 +191,32 @@ class KalmanSlope(Machine):
         self.outputs = {"trend_label": "int", "trend_strength": "double", "kalman_price": "double"}
         self.start = [None, 0.0, 1.0, 0.0, 1.0, 0.0]  # level, slope, covariance (aa, ab, bb), steepest slope
 
+    linear = (0, 1)
+    stages = ((2, 3, 4), (0, 1), (5,))  # the covariance depends on the number of rows only
+
+    def gains(self, aa: float, ab: float, bb: float) -> tuple[float, float, list[float]]:
+        """Weights of a miss for level and slope, and the covariance after a row."""
+        aa, ab, bb = aa + 2 * ab + bb + self.process, ab + bb, bb + self.process
+        ka, kb = aa / (aa + self.noise), ab / (aa + self.noise)
+        return ka, kb, [(1 - ka) * aa, (1 - ka) * ab, bb - kb * ab]
+
+    def digest(self, stage, state, first, columns):
+        if stage == 1:
+            return super().digest(stage, state, first, columns)
+        return [len(columns[0])] if stage == 0 else [run(self, [*state[:5], 0.0], columns)[1][5]]
+
+    def advance(self, stage, state, digest, first):
+        if stage == 0:
+            return settled(state[2:5], lambda c: self.gains(*c)[2], digest[0])
+        return super().advance(stage, state, digest, first) if stage == 1 else [max(state[5], digest[0])]
+
     def step(self, state, z):
         x, v, aa, ab, bb, top = state
         x = z if x is None else x
         x += v  # predict
-        aa, ab, bb = aa + 2 * ab + bb + self.process, ab + bb, bb + self.process
-        s = aa + self.noise
-        ka, kb = aa / s, ab / s
+        ka, kb, (aa, ab, bb) = self.gains(aa, ab, bb)
         miss = z - x
         x, v = x + ka * miss, v + kb * miss
-        aa, ab, bb = (1 - ka) * aa, (1 - ka) * ab, bb - kb * ab
         top = max(top, abs(v))
         part = v / max(top, 1e-10)
         label = 1 if part > self.threshold else -1 if part < -self.threshold else 0
@@ -167,14 +263,36 @@ class PageHinkley(Machine):
     def __post_init__(self):
         self.inputs, self.outputs, self.start = (self.column,), {"statistic": "double", "drift": "boolean"}, [0, 0.0, 0.0, 0.0]
 
-    def step(self, state, x):
+    stages = ((0, 1), (2, 3))  # count and mean, then the drift's sum and its least value, which need the means
+    restarts = "drift"
+
+    def drifted(self, state, x):
         n, mean, total, low = state
         n += 1
         mean += (x - mean) / n
         total += x - mean - self.delta
-        low = min(low, total)
-        alarm = total - low > self.limit
-        return (total - low, alarm), list(self.start) if alarm else [n, mean, total, low]
+        return [n, mean, total, min(low, total)]
+
+    def digest(self, stage, state, first, columns):
+        if stage == 0:
+            return [len(columns[0]), math.fsum(columns[0])]
+        state = [*state[:2], 0.0, math.inf]
+        for x in columns[0]:
+            state = self.drifted(state, x)
+        return state[2:]
+
+    def advance(self, stage, state, digest, first):
+        n, mean, total, low = state
+        if stage == 0:
+            rows, added = digest
+            return [n + rows, mean + (added - rows * mean) / (n + rows)]
+        return [total + digest[0], min(low, total + digest[1])]
+
+    def step(self, state, x):
+        state = self.drifted(state, x)
+        statistic = state[2] - state[3]
+        alarm = statistic > self.limit
+        return (statistic, alarm), list(self.start) if alarm else state
 
 
 @dataclass
@@ -390,6 +508,18 @@ class SessionTotals(Machine):
     inputs = ("day", "price", "size", "is_buy")
     outputs = {"current_vwap": "double", "session_cvd": "double"}
     start = [None, 0.0, 0.0, 0.0]
+    stages = ((0,), (1, 2, 3))  # the day, then the totals, which add up within one
+
+    def digest(self, stage, state, first, columns):
+        if stage == 0:
+            return [int(columns[0][-1])]
+        return [int(columns[0][-1]) != state[0], run(self, [state[0], 0.0, 0.0, 0.0], columns)[1][1:]]
+
+    def advance(self, stage, state, digest, first):
+        if stage == 0:
+            return digest
+        fresh, totals = digest
+        return totals if fresh else [a + b for a, b in zip(state[1:], totals)]
 
     def step(self, state, day, price, size, is_buy):
         today, volume, paid, cvd = state if state[0] == day else (int(day), 0.0, 0.0, 0.0)

@@ -3,9 +3,16 @@
 A group within ``max_group_rows`` runs in one task. A larger one is cut in blocks that run at the
 same time, each from the state its predecessor ended with in the round before; only blocks whose
 start state changed run again. When none changes, the result is that of one pass. Rules that
-forget their past (decaying means, resets, pauses) settle in two or three rounds. What has not
-settled after `ROUNDS` belongs to a rule that never forgets: the rest of such a key streams through
-one task, row by row, from the state known by then, so the number of rounds never grows with a key.
+forget their past (resets, pauses, votes) settle in two or three rounds.
+
+Machines with ``stages`` need no rounds: each block is summed up once per part of the state, and a
+window over the blocks' digests gives every block its start. Decaying means, Kalman filters, Hawkes
+intensities and session totals take two to four passes, whatever the number of blocks. Between its
+alarms Page-Hinkley does, too: a count, a sum and a least value bridge blocks without an alarm.
+
+What has not settled after `ROUNDS` streams through one task per key, row by row, from the first
+block not known to be right. That is left for rules without stages that never forget, and for keys
+whose alarms keep moving when earlier ones do.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.machines import Machine, run
-from tapeloom.operators.ordered import KEYS, ORDER, fits, matched, running, spread, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, SALTS, fits, matched, numbered, running, spread, windowed
 from tapeloom.runtime import frozen, max_group_rows
 
 #: Rounds in which all blocks run at once.
@@ -76,30 +83,9 @@ def _walk(machine: Machine, keys: list[str], start: str | None = None, drop: Seq
 def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[str]) -> DataFrame:
     block = max_group_rows(df.sparkSession)
     rows = frozen(spread(df, keys, order).withColumn("_blk", F.expr(f"_rn div {block}")))
-    begin = json.dumps(machine.start)
     by_block = [*keys, "_blk"]
-    key_types = ", ".join(f"`{k}` {dict(rows.dtypes)[k]}" for k in by_block)
-
-    def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_rn")
-        _, state = run(machine, json.loads(pdf["_start"].iloc[0]), _columns(pdf, machine))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by_block}, "_end": [json.dumps(state)]})
-
     needed = rows.select(*by_block, "_rn", *[c for c in machine.inputs if c not in by_block])
-    states = frozen(rows.select(*by_block).distinct().withColumn("_start", F.lit(begin)).withColumn("_end", F.lit(None).cast("string")))
-    todo = states
-    before = Window.partitionBy(*keys).orderBy("_blk")  # one row per block
-    for turn in range(ROUNDS):
-        ran = matched(needed, todo.select(*by_block, "_start"), by_block)
-        ends = ran.groupBy(*by_block).applyInPandas(end_state, schema=f"{key_types}, _end string")
-        known = matched(states, ends.withColumnRenamed("_end", "_new"), by_block, "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
-        next_start = F.coalesce(F.lag("_end").over(before), F.lit(begin))
-        states = frozen(known.withColumn("_next", next_start).withColumn("_stale", F.col("_next") != F.col("_start")).withColumn("_start", F.col("_next")).drop("_next"))
-        todo = states.filter("_stale")
-        settled = todo.isEmpty()
-        if settled or turn == ROUNDS - 1:
-            break
-        states = states.drop("_stale")
+    states = _composed(needed, machine, keys) if machine.stages else _settled(needed, machine, keys)
 
     def output(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rn")
@@ -109,18 +95,106 @@ def _fold_blocks(df: DataFrame, machine: Machine, keys: list[str], order: list[s
     plain = rows.drop("_blk", "_rn").select(*df.columns)
     schema = _schema(plain, machine)
     # blocks before a key's first stale one are final, and so is that one's start
-    heads = todo.groupBy(*keys).agg(F.min("_blk").alias("_head"))
-    final = states if settled else matched(states, heads, keys, "left").filter(F.col("_head").isNull() | (F.col("_blk") < F.col("_head")))
-    full = matched(rows, final.select(*by_block, "_start"), by_block)
+    todo = None if "_stale" not in states.columns else states.filter("_stale")
+    settled = todo is None or todo.isEmpty()
+    if not settled:
+        heads = todo.groupBy(*keys).agg(F.min("_blk").alias("_head"), F.min_by("_start", "_blk").alias("_start"))
+        states = matched(states, heads.drop("_start"), keys, "left").filter(F.col("_head").isNull() | (F.col("_blk") < F.col("_head")))
+    full = matched(rows, states.select(*by_block, "_start"), by_block)
     out = full.select(*df.columns, "_blk", "_rn", "_start").groupBy(*by_block).applyInPandas(output, schema=schema)
     if settled:
         return out
-    heads = todo.groupBy(*keys).agg(F.min("_blk").alias("_head"), F.min_by("_start", "_blk").alias("_start"))
     rest = matched(rows, heads, keys).filter(F.col("_blk") >= F.col("_head")).select(*df.columns, "_rn", "_start")
     rest = rest.repartition(*keys).sortWithinPartitions(*keys, "_rn")
     return out.unionByName(rest.mapInPandas(_walk(machine, keys, "_start", ["_rn", "_start"]), schema=schema))
 
 
+def _ends(needed: DataFrame, todo: DataFrame, machine: Machine, keys: list[str], only_restarts: bool = False) -> DataFrame:
+    """``_end``, the state after each block of ``todo`` from its ``_start``; null where nothing started afresh, if so asked."""
+    by_block = [*keys, "_blk"]
+    types = ", ".join(f"`{k}` {dict(needed.dtypes)[k]}" for k in by_block)
+    fresh = list(machine.outputs).index(machine.restarts) if only_restarts else None
+
+    def end(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rn")
+        results, state = run(machine, json.loads(pdf["_start"].iloc[0]), _columns(pdf, machine))
+        kept = not only_restarts or any(r[fresh] for r in results)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by_block}, "_end": [json.dumps(state) if kept else None]})
+
+    ran = matched(needed, todo.select(*by_block, "_start"), by_block)
+    return ran.groupBy(*by_block).applyInPandas(end, schema=f"{types}, _end string")
+
+
+def _settled(needed: DataFrame, machine: Machine, keys: list[str]) -> DataFrame:
+    """Start of each block by rounds; ``_stale`` marks those not known to be right."""
+    by_block, begin = [*keys, "_blk"], json.dumps(machine.start)
+    states = frozen(needed.select(*by_block).distinct().withColumn("_start", F.lit(begin)).withColumn("_end", F.lit(None).cast("string")))
+    todo = states
+    before = Window.partitionBy(*keys).orderBy("_blk")  # one row per block
+    for turn in range(ROUNDS):
+        ends = _ends(needed, todo, machine, keys).withColumnRenamed("_end", "_new")
+        known = matched(states, ends, by_block, "left").withColumn("_end", F.coalesce("_new", "_end")).drop("_new")
+        next_start = F.coalesce(F.lag("_end").over(before), F.lit(begin))
+        states = frozen(known.withColumn("_next", next_start).withColumn("_stale", F.col("_next") != F.col("_start")).withColumn("_start", F.col("_next")).drop("_next"))
+        todo = states.filter("_stale")
+        if turn == ROUNDS - 1 or todo.isEmpty():
+            return states
+        states = states.drop("_stale")
+    return states
+
+
+def _composed(needed: DataFrame, machine: Machine, keys: list[str]) -> DataFrame:
+    """Start of each block from the digests of those before it, one pass per part of the state.
+
+    Passes and jobs do not grow with the number of blocks. A machine that starts afresh on its own
+    leaves digests invalid in blocks where it does; these give their end state instead, and the
+    passes are repeated until they give the same ones. Then every start is that of one long run.
+    """
+    by_block = [*keys, "_blk"]
+    types = ", ".join(f"`{k}` {dict(needed.dtypes)[k]}" for k in by_block)
+    states = needed.select(*by_block).distinct().withColumn("_start", F.lit(json.dumps(machine.start))).withColumn("_end", F.lit(None).cast("string"))
+    def digest_of(stage: int):
+        def digest(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_rn")
+            made = machine.digest(stage, json.loads(pdf["_start"].iloc[0]), pdf["_blk"].iloc[0] == 0, _columns(pdf, machine))
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in by_block}, "_digest": [json.dumps(made)]})
+
+        return digest
+
+    def scan_of(stage: int):
+        part = machine.stages[stage]
+
+        def scan(pdf: pd.DataFrame) -> pd.DataFrame:  # one row per block
+            pdf = pdf.sort_values("_blk")
+            values, starts = [machine.start[i] for i in part], []
+            for block, start, end, made in zip(pdf["_blk"], pdf["_start"], pdf["_end"], pdf["_digest"]):
+                state = json.loads(start)
+                for i, v in zip(part, values):
+                    state[i] = v
+                starts.append(json.dumps(state))
+                values = [json.loads(end)[i] for i in part] if isinstance(end, str) else machine.advance(stage, state, json.loads(made), block == 0)
+            return pdf.assign(_start=starts)[[*by_block, "_start", "_end"]]
+
+        return scan
+
+    for turn in range(ROUNDS):
+        for stage in range(len(machine.stages)):
+            given = matched(needed, states.select(*by_block, "_start"), by_block)
+            digests = given.groupBy(*by_block).applyInPandas(digest_of(stage), schema=f"{types}, _digest string")
+            states = matched(states, digests, by_block).groupBy(*keys).applyInPandas(scan_of(stage), schema=f"{types}, _start string, _end string")
+            states = frozen(states)
+        if machine.restarts is None:
+            return states
+        ends = _ends(needed, states, machine, keys, only_restarts=True).withColumnRenamed("_end", "_new")
+        states = frozen(matched(states, ends, by_block, "left").withColumn("_stale", ~F.col("_new").eqNullSafe(F.col("_end"))).withColumn("_end", F.col("_new")).drop("_new"))
+        if turn == ROUNDS - 1 or states.filter("_stale").isEmpty():
+            break
+        states = states.drop("_stale")
+    # a start depends on the ends before it: starts are right up to the key's first changed end, where the rest begins
+    changed = F.max(F.col("_stale").cast("int")).over(Window.partitionBy(*keys).orderBy("_blk"))
+    return states.withColumn("_stale", changed > 0)
+
+
 # --------------------------------------------------------------------------- composed rules
 
 
@@ -288,6 +362,24 @@ def range_evidence(bars: DataFrame, cvd: int = 8, obi: int = 5, hawkes_rows: int
     ).drop("_step", "_atr", "_high", "_low", "_cvd", "_obi", "_hk", "_cvd_new", "_obi_new", "_hk_new")
 
 
+def loss_guard(trades: DataFrame, *, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER, **rule) -> DataFrame:
+    """Which trades a daily loss limit lets through; ``day`` must not fall in the rows' order.
+
+    Of a day no more than ``max_trades`` are accepted, and it is blocked from then on or earlier. So
+    only that many first rows of a day go through the machine; the others are refused at the equity
+    that these leave. The machine's rows per key are bounded by the calendar.
+    """
+    from tapeloom.functions.machines import LossGuard
+
+    guard, days = LossGuard(**rule), [*keys, "day"]
+    placed = numbered(trades, "_nth", days, order)
+    first = fold(placed.filter(F.col("_nth") < guard.max_trades), guard, keys=keys, order=order)
+    left = first.groupBy(*days).agg(F.max_by("equity_after", "_nth").alias("equity_after"))
+    others = matched(placed.filter(F.col("_nth") >= guard.max_trades), left, days, salts=SALTS)
+    others = others.withColumns({"accepted": F.lit(False), "blocked": F.lit(True)})
+    return first.unionByName(others).drop("_nth")
+
+
 def range_filter(bars: DataFrame, order: Sequence[str] = ("bar_ts",), **rule) -> DataFrame:
     """Filtered entries and exits from raw signals: columns close, signal, confidence, trending and the evidence inputs."""
     from tapeloom.functions.machines import RangeFilter

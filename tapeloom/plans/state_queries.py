@@ -247,7 +247,7 @@ SELECT symbol, trade_seq, acc AS accepted, eq AS equity_after, bl AS blocked FRO
 )
 def loss_guard(spark, sf_dir):
     rows = trades(spark, sf_dir).withColumn("day", F.unix_date(F.to_date("entry_ts")))
-    out = S.fold(rows, Z.LossGuard(equity=1000.0, max_trades=2, max_drawdown=0.5), order=["entry_ts", "trade_seq"])
+    out = S.loss_guard(rows, order=["entry_ts", "trade_seq"], equity=1000.0, max_trades=2, max_drawdown=0.5)
     return out.select("symbol", "trade_seq", "accepted", "equity_after", "blocked")
 
 
