@@ -391,12 +391,36 @@ class RateGate(Machine):
         return ordered[low] + (ordered[high] - ordered[low]) * (at - low)
 
 
+#: Markets that a range filter tells apart.
+UNCERTAIN, RANGING, TRENDING = "UNCERTAIN", "RANGING", "TRENDING"
+
+#: What each situation does: empty the votes first, the vote cast (a number, or the signal), and the
+#: direction gathered afterwards: as it was, none, or the signal's if it has one.
+KEEP, DROP, SIGNAL = "keep", "drop", "signal"
+SITUATIONS = {
+    "low_confidence": (False, 0, KEEP),
+    "microstructure_reversal": (True, None, DROP),
+    "position_locked": (False, None, KEEP),
+    "cooldown": (False, 0, KEEP),
+    "range_midzone": (False, 0, DROP),
+    "range_conflict": (False, 0, KEEP),
+    "range_accumulating": (False, SIGNAL, SIGNAL),
+    "trend_reversal": (True, None, DROP),
+    "trend_no_signal": (False, 0, KEEP),
+    "trend_same_zone": (False, None, KEEP),
+    "trend_accumulating": (False, SIGNAL, SIGNAL),
+}
+
+
 @dataclass
 class RangeFilter(Machine):
     """Enter after enough agreeing signals, hold a position, leave on reversal evidence, pause between entries.
 
     Where the price stands, volatility and reversal evidence come in as columns. Signals are 1 for
-    long, -1 for short and 0 for none; actions are ENTER, HOLD and CLOSE.
+    long, -1 for short and 0 for none; actions are ENTER, HOLD and CLOSE. ``trending`` is what the
+    regime says; where it says nothing (null), a market is ranging until its price breaks out of the
+    range, which empties the votes. Each row has the market and the reason for its action: the first
+    of `SITUATIONS` that holds, or the kind of confirmation it enters by.
     """
 
     needed: int = 3
@@ -408,66 +432,57 @@ class RangeFilter(Machine):
     early_confidence: float = 0.78
     early_place: float = 0.85
     early_reversal: float = 1.0
-    inputs = ("price", "signal", "confidence", "trending", "near_bottom", "near_top", "in_middle", "range_place", "volatility", "reversal", "reversal_direction")
-    outputs = {"action": "string", "action_direction": "int", "confirmations": "int"}
-    # number of rows, recent votes, direction gathered, last entry (direction, row, price), locked
-    start = [0, [], 0, 0, None, 0.0, False]
-
-    def step(self, state, price, signal, confidence, trending, near_bottom, near_top, in_middle, place, volatility, reversal, turn):
-        row, votes, gathered, last_way, last_row, last_price, locked = state
-        row, votes = row + 1, list(votes)
-        action, way = "HOLD", 0
-        since = row - last_row if last_row is not None else 10**9
-
-        def vote(v):
-            votes.append(v)
-            del votes[: -self.window]
-
-        def count():
-            return votes.count(gathered) if gathered else 0
-
-        turned = reversal >= self.reversal_needed
-        if confidence < self.min_confidence and signal != 0:
-            vote(0)
-        elif locked and turned:
-            action, locked, votes, gathered = "CLOSE", False, [], 0
-        elif locked and since < self.longest:
-            pass
-        else:
-            if locked:
-                locked, votes, gathered = False, [], 0
-            goal = None
-            if since < self.pause:
-                vote(0)
-            elif trending:
-                if turned and gathered and turn == -gathered:
-                    votes, gathered = [], 0
-                elif signal == 0:
-                    vote(0)
-                elif signal == last_way and abs(price - last_price) < 2 * volatility:
-                    pass
-                else:
-                    vote(signal)
-                    gathered = signal
-                    edge = place >= self.early_place if signal < 0 else place <= 1 - self.early_place
-                    early = edge and confidence >= self.early_confidence and reversal >= self.early_reversal
-                    goal = 1 if early else max(2, self.needed - 1)
-            elif in_middle and not near_bottom and not near_top:
-                vote(0)
-                gathered = 0
-            else:
-                side = 1 if near_bottom else -1 if near_top else 0
-                if side and signal not in (0, side):
-                    vote(0)
-                else:
-                    vote(signal)
-                    gathered = signal or gathered
-                    goal = self.needed
-            if goal is not None and gathered and count() >= goal:
-                action, way, locked = "ENTER", gathered, True
-                last_way, last_row, last_price = gathered, row, price
-                votes, gathered = [], 0
-        return (action, way, count()), [row, votes, gathered, last_way, last_row, last_price, locked]
+    inputs = ("price", "signal", "confidence", "trending", "near_bottom", "near_top", "in_middle", "range_place", "volatility", "reversal", "reversal_direction", "broke_out")
+    outputs = {"action": "string", "action_direction": "int", "confirmations": "int", "market_state": "string", "filter_reason": "string"}
+    # number of rows, recent votes, direction gathered, last entry (direction, row, price), locked, market
+    start = [0, [], 0, 0, None, 0.0, False, UNCERTAIN]
+
+    @staticmethod
+    def market(before: str, trending: bool | None, broke_out: bool) -> str:
+        if trending is not None:
+            return TRENDING if trending else RANGING
+        return {UNCERTAIN: RANGING, RANGING: TRENDING if broke_out else RANGING, TRENDING: TRENDING}[before]
+
+    def step(self, state, price, signal, confidence, trending, near_bottom, near_top, in_middle, place, volatility, reversal, turn, broke_out):
+        row, votes, gathered, last_way, last_row, last_price, locked, before = state
+        row += 1
+        market = self.market(before, trending, broke_out)
+        since = row - last_row if last_row is not None else math.inf
+        if trending is None and market != before and market == TRENDING:
+            votes, gathered = [], 0
+        in_range, turned = market == RANGING, reversal >= self.reversal_needed
+        side = 1 if near_bottom else -1 if near_top else 0
+        held = locked and since < self.longest
+        holds = {
+            "low_confidence": confidence < self.min_confidence and signal != 0,
+            "microstructure_reversal": locked and turned,
+            "position_locked": held,
+            "cooldown": since < self.pause,
+            "range_midzone": in_range and in_middle and side == 0,
+            "range_conflict": in_range and side != 0 and signal not in (0, side),
+            "range_accumulating": in_range,
+            "trend_reversal": turned and gathered != 0 and turn == -gathered and not locked,
+            "trend_no_signal": signal == 0,
+            "trend_same_zone": signal == last_way and abs(price - last_price) < 2 * volatility,
+            "trend_accumulating": True,
+        }
+        reason = next(name for name in SITUATIONS if holds[name])
+        if reason not in ("low_confidence", "position_locked") and locked:  # the position is over
+            locked, votes, gathered = False, [], 0
+        empty, vote, gather = SITUATIONS[reason]
+        votes = [] if empty else list(votes)
+        if vote is not None:
+            votes = [*votes, signal if vote == SIGNAL else vote][-self.window :]
+        gathered = {KEEP: gathered, DROP: 0, SIGNAL: signal or gathered}[gather]
+        confirmations = votes.count(gathered) if gathered else 0
+        edge = place >= self.early_place if signal < 0 else place <= 1 - self.early_place
+        early = edge and confidence >= self.early_confidence and reversal >= self.early_reversal
+        goal = self.needed if in_range else 1 if early else max(2, self.needed - 1)
+        if vote == SIGNAL and gathered and confirmations >= goal:
+            reason = "range_confirmed" if in_range else "trend_confirmed_early" if goal == 1 else "trend_confirmed"
+            return ("ENTER", gathered, 0, market, reason), [row, [], 0, gathered, row, price, True, market]
+        action = "CLOSE" if reason == "microstructure_reversal" else "HOLD"
+        return (action, 0, confirmations, market, reason), [row, votes, gathered, last_way, last_row, last_price, locked, market]
 
 
 @dataclass

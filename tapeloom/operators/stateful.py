@@ -354,6 +354,7 @@ def range_evidence(bars: DataFrame, cvd: int = 8, obi: int = 5, hawkes_rows: int
         {
             "near_bottom": p <= c("_low") + v * 1.5,
             "near_top": p >= c("_high") - v * 1.5,
+            "broke_out": (p > c("_high") + v * 2.5) | (p < c("_low") - v * 2.5),
             "in_middle": F.abs(p - (c("_high") + c("_low")) / 2) <= v * 0.5,
             "range_place": F.least(F.greatest((p - c("_low")) / F.greatest(size, F.lit(1e-10)), F.lit(0.0)), F.lit(1.0)),
             "reversal": score.cast("double"),
@@ -381,7 +382,10 @@ def loss_guard(trades: DataFrame, *, keys: Sequence[str] = KEYS, order: Sequence
 
 
 def range_filter(bars: DataFrame, order: Sequence[str] = ("bar_ts",), **rule) -> DataFrame:
-    """Filtered entries and exits from raw signals: columns close, signal, confidence, trending and the evidence inputs."""
+    """Filtered entries and exits from raw signals, each with the market and a reason.
+
+    Columns close, signal, confidence, trending (null: the breakouts decide) and the evidence inputs.
+    """
     from tapeloom.functions.machines import RangeFilter
 
     rows = range_evidence(bars, order=order).withColumn("price", F.col("close"))

@@ -233,6 +233,51 @@ def range_filter(spark, sf_dir):
     return out.select("symbol", "bar_ts", "action", "action_direction", "confirmations", "range_place", "reversal")
 
 
+def range_signals(ticks):
+    """Signals and evidence on ticks that meet every situation of the range filter; two rows of three have no regime."""
+    s, z = F.col("sequence"), F.col("size")
+    return ticks.select(
+        *KEY, "price", F.when(s % 5 == 0, 0).when(F.col("side") == "A", 1).otherwise(-1).alias("signal"), (0.5 + (z % 50) / 100.0).alias("confidence"), F.when(s % 3 == 0, z % 2 == 0).alias("trending"), (z % 5 == 0).alias("near_bottom"), (z % 7 == 0).alias("near_top"),
+        (z % 2 == 0).alias("in_middle"), ((z % 20) / 20.0).alias("range_place"), F.lit(10.0).alias("volatility"), (s % 4).cast("double").alias("reversal"), (s % 7 % 3 - 1).cast("int").alias("reversal_direction"), (s % 11 == 0).alias("broke_out"),
+    )
+
+
+_GATHERING = "why IN ('range_accumulating', 'trend_accumulating')"
+RANGE_SQL = f"""WITH RECURSIVE {V.TICKS_CTE}, src AS (
+  SELECT symbol, ts_event, sequence, row_number() OVER ({BY}) AS n, price, CASE WHEN sequence % 5 = 0 THEN 0 WHEN side = 'A' THEN 1 ELSE -1 END AS signal, 0.5 + (size % 50) / 100.0::DOUBLE AS confidence, CASE WHEN sequence % 3 = 0 THEN size % 2 = 0 END AS trending,
+    CASE WHEN size % 5 = 0 THEN 1 WHEN size % 7 = 0 THEN -1 ELSE 0 END AS side, size % 2 = 0 AS mid, (size % 20) / 20.0::DOUBLE AS place, sequence % 4 AS rev, (sequence % 7 % 3 - 1)::INT AS turn, sequence % 11 = 0 AS broke FROM ticks),
+rc AS (
+  SELECT symbol, 0::BIGINT AS n, NULL::TIMESTAMP AS ts_event, NULL::BIGINT AS sequence, []::INT[] AS votes, 0 AS g, 0 AS lw, NULL::BIGINT AS ln, 0.0::DOUBLE AS lp, false AS lk, 'UNCERTAIN' AS mk, 'HOLD' AS action, 0 AS way, 0::BIGINT AS conf, '' AS why FROM (SELECT DISTINCT symbol FROM src)
+  UNION ALL
+  SELECT symbol, n, ts_event, sequence, CASE WHEN enter THEN [] ELSE v3 END, CASE WHEN enter THEN 0 ELSE g3 END, CASE WHEN enter THEN g3 ELSE lw END, CASE WHEN enter THEN n ELSE ln END, CASE WHEN enter THEN price ELSE lp END, enter OR lk2, mk,
+    CASE WHEN enter THEN 'ENTER' WHEN why = 'microstructure_reversal' THEN 'CLOSE' ELSE 'HOLD' END, CASE WHEN enter THEN g3 ELSE 0 END, CASE WHEN enter THEN 0 ELSE conf END,
+    CASE WHEN NOT enter THEN why WHEN mk = 'RANGING' THEN 'range_confirmed' WHEN goal = 1 THEN 'trend_confirmed_early' ELSE 'trend_confirmed' END
+  FROM (SELECT *, {_GATHERING} AND g3 <> 0 AND conf >= goal AS enter FROM (
+    SELECT *, CASE WHEN g3 <> 0 THEN len(list_filter(v3, lambda v: v = g3)) ELSE 0 END AS conf,
+      CASE WHEN mk = 'RANGING' THEN 2 WHEN (CASE WHEN signal < 0 THEN place >= 0.85 ELSE place <= 1 - 0.85::DOUBLE END) AND confidence >= 0.78 AND rev >= 1 THEN 1 ELSE 2 END AS goal FROM (
+    SELECT *, (CASE WHEN {_GATHERING} THEN list_append(v2, signal) WHEN why IN ('low_confidence', 'cooldown', 'range_midzone', 'range_conflict', 'trend_no_signal') THEN list_append(v2, 0) ELSE v2 END)[-6:] AS v3,
+      CASE WHEN why IN ('microstructure_reversal', 'range_midzone', 'trend_reversal') THEN 0 WHEN {_GATHERING} AND signal <> 0 THEN signal ELSE g2 END AS g3 FROM (
+    SELECT *, CASE WHEN done OR why IN ('microstructure_reversal', 'trend_reversal') THEN [] ELSE v1 END AS v2, CASE WHEN done THEN 0 ELSE g1 END AS g2, lk AND NOT done AS lk2 FROM (
+    SELECT *, lk AND why NOT IN ('low_confidence', 'position_locked') AS done FROM (
+    SELECT *, CASE WHEN confidence < 0.55 AND signal <> 0 THEN 'low_confidence' WHEN lk AND rev >= 2 THEN 'microstructure_reversal' WHEN lk AND since < 8 THEN 'position_locked' WHEN since < 4 THEN 'cooldown'
+      WHEN mk = 'RANGING' AND mid AND side = 0 THEN 'range_midzone' WHEN mk = 'RANGING' AND side <> 0 AND signal NOT IN (0, side) THEN 'range_conflict' WHEN mk = 'RANGING' THEN 'range_accumulating'
+      WHEN rev >= 2 AND g1 <> 0 AND turn = -g1 AND NOT lk THEN 'trend_reversal' WHEN signal = 0 THEN 'trend_no_signal' WHEN signal = lw AND abs(price - lp) < 20 THEN 'trend_same_zone' ELSE 'trend_accumulating' END AS why FROM (
+    SELECT *, CASE WHEN moved THEN [] ELSE votes END AS v1, CASE WHEN moved THEN 0 ELSE g END AS g1, coalesce(n - ln, 1000000) AS since FROM (
+    SELECT *, trending IS NULL AND mk = 'TRENDING' AND mk0 <> 'TRENDING' AS moved FROM (
+    SELECT x.*, p.votes, p.g, p.lw, p.ln, p.lp, p.lk, p.mk AS mk0,
+      CASE WHEN x.trending THEN 'TRENDING' WHEN NOT x.trending THEN 'RANGING' WHEN p.mk = 'RANGING' AND x.broke THEN 'TRENDING' WHEN p.mk = 'UNCERTAIN' THEN 'RANGING' ELSE p.mk END AS mk
+    FROM rc p JOIN src x ON x.symbol = p.symbol AND x.n = p.n + 1)))))))))
+)
+SELECT symbol, ts_event, sequence, action, way::BIGINT AS action_direction, conf AS confirmations, mk AS market_state, why AS filter_reason FROM rc WHERE n > 0"""
+
+
+@query("r9_market_state", RANGE_SQL)
+def market_state(spark, sf_dir):
+    """The range filter where breakouts decide on the market, each action with its reason."""
+    machine = Z.RangeFilter(needed=2, window=6)
+    return S.fold(range_signals(V.ticks(spark, sf_dir)), machine).select(*KEY, *machine.outputs)
+
+
 TRADE_DAYS = f"{PRED_SQL.replace('WITH ', 'WITH RECURSIVE ', 1)}, {TRADES_CTE}, nt AS (SELECT *, datediff('day', DATE '1970-01-01', entry_ts::DATE) AS day, row_number() OVER (PARTITION BY symbol ORDER BY entry_ts, trade_seq) AS n FROM trades)"
 
 

@@ -9,6 +9,7 @@ from tapeloom.operators import monitor as M
 from tapeloom.plans import views as V
 from tapeloom.plans.eval_queries import BASELINE, LOG_CTE, MON
 from tapeloom.plans.registry import ORACLES, query
+from tapeloom.plans.state_queries import RANGE_SQL, range_signals
 from tapeloom.streaming import flows as S
 
 KEY = ["symbol", "ts_event", "sequence"]
@@ -139,6 +140,12 @@ def streaming_range_filter(spark, sf_dir):
     s, z = F.col("sequence"), F.col("size")
     rows = ticks_stream(spark, sf_dir).select(
         *KEY, "price", F.when(F.col("side") == "A", 1).otherwise(-1).alias("signal"), (0.5 + (z % 50) / 100.0).alias("confidence"), (z % 3 == 0).alias("trending"), (z % 5 == 0).alias("near_bottom"), (z % 7 == 0).alias("near_top"),
-        (z % 2 == 0).alias("in_middle"), ((z % 20) / 20.0).alias("range_place"), F.lit(10.0).alias("volatility"), (s % 4).cast("double").alias("reversal"), (s % 3 - 1).cast("int").alias("reversal_direction"),
+        (z % 2 == 0).alias("in_middle"), ((z % 20) / 20.0).alias("range_place"), F.lit(10.0).alias("volatility"), (s % 4).cast("double").alias("reversal"), (s % 3 - 1).cast("int").alias("reversal_direction"), F.lit(False).alias("broke_out"),
     )
     return ntz(S.drain(S.run_machine(rows, Z.RangeFilter(needed=2, window=6), KEY), "range"), "ts_event")
+
+
+@query("x9_streaming_market_state", RANGE_SQL)
+def streaming_market_state(spark, sf_dir):
+    rows = range_signals(ticks_stream(spark, sf_dir))
+    return ntz(S.drain(S.run_machine(rows, Z.RangeFilter(needed=2, window=6), KEY), "market"), "ts_event")

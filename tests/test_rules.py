@@ -46,7 +46,7 @@ def test_rate_gate_quantile():
 
 
 def signals(n, **over):
-    base = dict(price=100.0, signal=1, confidence=0.9, trending=False, near_bottom=True, near_top=False, in_middle=False, range_place=0.1, volatility=1.0, reversal=0.0, reversal_direction=0)
+    base = dict(price=100.0, signal=1, confidence=0.9, trending=False, near_bottom=True, near_top=False, in_middle=False, range_place=0.1, volatility=1.0, reversal=0.0, reversal_direction=0, broke_out=False)
     rows = [{**base, **{k: v[i] if isinstance(v, list) else v for k, v in over.items()}} for i in range(n)]
     return [[r[c] for r in rows] for c in Z.RangeFilter.inputs]
 
@@ -72,7 +72,19 @@ def test_weak_signals_do_not_count():
     assert all(r[0] == "HOLD" for r in feed(Z.RangeFilter(needed=1), signals(4, confidence=0.2)))
 
 
-@pytest.mark.parametrize("batch, stream", [("r10_event_score", "x2_streaming_event_gate"), ("r5_page_hinkley", "x3_streaming_drift")])
+def test_breakouts_move_an_unnamed_market():
+    out = feed(Z.RangeFilter(needed=3), signals(6, trending=[None, None, None, None, None, False], broke_out=[False, False, True, True, False, False]))
+    assert [r[3] for r in out] == ["RANGING", "RANGING", "TRENDING", "TRENDING", "TRENDING", "RANGING"]
+    assert [r[2] for r in out][:3] == [1, 2, 1]  # the breakout empties the votes
+    assert out[3][0] == "ENTER" and out[3][4] == "trend_confirmed"
+
+
+def test_every_reason_occurs(spark, sf):
+    found = {r[0] for r in plans.QUERIES["r9_market_state"](spark, sf).select("filter_reason").distinct().collect()}
+    assert found >= {*Z.SITUATIONS, "range_confirmed", "trend_confirmed"} - {"range_accumulating", "trend_accumulating"}
+
+
+@pytest.mark.parametrize("batch, stream", [("r9_market_state", "x9_streaming_market_state"), ("r10_event_score", "x2_streaming_event_gate"), ("r5_page_hinkley", "x3_streaming_drift")])
 def test_stream_equals_batch(spark, sf, batch, stream):
     assert canonical(plans.QUERIES[batch](spark, sf)) == canonical(plans.QUERIES[stream](spark, sf))
 
