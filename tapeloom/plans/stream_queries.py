@@ -42,17 +42,17 @@ def streaming_bars(spark, sf_dir):
     return ntz(S.drain(S.streaming_bars(ticks_stream(spark, sf_dir), "1 hour"), "bars"), "bar_ts")
 
 
-def gate_stream(spark, sf_dir):
+def gate_columns(ticks):
     s = F.col("sequence")
     wall = F.greatest((s % 8) / 10.0, (s % 9) / 10.0)
-    return ticks_stream(spark, sf_dir).select(
+    return ticks.select(
         *KEY, F.col("size").cast("double").alias("size"), wall.alias("wall"), (((s * 7) % 31 - 15) / 40.0).alias("obi"), (s % 50).cast("double").alias("cvd"), F.col("price").alias("micro_price"), (s % 13).cast("double").alias("liquidity_density")
     )
 
 
 @query("x2_streaming_event_gate", ORACLES["r10_event_score"])
 def streaming_event_gate(spark, sf_dir):
-    return ntz(S.drain(S.run_machine(gate_stream(spark, sf_dir), Z.EventScore(frame=20, score_limit=1.0), KEY), "gate"), "ts_event")
+    return ntz(S.drain(S.run_machine(gate_columns(ticks_stream(spark, sf_dir)), Z.EventScore(frame=20, score_limit=1.0), KEY), "gate"), "ts_event")
 
 
 @query("x3_streaming_drift", ORACLES["r5_page_hinkley"])
@@ -149,3 +149,85 @@ def streaming_range_filter(spark, sf_dir):
 def streaming_market_state(spark, sf_dir):
     rows = range_signals(ticks_stream(spark, sf_dir))
     return ntz(S.drain(S.run_machine(rows, Z.RangeFilter(needed=2, window=6), KEY), "market"), "ts_event")
+
+
+# ------------------------------------------------------- whole streams, in batches that overlap in time
+#: Rows of an arrival lie up to so far before the newest one of the arrivals before it.
+OVERLAP = "10 days"
+ARRIVALS = 4
+
+
+def arriving(spark, sf_dir):
+    """Events as four arrivals of a stream. Every arrival has rows that are days older than some before it."""
+    events = V.events(spark, sf_dir)
+    folder = S.shared_path(spark, "arrivals")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = events.agg(F.min(at).alias("low"), (F.max(at) - F.min(at) + 1).alias("wide")).first()
+    if span["low"] is None:
+        span = {"low": 0, "wide": 1}
+    place = (at - F.lit(span["low"])) * ARRIVALS / F.lit(span["wide"]) + (F.col("event_id") % 5 - 2) * 0.25
+    number = F.least(F.greatest(F.floor(place), F.lit(0)), F.lit(ARRIVALS - 1))
+    events.limit(0).write.parquet(folder)
+    arrivals = [lambda k=k: events.filter(number == k).write.mode("append").parquet(folder) for k in range(ARRIVALS)]
+    stream = spark.readStream.schema(events.schema).parquet(folder)
+    ticks = V.ticks_of(stream).withColumn("ts_event", F.col("ts_event").cast("timestamp"))
+    closing = S.Closing(spark)
+    return ticks, [*arrivals, closing.write], closing
+
+
+def in_order(spark, sf_dir, rows, machine, name):
+    ticks, arrivals, closing = arriving(spark, sf_dir)
+    return ntz(S.drain(S.run_ordered(rows(ticks), machine, KEY, late=OVERLAP, closing=closing), name, arrivals=arrivals), "ts_event")
+
+
+@query("x2_ordered_event_gate", ORACLES["r10_event_score"])
+def ordered_event_gate(spark, sf_dir):
+    return in_order(spark, sf_dir, gate_columns, Z.EventScore(frame=20, score_limit=1.0), "gate")
+
+
+@query("x3_ordered_drift", ORACLES["r5_page_hinkley"])
+def ordered_drift(spark, sf_dir):
+    return in_order(spark, sf_dir, lambda t: t.select(*KEY, (F.col("size") / 101.0).alias("error")), Z.PageHinkley(limit=0.8), "drift")
+
+
+@query("x4_ordered_session_totals", ORACLES["x4_streaming_session_totals"], digits=5)
+def ordered_session_totals(spark, sf_dir):
+    columns = lambda t: t.select(*KEY, F.unix_date(F.to_date("ts_event")).alias("day"), "price", F.col("size").cast("double").alias("size"), (F.col("side") == "A").alias("is_buy"))
+    return in_order(spark, sf_dir, columns, Z.SessionTotals(), "session")
+
+
+@query("x9_ordered_market_state", RANGE_SQL)
+def ordered_market_state(spark, sf_dir):
+    return in_order(spark, sf_dir, range_signals, Z.RangeFilter(needed=2, window=6), "market")
+
+
+def uncut(name):
+    """The SQL of a query without its cut at the watermark."""
+    sql = ORACLES[name]
+    for cut in (
+        "\n AND date_trunc('hour', ts_event) + INTERVAL 1 HOUR <= (SELECT max(ts_event) FROM ticks WHERE action = 'T') - INTERVAL 10 MINUTE",
+        f" WHERE window_start + INTERVAL 1 DAY <= {CLOSED}",
+        f" WHERE last_ts + INTERVAL 12 HOUR <= {CLOSED}",
+    ):
+        sql = sql.replace(cut, "")
+    return sql
+
+
+@query("x1_whole_stream_bars", uncut("x1_streaming_bars"))
+def whole_stream_bars(spark, sf_dir):
+    """All bars, the last ones sent at the end of the input, from arrivals that overlap."""
+    ticks, arrivals, closing = arriving(spark, sf_dir)
+    return ntz(S.drain(S.streaming_bars(ticks, "1 hour", closing, OVERLAP), "bars", arrivals=arrivals), "bar_ts")
+
+
+@query("x6_whole_stream_alerts", uncut("x6_streaming_alerts"))
+def whole_stream_alerts(spark, sf_dir):
+    closing = S.Closing(spark)
+    summary = S.windowed_summary(log_stream(spark, sf_dir), "1 day", BASELINE, closing)
+    return ntz(S.drain(M.alerts(summary, ["window_start"]), "alerts", arrivals=[lambda: None, closing.write]), "window_start")
+
+
+@query("x7_whole_stream_sessions", uncut("x7_streaming_sessions"))
+def whole_stream_sessions(spark, sf_dir):
+    closing = S.Closing(spark)
+    return ntz(S.drain(S.sessions(ticks_stream(spark, sf_dir), "12 hours", closing), "sessions", arrivals=[lambda: None, closing.write]), "first_ts", "last_ts")

@@ -3,12 +3,15 @@
 Watermarks bound the state: rows later than ``LATE`` behind the newest are dropped by windows,
 joins and deduplication. Sources should set maxFilesPerTrigger (or the like), which bounds what a
 key brings to one micro-batch.
+
+The last windows of a stream stay open, as nothing moves the watermark past them. `Closing` ends the
+input: a marker, given once all rows have been read, that moves the watermark past every window.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +31,46 @@ def read_parquet_stream(spark: SparkSession, folder: str, schema: T.StructType,
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all data there is now, into a Parquet table in the shared folder, and read that."""
+def drain(stream: DataFrame, name: str, mode: str = "append", arrivals: Sequence[Callable[[], None]] = ()) -> DataFrame:
+    """Run a stream over all data there is now, into a Parquet table in the shared folder, and read that.
+
+    ``arrivals``: steps that bring new data. After each of them the stream goes on from its state.
+    """
     spark = stream.sparkSession
     out = shared_path(spark, name)
     writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{out}-state").trigger(availableNow=True)
-    writer.start(out).awaitTermination()
+    for arrive in arrivals or [lambda: None]:
+        arrive()
+        writer.start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def streaming_bars(ticks: DataFrame, freq: str) -> DataFrame:
+class Closing:
+    """The end of a stream's input. `write` it as the last arrival; rows that come later are late."""
+
+    TIME = "2200-01-01 00:00:00"  # within the range of nanoseconds
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, shared_path(spark, "closing")
+        spark.createDataFrame([], "at timestamp").write.parquet(self.folder)
+
+    def write(self) -> None:
+        self.spark.range(1).select(F.lit(self.TIME).cast("timestamp").alias("at")).write.mode("append").parquet(self.folder)
+
+    def after(self, rows: DataFrame, time: str) -> DataFrame:
+        """The rows, then a marker with nulls. Its own window is never past the watermark, so it is in no result."""
+        marker = self.spark.readStream.schema("at timestamp").parquet(self.folder)
+        return rows.unionByName(marker.select(*[F.col("at").alias(time) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+
+
+def watermarked(rows: DataFrame, closing: Closing | None, time: str = "ts_event", late: str = LATE) -> DataFrame:
+    return (closing.after(rows, time) if closing else rows).withWatermark(time, late)
+
+
+def streaming_bars(ticks: DataFrame, freq: str, closing: Closing | None = None, late: str = LATE) -> DataFrame:
     """Trade bars, sent once their window is past the watermark. ``ts_event`` must be TIMESTAMP."""
     order, size = F.struct("ts_event", "sequence"), F.col("size").cast("double")
-    rows = ticks.filter(is_trade() & (F.col("price") > 0)).withWatermark("ts_event", LATE)
+    rows = watermarked(ticks.filter(is_trade() & (F.col("price") > 0)), closing, late=late)
     bars = rows.groupBy("symbol", F.window("ts_event", freq).alias("w")).agg(
         F.min_by("price", order).alias("open"),
         F.max("price").alias("high"),
@@ -86,14 +116,87 @@ def run_machine(stream: DataFrame, machine: Machine, keep: Sequence[str], order:
     return stream.groupBy(key).transformWithStateInPandas(_Runner(machine, order, keep), T.StructType(fields + types.fields), "Append", "None")
 
 
+class _Ordered(StatefulProcessor):
+    """Feeds a machine in time order, whatever order rows arrive in.
+
+    Rows wait in list state until the watermark has passed them: no earlier row can come any more.
+    A timer at the earliest waiting row's time gives the turn. Arriving chunks go to the state one by one.
+    """
+
+    def __init__(self, machine: Machine, order: Sequence[str], columns: Sequence[str], times: Sequence[str]):
+        self.machine, self.order, self.columns, self.times = machine, list(order), list(columns), set(times)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", T.StructType([T.StructField("json", T.StringType())]))
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), T.StructField("json", T.StringType())]))
+
+    def _plain(self, column: pd.Series) -> list:
+        if column.name in self.times:
+            column = column.astype("datetime64[us]").astype("int64")
+        return [None if v is None or v != v else v for v in column.tolist()]
+
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for chunk in rows:
+            if not len(chunk):  # a call without input
+                continue
+            us = chunk["event_us"].tolist()
+            first = min([*us, *([] if first is None else [first])])
+            values = zip(*[self._plain(chunk[c]) for c in (*self.order, *self.columns, *self.machine.inputs)])
+            self.waiting.appendList([(u, json.dumps(v)) for u, v in zip(us, values)])
+        if first is not None and all(t > first // 1000 + 1 for t in self.handle.listTimers()):
+            self.handle.registerTimer(first // 1000 + 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        ready, rest = [], []
+        for us, row in self.waiting.get():
+            (ready if us <= passed else rest).append((us, row))
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        if rest:
+            self.handle.registerTimer(min(us for us, _ in rest) // 1000 + 1)
+        n, m = len(self.order), len(self.order) + len(self.columns)
+        due = sorted((json.loads(row) for _, row in ready), key=lambda v: v[:n])
+        if due:
+            state = json.loads(self.state.get()[0]) if self.state.exists() else json.loads(json.dumps(self.machine.start))
+            results, state = run(self.machine, state, list(zip(*[v[m:] for v in due])))
+            self.state.update((json.dumps(state),))
+            out = pd.DataFrame([v[n:m] for v in due], columns=self.columns)
+            for c in self.times & set(self.columns):
+                out[c] = pd.to_datetime(out[c], unit="us")
+            for i, name in enumerate(self.machine.outputs):
+                out[name] = pd.Series([r[i] for r in results], index=out.index, dtype="object")
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def run_ordered(stream: DataFrame, machine: Machine, keep: Sequence[str], order: Sequence[str] = ("ts_event", "sequence"), key: str = "symbol", late: str = LATE, closing: Closing | None = None) -> DataFrame:
+    """A machine over each key's rows in time order, as long as none is later than ``late``.
+
+    Gives the rows that the batch fold gives, however they arrive; a row comes out once the watermark
+    has passed it, the last ones after `Closing`. State: a key's rows of the last ``late``.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = watermarked(stream, closing, order[0], late).withColumn("event_us", F.unix_micros(order[0]))
+    times = [f.name for f in stream.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
+    types = T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in machine.outputs.items()))
+    schema = T.StructType([stream.schema[c] for c in keep] + types.fields)
+    return rows.groupBy(key).transformWithStateInPandas(_Ordered(machine, order, keep, times), schema, "Append", "EventTime")
+
+
 def deduplicated(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
     """First copy of each key; later copies within the watermark are dropped."""
     return stream.withWatermark("ts_event", LATE).dropDuplicatesWithinWatermark(list(keys))
 
 
-def sessions(stream: DataFrame, gap: str) -> DataFrame:
+def sessions(stream: DataFrame, gap: str, closing: Closing | None = None) -> DataFrame:
     """Runs of rows per key without a longer gap: begin, last row and count. A run's end is a gap found."""
-    rows = stream.withWatermark("ts_event", LATE)
+    rows = watermarked(stream, closing)
     out = rows.groupBy("symbol", F.session_window("ts_event", gap).alias("s")).agg(F.max("ts_event").alias("last_ts"), F.count(F.lit(1)).alias("rows"))
     return out.select("symbol", F.col("s.start").alias("first_ts"), "last_ts", "rows")
 
@@ -109,11 +212,11 @@ def matched_outcomes(predictions: DataFrame, ticks: DataFrame, horizon: str) ->
     return out.select("symbol", "ts_event", "sequence", "price", "outcome_price", (F.col("outcome_price") > F.col("price")).alias("rose"))
 
 
-def windowed_summary(log: DataFrame, window: str, base: dict[str, float]) -> DataFrame:
+def windowed_summary(log: DataFrame, window: str, base: dict[str, float], closing: Closing | None = None) -> DataFrame:
     """Monitoring counts and ratios per window of time, with their distance to a baseline."""
     from tapeloom.operators.monitor import _summary, with_deltas
 
-    rows = log.withWatermark("ts", LATE)
+    rows = watermarked(log, closing, "ts")
     out = rows.groupBy(F.window("ts", window).alias("w")).agg(*_summary(rows, []))
     return with_deltas(out.withColumn("window_start", F.col("w.start")).drop("w"), base)
 

@@ -84,7 +84,7 @@ def test_every_reason_occurs(spark, sf):
     assert found >= {*Z.SITUATIONS, "range_confirmed", "trend_confirmed"} - {"range_accumulating", "trend_accumulating"}
 
 
-@pytest.mark.parametrize("batch, stream", [("r9_market_state", "x9_streaming_market_state"), ("r10_event_score", "x2_streaming_event_gate"), ("r5_page_hinkley", "x3_streaming_drift")])
+@pytest.mark.parametrize("batch, stream", [("r9_market_state", "x9_streaming_market_state"), ("r5_page_hinkley", "x3_ordered_drift"), ("r10_event_score", "x2_streaming_event_gate"), ("r5_page_hinkley", "x3_streaming_drift")])
 def test_stream_equals_batch(spark, sf, batch, stream):
     assert canonical(plans.QUERIES[batch](spark, sf)) == canonical(plans.QUERIES[stream](spark, sf))
 
