@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import byte_texts, slices, written
+from tapeloom.llm.common import byte_texts, slices, unused, written
 
 STEP = 1 << 20
 #: Sets, and shingles in them, that one task joins at a time.
@@ -598,9 +598,10 @@ def deduplicated(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
     found = components(docs, size, num, den, doc_id, text)
     alike = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("x")).select("x.key", F.lit(True).alias("_alike"))
     alone = found.where("root is null").select("key", F.lit(False).alias("_alike")).distinct()
-    kept = alike.union(alone).withColumnRenamed("key", "_key")
-    rows = docs.withColumn("_key", key_of(doc_id, text)).join(kept.hint("shuffle_hash"), "_key")
-    once = F.when(F.col("_alike"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id())
-    return rows.withColumn("_once", once).dropDuplicates(["_key", "_once"]).select(*docs.columns)
+    key, yes, once = (unused(docs, name) for name in ("key", "alike", "once"))
+    kept = alike.union(alone).withColumnsRenamed({"key": key, "_alike": yes})
+    rows = docs.withColumn(key, key_of(doc_id, text)).join(kept.hint("shuffle_hash"), key)
+    rows = rows.withColumn(once, F.when(F.col(yes), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates([key, once]).select(*docs.columns)
 
 

@@ -97,7 +97,10 @@ def same_start_pairs(turns: DataFrame) -> DataFrame:
     where all first turns differ, as in the given tables, there are no pairs. A partner with a longer
     common prefix is not looked for.
     """
-    known = conversations(turns).withColumn("start", F.xxhash64(F.col("turns")[0]["role"], F.col("turns")[0]["text"]))
+    first = F.col("turns")[0]
+    # the hash passes over nulls, so it is told which part is one
+    start = F.xxhash64(first["role"].isNull(), first["role"], first["text"].isNull(), first["text"])
+    known = conversations(turns).withColumn("start", start)
     ends = known.groupBy("start").agg(*[f(F.struct("conv_id", "turns")).alias(name) for f, name in ((F.min, "first"), (F.max, "last"))])
     # written, so that the join is of two plain shuffles and a start that many share can be split
     both = known.join(written(ends, "starts"), "start")

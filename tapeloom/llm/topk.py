@@ -17,8 +17,10 @@ smallest ids, so a vector that fills a third of all rows costs no more than anot
 Vectors that are null, empty or hold a null or non-finite component take no part, nor do rows without
 an id. Rows are told apart by id: rows with the query's id are its own; an id that occurs more than
 once is answered once, with its best score, and asked once, with its smallest vector. Queries meet
-vectors of their own length only. Ties go to the smaller id. Scores are exact 64-bit integers
-(components beyond 2**31 are cut there).
+vectors of their own length only. Ties go to the smaller id. Scores are exact 64-bit integers, of
+components of any size that a long holds (a block stores them in 32 bits where these hold them all).
+Where sums might leave 62 bits, blocks are read without bounds and summed in Python's integers; scores
+beyond a long are cut at its ends, and tie there.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from tapeloom.llm.common import written
 BLOCK = 4_096
 QUERY_BLOCK = 1_024
 CELLS = 64
+# Components from here on have no cells.
+WIDE = 2.0**60
 # Blocks of vectors that a task compares with a block of queries.
 DEAL = 8
 FILE = "dim int, block long, ids binary, cells binary, low binary, width binary, exact binary"
@@ -43,7 +47,7 @@ FILE = "dim int, block long, ids binary, cells binary, low binary, width binary,
 def integers(vector: Column, scale: int = 256) -> Column:
     """floor(scale * x) of each component; null where the vector takes no part."""
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    made = F.transform(vector, lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit((1 << 31) - 1)), F.lit(-(1 << 31))).cast("long"))
+    made = F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     return F.when((F.size(vector) > 0) & sound, made)
 
 
@@ -62,26 +66,44 @@ def approximate(vectors: DataFrame) -> DataFrame:
                 for at in range(0, mine.num_rows, BLOCK):
                     part = mine.slice(at, BLOCK)
                     x, ids = _matrix(part.column("vector"), dim), part.column("id").to_numpy()
-                    low = x.min(0)
-                    width = np.maximum(1, -(-(x.max(0) - low + 1) // CELLS))
-                    cells = ((x - low) // width).astype(np.uint8)
-                    row = [[dim], [int(ids[0])], [ids.tobytes()], [cells.tobytes()], [low.tobytes()], [width.tobytes()], [x.astype(np.int32).tobytes()]]
+                    low, most = x.min(0), float(np.abs(x.astype(np.float64)).max())
+                    if most < WIDE:
+                        width = np.maximum(1, -(-(x.max(0) - low + 1) // CELLS))
+                        cells = ((x - low) // width).astype(np.uint8)
+                    else:
+                        width, cells = np.zeros(dim, np.int64), np.zeros(x.shape, np.uint8)  # no cell holds it
+                    exact = x.astype(np.int32) if most < 1 << 31 else x
+                    row = [[dim], [int(ids[0])], [ids.tobytes()], [cells.tobytes()], [low.tobytes()], [width.tobytes()], [exact.tobytes()]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int64(), *[pa.binary()] * 5))], ["dim", "block", "ids", "cells", "low", "width", "exact"])
 
     return vectors.mapInArrow(run, FILE)
 
 
+def _size(x: np.ndarray) -> float:
+    return float(np.abs(x.astype(np.float64)).max(initial=0))
+
+
 def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a . b' of integers: in doubles where these hold every sum, else in longs."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
+    """Exact a . b' of integers: in doubles where these hold every sum, else in longs, else cut at a long's ends."""
+    most = _size(a) * _size(b) * a.shape[1]
     if most < 2.0**52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return np.einsum("ik,jk->ij", a, b)
+    if most < 2.0**62:
+        return np.einsum("ik,jk->ij", a, b)
+    ends = np.iinfo(np.int64)
+    sums = a.astype(object) @ b.astype(object).T
+    return np.clip(sums, ends.min, ends.max).astype(np.int64)
 
 
-def _bounds(row: dict, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each query and vector the score of the cells' lower ends; of each query what to add for the bounds."""
+def _bounds(row: dict, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of each query and vector the score of the cells' lower ends; of each query what to add for the bounds.
+
+    None where these might leave 62 bits.
+    """
     low, width = (np.frombuffer(row[c], np.int64) for c in ("low", "width"))
+    most = max(_size(low), _size(low) + CELLS * _size(width)) * max(_size(q), 1.0) * len(low)
+    if most >= 2.0**61 or not width.all():
+        return None
     ends = low + width * np.frombuffer(row["cells"], np.uint8).reshape(-1, len(low)).astype(np.int64)
     return _dot(q, ends), np.minimum(q, 0) @ (width - 1), np.maximum(q, 0) @ (width - 1)
 
@@ -113,7 +135,10 @@ def _scan(pairs: DataFrame, k: int) -> DataFrame:
                 own = np.array([a["id"] for a in row["asked"]], np.int64)
                 q = np.array([a["vector"] for a in row["asked"]], np.int64)
                 ids = np.frombuffer(row["ids"], np.int64)
-                mid, below, _ = _bounds(row, q)
+                bounds = _bounds(row, q)
+                if bounds is None:
+                    continue  # no bounds, so all of the block is read
+                mid, below, _ = bounds
                 mid[own[:, None] == ids] = np.iinfo(np.int64).min // 2
                 first = _first_rows(ids)
                 mid = mid[:, first]
@@ -147,9 +172,10 @@ def _read(pairs: DataFrame, k: int) -> DataFrame:
 
 def _read_block(row: dict, k: int) -> tuple[list, list, list, list]:
     ids = np.frombuffer(row["ids"], np.int64)
-    exact = np.frombuffer(row["exact"], np.int32).reshape(len(ids), -1).astype(np.int64)
+    kind = np.int32 if len(row["exact"]) == 4 * row["dim"] * len(ids) else np.int64
+    exact = np.frombuffer(row["exact"], kind).reshape(len(ids), -1).astype(np.int64)
     q = np.array([a["vector"] for a in row["asked"]], np.int64)
-    mid, _, above = _bounds(row, q)
+    bounds = _bounds(row, q)
     order = np.lexsort((ids, *exact.T))
     new = np.ones(len(ids), bool)
     new[1:] = (exact[order[1:]] != exact[order[:-1]]).any(1)
@@ -157,7 +183,7 @@ def _read_block(row: dict, k: int) -> tuple[list, list, list, list]:
     lead = order[start[:-1]]
     out: tuple[list, list, list, list] = ([], [], [], [])
     for i, a in enumerate(row["asked"]):
-        upper = mid[i, lead] + above[i]
+        upper = bounds[0][i, lead] + bounds[2][i] if bounds else np.full(len(lead), np.iinfo(np.int64).max)
         todo = np.flatnonzero(upper >= a["least"]) if a["least"] is not None else np.arange(len(lead))
         todo = todo[np.argsort(-upper[todo], kind="stable")]
         found, scores, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 4 * k

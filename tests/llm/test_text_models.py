@@ -267,6 +267,13 @@ def test_pairs_like_brute_force(spark):
     assert preference.pairs_formatted(preference.same_start_pairs(df.limit(0))).count() == 0
 
 
+def test_a_null_role_is_not_a_null_text(spark, tmp_path):
+    rows = [(1, 0, None, "user"), (1, 1, "assistant", "a"), (2, 0, "user", None), (2, 1, "assistant", "b"), (3, 0, None, "user"), (3, 1, "assistant", "c"), (4, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["chosen_id"]: r["rejected_id"] for r in QUERIES["op7_preference_format"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3, 3: 1, 2: -1, 4: -1}
+
+
 def test_preference_query_like_its_sql(spark, sf):
     got = cases.same(spark, QUERIES["op7_preference_format"], ORACLES["op7_preference_format"], sf)
     known = turns_of(cases.table(sf, "conversations"))
@@ -295,6 +302,21 @@ def test_pipeline(spark, sf):
     assert not any(x in dc.plain(t or "") for x in items for t in texts.values())
 
 
+def test_stages_leave_other_columns_alone(spark, sf):
+    """Columns named like the stages' own, in any case, and rows that repeat."""
+    names = "score _score Hits _hits spans _spans key _key once _once alike root node statistics decoded _source".split()
+    docs = cases.documents(spark).withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    docs = docs.union(docs.where("doc_id in (2, 13)"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        assert rows and all(r[n] == f"{n}{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in names), name
+        if name == "near_duplicates":
+            assert len({(r["doc_id"], r["text"]) for r in rows}) == len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).columns == ["doc_id", "lang", "source", "n_tokens", "ids", "begins", "ends"]
+
+
 def test_pipeline_keeps_odd_rows(spark, sf):
     docs = cases.documents(spark)
     for name, stage in corpus_pipeline.STAGES[1:]:

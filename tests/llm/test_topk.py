@@ -55,6 +55,20 @@ def test_large_components_and_empty_tables(spark):
     assert found(spark, [], []) == [] and found(spark, rows, []) == []
 
 
+def test_components_beyond_32_bits(spark):
+    """floor(256 * x) past 2 ** 31, and sums past 2 ** 62, where there are no bounds."""
+    rows = [(0, [1e7, 0.0]), (1, [9e6, 0.0]), (2, [1.1e7, 0.0]), (3, [-1e7, 5.0]), (4, [0.5, -0.5]), (5, [1e7, 1.0])]
+    double = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    answers = lambda rows, queries: sorted(tuple(r)[:4] for r in topk.search(double(rows), double(queries), 5).collect())
+    product = lambda v: sum(int(256 * x) * int(256 * y) for x, y in zip([1e7, 0.0], v))
+    assert [(v, score) for _, _, v, score in answers(rows, rows[:1])] == sorted(((i, product(v)) for i, v in rows[1:]), key=lambda x: -x[1])
+    assert [v for _, _, v, _ in answers(rows, rows[:1])][:3] == [2, 5, 1]
+    far = [(0, [1e8, 1e8]), (1, [1e8, 0.0]), (2, [-1e8, 1e8]), (3, [1.0, 1e8]), (4, [1e16, 1e16]), (5, [1e16, 2e16]), (6, [-1e16, -1.0])]
+    most = 2**63
+    want = sorted((-max(-most, min(most - 1, sum(int(256 * x) * int(256 * y) for x, y in zip(far[0][1], v)))), i) for i, v in far[1:])[:5]
+    assert [(-score, v) for _, _, v, score in answers(far, far[:1])] == want
+
+
 def test_query_like_its_sql(spark, sf):
     got = cases.same(spark, QUERIES["op2_exact_top_k"], ORACLES["op2_exact_top_k"], sf)
     assert len(got) == 50
