@@ -7,6 +7,13 @@ Every stage takes (spark, docs, sf_dir) and works on all rows that its predecess
 * decontaminate: documents that hold a benchmark item go;
 * secrets: secrets in the texts are replaced by their kind;
 * tokens: texts become pieces with their spans.
+
+All but the last return the columns that they were given, others than those of documents included,
+whatever their names. Null and empty texts, texts without words and texts of any length pass every stage
+by its own rule: they are scored, never near copies of another, hold no benchmark item and no secret, and
+have no pieces. Of rows with the same id and text one stays (near_duplicates); rows with the same id and
+other texts are told apart. Empty tables give empty ones. `tokens` needs lang and source, and keeps
+only these, the id and the pieces.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm import decontaminate as contamination
 from tapeloom.llm import jaccard, secret_scan, sentencepiece_codec
 from tapeloom.llm import quality as classifier
-from tapeloom.llm.common import held_out, table, written
+from tapeloom.llm.common import held_out, table, unused, written
 from tapeloom.llm.queries import piece_model
 
 
@@ -27,7 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = F.broadcast(classifier.sample_of(labels).select("doc_id"))  # bounded
     stats = classifier.statistics_of(docs.join(ids, "doc_id", "left_semi"), ["doc_id"])
     model = classifier.fit(stats, labels, F.lit(True))
-    return classifier.scored(docs, model, name="_score").where("_score >= 0.3").select(*docs.columns)
+    score = unused(docs, "score")
+    return classifier.scored(docs, model, name=score).where(F.col(score) >= 0.3).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,16 +45,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a benchmark item."""
-    found = contamination.flagged(docs, table(spark, sf_dir, "benchmark"), hits="_hits")
-    return found.where(F.size("_hits") == 0).select(*docs.columns)
+    hits = unused(docs, "hits")
+    found = contamination.flagged(docs, table(spark, sf_dir, "benchmark"), hits=hits)
+    return found.where(F.size(hits) == 0).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep all documents, with secrets replaced by their kind."""
-    found = secret_scan.scan(docs, spans="_spans")
-    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("_spans")))
+    spans = unused(docs, "spans")
+    found = secret_scan.scan(docs, spans=spans)
+    clean = found.withColumn("text", secret_scan.redacted(F.col("text"), F.col(spans)))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        clean = clean.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return clean.select(*docs.columns)
 
 
