@@ -135,13 +135,13 @@ def coverage_stats(df: DataFrame, column: str, low: float) -> DataFrame:
     return stats.transform(beside, q).select("mean", F.get("_q", 1).alias("median"), F.get("_q", 0).alias("p25"), F.get("_q", 2).alias("p75"), "low_ratio")  # one row each
 
 
-def compare_feeds(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Symbols of both feeds with their rows, and where they occur."""
-    left = a.groupBy("symbol").agg(F.count(F.lit(1)).alias("mbo_rows"))
-    right = b.groupBy("symbol").agg(F.count(F.lit(1)).alias("mbp_rows"))
-    both = left.join(right, "symbol", "full")
+def compare_feeds(a: DataFrame, b: DataFrame, key: str = "symbol") -> DataFrame:
+    """Values of ``key`` in both feeds, null among them, with their rows, and where they occur."""
+    left = a.groupBy(key).agg(F.count(F.lit(1)).alias("mbo_rows"))
+    right = b.groupBy(key).agg(F.count(F.lit(1)).alias("mbp_rows"))
+    both = matched(left, right, key, "full")
     place = F.when(F.col("mbp_rows").isNull(), "mbo_only").when(F.col("mbo_rows").isNull(), "mbp_only").otherwise("both")
-    return both.select("symbol", F.coalesce("mbo_rows", F.lit(0)).alias("mbo_rows"), F.coalesce("mbp_rows", F.lit(0)).alias("mbp_rows"), place.alias("found_in"))
+    return both.select(key, F.coalesce("mbo_rows", F.lit(0)).alias("mbo_rows"), F.coalesce("mbp_rows", F.lit(0)).alias("mbp_rows"), place.alias("found_in"))
 
 
 def before_after(raw: DataFrame, clean: DataFrame) -> DataFrame:

@@ -272,6 +272,18 @@ def continuous(df: DataFrame, root: str) -> DataFrame:
     return out.withColumn("symbol", F.when(F.col("contract_root") == root, F.lit(root)).otherwise(wrong.cast("string")))
 
 
+def continuous_roots(df: DataFrame, group: str) -> DataFrame:
+    """Relabel all contracts as their own root; fails where a ``group`` (a file, a feed) holds contracts of two roots.
+
+    Rows that name no contract keep a null symbol. Groups meet their check by two small aggregates.
+    """
+    out = parse_contract(df)
+    roots = out.groupBy(group).agg(F.min("contract_root").alias("_least"), F.max("contract_root").alias("_most"))
+    checked = matched(out, roots, group, salts=SALTS)
+    wrong = F.raise_error(F.concat(F.lit("contracts of two roots: "), F.col("_least"), F.lit(", "), F.col("_most")))
+    return checked.withColumn("symbol", F.when(F.col("_least") != F.col("_most"), wrong.cast("string")).otherwise(F.col("contract_root"))).drop("_least", "_most")
+
+
 def full_year(suffix: Column, year: int) -> Column:
     """The year with these last digits that is nearest to ``year`` (the earlier of two)."""
     value, span = suffix.cast("int"), F.pow(F.lit(10), F.length(suffix)).cast("int")

@@ -191,6 +191,13 @@ def continuous(spark, sf_dir):
     return C.continuous(rows, "NQ").select("symbol", "sequence", "contract_symbol", "contract_month_code")
 
 
+@query("p17_all_roots", f"{V.TICKS}, {CONTRACT_SQL} SELECT symbol AS feed, contract_root AS symbol, sequence, contract_symbol, contract_month_code FROM parsed")
+def continuous_roots(spark, sf_dir):
+    """Every row under its contract's root; each feed must hold one root only."""
+    rows = contracts(spark, sf_dir).withColumn("feed", F.col("symbol"))
+    return C.continuous_roots(rows, "feed").select("feed", "symbol", "sequence", "contract_symbol", "contract_month_code")
+
+
 @query(
     "p18_front_contract",
     f"""{V.TICKS}, {CONTRACT_SQL}, c AS (SELECT contract_symbol, contract_root, contract_month_code AS mc, contract_year_suffix::INT AS y, count(*) AS rows FROM parsed WHERE contract_root IS NOT NULL GROUP BY ALL),
@@ -438,6 +445,22 @@ def compare_feeds(spark, sf_dir):
     return A.compare_feeds(large, V.book(spark, sf_dir).filter(F.get("bid_px", 0) > 1180))
 
 
+WHOLE_FEEDS = " UNION ALL ".join(
+    f"""SELECT '{kind}' AS kind, {c}::VARCHAR AS value, count(*) FILTER (WHERE action = 'T') AS mbo_rows, count(*) FILTER (WHERE action = 'C') AS mbp_rows FROM parsed GROUP BY {c} HAVING count(*) FILTER (WHERE action IN ('T', 'C')) > 0"""
+    for kind, c in (("symbol", "symbol"), ("root", "contract_root"), ("month", "contract_month_code"))
+)
+
+
+@query("j13_whole_feeds", f"{V.TICKS}, {CONTRACT_SQL} SELECT *, CASE WHEN mbp_rows = 0 THEN 'mbo_only' WHEN mbo_rows = 0 THEN 'mbp_only' ELSE 'both' END AS found_in FROM ({WHOLE_FEEDS})")
+def compare_whole_feeds(spark, sf_dir):
+    """Symbols, roots and months of all trades beside those of all cancels."""
+    rows = C.parse_contract(contracts(spark, sf_dir))
+    trades, cancels = rows.filter(is_trade()), rows.filter("action = 'C'")
+    kinds = {"symbol": "symbol", "root": "contract_root", "month": "contract_month_code"}
+    parts = [A.compare_feeds(trades, cancels, c).select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value"), "mbo_rows", "mbp_rows", "found_in") for kind, c in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("o1_stable_sort", f"{V.TICKS} SELECT symbol, ts_event, sequence, price FROM ticks ORDER BY ts_event, symbol, sequence", "price")
 def stable_sort(spark, sf_dir):
     return V.ticks(spark, sf_dir).select("symbol", "ts_event", "sequence", "price").orderBy("ts_event", "symbol", "sequence")
@@ -463,6 +486,20 @@ def symbol_sets(spark, sf_dir):
     return a.subtract(b).withColumn("found_in", F.lit("only_first")).unionByName(a.intersect(b).withColumn("found_in", F.lit("both")))
 
 
+@query(
+    "o5_o6_whole_sets",
+    f"""{V.TICKS}, a AS (SELECT DISTINCT symbol, price FROM ticks WHERE action = 'T'), b AS (SELECT DISTINCT symbol, price FROM ticks WHERE action <> 'T')
+SELECT symbol, price, 'only_first' AS found_in FROM (FROM a EXCEPT FROM b) UNION ALL SELECT symbol, price, 'only_second' FROM (FROM b EXCEPT FROM a) UNION ALL SELECT symbol, price, 'both' FROM (FROM a INTERSECT FROM b)""",
+    "price",
+)
+def whole_sets(spark, sf_dir):
+    """Price levels per symbol: those traded, those only ordered at, and both."""
+    rows = V.ticks(spark, sf_dir)
+    a, b = (rows.filter(c).select("symbol", "price").distinct() for c in (F.col("action") == "T", F.col("action") != "T"))
+    named = lambda df, name: df.withColumn("found_in", F.lit(name))
+    return named(a.subtract(b), "only_first").unionByName(named(b.subtract(a), "only_second")).unionByName(named(a.intersect(b), "both"))
+
+
 @query("j10_ticks_in_bars", f"{V.TICKS}, b AS (SELECT DISTINCT symbol, date_trunc('hour', ts_event) AS bar_ts FROM ticks WHERE action = 'T') SELECT t.symbol, t.sequence, b.bar_ts FROM ticks t JOIN b ON t.symbol = b.symbol AND t.ts_event >= b.bar_ts AND t.ts_event < b.bar_ts + INTERVAL 1 HOUR")
 def ticks_in_bars(spark, sf_dir):
     rows = with_bar(V.ticks(spark, sf_dir), "1 hour")
