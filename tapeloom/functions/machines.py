@@ -141,8 +141,8 @@ def settled(values: list[float], step, rows: int) -> list[float]:
 
 
 @dataclass
-class KalmanLevel(Affine):
-    """Local-level Kalman filter, started at the first value with variance 1."""
+class KalmanLevel(Machine):
+    """Local-level Kalman filter, started at the first value with variance 1; for bars, which the calendar bounds."""
 
     column: str = "close"
     noise: float = 1e-3
@@ -151,30 +151,15 @@ class KalmanLevel(Affine):
     def __post_init__(self):
         self.inputs, self.outputs, self.start = (self.column,), {"kalman_trend": "double"}, [None, 1.0]
 
-    stages = ((1,), (0,))  # the variance depends on the number of rows only
-
-    def variance(self, p: float, drift: float) -> float:
-        p += drift
-        return (1 - p / (p + self.noise)) * p
-
-    def digest(self, stage, state, first, columns):
-        return [len(columns[0])] if stage == 0 else super().digest(stage, state, first, columns)
-
-    def advance(self, stage, state, digest, first):
-        if stage:
-            return super().advance(stage, state, digest, first)
-        rows, p = digest[0], state[1]
-        if first:
-            rows, p = rows - 1, self.variance(p, 0.0)
-        return settled([p], lambda v: [self.variance(v[0], self.drift)], rows)
-
     def step(self, state, z):
         x, p = state
-        drift = self.drift
         if x is None:
-            x, drift = z, 0.0
-        x += (p + drift) / (p + drift + self.noise) * (z - x)
-        return (x,), [x, self.variance(p, drift)]
+            x = z
+        else:
+            p += self.drift
+        k = p / (p + self.noise)
+        x += k * (z - x)
+        return (x,), [x, (1 - k) * p]
 
 
 @dataclass

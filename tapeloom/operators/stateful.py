@@ -6,9 +6,10 @@ start state changed run again. When none changes, the result is that of one pass
 forget their past (resets, pauses, votes) settle in two or three rounds.
 
 Machines with ``stages`` need no rounds: each block is summed up once per part of the state, and a
-window over the blocks' digests gives every block its start. Decaying means, Kalman filters, Hawkes
-intensities and session totals take two to four passes, whatever the number of blocks. Between its
-alarms Page-Hinkley does, too: a count, a sum and a least value bridge blocks without an alarm.
+window over the blocks' digests gives every block its start. Decaying means, the Kalman filter of
+ticks, Hawkes intensities and session totals take two to four passes, whatever the number of blocks.
+Between its alarms Page-Hinkley does, too: a count, a sum and a least value bridge blocks without an
+alarm. Their starts are those of one pass but for the last digits of sums taken in another order.
 
 What has not settled after `ROUNDS` streams through one task per key, row by row, from the first
 block not known to be right. That is left for rules without stages that never forget, and for keys
