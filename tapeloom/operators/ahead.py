@@ -1,12 +1,13 @@
-"""The first later row that meets a barrier, found while the rows of a key stream by in order.
+"""What the next rows of a key hold, found while its rows stream by in order.
 
-A task holds one batch and the next h rows, whatever the size of a key: each row is compared with the
-rows after it, one step at a time for all rows at once, until it is decided.
+A task holds a batch and the next h rows, whatever the size of a key, with an index of their running
+extremes (`Extremes`). Any number of barriers a row is searched in it by halving, and the highest and
+lowest value of any stretch is two lookups; no row carries the rows ahead of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -16,24 +17,71 @@ from pyspark.sql import types as T
 from tapeloom.operators.ordered import KEYS, ORDER, fits, haloed
 
 
-def first_ahead(
+class Extremes:
+    """Highest and lowest values of stretches of 1, 2, 4 .. values, up to ``longest``; NaN is passed over."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, longest: int):
+        self.high, self.low, step = [high], [low], 1
+        while 2 * step <= min(longest, len(high)):
+            self.high.append(np.fmax(self.high[-1][:-step], self.high[-1][step:]))
+            self.low.append(np.fmin(self.low[-1][:-step], self.low[-1][step:]))
+            step *= 2
+
+    def first(self, begin: np.ndarray, reach: np.ndarray, up: np.ndarray, down: np.ndarray, base: np.ndarray | float = 0.0) -> np.ndarray:
+        """Which of the ``reach`` values from ``begin`` on is the first that, less the base, is at or beyond a barrier; from 1, 0 for none."""
+        passed, base = np.zeros(len(begin), np.int64), np.broadcast_to(base, len(begin))
+        for level in range(len(self.high) - 1, -1, -1):
+            todo = np.flatnonzero(passed + (1 << level) <= reach)
+            at = begin[todo] + passed[todo]
+            met = (self.high[level][at] - base[todo] >= up[todo]) | (self.low[level][at] - base[todo] <= down[todo])
+            passed[todo[~met]] += 1 << level
+        return np.where(passed < reach, passed + 1, 0)
+
+    def over(self, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Highest and lowest of the ``length`` values from ``begin`` on; NaN where there are none."""
+        top, bottom = np.full(len(begin), np.nan), np.full(len(begin), np.nan)
+        levels = np.frexp(np.maximum(length, 0))[1] - 1
+        for level, (high, low) in enumerate(zip(self.high, self.low)):
+            at = np.flatnonzero(levels == level)
+            a, b = begin[at], begin[at] + length[at] - (1 << level)
+            top[at], bottom[at] = np.fmax(high[a], high[b]), np.fmin(low[a], low[b])
+        return top, bottom
+
+
+def floats(part: pa.Table, name: str) -> np.ndarray:
+    return part.column(name).cast(pa.float64()).to_numpy()
+
+
+def doubles(values: np.ndarray) -> pa.Array:
+    """NaN becomes null."""
+    return pa.array(values, pa.float64(), mask=np.isnan(values))
+
+
+def key_starts(rows: pa.Table, keys: Sequence[str]) -> list[int]:
+    """Places where another key begins, and the end; null and NaN are equal to themselves."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        codes = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return [*np.flatnonzero(new).tolist(), rows.num_rows]
+
+
+def streamed(
     df: DataFrame,
     h: int,
-    races: dict[str, tuple[str, str]],
-    value: str,
+    added: Sequence[T.StructField],
+    answer: Callable[[pa.Table, int], list[pa.Array]],
     *,
-    time: str = "ts_event",
-    moves: bool = False,
-    horizon: str | None = None,
+    prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    spent: Sequence[str] = (),
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """Add, for each race (upper column, lower column), the first of the next rows at or beyond either.
+    """Add columns: ``answer(part, n)`` gives them for the first n rows of a part of one key.
 
-    With ``moves`` the change of the value is compared instead of the value. ``horizon``: a column
-    with the rows to look ahead, at most h (null: h). Each race is a struct (_n: steps ahead, the
-    value, the time), null where no row gets there; ``_end`` is the last row within the horizon,
-    null without later rows. Null values and barriers are never met.
+    The part is in order and has the h rows after these n, fewer at the end of the key. ``prepare`` adds
+    columns to the sorted rows, so these are not shuffled; the columns ``spent`` are dropped.
     """
     if fits(df, keys):
         rows, groups, cut = df, list(keys), False
@@ -41,62 +89,85 @@ def first_ahead(
     else:
         rows, groups, cut = haloed(df, keys, order, after=h), [*keys, "_blk"], True
         rows = rows.repartition(*groups).sortWithinPartitions(*groups, "_rn")
-    found = T.StructType([T.StructField("_n", T.IntegerType()), T.StructField(value, rows.schema[value].dataType), T.StructField(time, rows.schema[time].dataType)])
-    names = [*races, "_end"]
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in names] + [T.StructField(n, found) for n in names])
-    kept = [f for f in schema.names if f not in names]
+    rows = prepare(rows)
+    names = [f.name for f in added]
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in (*names, *spent)] + list(added))
+    kept = schema.names[: len(schema) - len(names)]
 
     def decided(part: pa.Table, n: int) -> pa.RecordBatch:
-        """Answers of the first n rows of a part of one key."""
-        x, size = _floats(part, value), part.num_rows
-        reach = np.full(n, h)
-        if horizon:
-            wanted = _floats(part, horizon)[:n]
-            reach = np.where(np.isnan(wanted), h, np.clip(np.nan_to_num(wanted), 0, h)).astype(np.int64)
-        reach = np.minimum(reach, size - 1 - np.arange(n))
-        answers = []
-        for upper, lower in races.values():
-            up, down, steps = _floats(part, upper), _floats(part, lower), np.zeros(n, np.int64)
-            todo = np.flatnonzero(reach > 0)
-            for k in range(1, h + 1):
-                if not len(todo):
-                    break
-                seen = x[todo + k] - x[todo] if moves else x[todo + k]
-                hit = (seen >= up[todo]) | (seen <= down[todo])
-                steps[todo[hit]] = k
-                todo = todo[~hit]
-                todo = todo[reach[todo] > k]
-            answers.append(steps)
-        answers.append(reach)
-        columns = [part.column(c).slice(0, n).combine_chunks() for c in kept]
-        for steps in answers:
-            none = steps == 0
-            at = pa.array(np.arange(n) + steps, mask=none)
-            fields = [pa.array(steps.astype(np.int32), mask=none), *(part.column(c).combine_chunks().take(at) for c in (value, time))]
-            columns.append(pa.StructArray.from_arrays(fields, names=["_n", value, time], mask=pa.array(none)))
-        return pa.RecordBatch.from_arrays(columns, [*kept, *names])
+        return pa.RecordBatch.from_arrays([part.column(c).slice(0, n).combine_chunks() for c in kept] + answer(part, n), schema.names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             fresh = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, fresh]) if held is not None else fresh
-            owners = list(zip(*[held.column(g).to_pylist() for g in groups]))
-            starts = [0, *(i for i in range(1, len(owners)) if owners[i] != owners[i - 1]), len(owners)]
+            starts = key_starts(held, groups)
             for a, b in zip(starts[:-2], starts[1:]):  # keys that have ended
                 yield decided(held.slice(a, b - a), b - a)
-            last = held.slice(starts[-2]) if len(owners) else held
+            last = held.slice(starts[-2])
             ready = last.num_rows - h
-            if ready > 0:
+            if ready > h:  # so the index of h rows is made for as many at least
                 yield decided(last, ready)
                 last = last.slice(ready)
             held = last.combine_chunks()
-        if held is not None and held.num_rows:
+        if held is not None:
             yield decided(held, held.num_rows)
 
     out = rows.mapInArrow(walk, schema)
     return out.filter("_own").drop("_rn", "_blk", "_own") if cut else out
 
 
-def _floats(part: pa.Table, name: str) -> np.ndarray:
-    return part.column(name).cast(pa.float64()).to_numpy()
+def first_ahead(
+    df: DataFrame,
+    h: int,
+    races: dict[str, tuple[str, str]],
+    value: str,
+    *,
+    time: str = "ts_event",
+    moves: bool = False,
+    horizon: str | None = None,
+    ends: Sequence[int] = (),
+    skip: int = 0,
+    path: bool = False,
+    keys: Sequence[str] = KEYS,
+    order: Sequence[str] = ORDER,
+) -> DataFrame:
+    """Add, for each race (upper column, lower column), the first of the next rows at or beyond either.
+
+    With ``moves`` the change of the value is compared instead of the value. ``horizon``: a column
+    with the rows to look ahead, at most h (null: h). Each race is a struct (_n: steps ahead, the
+    value, the time), null where no row gets there; ``_end`` is the last row within the horizon,
+    null without later rows, ``_end_<k>`` for each k of ``ends`` the last one of k rows. ``skip``: rows
+    after which the search begins. With ``path`` come ``_from``, the value there, ``_top`` and
+    ``_bottom``, the extremes of the rows looked at. Null values and barriers are never met.
+    """
+    ends = list(dict.fromkeys(ends))
+    struct = T.StructType([T.StructField("_n", T.IntegerType()), T.StructField(value, df.schema[value].dataType), T.StructField(time, df.schema[time].dataType)])
+    names = [*races, "_end", *(f"_end_{k}" for k in ends)]
+    added = [T.StructField(n, struct) for n in names] + [T.StructField(n, T.DoubleType()) for n in ("_from", "_top", "_bottom") if path]
+
+    def answer(part: pa.Table, n: int) -> list[pa.Array]:
+        x, begin = floats(part, value), np.arange(n) + skip
+        reach = np.full(n, h)
+        if horizon:
+            wanted = floats(part, horizon)[:n]
+            reach = np.where(np.isnan(wanted), h, np.clip(np.nan_to_num(wanted), 0, h)).astype(np.int64)
+        reach = np.clip(part.num_rows - 1 - begin, 0, reach)
+        start = x[np.minimum(begin, part.num_rows - 1)]
+        index = Extremes(x, x, h)
+        steps = [index.first(begin + 1, reach, floats(part, up)[:n], floats(part, down)[:n], start if moves else 0.0) for up, down in races.values()]
+        steps += [reach, *(np.minimum(reach, k) for k in ends)]
+        columns = []
+        for some in steps:
+            none = some == 0
+            at = pa.array(begin + some, mask=none)
+            fields = [pa.array(some.astype(np.int32), mask=none), *(part.column(c).combine_chunks().take(at) for c in (value, time))]
+            columns.append(pa.StructArray.from_arrays(fields, names=["_n", value, time], mask=pa.array(none)))
+        if path:
+            columns += [doubles(np.where(begin < part.num_rows, start, np.nan)), *map(doubles, index.over(begin + 1, reach))]
+        return columns
+
+    return streamed(df, h + skip, added, answer, keys=keys, order=order)

@@ -101,12 +101,6 @@ def barrier_parts(df: DataFrame, rule: BarrierRule, price: str = "mid_price", vo
     return df.withColumns({"upper_barrier": F.col(price) + F.col("upper_distance"), "lower_barrier": F.col(price) - F.col("lower_distance")}).drop("_floor")
 
 
-def _raced(df: DataFrame, future: Column, price: str) -> DataFrame:
-    """The first barrier met and the last row, from an array of later rows."""
-    up, down = F.col("upper_barrier"), F.col("lower_barrier")
-    return df.withColumns({"_hit": first_where(future, lambda x: (x[price] >= up) | (x[price] <= down)), "_end": last_of(future)})
-
-
 def _decide(df: DataFrame, price: str) -> DataFrame:
     """Label columns from the first barrier met, ``_hit``, and the last row looked at, ``_end``."""
     up, band = F.col("upper_barrier"), F.col("neutral_distance")
@@ -148,21 +142,25 @@ def triple_barrier(df: DataFrame, rule: BarrierRule, price: str = "mid_price") -
 def label_grid(df: DataFrame, horizons: Sequence[int], tps: Sequence[float], sls: Sequence[float], neutrals: Sequence[float], rule: BarrierRule, price: str = "mid_price") -> DataFrame:
     """Label shares for every combination of parameters, with a score; lower is better.
 
-    The rows are shuffled once; each task then labels its rows under all rules and adds them up.
+    The rows are shuffled and streamed once; every pair of barriers is a race over the longest horizon, and
+    a shorter horizon keeps what was met within it. Each task adds up its rows under all rules.
     """
-    grid = [(h, t, s, m) for h in horizons for t in tps for s in sls for m in neutrals]
     rows = barrier_parts(fill_volatility(df, rule.tick, price), rule, price)
-    rows = with_future(rows, [price, "ts_event"], max(horizons)).withColumn("_fl", F.col("barrier_floor_ticks") * rule.tick)
-    cells = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(float(t)).alias("tp_mult"), F.lit(float(s)).alias("sl_mult"), F.lit(float(m)).alias("neutral_mult")) for h, t, s, m in grid])
-    rows = rows.select("ts_event", price, "base", "_fl", "_n", "_future", F.explode(cells).alias("g")).select("*", "g.*")
-    rows = rows.withColumns(
-        {
-            "upper_barrier": F.col(price) + F.greatest(F.col("base") * F.col("tp_mult"), F.col("_fl")),
-            "lower_barrier": F.col(price) - F.greatest(F.col("base") * F.col("sl_mult"), F.col("_fl")),
-            "neutral_distance": F.greatest(F.col("base") * F.col("neutral_mult"), F.col("_fl")),
-        }
-    )
-    rows = _decide(_raced(rows, F.slice("_future", F.lit(1), F.col("horizon")), price), price)
+    floor = F.col("barrier_floor_ticks") * rule.tick
+    far = lambda m: F.greatest(F.col("base") * float(m), floor)
+    ups = {f"_up{i}": F.col(price) + far(m) for i, m in enumerate(tps)}
+    downs = {f"_down{j}": F.col(price) - far(m) for j, m in enumerate(sls)}
+    bands = {f"_band{k}": far(m) for k, m in enumerate(neutrals)}
+    rows = rows.select(*dict.fromkeys([*KEYS, *ORDER, price]), *[c.alias(n) for n, c in {**ups, **downs, **bands}.items()])
+    rows = first_ahead(rows, max(horizons), {f"_race{u}{d}": (u, d) for u in ups for d in downs}, price, ends=horizons)
+
+    def cell(h: int, i: int, j: int, k: int) -> Column:
+        race, fixed = F.col(f"_race_up{i}_down{j}"), {"horizon": h, "tp_mult": float(tps[i]), "sl_mult": float(sls[j]), "neutral_mult": float(neutrals[k])}
+        found = {"upper_barrier": F.col(f"_up{i}"), "neutral_distance": F.col(f"_band{k}"), "_hit": F.when(race["_n"] <= h, race), "_end": F.col(f"_end_{h}")}
+        return F.struct(*[F.lit(v).alias(n) for n, v in fixed.items()], *[c.alias(n) for n, c in found.items()])
+
+    cells = F.array(*[cell(h, i, j, k) for h in horizons for i in range(len(tps)) for j in range(len(sls)) for k in range(len(neutrals))])
+    rows = _decide(rows.select("ts_event", price, F.lit(0).alias("_n"), F.explode(cells).alias("g")).select("ts_event", price, "_n", "g.*"), price)
     keys = ["horizon", "tp_mult", "sl_mult", "neutral_mult"]
     share = lambda c: F.avg(c.cast("double"))
     out = rows.groupBy(*keys).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
 from tapeloom.functions.trading import STRUCTURES, normalised
+from tapeloom.operators.ahead import first_ahead
 from tapeloom.operators.ordered import beside
 
 REGIMES = 4
@@ -141,30 +142,27 @@ def trade_paths(rows: DataFrame, h: int, tick: float, *, tp: float = 1.5, sl: fl
 
     Entry is the price ``latency`` rows after the signal; columns micro_atr and price are needed.
     """
-    from tapeloom.operators.labels import first_where, last_of, with_future
-
-    out = with_future(rows, [price, "ts_event"], h + latency)
-    entry = F.try_element_at("_future", F.lit(latency))[price] if latency else F.col(price)
-    out = out.withColumns({"entry_price": entry, "_path": F.slice("_future", F.lit(latency + 1), F.lit(h))})
-    out = out.filter(F.col("direction").isin(LONG, SHORT) & (F.size("_path") > 0))
     step = F.greatest(F.lit(threshold_ticks * tick), 0.5 * F.greatest("micro_atr", F.lit(0.0)), F.lit(tick))
-    sign = F.when(F.col("direction") == LONG, 1.0).otherwise(-1.0)
-    out = out.withColumns({"_tp": F.greatest(step * tp, F.lit(tick)), "_sl": F.greatest(step * sl, F.lit(tick)), "_sign": sign})
+    long, short = F.col("direction") == LONG, F.col("direction") == SHORT
+    out = rows.withColumns({"_tp": F.greatest(step * tp, F.lit(tick)), "_sl": F.greatest(step * sl, F.lit(tick)), "_sign": F.when(long, 1.0).otherwise(-1.0)})
+    out = out.withColumns({"_up": F.when(long, F.col("_tp")).when(short, F.col("_sl")), "_down": F.when(long, -F.col("_sl")).when(short, -F.col("_tp"))})
+    out = first_ahead(out, h, {"_hit": ("_up", "_down")}, price, moves=True, skip=latency, path=True)
+    end, hit = F.col("_end"), F.col("_hit")
+    out = out.filter(F.col("direction").isin(LONG, SHORT) & end.isNotNull()).withColumn("entry_price", F.col("_from"))
     gain = lambda x: (x[price] - F.col("entry_price")) * F.col("_sign")
-    out = out.withColumn("_hit", first_where(F.col("_path"), lambda x: (gain(x) >= F.col("_tp")) | (gain(x) <= -F.col("_sl"))))
-    end, hit = last_of(F.col("_path")), F.col("_hit")
+    best, worst = F.when(long, F.col("_top")).otherwise(F.col("_bottom")), F.when(long, F.col("_bottom")).otherwise(F.col("_top"))
+    extent = lambda x: (x - F.col("entry_price")) * F.col("_sign") / tick
     reason = F.when(hit.isNull(), "horizon").when(gain(hit) >= F.col("_tp"), "tp").otherwise("sl")
     out = out.withColumn("exit_reason", reason)
     made = F.when(F.col("exit_reason") == "tp", F.col("_tp")).when(F.col("exit_reason") == "sl", -F.col("_sl")).otherwise(gain(end))
-    moves = F.transform("_path", gain)
     out = out.withColumns(
         {
             "exit_ts": F.coalesce(hit["ts_event"], end["ts_event"]),
-            "hold_steps": F.coalesce(hit["_n"], end["_n"]) - F.col("_n") - latency,
+            "hold_steps": F.coalesce(hit["_n"], end["_n"]),
             "raw_pnl_ticks": made / tick,
             "pnl_ticks": made / tick - cost_ticks,
-            "mfe_ticks": F.array_max(moves) / tick,
-            "mae_ticks": F.array_min(moves) / tick,
+            "mfe_ticks": extent(best),
+            "mae_ticks": extent(worst),
         }
     )
-    return out.drop("_n", "_future", "_path", "_tp", "_sl", "_sign", "_hit")
+    return out.drop("_tp", "_sl", "_sign", "_up", "_down", "_hit", "_end", "_from", "_top", "_bottom")

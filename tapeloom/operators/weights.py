@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
-from tapeloom.operators.labels import LONG_SL, LONG_TP, QUALITY_STRONG, QUALITY_WEAK, REGIME_BARS, SHORT_SL, SHORT_TP, TIMEOUT, lookup, with_future
+from tapeloom.operators.ahead import Extremes, doubles, floats, streamed
+from tapeloom.operators.labels import LONG_SL, LONG_TP, QUALITY_STRONG, QUALITY_WEAK, REGIME_BARS, SHORT_SL, SHORT_TP, TIMEOUT, lookup
 from tapeloom.operators.ordered import beside, exact_quantiles
 
 # Chance that a long pays, by path outcome, for a weak and a strong label.
@@ -71,26 +75,38 @@ def monte_carlo(df: DataFrame, horizon: int, scenarios: int = 50, seed: int = 42
     """Share of disturbed targets, stops and horizons under which the label wins, and its entropy confidence.
 
     ``horizon`` bounds the column effective_horizon. Random numbers come from hashes of (symbol,
-    sequence, scenario, seed), so any partitioning gives the same result, and the scenarios of a
-    row are played inside it, without a shuffle. The hash gives no draw beyond nine deviations, so
-    the frame holds every row a disturbed horizon can reach.
+    sequence, scenario, seed), so any partitioning gives the same result. The extremes of the price
+    over each disturbed horizon are looked up while the rows stream by. The hash gives no draw beyond
+    nine deviations, so the rows held are all that a disturbed horizon can reach.
     """
     reach = int(horizon * (1 + 9 * horizon_std)) + 1
-    rows = with_future(df, [price], reach)
-    rows = rows.withColumn("_moves", F.transform("_future", lambda x: x[price] - F.col(price)))
     thr, label = F.col("label_dynamic_threshold"), F.col("bias_label")
+    numbers = F.sequence(F.lit(0), F.lit(scenarios - 1))
+
+    def draw(s: Column, k: int, std: float) -> Column:
+        return 1 + std * _normal(F.col("symbol"), F.col("sequence"), s, F.lit(seed), F.lit(k))
+
+    def spans(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_spans", F.transform(numbers, lambda s: F.greatest((F.col("effective_horizon") * draw(s, 1, horizon_std)).cast("int"), F.lit(1))))
+
+    def extremes(part: pa.Table, n: int) -> list[pa.Array]:
+        x, begin = floats(part, price), np.repeat(np.arange(1, n + 1), scenarios)
+        wanted = part.column("_spans").slice(0, n).combine_chunks().flatten().to_numpy()
+        found = Extremes(x, x, reach).over(begin, np.minimum(np.minimum(wanted, reach), part.num_rows - begin))
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * scenarios)
+        return [pa.ListArray.from_arrays(offsets, doubles(v - x[begin - 1])) for v in found]
+
+    added = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_top", "_bottom")]
+    rows = streamed(df, reach, added, extremes, prepare=spans, spent=["_spans"])
 
     def play(s):
-        draw = lambda k, std: 1 + std * _normal(F.col("symbol"), F.col("sequence"), s, F.lit(seed), F.lit(k))
-        h = F.greatest((F.col("effective_horizon") * draw(1, horizon_std)).cast("int"), F.lit(1))
-        tp, sl = F.greatest(thr * 1.5 * draw(2, tp_std), F.lit(1e-5)), F.greatest(thr * draw(3, sl_std), F.lit(1e-5))
-        path = F.slice("_moves", F.lit(1), h)
-        up, down = F.array_max(path), F.array_min(path)
+        tp, sl = F.greatest(thr * 1.5 * draw(s, 2, tp_std), F.lit(1e-5)), F.greatest(thr * draw(s, 3, sl_std), F.lit(1e-5))
+        up, down = F.get("_top", s), F.get("_bottom", s)
         win = F.when(label == LONG, up >= tp).when(label == SHORT, down <= -tp)
         lose = F.when(label == LONG, down <= -sl).when(label == SHORT, up >= sl)
         return F.when(win, 1).when(lose, 2).otherwise(0)
 
-    rows = rows.withColumn("_plays", F.transform(F.sequence(F.lit(0), F.lit(scenarios - 1)), play))
+    rows = rows.withColumn("_plays", F.transform(numbers, play))
     share = lambda v: F.size(F.filter("_plays", lambda x: x == v)) / F.lit(float(scenarios))
     out = rows.withColumns({"_w": share(1), "_l": share(2)})
     p = [F.greatest(c, F.lit(1e-10)) for c in (F.col("_w"), F.col("_l"), 1 - F.col("_w") - F.col("_l"))]
@@ -101,7 +117,7 @@ def monte_carlo(df: DataFrame, horizon: int, scenarios: int = 50, seed: int = 42
     out = out.withColumns({"soft_label": F.when(label == NEUTRAL, 0.5).otherwise(F.col("_w")), "label_confidence": 1 - entropy / F.ln(F.lit(3.0))})
     boost = F.when(F.col("signal_quality") == QUALITY_STRONG, 1.30).otherwise(1.0)
     raw = F.greatest(F.col("label_confidence") * F.abs(F.col("soft_label") - 0.5) * 2 * boost, F.lit(0.10))
-    return mean_normalised(out, raw, "soft_sample_weight").drop("_w", "_l", "_n", "_future", "_moves", "_plays")
+    return mean_normalised(out, raw, "soft_sample_weight").drop("_w", "_l", "_top", "_bottom", "_plays")
 
 
 def bar_soft_labels(df: DataFrame) -> DataFrame:

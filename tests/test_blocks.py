@@ -13,6 +13,9 @@ NAMES = [
     "w48_cancel_ratio",
     "p9_isolated_spikes",
     "l1_j11_triple_barrier",
+    "l2_j14_label_grid",
+    "l19_monte_carlo",
+    "e20_trade_paths",
     "t1_j12_purged_walk_forward",
     "e5_auc",
     "r5_page_hinkley",
