@@ -71,34 +71,36 @@ def streamed(
     df: DataFrame,
     h: int,
     added: Sequence[T.StructField],
-    answer: Callable[[pa.Table, int], list[pa.Array]],
+    answer: Callable[[pa.Table, int, int], list[pa.Array]],
     *,
+    before: int = 0,
     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     spent: Sequence[str] = (),
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
-    """Add columns: ``answer(part, n)`` gives them for the first n rows of a part of one key.
+    """Add columns: ``answer(part, a, b)`` gives them for the rows from a to b of a part of one key.
 
-    The part is in order and has the h rows after these n, fewer at the end of the key. ``prepare`` adds
-    columns to the sorted rows, so these are not shuffled; the columns ``spent`` are dropped.
+    The part is in order and has the h rows after these and the ``before`` rows before them, fewer at the
+    ends of the key. ``prepare`` adds columns to the sorted rows, so these are not shuffled; the columns ``spent`` are dropped.
     """
     if fits(df, keys):
         rows, groups, cut = df, list(keys), False
         rows = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
     else:
-        rows, groups, cut = haloed(df, keys, order, after=h), [*keys, "_blk"], True
+        rows, groups, cut = haloed(df, keys, order, before, h), [*keys, "_blk"], True
         rows = rows.repartition(*groups).sortWithinPartitions(*groups, "_rn")
     rows = prepare(rows)
     names = [f.name for f in added]
     schema = T.StructType([f for f in rows.schema.fields if f.name not in (*names, *spent)] + list(added))
     kept = schema.names[: len(schema) - len(names)]
 
-    def decided(part: pa.Table, n: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(c).slice(0, n).combine_chunks() for c in kept] + answer(part, n), schema.names)
+    def decided(part: pa.Table, a: int, b: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(c).slice(a, b - a).combine_chunks() for c in kept] + answer(part, a, b), schema.names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        done = 0  # rows at its head that are answered, kept for those after them
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -106,15 +108,18 @@ def streamed(
             held = pa.concat_tables([held, fresh]) if held is not None else fresh
             starts = key_starts(held, groups)
             for a, b in zip(starts[:-2], starts[1:]):  # keys that have ended
-                yield decided(held.slice(a, b - a), b - a)
-            last = held.slice(starts[-2])
-            ready = last.num_rows - h
-            if ready > h:  # so the index of h rows is made for as many at least
-                yield decided(last, ready)
-                last = last.slice(ready)
-            held = last.combine_chunks()
-        if held is not None:
-            yield decided(held, held.num_rows)
+                if b - a > done:
+                    yield decided(held.slice(a, b - a), done, b - a)
+                done = 0
+            held = held.slice(starts[-2])
+            ready = held.num_rows - h
+            if ready - done > max(h, before):  # so an index of the rows around is made for as many at least
+                yield decided(held, done, ready)
+                spare = max(ready - before, 0)
+                held, done = held.slice(spare), ready - spare
+            held = held.combine_chunks()
+        if held is not None and held.num_rows > done:
+            yield decided(held, done, held.num_rows)
 
     out = rows.mapInArrow(walk, schema)
     return out.filter("_own").drop("_rn", "_blk", "_own") if cut else out
@@ -149,7 +154,7 @@ def first_ahead(
     names = [*races, "_end", *(f"_end_{k}" for k in ends)]
     added = [T.StructField(n, struct) for n in names] + [T.StructField(n, T.DoubleType()) for n in ("_from", "_top", "_bottom") if path]
 
-    def answer(part: pa.Table, n: int) -> list[pa.Array]:
+    def answer(part: pa.Table, _: int, n: int) -> list[pa.Array]:
         x, begin = floats(part, value), np.arange(n) + skip
         reach = np.full(n, h)
         if horizon:

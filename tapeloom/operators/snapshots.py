@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions import book as B
 from tapeloom.functions.market import is_trade, ratio
 from tapeloom.operators.ordered import windowed
+from tapeloom.operators.sliding import sliding
 
 LEVELS = B.LEVELS
 ROLLING = (5, 20, 50, 100)
@@ -92,24 +93,25 @@ def price_change(rows: DataFrame, tick: float) -> DataFrame:
 def rolling(rows: DataFrame, tick: float, frames: tuple[int, ...] = ROLLING) -> DataFrame:
     """Means, volatilities and sums over the last n snapshots; short frames give the default."""
 
-    def stats(df, w):
-        out = {}
-        for n in frames:
-            frame, least = w.rowsBetween(-(n - 1), 0), min(max(2, n // 4), n)
-            full = F.count(F.lit(1)).over(frame) >= least
-            out[f"rolling_return_mean_{n}"] = F.when(full, F.avg("return_1").over(frame)).otherwise(0.0)
-            out[f"realized_vol_{n}"] = F.when(full, F.stddev_pop(F.abs("price_change")).over(frame)).otherwise(F.lit(tick))
-            out[f"rolling_spread_mean_{n}"] = F.coalesce(F.avg("spread").over(frame), F.lit(0.0))
-            out[f"rolling_spread_std_{n}"] = F.coalesce(F.when(F.count("spread").over(frame) >= least, F.stddev_pop("spread").over(frame)), F.lit(0.0))
-            out[f"rolling_obi_mean_{n}"] = F.avg("order_book_imbalance").over(frame)
-            out[f"rolling_depth_imbalance_mean_{n}"] = F.avg("depth_imbalance").over(frame)
-            if "mlofi_sum" in df.columns:
-                out[f"rolling_mlofi_sum_mean_{n}"] = F.avg("mlofi_sum").over(frame)
-            if "mbo_trade_count_since_prev_mbp" in df.columns:
-                out[f"rolling_trade_count_{n}"] = F.sum("mbo_trade_count_since_prev_mbp").over(frame).cast("double")
-        return df.withColumns(out)
-
-    out = windowed(rows, stats, before=max(frames))
+    means = {"rolling_return_mean": "return_1", "rolling_obi_mean": "order_book_imbalance", "rolling_depth_imbalance_mean": "depth_imbalance"}
+    if "mlofi_sum" in rows.columns:
+        means["rolling_mlofi_sum_mean"] = "mlofi_sum"
+    wanted, shown = {}, {}
+    for n in frames:
+        least = min(max(2, n // 4), n)
+        wanted.update({f"_rows_{n}": ("rows", "spread", n), f"_spreads_{n}": ("count", "spread", n), f"realized_vol_{n}": ("std", "_moved", n)})
+        wanted.update({f"rolling_spread_{kind}_{n}": (kind, "spread", n) for kind in ("mean", "std")})
+        wanted.update({f"{name}_{n}": ("mean", c, n) for name, c in means.items()})
+        if "mbo_trade_count_since_prev_mbp" in rows.columns:
+            wanted[f"rolling_trade_count_{n}"] = ("sum", "mbo_trade_count_since_prev_mbp", n)
+        full = F.col(f"_rows_{n}") >= least
+        shown[f"rolling_return_mean_{n}"] = F.when(full, F.col(f"rolling_return_mean_{n}")).otherwise(0.0)
+        shown[f"realized_vol_{n}"] = F.when(full, F.col(f"realized_vol_{n}")).otherwise(F.lit(tick))
+        shown[f"rolling_spread_mean_{n}"] = F.coalesce(f"rolling_spread_mean_{n}", F.lit(0.0))
+        shown[f"rolling_spread_std_{n}"] = F.coalesce(F.when(F.col(f"_spreads_{n}") >= least, F.col(f"rolling_spread_std_{n}")), F.lit(0.0))
+
+    out = sliding(rows.withColumn("_moved", F.abs("price_change")), wanted).withColumns(shown)
+    out = out.drop("_moved", *[c for c in wanted if c.startswith(("_rows_", "_spreads_"))])
     if 50 in frames:
         out = out.withColumn("realized_vol", F.col("realized_vol_50"))
     return out

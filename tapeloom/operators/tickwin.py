@@ -9,6 +9,7 @@ from tapeloom.functions import book as B
 from tapeloom.functions.market import at_least, clip, is_buy, is_sell, is_trade, ratio
 from tapeloom.operators.asof import asof
 from tapeloom.operators.ordered import SALTS, beside, exact_quantiles, fits, matched, numbered, running, spec, windowed
+from tapeloom.operators.sliding import split_extremes
 
 
 def _last(w, n: int):
@@ -168,17 +169,9 @@ def momentum(trades: DataFrame, n: int = 100, swing: int = 200, least: int = 20)
 def liquidity_sweep(rows: DataFrame, n: int = 300, least: int = 50, threshold: float = 0.05) -> DataFrame:
     """How far the newest fifth of the window broke the older range before price came back."""
 
-    def gather(df, w):
-        f = _last(w, n)
-        return df.withColumns({"_p": F.collect_list("price").over(f), "_sd": F.stddev_pop("price").over(f)})
-
-    out = windowed(rows, gather, before=n)
-    count = F.size("_p")
-    cut = F.floor(count * F.lit(0.8)).cast("int")
-    enough = count >= least
-    old = F.when(enough, F.slice("_p", F.lit(1), cut))
-    new = F.when(enough, F.slice("_p", cut + 1, count - cut))
-    out = out.withColumns({"_hi": F.array_max(old), "_lo": F.array_min(old), "_nhi": F.array_max(new), "_nlo": F.array_min(new)})
+    edges = ["_hi", "_lo", "_nhi", "_nlo"]
+    out = split_extremes(rows, "price", n, 0.8, ["_seen", "_sd", *edges])
+    out = out.withColumns({c: F.when(F.col("_seen") >= least, F.col(c)) for c in edges})
     span = F.greatest(F.col("_hi") - F.col("_lo"), F.col("_sd") * 2, F.lit(1e-8))
     up, down = (F.col("_nhi") - F.col("_hi")) / span, (F.col("_lo") - F.col("_nlo")) / span
     value = (
@@ -186,7 +179,7 @@ def liquidity_sweep(rows: DataFrame, n: int = 300, least: int = 50, threshold: f
         .when((down > threshold) & (F.col("price") > F.col("_lo")), -F.least(down * 5, F.lit(1.0)))
         .otherwise(0.0)
     )
-    return out.withColumn("liquidity_sweep", value).drop("_p", "_sd", "_hi", "_lo", "_nhi", "_nlo")
+    return out.withColumn("liquidity_sweep", value).drop("_seen", "_sd", *edges)
 
 
 def snapshot_spoofing(rows: DataFrame, n: int = 50, base: int = 200, least: int = 10, large: float = 1.5) -> DataFrame:

@@ -89,7 +89,7 @@ def monte_carlo(df: DataFrame, horizon: int, scenarios: int = 50, seed: int = 42
     def spans(rows: DataFrame) -> DataFrame:
         return rows.withColumn("_spans", F.transform(numbers, lambda s: F.greatest((F.col("effective_horizon") * draw(s, 1, horizon_std)).cast("int"), F.lit(1))))
 
-    def extremes(part: pa.Table, n: int) -> list[pa.Array]:
+    def extremes(part: pa.Table, _: int, n: int) -> list[pa.Array]:
         x, begin = floats(part, price), np.repeat(np.arange(1, n + 1), scenarios)
         wanted = part.column("_spans").slice(0, n).combine_chunks().flatten().to_numpy()
         found = Extremes(x, x, reach).over(begin, np.minimum(np.minimum(wanted, reach), part.num_rows - begin))

@@ -296,6 +296,7 @@ ROLL_COLS = [f"{n}_{k}" for k in (5, 20) for n in ROLL_NAMES]
 )
 def rolling_features(spark, sf_dir):
     rows = S.price_change(S.with_mlofi(S.top_of_book(V.book(spark, sf_dir))), 0.01)
+    rows = rows.select(*KEY, "price_change", "return_1", "tick_return_1", "spread", "order_book_imbalance", "depth_imbalance", "mlofi_sum")  # no level arrays
     return S.rolling(rows, 0.01, (5, 20)).select(*KEY, "price_change", "return_1", "tick_return_1", *ROLL_COLS)
 
 

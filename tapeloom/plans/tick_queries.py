@@ -128,7 +128,7 @@ SELECT {K}, CASE WHEN n < 5 THEN 0 WHEN up > 0.05 AND price < hi THEN least(up *
     "liquidity_sweep",
 )
 def liquidity_sweep(spark, sf_dir):
-    return W.liquidity_sweep(V.ticks(spark, sf_dir), 12, 5).select(*KEY, "liquidity_sweep")
+    return W.liquidity_sweep(V.ticks(spark, sf_dir).select(*KEY, "price"), 12, 5).select(*KEY, "liquidity_sweep")
 
 
 @query(
