@@ -74,6 +74,7 @@ def streamed(
     answer: Callable[[pa.Table, int, int], list[pa.Array]],
     *,
     before: int = 0,
+    check: bool = True,
     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     spent: Sequence[str] = (),
     keys: Sequence[str] = KEYS,
@@ -82,9 +83,10 @@ def streamed(
     """Add columns: ``answer(part, a, b)`` gives them for the rows from a to b of a part of one key.
 
     The part is in order and has the h rows after these and the ``before`` rows before them, fewer at the
-    ends of the key. ``prepare`` adds columns to the sorted rows, so these are not shuffled; the columns ``spent`` are dropped.
+    ends of the key. ``prepare`` adds columns to the sorted rows, so these are not shuffled; the columns ``spent`` are dropped. ``check=False``
+    is for tables whose groups are bounded by the calendar, such as bars.
     """
-    if fits(df, keys):
+    if not check or fits(df, keys):
         rows, groups, cut = df, list(keys), False
         rows = rows.repartition(*groups).sortWithinPartitions(*groups, *order)
     else:
@@ -137,6 +139,10 @@ def first_ahead(
     ends: Sequence[int] = (),
     skip: int = 0,
     path: bool = False,
+    high: str | None = None,
+    low: str | None = None,
+    also: Sequence[str] = (),
+    check: bool = True,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
@@ -147,10 +153,12 @@ def first_ahead(
     value, the time), null where no row gets there; ``_end`` is the last row within the horizon,
     null without later rows, ``_end_<k>`` for each k of ``ends`` the last one of k rows. ``skip``: rows
     after which the search begins. With ``path`` come ``_from``, the value there, ``_top`` and
-    ``_bottom``, the extremes of the rows looked at. Null values and barriers are never met.
+    ``_bottom``, the extremes of the rows looked at. Columns ``high`` and ``low`` are compared with the
+    barriers instead of the value; columns ``also`` come in the structs. Null values and barriers are never met.
     """
     ends = list(dict.fromkeys(ends))
-    struct = T.StructType([T.StructField("_n", T.IntegerType()), T.StructField(value, df.schema[value].dataType), T.StructField(time, df.schema[time].dataType)])
+    shown = [value, time, *also]
+    struct = T.StructType([T.StructField("_n", T.IntegerType()), *(T.StructField(c, df.schema[c].dataType) for c in shown)])
     names = [*races, "_end", *(f"_end_{k}" for k in ends)]
     added = [T.StructField(n, struct) for n in names] + [T.StructField(n, T.DoubleType()) for n in ("_from", "_top", "_bottom") if path]
 
@@ -162,17 +170,17 @@ def first_ahead(
             reach = np.where(np.isnan(wanted), h, np.clip(np.nan_to_num(wanted), 0, h)).astype(np.int64)
         reach = np.clip(part.num_rows - 1 - begin, 0, reach)
         start = x[np.minimum(begin, part.num_rows - 1)]
-        index = Extremes(x, x, h)
+        index = Extremes(floats(part, high or value), floats(part, low or value), h)
         steps = [index.first(begin + 1, reach, floats(part, up)[:n], floats(part, down)[:n], start if moves else 0.0) for up, down in races.values()]
         steps += [reach, *(np.minimum(reach, k) for k in ends)]
         columns = []
         for some in steps:
             none = some == 0
             at = pa.array(begin + some, mask=none)
-            fields = [pa.array(some.astype(np.int32), mask=none), *(part.column(c).combine_chunks().take(at) for c in (value, time))]
-            columns.append(pa.StructArray.from_arrays(fields, names=["_n", value, time], mask=pa.array(none)))
+            fields = [pa.array(some.astype(np.int32), mask=none), *(part.column(c).combine_chunks().take(at) for c in shown)]
+            columns.append(pa.StructArray.from_arrays(fields, names=["_n", *shown], mask=pa.array(none)))
         if path:
             columns += [doubles(np.where(begin < part.num_rows, start, np.nan)), *map(doubles, index.over(begin + 1, reach))]
         return columns
 
-    return streamed(df, h + skip, added, answer, keys=keys, order=order)
+    return streamed(df, h + skip, added, answer, check=check, keys=keys, order=order)

@@ -387,15 +387,25 @@ def _bar_race(bars: DataFrame, future: Column, tp: Column, sl: Column, allow_lon
     return bars.drop("_tl", "_ll", "_ts", "_ls", "_al", "_as")
 
 
+def _bar_ahead(bars: DataFrame, h: int, races: dict[str, tuple[str, str]]) -> DataFrame:
+    """The first of the next h bars whose high or low meets a barrier, and the last of them."""
+    return first_ahead(bars, h, races, "close", time="bar_ts", high="high", low="low", also=["open", "high", "low"], check=False, order=["bar_ts"])
+
+
 KINDS = {"long_tp": LONG_TP, "short_tp": SHORT_TP, "long_sl": LONG_SL, "short_sl": SHORT_SL}
 
 
 def bar_barriers(bars: DataFrame, h: int = 6, tp: float = 1.5, sl: float = 1.0, min_atr: float = 0.0003) -> DataFrame:
     """ATR barriers on bars; the last h bars of a symbol stay unlabelled (timeout)."""
     atr = F.greatest("atr_14", F.lit(min_atr))
-    out = _bar_future(bars, h).withColumn("_full", F.size("_future") >= h)
-    out = _bar_race(out, F.when(F.col("_full"), F.col("_future")), atr * tp, atr * sl, F.lit(True), F.lit(True))
-    e, end = F.col("_event"), last_of(F.col("_future"))
+    entry = F.col("close")
+    out = bars.withColumns({"_tl": entry + atr * tp, "_ll": entry - atr * sl, "_ts": entry - atr * tp, "_ls": entry + atr * sl})
+    out = _bar_ahead(out.withColumns({"_up": F.least("_tl", "_ls"), "_down": F.greatest("_ll", "_ts")}), h, {"_hit": ("_up", "_down")})
+    end, hit = F.col("_end"), F.col("_hit")
+    long, short = _side(hit, F.col("_tl"), F.col("_ll"), True, "long_tp", "long_sl"), _side(hit, F.col("_ts"), F.col("_ls"), False, "short_tp", "short_sl")
+    out = out.withColumn("_full", F.coalesce(end["_n"] == h, F.lit(False)))
+    out = out.withColumn("_event", F.when(F.col("_full") & hit.isNotNull(), F.struct(F.coalesce(long, short).alias("kind"), hit["bar_ts"].alias("bar_ts"))))
+    e = F.col("_event")
     out = out.withColumn("path_outcome", F.when(e.isNull(), TIMEOUT).otherwise(lookup(KINDS, e["kind"], TIMEOUT)))
     o = F.col("path_outcome")
     return out.withColumns(
@@ -404,7 +414,7 @@ def bar_barriers(bars: DataFrame, h: int = 6, tp: float = 1.5, sl: float = 1.0,
             "label_end_ts": F.coalesce(e["bar_ts"], F.when(F.col("_full"), end["bar_ts"]), F.col("bar_ts")),
             "forward_return": F.when(F.col("_full"), (end["close"] - F.col("close")) / F.greatest("close", F.lit(1e-8))).otherwise(0.0),
         }
-    ).drop("_future", "_n", "_event", "_full")
+    ).drop("_tl", "_ll", "_ts", "_ls", "_up", "_down", "_hit", "_end", "_event", "_full")
 
 
 def outcome_labels(bars: DataFrame, *, min_atr: float = 0.0003, trend_floor: float = 0.70, default_bars: int = 6, weak_to_directional: bool = False, weak_move: float = 0.35) -> DataFrame:
@@ -474,9 +484,11 @@ def simulate_touch(bars: DataFrame, h: int, tp: float, sl: float, atr_floor: flo
     ``coupled`` ends at the first event of either side; ``independent`` races both sides and takes
     the earlier win. Bars without h bars after them are left out.
     """
-    out = _bar_future(bars, h).filter(F.size("_future") >= h)
     atr, entry = F.greatest("atr_14", F.lit(atr_floor)), F.col("close")
-    out = out.withColumns({"_tl": entry + atr * tp, "_ll": entry - atr * sl, "_ts": entry - atr * tp, "_ls": entry + atr * sl})
+    out = bars.withColumns({"_tl": entry + atr * tp, "_ll": entry - atr * sl, "_ts": entry - atr * tp, "_ls": entry + atr * sl})
+    out = out.withColumns({"_up": F.least("_tl", "_ls"), "_down": F.greatest("_ll", "_ts")})
+    races = {"_any": ("_up", "_down")} if race == "coupled" else {"_long": ("_tl", "_ll"), "_short": ("_ls", "_ts")}
+    out = _bar_ahead(out, h, races).filter(F.col("_end._n") == h)
     lt, ls = lambda x: x["high"] >= F.col("_tl"), lambda x: x["low"] <= F.col("_ll")
     st, ss = lambda x: x["low"] <= F.col("_ts"), lambda x: x["high"] >= F.col("_ls")
 
@@ -492,20 +504,20 @@ def simulate_touch(bars: DataFrame, h: int, tp: float, sl: float, atr_floor: flo
         long, short = one_side(lt, ls)(x), one_side(st, ss)(x)
         return F.when(long.isNotNull(), F.when(long == "WIN", "LONG").otherwise("NEUTRAL")).when(short.isNotNull(), F.when(short == "WIN", "SHORT").otherwise("NEUTRAL"))
 
-    def search(fn):
-        return first_where(F.transform("_future", lambda x: F.struct(fn(x).alias("kind"), (x["_n"] - F.col("_n")).alias("bars"))), lambda e: e["kind"].isNotNull())
+    def event(found: Column, fn: Callable[[Column], Column]) -> Column:
+        return F.when(found.isNotNull(), F.struct(fn(found).alias("kind"), found["_n"].alias("bars")))
 
     if race == "coupled":
-        out = out.withColumn("_e", search(both))
+        out = out.withColumn("_e", event(F.col("_any"), both))
         label = F.when(F.col("_e.kind") == "LONG", LONG).when(F.col("_e.kind") == "SHORT", SHORT).otherwise(NEUTRAL)
         out = out.withColumns({"bias_label": label, "hit_bar": F.coalesce("_e.bars", F.lit(h))}).drop("_e")
     else:
-        out = out.withColumns({"_l": search(one_side(lt, ls)), "_s": search(one_side(st, ss))})
+        out = out.withColumns({"_l": event(F.col("_long"), one_side(lt, ls)), "_s": event(F.col("_short"), one_side(st, ss))})
         lw, sw = F.when(F.col("_l.kind") == "WIN", F.col("_l.bars")), F.when(F.col("_s.kind") == "WIN", F.col("_s.bars"))
         label = F.when(lw.isNotNull() & (sw.isNull() | (lw < sw)), LONG).when(sw.isNotNull() & (lw.isNull() | (sw < lw)), SHORT).otherwise(NEUTRAL)
         out = out.withColumns({"bias_label": label, "hit_bar": F.coalesce(F.least(lw, sw), F.lit(h))}).drop("_l", "_s")
     score = clip(1 - (F.col("hit_bar") - 1) / F.lit(float(max(h, 1))), 0.3, 1.0)
-    return out.withColumn("event_score", F.when(F.col("bias_label") == NEUTRAL, 0.0).otherwise(score)).drop("_future", "_n", "_tl", "_ll", "_ts", "_ls")
+    return out.withColumn("event_score", F.when(F.col("bias_label") == NEUTRAL, 0.0).otherwise(score)).drop("_tl", "_ll", "_ts", "_ls", "_up", "_down", "_end", *races)
 
 
 def ratio_soft_labels(df: DataFrame) -> DataFrame:
