@@ -1,8 +1,8 @@
 """Forward labels: which barrier the price meets first, and when the label is known.
 
-The first barrier met is found while a symbol's rows stream by (`ahead.first_ahead`). Searches that
-look at the path itself see the next h rows as one array from a bounded frame. Every label carries
-``label_end_ts``.
+The first barrier met, under one rule or many, is found while a symbol's rows stream by
+(`ahead.first_ahead`). Only outcome labels, whose path ends with its session, see the next 12 bars as an
+array. Every label carries ``label_end_ts``.
 """
 
 from __future__ import annotations
