@@ -57,13 +57,23 @@ def doubles(values: np.ndarray) -> pa.Array:
     return pa.array(values, pa.float64(), mask=np.isnan(values))
 
 
+def key_codes(key: pa.Array) -> Iterator[np.ndarray]:
+    """Numbers that are equal where the key is; several for a struct."""
+    if pa.types.is_struct(key.type):
+        yield key.is_valid().to_numpy(zero_copy_only=False)
+        for field in key.flatten():
+            yield from key_codes(field)
+    else:
+        yield key.dictionary_encode(null_encoding="encode").indices.to_numpy()
+
+
 def key_starts(rows: pa.Table, keys: Sequence[str]) -> list[int]:
     """Places where another key begins, and the end; null and NaN are equal to themselves."""
     new = np.zeros(rows.num_rows, bool)
     new[:1] = True
     for key in keys:
-        codes = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-        new[1:] |= codes[1:] != codes[:-1]
+        for codes in key_codes(rows.column(key).combine_chunks()):
+            new[1:] |= codes[1:] != codes[:-1]
     return [*np.flatnonzero(new).tolist(), rows.num_rows]
 
 

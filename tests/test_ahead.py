@@ -39,6 +39,11 @@ def test_key_starts():
     assert key_starts(rows, ["a"]) == [0, 2, 3, 5, 6] and key_starts(rows, ["a", "b"]) == [0, 1, 2, 3, 5, 6]
 
 
+def test_key_starts_of_structs():
+    key = [None, {"s": 1, "w": "a"}, {"s": 1, "w": "a"}, {"s": 1, "w": None}, {"s": 1, "w": "b"}, {"s": None, "w": None}, None]
+    assert key_starts(pa.table({"k": key}), ["k"]) == [0, 1, 3, 4, 5, 6, 7]
+
+
 def prices(spark, n=260):
     """One symbol with most rows, some with few, one that is null; some prices are null."""
     rng = np.random.default_rng(5)
