@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
 from tapeloom.operators.ahead import first_ahead
-from tapeloom.operators.ordered import KEYS, ORDER, SALTS, beside, exact_quantiles, fits, matched, windowed
+from tapeloom.operators.ordered import KEYS, ORDER, SALTS, beside, exact_quantiles, fits, matched, numbered, spec, windowed
 from tapeloom.operators.orderstat import prefix_quantile
 
 # Outcomes of a path.
@@ -582,23 +582,25 @@ def session_labels(rows: DataFrame, alpha: float = 0.1) -> DataFrame:
     weight follows from its distance to the session's end.
     """
     keys = ["symbol", "trade_date", "session"]
-    from tapeloom.operators.ordered import numbered
-
-    def step(df, w):
-        return df.withColumn("_r", F.abs(F.col("price") - F.lag("price").over(w)))
-
-    out = numbered(windowed(rows, step, before=1, keys=keys), "_i", keys=keys)
-    sizes = out.groupBy(*keys).agg(F.max("_i").alias("_last"), F.min_by("price", "_i").alias("_open"), F.max_by("price", "_i").alias("_close"))
-    out = matched(out, sizes, keys, salts=SALTS)
-    weight = F.pow(F.lit(1 - alpha), (F.col("_last") - F.col("_i")).cast("double")) * F.when(F.col("_i") == 1, 1.0).otherwise(alpha)
-    vol = out.groupBy(*keys).agg(F.greatest(F.sum(F.col("_r") * weight), F.lit(1e-8)).alias("_ema"))
-    vol = matched(vol, sizes, keys)
-    tp, sl = (F.when(F.col("_last") + 1 < 3, 0.001).otherwise(F.coalesce("_ema", F.lit(1e-8)) * m) for m in (1.5, 1.0))
-    vol = vol.withColumns({"_tp": tp, "_sl": sl})
-    hits = matched(out.select(*keys, "_i", "price"), vol.select(*keys, "_open", "_tp", "_sl"), keys, salts=SALTS).filter("_i > 0")
+    rows = rows.select(*dict.fromkeys([*keys, *ORDER, "price"]))
+    step = lambda df, w: df.withColumn("_r", F.abs(F.col("price") - F.lag("price").over(w)))
+    decay = F.pow(F.lit(1 - alpha), (F.col("_last") - F.col("_i")).cast("double")) * F.when(F.col("_i") == 1, 1.0).otherwise(alpha)
+    total = F.sum(F.col("_r") * decay)
+    level = lambda m: F.when(F.col("_last") + 1 < 3, 0.001).otherwise(F.coalesce("_ema", F.lit(1e-8)) * m)
+    ends = {"_last": F.max("_i"), "_open": F.min_by("price", "_i"), "_close": F.max_by("price", "_i")}
+    if fits(rows, keys):  # one shuffle; there are nearly as many sessions as rows, so nothing is sent to all tasks
+        whole = Window.partitionBy(*keys)
+        out = numbered(step(rows, spec(keys, ORDER)), "_i", keys=keys)
+        out = out.withColumns({n: c.over(whole) for n, c in ends.items()}).withColumn("_ema", F.greatest(total.over(whole), F.lit(1e-8)))
+    else:
+        out = numbered(windowed(rows, step, before=1, keys=keys), "_i", keys=keys)
+        out = matched(out, out.groupBy(*keys).agg(*[c.alias(n) for n, c in ends.items()]), keys, salts=SALTS, spread=True)
+        vol = out.groupBy(*keys).agg(F.greatest(total, F.lit(1e-8)).alias("_ema"))
+        out = matched(out, vol, keys, salts=SALTS, spread=True)
+    out = out.withColumns({"_tp": level(1.5), "_sl": level(1.0)})
     up, down = F.col("price") >= F.col("_open") + F.col("_tp"), F.col("price") <= F.col("_open") - F.col("_sl")
-    first = hits.groupBy(*keys).agg(F.min_by(F.when(up, LONG).when(down, SHORT), F.when(up | down, F.col("_i"))).alias("_hit"))
-    vol = matched(vol, first, keys, "left")
+    hit = F.min_by(F.when(up, LONG).when(down, SHORT), F.when((F.col("_i") > 0) & (up | down), F.col("_i")))
+    one = out.groupBy(*keys).agg(hit.alias("_hit"), *[F.max(c).alias(c) for c in ("_last", "_open", "_close", "_tp", "_sl")])
     move = F.col("_close") - F.col("_open")
     label = F.when(F.col("_last") < 1, NEUTRAL).otherwise(F.coalesce("_hit", F.when(move > F.col("_tp") * 0.5, LONG).when(move < -F.col("_sl") * 0.5, SHORT).otherwise(NEUTRAL)))
-    return vol.select(*keys, (F.col("_last") + 1).alias("rows"), F.col("_tp").alias("tp"), F.col("_sl").alias("sl"), label.alias("bias_label"))
+    return one.select(*keys, (F.col("_last") + 1).alias("rows"), F.col("_tp").alias("tp"), F.col("_sl").alias("sl"), label.alias("bias_label"))

@@ -32,11 +32,12 @@ def beside(df: DataFrame, row: DataFrame) -> DataFrame:
     return df.withColumn("_row", packed.scalar()).select("*", "_row.*").drop("_row")
 
 
-def matched(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = 1) -> DataFrame:
+def matched(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "inner", salts: int = 1, spread: bool = False) -> DataFrame:
     """Join where ``on`` is equal, null with null; the left side's columns come first.
 
     ``salts``: for a right side with one small row per key. It is repeated that often, so that the
     rows of a hot key on the left meet it in as many tasks. Which copy a row meets changes nothing.
+    ``spread``: for a right side that grows with the table; it is shuffled, never sent to all tasks.
     """
     on = [on] if isinstance(on, str) else list(on)
     names = {k: f"_on_{i}" for i, k in enumerate(on)}
@@ -46,7 +47,7 @@ def matched(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str
         left = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
         right = right.withColumn("_salts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         same &= F.col("_salt") == F.col("_salts")
-    out = left.join(right, same, how)
+    out = left.join(right.hint("merge") if spread else right, same, how)
     if how == "full":
         out = out.withColumns({k: F.coalesce(F.col(f"`{k}`"), F.col(n)) for k, n in names.items()})
     return out.drop(*names.values(), "_salt", "_salts")
