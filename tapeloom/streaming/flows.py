@@ -14,7 +14,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -117,25 +117,32 @@ def run_machine(stream: DataFrame, machine: Machine, keep: Sequence[str], order:
 
 
 class _Ordered(StatefulProcessor):
-    """Feeds a machine in time order, whatever order rows arrive in.
+    """Feeds each key's machine in time order, whatever order rows arrive in.
 
     Rows wait in list state until the watermark has passed them: no earlier row can come any more.
-    A timer at the earliest waiting row's time gives the turn. Arriving chunks go to the state one by one.
+    A timer at the earliest waiting row's time gives the turn. A call serves all keys of a bucket, and a
+    value of state holds a chunk of rows or of machines, so that the calls do not grow with the keys.
+    Rows are JSON objects made by Spark, in ``inputs``, ``columns`` and ``order``; a waiting one is not parsed.
     """
 
-    def __init__(self, machine: Machine, order: Sequence[str], columns: Sequence[str], times: Sequence[str]):
-        self.machine, self.order, self.columns, self.times = machine, list(order), list(columns), set(times)
+    CHUNK = 10_000  # rows or machines in a value of state
+
+    def __init__(self, machine: Machine, order: Sequence[str], columns: Sequence[str]):
+        self.machine, self.order, self.columns = machine, list(order), list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", T.StructType([T.StructField("json", T.StringType())]))
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField("us", T.LongType()), T.StructField("json", T.StringType())]))
+        text = lambda names: T.StructType([T.StructField(n, T.StringType()) for n in names])
+        self.states = handle.getListState("states", text(["owners", "json"]))
+        self.waiting = handle.getListState("waiting", text(["us", "owners", "rows"]))
 
-    def _plain(self, column: pd.Series) -> list:
-        if column.name in self.times:
-            column = column.astype("datetime64[us]").astype("int64")
-        return [None if v is None or v != v else v for v in column.tolist()]
+    def _chunks(self, rows: list[tuple]) -> list[tuple]:
+        parts = [rows[i : i + self.CHUNK] for i in range(0, len(rows), self.CHUNK)]
+        return [tuple("\n".join(map(str, c)) for c in zip(*part)) for part in parts]
 
+    def _load(self, values) -> Iterator[tuple]:
+        for value in values:
+            yield from zip(*[c.split("\n") for c in value])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -144,49 +151,95 @@ class _Ordered(StatefulProcessor):
                 continue
             us = chunk["event_us"].tolist()
             first = min([*us, *([] if first is None else [first])])
-            values = zip(*[self._plain(chunk[c]) for c in (*self.order, *self.columns, *self.machine.inputs)])
-            self.waiting.appendList([(u, json.dumps(v)) for u, v in zip(us, values)])
+            self.waiting.appendList(self._chunks(list(zip(us, chunk["owner"].tolist(), chunk["row"].tolist()))))
         if first is not None and all(t > first // 1000 + 1 for t in self.handle.listTimers()):
             self.handle.registerTimer(first // 1000 + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        ready, rest = [], []
-        for us, row in self.waiting.get():
-            (ready if us <= passed else rest).append((us, row))
-        self.waiting.put(rest) if rest else self.waiting.clear()
+        ready: dict[str, list] = {}
+        rest, soonest = [], None
+        for us, owner, row in self._load(self.waiting.get()):
+            if int(us) <= passed:
+                ready.setdefault(owner, []).append(row)
+            else:
+                rest.append((us, owner, row))
+                soonest = int(us) if soonest is None else min(soonest, int(us))
+        self.waiting.put(self._chunks(rest)) if rest else self.waiting.clear()
         if rest:
-            self.handle.registerTimer(min(us for us, _ in rest) // 1000 + 1)
-        n, m = len(self.order), len(self.order) + len(self.columns)
-        due = sorted((json.loads(row) for _, row in ready), key=lambda v: v[:n])
-        if due:
-            state = json.loads(self.state.get()[0]) if self.state.exists() else json.loads(json.dumps(self.machine.start))
-            results, state = run(self.machine, state, list(zip(*[v[m:] for v in due])))
-            self.state.update((json.dumps(state),))
-            out = pd.DataFrame([v[n:m] for v in due], columns=self.columns)
-            for c in self.times & set(self.columns):
-                out[c] = pd.to_datetime(out[c], unit="us")
-            for i, name in enumerate(self.machine.outputs):
-                out[name] = pd.Series([r[i] for r in results], index=out.index, dtype="object")
-            yield out
+            self.handle.registerTimer(soonest // 1000 + 1)
+        if not ready:
+            return
+        states = dict(self._load(self.states.get()))
+        begin, kept = json.dumps(self.machine.start), []
+        for owner, lines in ready.items():
+            due = [json.loads(line) for line in lines]
+            for row in due:
+                row["inputs"] = [float(v) if v in ("Infinity", "-Infinity") else v for v in row["inputs"].values()]
+                row["order"] = list(row["order"].values())
+            due.sort(key=lambda row: row["order"])
+            results, state = run(self.machine, json.loads(states.get(owner, begin)), list(zip(*[row["inputs"] for row in due])))
+            states[owner] = json.dumps(state)
+            kept += [[*row["columns"].values(), *result] for row, result in zip(due, results)]
+            if len(kept) >= self.CHUNK:
+                yield self._frame(kept)
+                kept = []
+        self.states.put(self._chunks(list(states.items())))
+        if kept:
+            yield self._frame(kept)
+
+    def _frame(self, rows: list[list]) -> pd.DataFrame:
+        names = [*self.columns, *self.machine.outputs]
+        return pd.DataFrame({n: pd.Series(list(c), dtype="object") for n, c in zip(names, zip(*rows))})
 
     def close(self) -> None:
         pass
 
 
-def run_ordered(stream: DataFrame, machine: Machine, keep: Sequence[str], order: Sequence[str] = ("ts_event", "sequence"), key: str = "symbol", late: str = LATE, closing: Closing | None = None) -> DataFrame:
+EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+
+
+def _coded(field: T.StructField) -> Column:
+    """A value as JSON has it: times in microseconds, no NaN."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.TimestampType):
+        return F.unix_micros(c)
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, `{field.name}`)")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c.cast("double"))
+    return c
+
+
+def _decoded(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.TimestampType):
+        return F.timestamp_micros(c).alias(field.name)
+    if isinstance(field.dataType, T.TimestampNTZType):
+        return F.expr(f"timestampadd(MICROSECOND, `{field.name}`, {EPOCH})").alias(field.name)
+    return c
+
+
+def run_ordered(stream: DataFrame, machine: Machine, keep: Sequence[str], order: Sequence[str] = ("ts_event", "sequence"), key: str = "symbol", late: str = LATE, closing: Closing | None = None, buckets: int = 1024) -> DataFrame:
     """A machine over each key's rows in time order, as long as none is later than ``late``.
 
     Gives the rows that the batch fold gives, however they arrive; a row comes out once the watermark
-    has passed it, the last ones after `Closing`. State: a key's rows of the last ``late``.
+    has passed it, the last ones after `Closing`. State: the rows of the last ``late`` and each key's machine,
+    in ``buckets`` of keys. A task holds one bucket at a time; the number is fixed for the life of a checkpoint.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = watermarked(stream, closing, order[0], late).withColumn("event_us", F.unix_micros(order[0]))
-    times = [f.name for f in stream.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType))]
     types = T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in machine.outputs.items()))
-    schema = T.StructType([stream.schema[c] for c in keep] + types.fields)
-    return rows.groupBy(key).transformWithStateInPandas(_Ordered(machine, order, keep, times), schema, "Append", "EventTime")
+    packed = lambda names: F.struct(*[_coded(stream.schema[c]).alias(c) for c in names])
+    row = F.to_json(F.struct(packed(order).alias("order"), packed(keep).alias("columns"), packed(machine.inputs).alias("inputs")), {"ignoreNullFields": "false"})
+    rows = watermarked(stream, closing, order[0], late).select(
+        F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.unix_micros(order[0]).alias("event_us"), order[0],
+        F.to_json(F.struct(F.col(key))).alias("owner"), row.alias("row"),
+    )
+    had = [stream.schema[c] for c in keep]
+    plain = [T.StructField(f.name, T.LongType()) if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else f for f in had]
+    out = rows.groupBy("bucket").transformWithStateInPandas(_Ordered(machine, order, keep), T.StructType(plain + types.fields), "Append", "EventTime")
+    return out.select(*[_decoded(f) for f in had], *types.names)
 
 
 def deduplicated(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
