@@ -12,6 +12,7 @@ Both ways give the same rows; a null key is a key like others.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -217,15 +218,61 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key as arrays ``{name: column}``.
 
     Small groups use ``percentile``. Above the limit each column is first counted by value and the
-    running count finds the values at the wanted positions.
+    running count finds the values at the wanted positions; without keys only values near these are counted.
     """
+    if not keys:
+        return _whole_quantiles(df, columns, [float(p) for p in probs])
     if fits(df, keys):
         array = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*keys).agg(*[F.percentile(F.col(c).cast("double"), array).alias(name) for name, c in columns.items()])
     parts = [_spread_quantiles(df, name, c, probs, keys) for name, c in columns.items()]
-    if keys:  # a key without any value has its row too
-        return reduce(lambda a, b: matched(a, b, keys, "left"), parts, df.select(*keys).distinct())
-    return reduce(beside, parts)  # one row each
+    return reduce(lambda a, b: matched(a, b, keys, "left"), parts, df.select(*keys).distinct())  # a key without any value has its row too
+
+
+#: Rows up to which one task counts all values of a table, and the sketch's accuracy above that.
+COUNTED_ROWS = 200_000
+ACCURACY = 10_000
+
+
+def _whole_quantiles(df: DataFrame, columns: dict[str, str], probs: list[float]) -> DataFrame:
+    """Quantiles of the whole table, one row.
+
+    Above `COUNTED_ROWS` a sketch of each column gives bounds around every wanted position. The rows below the
+    bounds are counted and the values between them ranked, a few thousandths of all. The sketch only says
+    where to look: a position outside its bounds, which the counts show, is looked up among all values.
+    """
+    names, spark = list(columns), df.sparkSession
+    values = df.select(*[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns.values())])
+    values = frozen(values)  # read three times
+    array = F.array(*[F.lit(p) for p in probs])
+    if values.count() <= min(max_group_rows(spark), COUNTED_ROWS):
+        return values.agg(*[F.percentile(f"_v{i}", array).alias(name) for i, name in enumerate(names)])
+    slack = 3 / ACCURACY
+    around = [[min(max(p + d, 0.0), 1.0) for d in (-slack, slack)] for p in probs]
+    marks = F.array(*[F.lit(m) for pair in around for m in pair])
+    sketch = [F.percentile_approx(f"_v{i}", marks, ACCURACY) for i in range(len(names))]
+    found = values.agg(*[c.alias(f"m{i}") for i, c in enumerate(sketch)], *[F.count(f"_v{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    slots = []  # of each wanted position: column, quantile, bounds, the two ranks around it
+    for i in range(len(names)):
+        for j, p in enumerate(probs if found[f"n{i}"] else []):
+            at = (found[f"n{i}"] - 1) * p
+            slots.append((i, j, *found[f"m{i}"][2 * j : 2 * j + 2], math.floor(at), math.ceil(at), at))
+    answers: dict[int, list] = {i: [None] * len(probs) for i in range(len(names)) if found[f"n{i}"]}
+    if slots:
+        below = values.agg(*[F.count(F.when(F.col(f"_v{i}") < low, 1)).alias(f"b{s}") for s, (i, _, low, *_) in enumerate(slots)]).first()
+        inside = [F.when(F.col(f"_v{i}").between(low, high), F.struct(F.lit(s).alias("slot"), F.col(f"_v{i}").alias("v"))) for s, (i, _, low, high, *_) in enumerate(slots)]
+        ranked = values.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy("x.slot", "x.v").agg(F.count(F.lit(1)).alias("n"))
+        ranked = ranked.withColumn("to", F.sum("n").over(Window.partitionBy("slot").orderBy("v")))
+        rank = lambda k: F.get(F.array(*[F.lit(slot[k] - below[f"b{s}"]) for s, slot in enumerate(slots)]), F.col("slot"))
+        at = lambda k: F.max(F.when((rank(k) < F.col("to")) & (rank(k) >= F.col("to") - F.col("n")), F.col("v")))
+        for slot, low, high in ranked.groupBy("slot").agg(at(4), at(5)).collect():  # a row per wanted position
+            i, j, _, _, lo, hi, exact = slots[slot]
+            if low is not None and high is not None:
+                answers[i][j] = low if low == high or lo == hi else (hi - exact) * low + (exact - lo) * high
+    known = lambda i: F.array(*[F.lit(v) for v in answers[i]]) if i in answers else F.lit(None).cast("array<double>")
+    missed = [i for i in answers if None in answers[i]]
+    out = spark.range(1).select(*[known(i).alias(name) for i, name in enumerate(names) if i not in missed])
+    return reduce(beside, [_spread_quantiles(values, names[i], f"_v{i}", probs, ()) for i in missed], out).select(*names)
 
 
 def _spread_quantiles(df: DataFrame, name: str, column: str, probs: Sequence[float], keys: Sequence[str]) -> DataFrame:

@@ -195,7 +195,7 @@ REGIME_SQL = _regime_sql()
 
 @query("f36_regime_scores", f"{REGIME_SQL} SELECT {K}, vs AS volatile_score, ts AS trend_score, ls AS low_liquidity_score FROM sc", "volatile_score trend_score low_liquidity_score")
 def regime_scores(spark, sf_dir):
-    rows = frozen(regime_rows(spark, sf_dir))
+    rows = frozen(regime_rows(spark, sf_dir).select(*KEY, *G.FEATURES))
     fitted = G.fit(rows)
     return G.scores(rows, fitted.select(*[c for c in fitted.columns if c.startswith("_q_")])).select(*KEY, "volatile_score", "trend_score", "low_liquidity_score")
 
@@ -212,7 +212,7 @@ SELECT {K}, regime::BIGINT AS regime, p[1] / list_sum(p) AS p_trending, p[2] / l
     "p_trending p_ranging p_volatile p_quiet",
 )
 def rule_regimes(spark, sf_dir):
-    rows = frozen(regime_rows(spark, sf_dir))  # the fit reads the features twice, the prediction once more
+    rows = frozen(regime_rows(spark, sf_dir).select(*KEY, *G.FEATURES))  # the fit reads the features twice, the prediction once more
     out = G.predict(rows, frozen(G.fit(rows)))
     return out.select(*KEY, "regime", *[F.get("regime_probs", i).alias(f"p_{n}") for i, n in enumerate(("trending", "ranging", "volatile", "quiet"))])
 

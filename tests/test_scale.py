@@ -122,3 +122,23 @@ def test_quantiles_of_a_table_rank_only_values_near_them(spark, monkeypatch):
     monkeypatch.setattr(F, "percentile_approx", lambda c, marks, _: F.transform(marks, lambda m: F.lit(1e9)))
     missed = ordered.exact_quantiles(rows, columns, probs).first()
     np.testing.assert_allclose(missed["_x"], want["_x"], rtol=1e-12)
+
+
+def test_small_keys_share_calls(spark, monkeypatch):
+    """Rows of many keys are answered at once, and none sees another key's rows."""
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators import ahead
+    from tapeloom.operators.sliding import sliding
+
+    rows = spark.range(900).select((F.col("id") % 300).alias("symbol"), F.col("id").alias("ts_event"), F.col("id").alias("sequence"), F.when(F.col("id") % 5 > 0, (F.col("id") * 37 % 101).cast("double")).alias("x"))
+    calls = ahead.streamed(rows.repartition(1), 0, [ahead.T.StructField("n", ahead.T.LongType())], lambda part, a, b, first, last: [pa.array([b - a] * (b - a))], many=True)
+    assert calls.select(F.max("n")).first()[0] > 3
+    got = sliding(rows, {"m": ("median", "x", 2), "n": ("rows", "x", 2)}).toPandas().sort_values("sequence")
+    for _, g in got.groupby("symbol"):
+        assert g["n"].tolist() == [1, 2, 2]
+        pd.testing.assert_series_equal(g["m"], g["x"].rolling(2, min_periods=1).median(), check_names=False)
+    hits = ahead.first_ahead(rows.withColumns({"up": F.col("x") + 1, "down": F.col("x") - 1}), 5, {"hit": ("up", "down")}, "x").toPandas()
+    assert hits.groupby("symbol")["_end"].apply(lambda s: s.isna().sum()).tolist() == [1] * 300
