@@ -87,11 +87,15 @@ def streamed(
     check: bool = True,
     prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     spent: Sequence[str] = (),
+    many: bool = False,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """Add columns: ``answer(part, a, b)`` gives them for the rows from a to b of a part of one key.
 
+    ``many``: the part may hold several keys, so that small ones share the work of a call. Then it is
+    ``answer(part, a, b, first, last)``, with the places where each row's key begins and ends.
+
     The part is in order and has the h rows after these and the ``before`` rows before them, fewer at the
     ends of the key. ``prepare`` adds columns to the sorted rows, so these are not shuffled; the columns ``spent`` are dropped. ``check=False``
     is for tables whose groups are bounded by the calendar, such as bars.
@@ -107,8 +111,10 @@ def streamed(
     schema = T.StructType([f for f in rows.schema.fields if f.name not in (*names, *spent)] + list(added))
     kept = schema.names[: len(schema) - len(names)]
 
-    def decided(part: pa.Table, a: int, b: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(c).slice(a, b - a).combine_chunks() for c in kept] + answer(part, a, b), schema.names)
+    def decided(part: pa.Table, a: int, b: int, starts: Sequence[int] = ()) -> pa.RecordBatch:
+        bounds = np.array(starts or [0, part.num_rows])
+        spans = [np.repeat(v, np.diff(bounds))[a:b] for v in (bounds[:-1], bounds[1:])] if many else []
+        return pa.RecordBatch.from_arrays([part.column(c).slice(a, b - a).combine_chunks() for c in kept] + answer(part, a, b, *spans), schema.names)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -119,7 +125,10 @@ def streamed(
             fresh = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, fresh]) if held is not None else fresh
             starts = key_starts(held, groups)
-            for a, b in zip(starts[:-2], starts[1:]):  # keys that have ended
+            if many and starts[-2] > done:
+                yield decided(held.slice(0, starts[-2]), done, starts[-2], starts[:-1])
+            done = 0 if many and starts[-2] else done
+            for a, b in zip(starts[:-2], starts[1:]) if not many else ():  # keys that have ended
                 if b - a > done:
                     yield decided(held.slice(a, b - a), done, b - a)
                 done = 0
@@ -172,13 +181,13 @@ def first_ahead(
     names = [*races, "_end", *(f"_end_{k}" for k in ends)]
     added = [T.StructField(n, struct) for n in names] + [T.StructField(n, T.DoubleType()) for n in ("_from", "_top", "_bottom") if path]
 
-    def answer(part: pa.Table, _: int, n: int) -> list[pa.Array]:
+    def answer(part: pa.Table, _: int, n: int, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
         x, begin = floats(part, value), np.arange(n) + skip
         reach = np.full(n, h)
         if horizon:
             wanted = floats(part, horizon)[:n]
             reach = np.where(np.isnan(wanted), h, np.clip(np.nan_to_num(wanted), 0, h)).astype(np.int64)
-        reach = np.clip(part.num_rows - 1 - begin, 0, reach)
+        reach = np.clip(last - 1 - begin, 0, reach)
         start = x[np.minimum(begin, part.num_rows - 1)]
         index = Extremes(floats(part, high or value), floats(part, low or value), h)
         steps = [index.first(begin + 1, reach, floats(part, up)[:n], floats(part, down)[:n], start if moves else 0.0) for up, down in races.values()]
@@ -190,7 +199,7 @@ def first_ahead(
             fields = [pa.array(some.astype(np.int32), mask=none), *(part.column(c).combine_chunks().take(at) for c in shown)]
             columns.append(pa.StructArray.from_arrays(fields, names=["_n", *shown], mask=pa.array(none)))
         if path:
-            columns += [doubles(np.where(begin < part.num_rows, start, np.nan)), *map(doubles, index.over(begin + 1, reach))]
+            columns += [doubles(np.where(begin < last, start, np.nan)), *map(doubles, index.over(begin + 1, reach))]
         return columns
 
-    return streamed(df, h + skip, added, answer, check=check, keys=keys, order=order)
+    return streamed(df, h + skip, added, answer, check=check, many=True, keys=keys, order=order)

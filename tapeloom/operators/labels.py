@@ -20,6 +20,8 @@ from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
 from tapeloom.operators.ahead import first_ahead
 from tapeloom.operators.ordered import KEYS, ORDER, SALTS, beside, exact_quantiles, fits, matched, numbered, spec, windowed
 from tapeloom.operators.orderstat import prefix_quantile
+from tapeloom.operators.sliding import sliding
+from tapeloom.runtime import frozen
 
 # Outcomes of a path.
 LONG_TP, SHORT_TP, LONG_SL, SHORT_SL, TIMEOUT, WEAK_LONG, WEAK_SHORT = range(7)
@@ -82,12 +84,9 @@ def fill_volatility(df: DataFrame, tick: float, price: str = "mid_price", vol: s
     def step(rows, w):
         return rows.withColumn("_step", F.abs(F.col(price) - F.lag(price).over(w)))
 
-    def fill(rows, w):
-        f = w.rowsBetween(-49, 0)
-        return rows.withColumn("_usual", F.when(F.count("_step").over(f) >= 5, F.percentile("_step", 0.5).over(f)))
-
-    out = windowed(windowed(df, step, before=1), fill, before=50)
-    return out.withColumn(vol, F.greatest(F.coalesce(vol, "_usual", F.lit(tick)), F.lit(tick))).drop("_step", "_usual")
+    out = sliding(windowed(df, step, before=1), {"_known": ("count", "_step", 50), "_median": ("median", "_step", 50)})
+    usual = F.when(F.col("_known") >= 5, F.col("_median"))
+    return out.withColumn(vol, F.greatest(F.coalesce(F.col(vol), usual, F.lit(tick)), F.lit(tick))).drop("_step", "_known", "_median")
 
 
 def barrier_parts(df: DataFrame, rule: BarrierRule, price: str = "mid_price", vol: str = "realized_vol") -> DataFrame:
@@ -185,6 +184,7 @@ def label_grid(df: DataFrame, horizons: Sequence[int], tps: Sequence[float], sls
 def rule_summary(df: DataFrame, rule: BarrierRule, name: str, price: str = "mid_price") -> DataFrame:
     """One row: label counts, clamp shares and distance percentiles in ticks under a rule."""
     rows = triple_barrier(df, rule, price).withColumns({"_u": F.col("upper_distance") / rule.tick, "_l": F.col("lower_distance") / rule.tick})
+    rows = frozen(rows.select("bias_label", "tp_clamped", "sl_clamped", "neutral_clamped", "tradeability_label", "_u", "_l"))  # read by counts and quantiles
     one = lambda c: F.sum(F.when(c, 1).otherwise(0))
     stats = rows.agg(
         *[one(F.col("bias_label") == v).alias(n) for n, v in (("long_count", LONG), ("short_count", SHORT), ("neutral_count", NEUTRAL))],

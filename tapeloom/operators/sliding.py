@@ -53,16 +53,32 @@ class Moments:
         return out
 
 
+def medians(x: np.ndarray, a: int, length: np.ndarray, n: int) -> np.ndarray:
+    """Medians of the last ``length`` values, n at most, at the places from a on; NaN is passed over."""
+    out = np.full(len(length), np.nan)
+    padded = np.concatenate((np.full(n - 1, np.nan), x))
+    for low in range(0, len(length), 4096):
+        size = length[low : low + 4096]
+        frames = np.lib.stride_tricks.sliding_window_view(padded[a + low : a + low + len(size) + n - 1], n)
+        frames = np.sort(np.where(np.arange(n) < n - size[:, None], np.nan, frames), axis=1)  # NaN comes last
+        count = n - np.isnan(frames).sum(axis=1)
+        some = np.flatnonzero(count)
+        at = (count[some] - 1) / 2
+        below, above = frames[some, np.floor(at).astype(int)], frames[some, np.ceil(at).astype(int)]
+        out[low + some] = np.where(below == above, below, 0.5 * below + 0.5 * above)
+    return out
+
+
 def sliding(df: DataFrame, frames: dict[str, tuple[str, str, int]], *, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
     """Add columns, each (kind, column, n) over the row and the n - 1 rows before it of its key.
 
-    Kinds: rows (of any value), count, sum, mean, std (of the population), max, min; all doubles. Null and NaN
-    values take no part; without other ones counts are 0 and the rest is null.
+    Kinds: rows (of any value), count, sum, mean, std (of the population), median, max, min; all doubles. Null
+    and NaN values take no part; without other ones counts are 0 and the rest is null.
     """
     before = max(n for _, _, n in frames.values()) - 1
     columns = sorted({c for kind, c, _ in frames.values() if kind != "rows"})
 
-    def answer(part: pa.Table, a: int, b: int) -> list[pa.Array]:
+    def answer(part: pa.Table, a: int, b: int, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
         at = np.arange(a, b)
         moments: dict[str, Moments] = {}
         extremes: dict[str, Extremes] = {}
@@ -71,10 +87,12 @@ def sliding(df: DataFrame, frames: dict[str, tuple[str, str, int]], *, keys: Seq
         values = {c: floats(part, c) for c in columns}
         out = []
         for kind, column, n in frames.values():
-            length = np.minimum(at + 1, n)
+            length = np.minimum(at + 1 - first, n)
             begin, this = at + 1 - length, (column, n)
             if kind == "rows":
                 out.append(doubles(length.astype(np.float64)))
+            elif kind == "median":
+                out.append(doubles(medians(values[column], a, length, n)))
             elif kind in ("max", "min"):
                 if column not in extremes:
                     extremes[column] = Extremes(values[column], values[column], before + 1)
@@ -91,7 +109,7 @@ def sliding(df: DataFrame, frames: dict[str, tuple[str, str, int]], *, keys: Seq
                 out.append(doubles({"count": count, "sum": mean * some, "mean": mean + 0 * some, "std": np.sqrt(squares / some)}[kind]))
         return out
 
-    return streamed(df, 0, [T.StructField(n, T.DoubleType()) for n in frames], answer, before=before, keys=keys, order=order)
+    return streamed(df, 0, [T.StructField(n, T.DoubleType()) for n in frames], answer, before=before, many=True, keys=keys, order=order)
 
 
 def split_extremes(df: DataFrame, column: str, n: int, share: float, names: Sequence[str], *, keys: Sequence[str] = KEYS, order: Sequence[str] = ORDER) -> DataFrame:
