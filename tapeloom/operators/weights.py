@@ -12,6 +12,7 @@ from tapeloom.functions.market import LONG, NEUTRAL, SHORT, clip
 from tapeloom.operators.ahead import Extremes, doubles, floats, streamed
 from tapeloom.operators.labels import LONG_SL, LONG_TP, QUALITY_STRONG, QUALITY_WEAK, REGIME_BARS, SHORT_SL, SHORT_TP, TIMEOUT, lookup
 from tapeloom.operators.ordered import beside, exact_quantiles
+from tapeloom.runtime import frozen
 
 # Chance that a long pays, by path outcome, for a weak and a strong label.
 SOFT_LONG = {LONG_TP: (0.78, 0.90), LONG_SL: (0.10, 0.08), SHORT_TP: (0.10, 0.10), SHORT_SL: (0.68, 0.72)}
@@ -165,7 +166,7 @@ def wall_confidence(strength: Column, scale: float = 3.0, low: float = 0.40, hig
 
 def structural_weights(df: DataFrame, tp: float = 1.5, sl: float = 1.0, low: float = 0.10, high: float = 3.50) -> DataFrame:
     """Weight from ruin probability, horizon, walls and quality, over its mean and clipped."""
-    df = threshold_fallback(df)
+    df = threshold_fallback(frozen(df))  # two quantiles and a mean read the rows
     thr = F.col("label_dynamic_threshold")
     p = F.when(F.col("bias_label") == NEUTRAL, 0.5).otherwise(ruin_probability(thr * tp, thr * sl))
     h = F.greatest(F.col("effective_horizon").cast("double"), F.lit(1.0))
