@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import asof, clean, labels, snapshots, splits
 from tapeloom.operators.evaluate import label_distribution
 from tapeloom.operators.ordered import beside, sized
+from tapeloom.runtime import frozen
 from tapeloom.sources import tables
 
 KEYS = ["symbol", "ts_event", "sequence"]
@@ -129,6 +130,7 @@ def prepare(ticks: DataFrame, book: DataFrame, rule: labels.BarrierRule, root: s
     weights = {"soft_sample_weight": F.lit(1.0), "mc_sample_weight": F.lit(1.0)}
     names = feature_names(rows)
     extra = ["mbo_state_ts"]
+    rows = frozen(rows.select(*dict.fromkeys([*KEYS, *names, *LABELS, *extra])))  # written as three tables
     tables.write_artifact(root, rows.select(*KEYS, *names), rows.select(*KEYS, *LABELS).withColumns(weights), rows.select(*KEYS, *extra), {"schema_version": "1"})
     done = tables.load_artifact(spark, root)
     tables.write_report(feature_report(done, names), f"{root}/feature_report")
