@@ -142,3 +142,28 @@ def test_small_keys_share_calls(spark, monkeypatch):
         pd.testing.assert_series_equal(g["m"], g["x"].rolling(2, min_periods=1).median(), check_names=False)
     hits = ahead.first_ahead(rows.withColumns({"up": F.col("x") + 1, "down": F.col("x") - 1}), 5, {"hit": ("up", "down")}, "x").toPandas()
     assert hits.groupby("symbol")["_end"].apply(lambda s: s.isna().sum()).tolist() == [1] * 300
+
+
+def test_weights_read_their_rows_once(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators.weights import structural_weights
+
+    one = lambda v: F.lit(v).cast("double")
+    rows = spark.range(40).withColumn("label_dynamic_threshold", F.avg("id").over(Window.partitionBy(F.col("id") % 3).orderBy("id"))).withColumns(
+        {"bias_label": F.lit(0), "effective_horizon": F.lit(10), "bid_wall_strength": one(1), "ask_wall_strength": one(2), "signal_quality": F.lit(1)}
+    )
+    assert "Window" not in plan_of(structural_weights(rows))
+
+
+def test_models_share_one_split(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tapeloom.operators import learn
+
+    seen, real = [], learn.frozen
+    monkeypatch.setattr(learn, "frozen", lambda df: seen.append(df.columns) or real(df))
+    rows = spark.range(120).select(F.lit(1).alias("symbol"), F.col("id").alias("sequence"), F.lit(1).alias("fold"), F.when(F.col("id") < 80, "train").otherwise("test").alias("role"), (F.col("id") % 2).alias("bias_label"), (F.col("id") * 7 % 11).cast("double").alias("x"))
+    assert learn.sanity(rows, {"x": ["x"]}).first()["rows"] == 40
+    assert seen[0] == ["symbol", "sequence", "fold", "role", "bias_label", "x"] and ["bias_label", "prob_long"] in seen
