@@ -14,9 +14,11 @@ text's probability is a sum over its word groups: a word gives its base and, as
 it leaves to the root; a longer group gives what it gains over backing off and, as a context, the
 weight it leaves to its parent. So a text is scored by joining the groups it holds with their values.
 Two things of fixed size spare work and change no result: values of groups with a share of 1 / `HEAVY`
-of all tokens are broadcast, and a bitmap of `BITS` bits rules out groups that have no value.
+of all tokens are broadcast, and a bitmap of `BITS` bits rules out groups that have no value. Tables
+between two steps and the shuffles of a step are deleted once the next table is written, and the groups
+that a text is joined by are not stored: texts are walked once for them and once for the rest.
 
-Words and groups are told apart by 63-bit hashes. Null and empty texts consist of the end alone. Without
+Words, groups and texts are told apart by hashes. Null and empty texts consist of the end alone. Without
 training tokens every token has probability 1 / (V + 1) = 1. Rows are kept one to one, whatever their ids.
 """
 
@@ -33,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeloom.llm.common import byte_texts, lists, slices, written
+from tapeloom.llm.common import brief_shuffles, byte_texts, discard, slices, written
 
-HEAVY = 1 << 18
+HEAVY = 1 << 19
 LEAST_CONTEXT = 1e-4
 DIVERGENCE = 20.0
 DISCOUNT = 0.5
@@ -236,6 +238,11 @@ def fit(docs: DataFrame, depth: int = 2, heavy: int | None = None) -> tuple[Mode
     Its columns: key, of longer groups its complement; n, the count of a word, 0 for longer groups; value, log10 of what is added to the base.
     ``heavy`` prunes the tree.
     """
+    with brief_shuffles(docs.sparkSession):
+        return _fit(docs, depth, heavy)
+
+
+def _fit(docs: DataFrame, depth: int, heavy: int | None) -> tuple[Model, DataFrame]:
     rows = docs.select("text")
     counts = written(rows.mapInArrow(_unigrams, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "unigrams")
     of = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).first()
@@ -247,13 +254,14 @@ def fit(docs: DataFrame, depth: int = 2, heavy: int | None = None) -> tuple[Mode
     # groups of one size: key, count, probability of the last word after the others, log10 of its gain over backing off
     groups = counts.select(F.col("word").alias("key"), "n", ((F.col("n") + 1.0) / (total + kinds + 1.0)).alias("p"), none.alias("gained"))
     rest: list[np.ndarray] = []
-    tables = []
+    tables, past = [], [counts]
     for level in range(1, (depth if total else 0) + 1):
         bits = spread(_bitmap(groups.where(F.col("n") >= least).select("key")))
         found = rows.mapInArrow(_groups(bits, level), "older long, newer long, n long").groupBy("older", "newer").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         parent = groups.select(F.col("key").alias("newer"), F.col("p").alias("before"))
         context = groups.where(F.col("n") >= least_context).select(F.col("key").alias("older"), F.col("n").alias("occurs"))
         found = written(found.join(parent, "newer").join(context, "older"), "successors")
+        bits.destroy()
         left = F.greatest(F.col("occurs") - F.col("seen"), F.lit(0)).cast("double")
         gain = F.col("gain") + left * F.log(F.greatest(left, F.lit(1e-12)) / F.col("occurs") / F.greatest(F.lit(1e-12), 1 - F.col("before")))
         sums = found.groupBy("older").agg(
@@ -270,12 +278,19 @@ def fit(docs: DataFrame, depth: int = 2, heavy: int | None = None) -> tuple[Mode
         back = F.coalesce("rest", F.lit(1.0)) * F.col("before")
         p = F.when(F.col("rest").isNull(), F.col("before")).otherwise((F.col("n") - DISCOUNT) / F.col("occurs") + back)
         made = found.join(states.select("older", "rest"), "older", "left").select(_key(F.col("older"), F.col("newer"), level).alias("key"), "n", p.alias("p"), F.log10(p / back).alias("gained"))
-        groups = written(made, "groups") if level < depth else made
+        past += [states]
+        if level < depth:
+            groups = written(made, "groups")
+            discard(found)
+            past += [groups]
+        else:
+            groups, past = made, [*past, found]
     tables.append(groups.select("key", F.when(F.lit(not tables), F.col("n")).otherwise(0).alias("n"), F.col("n").alias("times"), F.col("gained").alias("value")))
     valued = tables[0]
     for more in tables[1:]:
         valued = valued.unionByName(more.where("value != 0").withColumn("key", F.bitwise_not("key")))  # no word has such a key
     valued = written(valued, "values")
+    discard(*past)
     top = _columns(valued.where(F.col("times") >= often).drop("times"))
     bitmap = _bitmap(valued.where("key < 0").select(F.bitwise_not("key").alias("key")))
     return Model(total, kinds, depth, np.maximum(top["key"], ~top["key"]), top["n"], top["value"], rest, bitmap), valued.drop("times")
@@ -289,23 +304,21 @@ def score(docs: DataFrame, model: Model, groups: DataFrame, keep: list[str]) ->
     new = ["n_tokens", "n_known", "base_score", "score"]
     fields = [f for f in docs.schema.fields if f.name in keep and f.name not in new]
     kept = [f.name for f in fields]
-    schema = T.StructType(
-        [T.StructField("_row", T.LongType()), *fields]
-        + [T.StructField(n, T.LongType()) for n in new[:2]]
-        + [T.StructField(n, T.DoubleType()) for n in new[2:]]
-        + [T.StructField("_rare", T.ArrayType(T.LongType(), False)), T.StructField("_times", T.ArrayType(T.IntegerType(), False))]
-    )
+    schema = T.StructType([T.StructField("_row", T.LongType()), *fields] + [T.StructField(n, T.LongType()) for n in new[:2]] + [T.StructField(n, T.DoubleType()) for n in new[2:]])
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walked(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[tuple]:
+        """Slices of texts: rows, sizes, what is known of each token, and (place, key) of the groups to be joined. first: equal texts once a slice."""
         m: Model = spread.value
         hashes, place = Hashes(), Lookup(m.keys, np.arange(len(m.keys), dtype=np.int64), -1)
         bases = np.append(np.where(m.counts > 0, np.log10(m.unigram(m.counts)), 0.0), 0.0)  # the last one is for what is joined
         values, known = np.append(m.values, 0.0), np.append(m.counts > 0, False)
         for batch in batches:
             for part in slices(batch, "text", STEP):
+                if first:
+                    part = part.take(pa.array(np.unique(part.column("_row").to_numpy(), return_index=True)[1]))
                 tokens, sizes = _tokens(byte_texts(part.column("text")), hashes)
-                starts, places = np.cumsum(sizes) - sizes, _places(sizes)
+                places = _places(sizes)
                 own, joined = np.zeros(len(tokens)), []
                 for level, keys in enumerate(_keys(tokens, m.depth)):
                     at = np.flatnonzero((places >= level) & _held(m.bitmap, keys)) if level else np.arange(len(tokens))
@@ -315,19 +328,35 @@ def score(docs: DataFrame, model: Model, groups: DataFrame, keep: list[str]) ->
                         base, seen = bases[found], known[found]
                     rest = at[found < 0]
                     joined.append((rest, ~keys[rest] if level else keys[rest]))
-                order = np.argsort(np.concatenate([at for at, _ in joined]), kind="stable")
-                ends = np.searchsorted(np.concatenate([at for at, _ in joined])[order], starts[1:])
-                rare = [np.unique(x, return_counts=True) for x in np.split(np.concatenate([k for _, k in joined])[order], ends)]
-                made = [pa.array(sizes), pa.array(np.add.reduceat(seen.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(base + own, starts))]
-                made += [lists((r[0] for r in rare), pa.int64()), lists((r[1].astype(np.int32) for r in rare), pa.int32())]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in ["_row", *kept]] + made, schema.names)
-
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", *dict.fromkeys([*kept, "text"]))
-    partial = written(numbered.mapInArrow(run, schema), "scores")
-    pairs = partial.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("x")).select("_row", F.col("x._rare").alias("key"), F.col("x._times").alias("times"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    base = F.when(F.col("key") >= 0, F.log10((n + 1.0) / (model.total + model.kinds + 1.0)) * F.col("times")).otherwise(F.lit(0.0))
-    rare = pairs.join(groups, "key", "left").groupBy("_row").agg(F.sum(base).alias("_base"), F.sum(F.coalesce("value", F.lit(0.0)) * F.col("times")).alias("_own"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("_seen"))
-    extra: dict[str, Column] = {"_base": F.coalesce("_base", F.lit(0.0)), "_own": F.coalesce("_own", F.lit(0.0)), "_seen": F.coalesce("_seen", F.lit(0))}
-    out = partial.drop("_rare", "_times").join(rare, "_row", "left").withColumns(extra)
+                yield part, sizes, seen, base, own, joined
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sizes, seen, base, own, _ in walked(batches, False):
+            starts = np.cumsum(sizes) - sizes
+            made = [pa.array(sizes), pa.array(np.add.reduceat(seen.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(base + own, starts))]
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in ["_row", *kept]] + made, schema.names)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The groups to be joined: text, key, how often. One with no occurrence, whose key is the text's, stands for the text."""
+        for part, sizes, *_, joined in walked(batches, True):
+            rows = part.column("_row").to_numpy()
+            text, key = np.repeat(np.arange(len(sizes)), sizes)[np.concatenate([at for at, _ in joined])], np.concatenate([k for _, k in joined])
+            order = np.lexsort((key, text))
+            text, key = text[order], key[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (text[1:] != text[:-1]) | (key[1:] != key[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(key)))
+            columns = np.append(rows, rows[text[at]]), np.append(rows & LOW, key[at]), np.append(np.zeros(len(rows), np.int32), times.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_row", "key", "times"])
+
+    texts = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    asked = texts.select("_row", "text").mapInArrow(pairs, "_row long, key long, times int")
+    n, times = F.coalesce(F.col("n"), F.lit(0)), F.col("times")
+    base = F.when(F.col("key") >= 0, F.log10((n + 1.0) / (model.total + model.kinds + 1.0)) * times).otherwise(F.lit(0.0))
+    copies = F.sum(F.when(times == 0, 1).otherwise(0))  # equal texts in other slices; all have the same sums
+    rare = asked.join(groups, "key", "left").groupBy("_row").agg(
+        (F.sum(base) / copies).alias("_base"), (F.sum(F.coalesce("value", F.lit(0.0)) * times) / copies).alias("_own"), (F.sum(F.when(n > 0, times).otherwise(0)) / copies).cast("long").alias("_seen")
+    )
+    out = texts.select("_row", *dict.fromkeys([*kept, "text"])).mapInArrow(sums, schema).join(rare, "_row", "left")
     return out.select(*kept, "n_tokens", (F.col("n_known") + F.col("_seen")).alias("n_known"), (F.col("base_score") + F.col("_base")).alias("base_score"), (F.col("score") + F.col("_base") + F.col("_own")).alias("score"))

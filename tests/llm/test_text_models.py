@@ -1,9 +1,11 @@
 """Benchmark decontamination, the suffix-tree model, preference formatting and the pipeline."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter
+from urllib.parse import urlparse
 
 import cases
 import numpy as np
@@ -14,6 +16,7 @@ import corpus_pipeline
 from tapeloom.llm import decontaminate as dc
 from tapeloom.llm import preference, suffix_lm
 from tapeloom.llm.queries import ORACLES, QUERIES
+from tapeloom.runtime import shared_dir
 
 # -- decontamination ---------------------------------------------------------------------------
 
@@ -178,6 +181,23 @@ def test_tree_does_not_shrink_as_its_corpus_grows(spark, monkeypatch, often):
         assert math.isclose(row["score"], sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)), rel_tol=1e-9), row["text"]
 
 
+def test_tree_leaves_no_table_but_its_values(spark):
+    folder = urlparse(shared_dir(spark)).path
+    texts = ["the cat sat on the mat"] * 30 + ["a dog ran to the old house", None, ""] * 10
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    before = set(os.listdir(folder))
+    model, groups = suffix_lm.fit(frame)
+    got = suffix_lm.score(frame.repartition(7), model, groups, ["doc_id", "text"]).collect()
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["values"]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == spark.newSession().conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    count, total, kinds, p, _ = plain_model(texts, 1 << 40)
+    assert sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for row in got:  # equal texts lie in many partitions
+        seq = tokens(row["text"])
+        assert row["n_known"] == len(seq) == row["n_tokens"]
+        assert math.isclose(row["base_score"], sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in seq), rel_tol=1e-9)
+
+
 def test_distributions_sum_to_one(spark):
     texts = ["a b a b a c"] * 40 + ["b a c c"] * 30
     count, total, kinds, p, _ = plain_model(texts, suffix_lm.HEAVY)
