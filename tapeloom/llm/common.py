@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -72,6 +73,13 @@ def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * rows / n))
 
 
+def give_back() -> None:
+    """Return freed memory to the system; else a task's process keeps the most that it ever held while the JVM grows."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most ``most`` bytes of text, or one row."""
     lengths = batch.column(column)
@@ -84,6 +92,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         total += size + 64
     if start < batch.num_rows:
         yield batch.slice(start)
+    give_back()
 
 
 def byte_texts(array: pa.Array) -> list[bytes]:

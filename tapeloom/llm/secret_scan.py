@@ -29,6 +29,8 @@ from tapeloom.llm.native import let, sums_before
 Clause = frozenset[str]
 #: Most strings that a part of an expression is spelled out to.
 SPELLED = 128
+#: Most trigrams of a clause that postings are asked for: bits of a long.
+ASKED = 62
 
 
 @dataclass(frozen=True)
@@ -136,12 +138,13 @@ def candidates(index: DataFrame, queries: dict[str, list[Clause]], key: str) ->
     """Intersect postings: (key, kinds), the kinds of which a text meets a clause."""
     numbered = [(n, kind, clause) for n, (kind, clause) in enumerate((k, c) for k, cs in queries.items() for c in cs)]
     spark = index.sparkSession
-    asked = spark.createDataFrame([(t, n) for n, _, clause in numbered for t in sorted(clause)], "trigram string, clause int")
-    met = F.create_map(*[F.lit(x) for n, _, clause in numbered for x in (n, len(clause))])
+    # a bit for each trigram of a clause, beyond `ASKED` of them the rest is left to the verification
+    asked = spark.createDataFrame([(t, n, 1 << i) for n, _, clause in numbered for i, t in enumerate(sorted(clause)[:ASKED])], "trigram string, clause int, bit long")
+    met = F.create_map(*[F.lit(x) for n, _, clause in numbered for x in (n, (1 << min(len(clause), ASKED)) - 1)]).cast("map<int,bigint>")
     kind = F.create_map(*[F.lit(x) for n, k, _ in numbered for x in (n, k)])
     both = index.join(F.broadcast(asked), "trigram")  # a row for each trigram of a rule
-    whole = both.groupBy(key, "clause").agg(F.collect_set("trigram").alias("seen"))
-    return whole.where(F.size("seen") == met[F.col("clause")]).groupBy(key).agg(F.collect_set(kind[F.col("clause")]).alias("kinds"))
+    whole = both.groupBy(key, "clause").agg(F.bit_or("bit").alias("seen"))
+    return whole.where(F.col("seen") == met[F.col("clause")]).groupBy(key).agg(F.collect_set(kind[F.col("clause")]).alias("kinds"))
 
 
 def spans_of(text: Column, rule: Rule, order: int) -> Column:

@@ -3,6 +3,7 @@ import random
 import re
 
 import cases
+from pyspark.sql import functions as F
 
 from tapeloom.llm import secret_scan as ss
 from tapeloom.llm.native import sums_before
@@ -101,3 +102,31 @@ def test_query(spark, sf):
     assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got) > 0
     plan = QUERIES["op4_secret_scan"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_long_clauses_and_their_postings(spark):
+    word = "".join(chr(97 + i * 7 % 26) + str(i % 10) for i in range(60))
+    rule = ss.Rule("long", word + "[0-9]{4,}")
+    assert len(ss.trigram_query(rule.pattern)[0]) > ss.ASKED
+    df = spark.createDataFrame([(1, f"x {word}1234 y"), (2, word), (3, word[:40]), (4, None), (1, f"x {word}1234 y")], "doc_id long, text string")
+    got = sorted((r["doc_id"], [(x["start"], x["end"]) for x in r["spans"]]) for r in ss.scan(df, [rule]).collect())
+    assert got == [(1, [(2, 126)]), (1, [(2, 126)]), (2, []), (3, []), (4, [])]
+    index = ss.postings(df.withColumn("k", F.col("doc_id")), ss.trigram_query(rule.pattern)[0], "k", "text")
+    plan = ss.candidates(index, {"long": ss.trigram_query(rule.pattern)}, "k").where("false or size(kinds) >= 0")
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("collect_set") <= 2 and "bit_or" in text  # sets of trigrams are not held as objects
+
+
+def test_tasks_give_memory_back():
+    import pyarrow as pa
+
+    from tapeloom.llm import common
+
+    pool, calls = pa.default_memory_pool(), []
+    keep, common.give_back = common.give_back, lambda: calls.append(pool.bytes_allocated())
+    try:
+        parts = list(common.slices(pa.RecordBatch.from_arrays([pa.array(["a" * 100] * 9 + [None])], ["text"]), "text", 300))
+    finally:
+        common.give_back = keep
+    assert sum(p.num_rows for p in parts) == 10 and len(calls) == 1
+    keep()
