@@ -198,6 +198,31 @@ def test_tree_leaves_no_table_but_its_values(spark):
         assert math.isclose(row["base_score"], sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in seq), rel_tol=1e-9)
 
 
+def test_groups_and_values_travel_packed(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(f"word{min(int(r.paretovariate(0.7)), 9000)}" for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts += ["a word of more than sixteen bytes: abcdefghijklmnopqrstuvwxyz", "  Blanks\tat\x0bboth\x0cends \r\n", "nul\x00 nul", None, ""] * 6
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    every = np.full(suffix_lm.BITS >> 6, -1, np.int64).view(np.uint64)
+    blocks = frame.select("text").coalesce(1).mapInArrow(suffix_lm._groups(spark.sparkContext.broadcast((every, np.zeros(0, np.int64))), 1, 3), "bucket int, block binary").collect()
+    pairs = Counter(p for t in texts for p in zip(tokens(t), tokens(t)[1:], strict=False))
+    counts = np.concatenate([suffix_lm._unpacked(b["block"])[-1] for b in blocks])
+    assert {b["bucket"] for b in blocks} == {0, 1, 2} and sorted(counts.tolist()) == sorted(pairs.values())
+    assert sum(len(b["block"]) for b in blocks) < 8 * len(pairs)  # three whole numbers are 24 bytes
+    monkeypatch.setattr(suffix_lm, "HEAVY", 50)  # so most values are asked for
+    monkeypatch.setattr(suffix_lm, "HOT", 100)
+    monkeypatch.setattr(suffix_lm, "LEAST_CONTEXT", 0.0)
+    monkeypatch.setattr(suffix_lm, "PER_BUCKET", 1 << 12)
+    model, groups = suffix_lm.fit(frame)
+    got = suffix_lm.score(frame.repartition(3), model, groups, ["doc_id", "text"]).collect()
+    count, total, kinds, p, rest = plain_model(texts, 1 << 40)
+    assert rest and sorted(r["doc_id"] for r in got) == list(range(len(texts)))
+    for row in got:
+        seq = tokens(row["text"])
+        assert row["n_known"] == len(seq) == row["n_tokens"]
+        assert math.isclose(row["score"], sum(math.log10(p(tuple(seq[max(0, i - 2) : i]), w)) for i, w in enumerate(seq)), rel_tol=1e-9), row["text"]
+
+
 def test_distributions_sum_to_one(spark):
     texts = ["a b a b a c"] * 40 + ["b a c c"] * 30
     count, total, kinds, p, _ = plain_model(texts, suffix_lm.HEAVY)
