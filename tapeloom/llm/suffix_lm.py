@@ -20,7 +20,8 @@ context, the weight it leaves to its parent. So texts are cut into chunks of up
 bucket of values once for all different groups it holds, and the answers come back to the chunk. Two things
 of fixed size spare work and change no result: values of groups with a share of 1 / `HEAVY` of all tokens are
 broadcast, and a bitmap of `BITS` bits rules out groups that have no value. Tables between two steps and the
-shuffles of a step are deleted once the next table is written.
+shuffles of a step are deleted once the next table is written. Values travel to the nearest `UNIT`, 2^-40: that is
+as little as the sums themselves round.
 
 Words and groups are told apart by hashes. Null and empty texts consist of the end alone. Without
 training tokens every token has probability 1 / (V + 1) = 1. Rows are kept one to one, whatever their ids.
@@ -46,7 +47,7 @@ from pyspark.sql import types as T
 from tapeloom.llm.common import brief_shuffles, discard, give_back, slices, written
 from tapeloom.llm.wordarrays import BASES, mixed, words_of
 
-HEAVY = 1 << 20
+HEAVY = 1 << 19
 LEAST_CONTEXT = 1e-4
 DIVERGENCE = 20.0
 DISCOUNT = 0.5
@@ -54,6 +55,7 @@ CHUNK = 16 << 20
 FLUSH = 1_000_000
 FLUSH_TOKENS = 1_500_000
 BITS = 1 << 27
+UNIT = 2.0**-40
 HOT = 1 << 12
 PER_BUCKET = 1 << 21
 LOW = (1 << 63) - 1
@@ -178,11 +180,15 @@ def _held(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Numbers, whole ones >= 0 in as few bytes as they need, all first bytes together, then all second ones."""
+    """Whole numbers >= 0, or logarithms to the nearest `UNIT`, in as few bytes as they need, all first bytes together, then all second ones."""
     out = []
     for a in arrays:
-        a = a if a.dtype.kind == "f" else a.astype(np.min_scalar_type(int(a.max(initial=0))))
-        out += [struct.pack("<cBq", a.dtype.kind.encode(), a.itemsize, len(a)), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
+        kind = a.dtype.kind.encode()
+        if kind == b"f":
+            a = np.rint(a / UNIT).astype(np.int64)
+            a = a << 1 ^ a >> 63  # the sign comes last
+        a = a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        out += [struct.pack("<cBq", kind, a.itemsize, len(a)), a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()]
     raw = b"".join(out)
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
@@ -193,8 +199,8 @@ def _unpacked(block: bytes) -> list[np.ndarray]:
     while at < size:
         kind, width, n = struct.unpack_from("<cBq", raw, at)
         at += struct.calcsize("<cBq")
-        a = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(f"{kind.decode()}{width}").reshape(n)
-        out.append(a.astype(np.int64) if kind == b"u" else a)
+        a = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T.copy().view(f"u{width}").reshape(n).astype(np.int64)
+        out.append((a >> 1 ^ -(a & 1)) * UNIT if kind == b"f" else a)
         at += n * width
     return out
 
