@@ -42,7 +42,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         sentencepiece_codec.ids_digest(F.col("ids")).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.coalesce(F.element_at("ends", -1), F.lit(0)).alias("covered_bytes"),
+        F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("covered_bytes"),  # a text may have no pieces
     )
 
 

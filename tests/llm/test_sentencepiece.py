@@ -99,3 +99,12 @@ def test_query(spark, sf, model):
         assert got[doc_id]["n_tokens"] == len(ids)
         assert got[doc_id]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[doc_id]["decoded_sha256"] == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_query_on_texts_without_pieces(spark, tmp_path):
+    rows = [(1, ""), (2, None), (3, "a b"), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op1_sentencepiece"](spark, str(tmp_path)).collect()}
+    assert {k: (r["n_tokens"], r["covered_bytes"]) for k, r in got.items()} == {1: (0, 0), 2: (0, 0), 3: (2, 3), None: (0, 0)}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all((got[k]["ids_sha256"], got[k]["decoded_sha256"]) == (empty, empty) for k in (1, 2, None))
