@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import uuid
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.runtime import shared_dir
+from tapeloom.runtime import brief_shuffles, discard, written  # noqa: F401
 
 # Bytes of text that one step of a Python task handles at a time; bounds its memory.
 SLICE_BYTES = 4 << 20
@@ -24,34 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them back: later passes and retries see the same rows."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def brief_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Of queries begun herein, shuffle files go when the query ends, not when the driver collects its garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of tables that `written` made and that nothing will read again."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A name that no column of ``df`` has, in any case."""
     taken = {c.lower() for c in df.columns}

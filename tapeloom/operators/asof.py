@@ -35,11 +35,15 @@ def asof(
     sequence = F.col(right_sequence).cast("long") if right_sequence else F.lit(0).cast("long")
     stacked_right = right.select(*keys, F.col(right_ts).alias("ts_event"), side.alias("_side"), sequence.alias("_seq"), payload.alias("_right"))
     left_seq = F.col("sequence").cast("long") if "sequence" in left.columns else F.lit(0).cast("long")
-    whole = F.struct(*[F.col(c) for c in left.columns]).alias("_left")
-    stacked_left = left.select(*keys, "ts_event", F.lit(0).alias("_side"), left_seq.alias("_seq"), whole)
+    # Keys and times travel once, and the rows stay parted by keys that the next step can see.
+    kind = lambda df, c: df.select(c).schema[0].dataType
+    shared = [k for k, r in [*((k, k) for k in keys), ("ts_event", right_ts)] if kind(left, k) == kind(right, r)]
+    rest = [c for c in left.columns if c not in shared]
+    whole = [F.struct(*[F.col(c) for c in rest]).alias("_left")] if rest else []
+    stacked_left = left.select(*keys, "ts_event", F.lit(0).alias("_side"), left_seq.alias("_seq"), *whole)
     both = stacked_left.unionByName(stacked_right, allowMissingColumns=True)
     both = running(both, {"_match": ("last", "_right")}, keys=keys, order=["ts_event", "_side", "_seq"])
-    out = both.filter("_left is not null").select("_left.*", "_match")
+    out = both.filter("_side = 0").select(*[F.col(f"_left.`{c}`" if c in rest else c) for c in left.columns], "_match")
     match = F.col("_match")
     if tolerance_ms is not None:
         match = F.when(age_ms(F.col("ts_event"), F.col("_match.match_ts")) <= tolerance_ms, match)

@@ -76,15 +76,23 @@ class BarrierRule:
     spread_mult: float = 1.0
 
 
-def fill_volatility(df: DataFrame, tick: float, price: str = "mid_price", vol: str = "realized_vol") -> DataFrame:
-    """Where the volatility is null: median step of the last 50 rows (5 needed), else one tick; at least a tick."""
-    if vol not in df.columns:
-        df = df.withColumn(vol, F.lit(None).cast("double"))
+#: Frames over `price_step` that stand in for a volatility.
+USUAL_STEP = {"_known": ("count", "_step", 50), "_median": ("median", "_step", 50)}
+
+
+def price_step(df: DataFrame, price: str = "mid_price") -> DataFrame:
+    """Add ``_step``, how far the price has moved since the row before."""
+    return windowed(df, lambda rows, w: rows.withColumn("_step", F.abs(F.col(price) - F.lag(price).over(w))), before=1)
+
 
-    def step(rows, w):
-        return rows.withColumn("_step", F.abs(F.col(price) - F.lag(price).over(w)))
+def fill_volatility(df: DataFrame, tick: float, price: str = "mid_price", vol: str = "realized_vol", stepped: bool = False) -> DataFrame:
+    """Where the volatility is null: median step of the last 50 rows (5 needed), else one tick; at least a tick.
 
-    out = sliding(windowed(df, step, before=1), {"_known": ("count", "_step", 50), "_median": ("median", "_step", 50)})
+    ``stepped``: the rows have ``_step`` and the frames of `USUAL_STEP`.
+    """
+    if vol not in df.columns:
+        df = df.withColumn(vol, F.lit(None).cast("double"))
+    out = df if stepped else sliding(price_step(df, price), USUAL_STEP)
     usual = F.when(F.col("_known") >= 5, F.col("_median"))
     return out.withColumn(vol, F.greatest(F.coalesce(F.col(vol), usual, F.lit(tick)), F.lit(tick))).drop("_step", "_known", "_median")
 
@@ -130,11 +138,14 @@ def _decide(df: DataFrame, price: str) -> DataFrame:
     return df.withColumns({"event_flag": (F.col("bias_label") != NEUTRAL).cast("int"), "train_event_flag": F.col("tradeability_label")}).drop("_hit", "_end")
 
 
-def triple_barrier(df: DataFrame, rule: BarrierRule, price: str = "mid_price") -> DataFrame:
-    """First of the upper and lower barrier within the horizon, else the last move against a band."""
+def triple_barrier(df: DataFrame, rule: BarrierRule, price: str = "mid_price", vol: str = "realized_vol", stepped: bool = False) -> DataFrame:
+    """First of the upper and lower barrier within the horizon, else the last move against a band.
+
+    ``stepped``: as in `fill_volatility`.
+    """
     missing = F.when(F.col(price).isNull(), F.raise_error(F.lit("a row has no price")).cast("double")).otherwise(F.col(price))
-    df = fill_volatility(df.withColumn(price, missing), rule.tick, price)
-    df = first_ahead(barrier_parts(df, rule, price), rule.horizon, {"_hit": ("upper_barrier", "lower_barrier")}, price)
+    df = fill_volatility(df.withColumn(price, missing), rule.tick, price, vol, stepped)
+    df = first_ahead(barrier_parts(df, rule, price, vol), rule.horizon, {"_hit": ("upper_barrier", "lower_barrier")}, price)
     return _decide(df.withColumn("_n", F.lit(0)), price).drop("_n")
 
 

@@ -90,13 +90,16 @@ def price_change(rows: DataFrame, tick: float) -> DataFrame:
     return windowed(rows, change, before=1)
 
 
-def rolling(rows: DataFrame, tick: float, frames: tuple[int, ...] = ROLLING) -> DataFrame:
-    """Means, volatilities and sums over the last n snapshots; short frames give the default."""
+def rolling(rows: DataFrame, tick: float, frames: tuple[int, ...] = ROLLING, also: dict[str, tuple[str, str, int]] | None = None) -> DataFrame:
+    """Means, volatilities and sums over the last n snapshots; short frames give the default.
+
+    ``also``: frames of `sliding` that the same pass adds.
+    """
 
     means = {"rolling_return_mean": "return_1", "rolling_obi_mean": "order_book_imbalance", "rolling_depth_imbalance_mean": "depth_imbalance"}
     if "mlofi_sum" in rows.columns:
         means["rolling_mlofi_sum_mean"] = "mlofi_sum"
-    wanted, shown = {}, {}
+    wanted, shown = dict(also or {}), {}
     for n in frames:
         least = min(max(2, n // 4), n)
         wanted.update({f"_rows_{n}": ("rows", "spread", n), f"_spreads_{n}": ("count", "spread", n), f"realized_vol_{n}": ("std", "_moved", n)})
@@ -203,35 +206,39 @@ COMPAT_ZERO = [
 ]
 
 
-def compat_features(rows: DataFrame, tick: float) -> DataFrame:
-    """Columns an older model expects, from the ones here; ``raw__`` twins hold unscaled copies."""
+def cvd_step(rows: DataFrame) -> DataFrame:
+    """Add ``_cvd_step``, the change of the running flow since the snapshot before."""
+    return windowed(rows, lambda df, w: df.withColumn("_cvd_step", F.coalesce(F.col("mbo_cvd") - F.lag("mbo_cvd").over(w), F.lit(0.0))), before=1)
+
+
+def compat_features(rows: DataFrame, tick: float, stepped: bool = False) -> DataFrame:
+    """Columns an older model expects, from the ones here; ``raw__`` twins hold unscaled copies.
+
+    ``stepped``: the rows have been through `cvd_step`.
+    """
     c = F.col
     total = c("bid_depth") + c("ask_depth")
     vnet, change = c("mbo_signed_trade_size_since_prev_mbp"), c("price_change")
 
-    def derive(df, w):
-        cvd_step = F.coalesce(c("mbo_cvd") - F.lag("mbo_cvd").over(w), F.lit(0.0))
-        return df.withColumns(
-            {
-                "cvd": c("mbo_cvd"),
-                "obi": c("order_book_imbalance"),
-                "micro_price": F.coalesce("microprice", "mid_price"),
-                "lob_depth_imbalance": c("depth_imbalance"),
-                "micro_atr": c("realized_vol"),
-                "volume_burst": c("mbo_trade_count_since_prev_mbp").cast("double"),
-                "liquidity_density": total / F.greatest(F.coalesce(c("spread") / tick, F.lit(0.0)), F.lit(1.0)),
-                "vnet": vnet,
-                "cvd_momentum": c("mbo_cvd_momentum_20"),
-                "cvd_price_divergence": cvd_step * F.signum(change),
-                "trend_strength": c("rolling_return_mean_20") / F.greatest("realized_vol_20", F.lit(tick)),
-                "liquidity_sweep": F.abs("mlofi_top3") / F.greatest(total, F.lit(1.0)),
-                "kyle_lambda": F.abs(change) / F.greatest(F.abs(vnet), F.lit(1.0)),
-                "hawkes_intensity": c("rolling_trade_count_20"),
-                "liq_score": 1.0 / F.greatest(F.coalesce(c("spread"), F.lit(tick)), F.lit(tick)),
-            }
-        )
-
-    out = windowed(rows, derive, before=1)
+    out = (rows if stepped else cvd_step(rows)).withColumns(
+        {
+            "cvd": c("mbo_cvd"),
+            "obi": c("order_book_imbalance"),
+            "micro_price": F.coalesce("microprice", "mid_price"),
+            "lob_depth_imbalance": c("depth_imbalance"),
+            "micro_atr": c("realized_vol"),
+            "volume_burst": c("mbo_trade_count_since_prev_mbp").cast("double"),
+            "liquidity_density": total / F.greatest(F.coalesce(c("spread") / tick, F.lit(0.0)), F.lit(1.0)),
+            "vnet": vnet,
+            "cvd_momentum": c("mbo_cvd_momentum_20"),
+            "cvd_price_divergence": c("_cvd_step") * F.signum(change),
+            "trend_strength": c("rolling_return_mean_20") / F.greatest("realized_vol_20", F.lit(tick)),
+            "liquidity_sweep": F.abs("mlofi_top3") / F.greatest(total, F.lit(1.0)),
+            "kyle_lambda": F.abs(change) / F.greatest(F.abs(vnet), F.lit(1.0)),
+            "hawkes_intensity": c("rolling_trade_count_20"),
+            "liq_score": 1.0 / F.greatest(F.coalesce(c("spread"), F.lit(tick)), F.lit(tick)),
+        }
+    ).drop("_cvd_step")
     return out.withColumns({n: F.lit(0.0) for n in COMPAT_ZERO})
 
 

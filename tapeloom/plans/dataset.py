@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeloom.operators import asof, clean, labels, snapshots, splits
 from tapeloom.operators.evaluate import label_distribution
 from tapeloom.operators.ordered import beside, sized
-from tapeloom.runtime import frozen
+from tapeloom.runtime import brief_shuffles, discard, written
 from tapeloom.sources import tables
 
 KEYS = ["symbol", "ts_event", "sequence"]
@@ -30,19 +30,35 @@ LABELS = [
 ]
 
 
-def features(ticks: DataFrame, book: DataFrame, tick: float, frames: tuple[int, ...] = snapshots.ROLLING) -> DataFrame:
-    """Snapshots that hold, each with the flow state before it and everything derived from both."""
+#: The levels of a snapshot, which no feature of the written tables is.
+ARRAYS = ["bid_px", "ask_px", "bid_sz", "ask_sz", "mlofi"]
+
+
+def _changes(ticks: DataFrame, book: DataFrame, tick: float) -> DataFrame:
+    """Snapshots that hold, with the flow state before them and what has changed since the one before."""
     rows = asof.align_flow(clean.reject_invalid_books(book, tick), asof.flow_state(ticks))
     rows = snapshots.with_mlofi(snapshots.top_of_book(rows))
-    rows = snapshots.interval_flow(snapshots.price_change(rows, tick))
-    rows = snapshots.rolling(rows, tick, frames)
+    return snapshots.interval_flow(snapshots.price_change(rows, tick))
+
+
+def features(ticks: DataFrame, book: DataFrame, tick: float, frames: tuple[int, ...] = snapshots.ROLLING) -> DataFrame:
+    """Snapshots that hold, each with the flow state before it and everything derived from both."""
+    rows = snapshots.rolling(_changes(ticks, book, tick), tick, frames)
     return snapshots.compat_features(snapshots.clock_features(rows), tick)
 
 
-def labelled(ticks: DataFrame, book: DataFrame, rule: labels.BarrierRule, frames: tuple[int, ...] = snapshots.ROLLING) -> DataFrame:
-    """Features with cost-aware first-barrier labels and their end times."""
+def labelled(ticks: DataFrame, book: DataFrame, rule: labels.BarrierRule, frames: tuple[int, ...] = snapshots.ROLLING, arrays: bool = True) -> DataFrame:
+    """Features with cost-aware first-barrier labels and their end times; ``arrays``: also the levels they are made of.
+
+    What looks back at the row before comes first, so that all frames take one pass and the barriers another, and
+    what each row tells by itself comes last, so that it isn't shuffled.
+    """
     with sized(ticks.select("symbol"), ["symbol"]):
-        return labels.triple_barrier(features(ticks, book, rule.tick, frames), rule)
+        rows = labels.price_step(snapshots.cvd_step(_changes(ticks, book, rule.tick)))
+        rows = snapshots.rolling(rows if arrays else rows.drop(*ARRAYS), rule.tick, frames, labels.USUAL_STEP)
+        rows = labels.triple_barrier(rows.withColumn("_filled", F.col("realized_vol")), rule, vol="_filled", stepped=True)
+        rows = snapshots.compat_features(snapshots.clock_features(rows), rule.tick, stepped=True)  # of the volatility as it was measured
+        return rows.withColumn("realized_vol", F.col("_filled")).drop("_filled")
 
 
 def feature_names(rows: DataFrame) -> list[str]:
@@ -124,17 +140,26 @@ def prepare(ticks: DataFrame, book: DataFrame, rule: labels.BarrierRule, root: s
         return report
     if not found["passed"]:
         raise RuntimeError(f"data validation failed: {found['critical']}")
-    rows = labelled(_only(ticks, symbol), _only(book, symbol), rule, frames)
+    with brief_shuffles(spark):
+        _write_all(labelled(_only(ticks, symbol), _only(book, symbol), rule, frames, arrays=False), root)
+    return report
+
+
+def _write_all(rows: DataFrame, root: str) -> None:
+    """The artifact of labelled rows and its reports."""
+    spark = rows.sparkSession
     price = F.coalesce("mid_price", "microprice")
     rows = rows.withColumns({"open": price, "high": price, "low": price, "raw__cvd": F.col("mbo_cvd")})
     weights = {"soft_sample_weight": F.lit(1.0), "mc_sample_weight": F.lit(1.0)}
     names = feature_names(rows)
     extra = ["mbo_state_ts"]
-    rows = frozen(rows.select(*dict.fromkeys([*KEYS, *names, *LABELS, *extra])))  # written as three tables
+    rows = written(rows.select(*dict.fromkeys([*KEYS, *names, *LABELS, *extra])), "labelled")  # read for three tables
     tables.write_artifact(root, rows.select(*KEYS, *names), rows.select(*KEYS, *LABELS).withColumns(weights), rows.select(*KEYS, *extra), {"schema_version": "1"})
+    discard(rows)
     done = tables.load_artifact(spark, root)
-    tables.write_report(feature_report(done, names), f"{root}/feature_report")
+    loaded, times = tables.load_features(spark, root)
+    tables.write_report(feature_report(loaded, names), f"{root}/feature_report")
+    discard(times)
     tables.write_report(label_distribution(done), f"{root}/label_distribution")
     tables.write_report(splits.leakage_report(done.withColumn("feature_ts", F.coalesce("mbo_state_ts", "ts_event")), names), f"{root}/leakage_report")
     tables.write_report(tables.shard_report(spark, f"{root}/features"), f"{root}/shards")
-    return report

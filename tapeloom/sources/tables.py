@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeloom.runtime import written
+
 # Columns that tell the feeds apart.
 MBO_REQUIRED = ["ts_event", "action", "side", "price", "size"]
 MBP_REQUIRED = ["ts_event", "bid_px_00", "ask_px_00", "bid_sz_00", "ask_sz_00"]
@@ -125,6 +128,22 @@ def load_artifact(spark: SparkSession, root: str, keys: Sequence[str] = ("symbol
     return out
 
 
+def load_features(spark: SparkSession, root: str, keys: Sequence[str] = ("symbol", "ts_event", "sequence")) -> tuple[DataFrame, DataFrame]:
+    """The features of `load_artifact`, each row as often as there, without a shuffle of the wide rows.
+
+    Also the table that says how often, for the keys that don't come out once; it is to be discarded after use.
+    """
+    parts = [spark.read.parquet(f"{root}/{n}") for n in ("features", "labels", "metadata")]
+    ones = lambda i: [F.lit(int(i == k)).cast("long").alias(f"_n{k}") for k in (1, 2)]
+    held = reduce(DataFrame.unionByName, [df.select(*keys, *ones(i)) for i, df in enumerate(parts)]).dropna(subset=list(keys))
+    held = held.groupBy(*keys).agg((F.sum("_n1") * F.sum("_n2")).alias("_times")).filter("_times <> 1")
+    times = written(held, "times")
+    rows = parts[0].join(times, list(keys), "left")
+    absent = reduce(Column.__or__, [F.col(k).isNull() for k in keys])  # a null key meets no other
+    copies = F.array_repeat(F.lit(0), F.when(absent, 0).otherwise(F.coalesce("_times", F.lit(1))).cast("int"))
+    return rows.withColumn("_copy", F.explode(copies)).drop("_times", "_copy"), times
+
+
 EVENT_LOG = T.StructType(
     [
         T.StructField("ts", T.TimestampNTZType()),

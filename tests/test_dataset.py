@@ -54,3 +54,50 @@ def test_too_many_rows_are_refused_not_cut(spark, sf, tmp_path):
         dataset.prepare(*feeds(spark, sf), RULE, str(tmp_path / "m"), max_rows=10)
     assert spark.read.json(str(tmp_path / "m" / "data_validation")).first()["critical"] == "max_rows_exceeded"
     assert not os.path.exists(tmp_path / "m" / "features")
+
+
+def test_labelled_rows_are_shuffled_twice_and_without_levels(spark, sf):
+    """Flow states are grouped and summed up, rows meet them, and the barriers look ahead: no other shuffle, no level in the last."""
+    rows = dataset.labelled(V.ticks(spark, sf), V.book(spark, sf), RULE, (20, 50), arrays=False)
+    lines = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sum("Exchange hashpartitioning" in line for line in lines) == 4
+    assert sum("MapInArrow" in line for line in lines) == 2 and not {*dataset.ARRAYS} & {*rows.columns}
+    whole = dataset.labelled(V.ticks(spark, sf), V.book(spark, sf), RULE, (20, 50))
+    assert {*whole.columns} == {*rows.columns, *dataset.ARRAYS} and dataset.feature_names(whole) == dataset.feature_names(rows)
+
+
+def test_labels_in_the_shared_pass_are_those_of_the_single_steps(spark, sf):
+    from conftest import canonical
+
+    from tapeloom.operators import labels
+
+    ticks, book = V.ticks(spark, sf), V.book(spark, sf)
+    once = dataset.labelled(ticks, book, RULE, (20, 50), arrays=False)
+    steps = labels.triple_barrier(dataset.features(ticks, book, RULE.tick, (20, 50)), RULE)
+    assert canonical(once) == canonical(steps.drop(*dataset.ARRAYS))
+
+
+def test_only_the_artifact_is_left(spark, sf, tmp_path):
+    from tapeloom.runtime import shared_dir
+
+    kept = lambda: {f"{d}/{f}" for d, _, files in os.walk(shared_dir(spark).removeprefix("file:")) for f in files}
+    before = kept()
+    dataset.prepare(V.ticks(spark, sf), V.book(spark, sf), RULE, str(tmp_path / "l"), frames=(20, 50))
+    assert kept() == before
+
+
+def test_features_come_as_often_as_in_the_artifact(spark, tmp_path):
+    import datetime
+
+    from conftest import canonical
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(1, day, 1, 0.5), (1, day, 2, None), (1, day, 2, 1.5), (None, day, 3, 2.5), (2, None, 3, 3.5), (2, day, 3, 4.5)]
+    rows = spark.createDataFrame(rows, "symbol long, ts_event timestamp_ntz, sequence long, x double")
+    keys = rows.drop("x")
+    extra = spark.createDataFrame([(2, day, 3)], keys.schema)
+    lone = spark.createDataFrame([(7, day, 7, 9.5)], rows.schema)  # has no labels
+    tables.write_artifact(str(tmp_path / "f"), rows.union(lone), keys.withColumn("label", F.lit(1)), keys.union(extra), {})
+    loaded, times = tables.load_features(spark, str(tmp_path / "f"))
+    assert canonical(loaded) == canonical(tables.load_artifact(spark, str(tmp_path / "f")).drop("label"))
+    assert loaded.count() == 1 + 2 * 2 * 2 + 2 and times.count() == 3
